@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, quality_rules
 
 QUERIES = {
+    "op7_byte_bpe": bpe.query,
     "op10_quality_rules": quality_rules.query,
 }
 
