@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, mixing, quality_rules
 
 QUERIES = {
     "op7_byte_bpe": bpe.query,
+    "op8_mixing": mixing.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 SQL = {
+    "op8_mixing": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
