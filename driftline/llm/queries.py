@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, token_store
+from . import bpe, mixing, quality_classifier, quality_rules, token_store
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.query,
     "op4_token_store": token_store.query,
     "op7_byte_bpe": bpe.query,
     "op8_mixing": mixing.query,
