@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_classifier, quality_rules, token_store
+from . import bpe, mixing, quality_classifier, quality_rules, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op4_token_store": token_store.query,
+    "op5_toxicity": toxicity.query,
     "op7_byte_bpe": bpe.query,
     "op8_mixing": mixing.query,
     "op10_quality_rules": quality_rules.query,
