@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_classifier, quality_rules, token_store, toxicity
+from . import bpe, mixing, quality_classifier, quality_rules, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
+    "op3_sharding": sharding.query,
     "op4_token_store": token_store.query,
     "op5_toxicity": toxicity.query,
     "op7_byte_bpe": bpe.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
