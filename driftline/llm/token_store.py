@@ -5,11 +5,10 @@ Folders of a store, all Parquet:
   recipes     part, idx, doc_id, local_start, n_tokens, digests (16 bytes each, concatenated), ends (end of each chunk in the
               document's ids), root: in ascending doc_id order, nulls first; parts follow each other, local_start counts inside one
   manifest    part, n_docs, n_tokens, root: the Merkle root of a part's document roots; the store's root is over the parts'
-A rolling hash over WINDOW ids ends a chunk where its low bits are zero, so documents that share a long passage share its chunks
+A rolling hash over WINDOW ids ends a chunk where its high bits are zero, so documents that share a long passage share its chunks
 wherever it stands; a chunk stops at LONGEST ids. A document's root is over its chunks' digests.
 
-Tokenising splits a text at ASCII white space, which the tokenizer drops and never merges across, and encodes each distinct word
-once per worker and a while; unseen words go through the tokenizer together, parted by a special token.
+Tokenising splits a text at ASCII white space, which the tokenizer drops and never merges across, and remembers words' ids.
 
 Reading: each chunk is read once and its digest checked. crc32 is linear, so a document's crc32 is the exclusive or of its
 chunks' crc32s, each moved by the bytes that follow it; documents(...) puts the ids themselves together.
@@ -21,6 +20,7 @@ share all chunks; null ids come first; an empty table makes an empty store; othe
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,66 +35,116 @@ from pyspark.sql import Window as W
 from .common import shared_dir
 
 WINDOW = 8
-MASK = 511
+MASK_BITS = 9
 LONGEST = 8192
 MEMO = 300_000
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_PRIME = np.uint32(0x9E3779B1)
 
 _loaded: dict[str, tuple] = {}
 
 
 class WordEncoder:
-    """Packed ids of texts by a tokenizer file, by way of a memo of words."""
+    """Packed ids of texts by a tokenizer file, by way of memos of words and of the pieces its pre-tokenizer makes.
 
-    def __init__(self, path: str, parting: str = "<|endoftext|>"):
+    Words of printable ASCII and Latin-1 letters are lower-cased and cut into pieces here, as the file's normalizer and
+    pre-tokenizer would; unseen pieces go through the same merges of the tokenizers library, many at a time. All other words
+    go through the whole tokenizer.
+    """
+
+    _plain = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
+    _piece = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+")
+
+    def __init__(self, path: str):
         if path not in _loaded:
             import os
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            _loaded[path] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.memo = _loaded[path]
-        self.parting, self.parting_id = parting, self.tokenizer.token_to_id(parting)
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, unseen: list[bytes]) -> None:
-        words = [w.decode() for w in unseen]
-        plain = [i for i, w in enumerate(words) if "<|" not in w]
-        for lo in range(0, len(plain), 2000):
-            group = plain[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.parting.join(words[i] for i in group)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.parting_id)
-            packed = ids.tobytes()
-            for i, a, b in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                self.memo[unseen[i]] = packed[4 * a : 4 * b]
-        rest = [i for i, w in enumerate(words) if "<|" in w]
-        for i, ids in zip(rest, self._direct([words[i] for i in rest])):
-            self.memo[unseen[i]] = ids
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            whole = Tokenizer.from_file(path)
+            merges = Tokenizer(whole.model)
+            merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocab = whole.get_vocab()
+            last = np.zeros(max(vocab.values()) + 1, bool)
+            last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+            # Byte-level merges see each byte as a printable character: Latin-1's own where it is one, else one from 256 on.
+            own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+            shown = {b: b for b in own} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - own))}
+            _loaded[path] = whole, merges, last, shown, {}, {}, {}
+        self.whole, self.merges, self.last, self.shown, self.memo, self.young, self.pieces = _loaded[path]
+
+    def _merge(self, unseen: list[str]) -> None:
+        shown = " ".join(unseen)
+        if not shown.isascii():
+            shown = " ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in unseen)
+        ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        ends, packed = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), ids.tobytes()
+        if len(ends) != len(unseen):
+            raise ValueError("the tokenizer doesn't end each piece with a word's end")
+        self.pieces.update(zip(unseen, map(packed.__getitem__, map(slice, [0, *ends], ends))))
+
+    def _learn(self, unseen: list[bytes]) -> dict[bytes, bytes]:
+        pieces, learnt = self.pieces, {}
+        if len(pieces) > MEMO:
+            pieces.clear()
+        for lo in range(0, len(unseen), 4000):
+            group = unseen[lo : lo + 4000]
+            text = b" ".join(group).decode()
+            if not self._plain.fullmatch(text) or "<|" in text:
+                odd = [w for w in group if not self._plain.fullmatch(w.decode()) or b"<|" in w]
+                learnt.update(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False))))
+                group = [w for w in group if w not in learnt]
+                text = b" ".join(group).decode()
+            cut = self._piece.findall(text.lower())
+            new = [p for p in dict.fromkeys(cut) if p not in pieces]
+            if " " in new:
+                new.remove(" ")
+                pieces[" "] = b"    "  # no id: parts the words below
+            if new:
+                self._merge(new)
+            learnt.update(zip(group, _words(list(map(pieces.__getitem__, cut)))))
+        return learnt
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
+        """Words go to the memo when they come again, so that rare ones don't push out the frequent."""
+        memo, young = self.memo, self.young
         if len(memo) > MEMO:
             memo.clear()
+        if len(young) > MEMO:
+            young.clear()
         split = [t.encode().split() for t in texts]
-        unseen = {w for ws in split for w in ws if w not in memo}
-        if unseen:
-            self.learn(list(unseen))
-        return [b"".join([memo[w] for w in ws]) for ws in split]
+        found = [list(map(memo.get, ws)) for ws in split]
+        missed = {w for ws, ids in zip(split, found) if None in ids for w, i in zip(ws, ids) if i is None}
+        again = {w: young.pop(w) for w in missed if w in young}
+        memo.update(again)
+        learnt = self._learn([w for w in missed if w not in again])
+        young.update(learnt)
+        known = learnt | again
+        return [b"".join(ids if None not in ids else [known[w] if i is None else i for w, i in zip(ws, ids)]) for ws, ids in zip(split, found)]
+
+
+def _words(pieces: list[bytes]) -> list[bytes]:
+    """Runs of pieces between the four blanks that part words."""
+    words, run = [], []
+    for p in pieces:
+        if p == b"    ":
+            words.append(run[0] if len(run) == 1 else b"".join(run))
+            run = []
+        else:
+            run.append(p)
+    return [*words, b"".join(run)] if pieces else words
 
 
 def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     """Where chunks end, for documents laid end to end (doc_ends ascending; no document is empty)."""
-    gear = (ids.astype(np.uint64) + np.uint64(1)) * _PRIME
-    gear ^= gear >> np.uint64(29)
-    rolled, weight = np.zeros(len(ids), np.uint64), np.uint64(1)
-    for k in range(WINDOW):
-        rolled[k:] += gear[: len(ids) - k] * weight
-        weight = np.uint64((int(weight) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF)
+    gear = (ids + np.uint32(1)) * _PRIME
+    gear ^= gear >> np.uint32(15)
+    rolled, weight = gear.copy(), 1
+    for k in range(1, WINDOW):
+        weight = weight * 0x01000193 & 0xFFFFFFFF
+        rolled[k:] += gear[: len(ids) - k] * np.uint32(weight)
     starts = np.concatenate([[0], doc_ends[:-1]])
-    hits = np.flatnonzero(((rolled >> np.uint64(20)) & np.uint64(MASK)) == 0) + 1
+    hits = np.flatnonzero(rolled >> np.uint32(32 - MASK_BITS) == 0) + 1
     inside = hits - starts[np.searchsorted(doc_ends, hits, side="left")] >= WINDOW
     ends = np.union1d(hits[inside], doc_ends)
     sizes = np.diff(ends, prepend=0)
@@ -120,9 +170,10 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
                 ids, doc_ends = np.frombuffer(b"".join(packed), "<u4"), np.cumsum([len(p) // 4 for p in packed])
                 ends = chunk_ends(ids, doc_ends)
                 begins = np.concatenate([[0], ends[:-1]])
-                wide = np.maximum.reduceat(ids, begins) > 0xFFFF
+                wide, sizes = (np.maximum.reduceat(ids, begins) > 0xFFFF).tolist(), (ends - begins).tolist()
                 raw4, raw2 = ids.tobytes(), ids.astype("<u2").tobytes()
-                digests = [_digest(raw4[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
+                spans = list(zip(begins.tolist(), ends.tolist()))
+                digests = [_digest(raw4[4 * a : 4 * b]) for a, b in spans]
                 fresh = {}
                 for i, d in enumerate(digests):
                     if d not in seen:
@@ -132,8 +183,8 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
                     seen.clear()
                 rows = list(fresh.values())
                 yield pd.DataFrame({
-                    "kind": "chunk", "digest": list(fresh), "width": [4 if wide[i] else 2 for i in rows], "n": [int(ends[i] - begins[i]) for i in rows],
-                    "ids": [raw4[4 * begins[i] : 4 * ends[i]] if wide[i] else raw2[2 * begins[i] : 2 * ends[i]] for i in rows],
+                    "kind": "chunk", "digest": list(fresh), "width": [4 if wide[i] else 2 for i in rows], "n": [sizes[i] for i in rows],
+                    "ids": [raw4[4 * spans[i][0] : 4 * spans[i][1]] if wide[i] else raw2[2 * spans[i][0] : 2 * spans[i][1]] for i in rows],
                     "doc_id": pd.array([None] * len(rows), "Int64"), "ends": None})
                 last = np.searchsorted(ends, doc_ends)
                 recipes, at, base = [], 0, 0
