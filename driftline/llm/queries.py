@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_classifier, quality_rules, sharding, token_store, toxicity
+from . import bpe, hash_forest, language_model, mixing, quality_classifier, quality_rules, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op3_sharding": sharding.query,
     "op4_token_store": token_store.query,
     "op5_toxicity": toxicity.query,
+    "op6_hash_forest": hash_forest.query,
     "op7_byte_bpe": bpe.query,
     "op8_mixing": mixing.query,
+    "op9_language_model": language_model.query,
     "op10_quality_rules": quality_rules.query,
 }
 
