@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, hash_forest, language_model, mixing, quality_classifier, quality_rules, sharding, token_store, toxicity
+from . import bpe, hash_forest, language_model, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
+    "op2_ngram_join": ngram_join.query,
     "op3_sharding": sharding.query,
     "op4_token_store": token_store.query,
     "op5_toxicity": toxicity.query,
