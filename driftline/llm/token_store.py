@@ -23,6 +23,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,102 +38,72 @@ from .common import shared_dir
 WINDOW = 8
 MASK_BITS = 9
 LONGEST = 8192
-MEMO = 300_000
+MEMO = 500_000
+#: Documents encoded at a time.
+DOCS = 500
 _PRIME = np.uint32(0x9E3779B1)
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, _Words] = {}
+
+
+class _Pieces(dict):
+    """Packed ids of pieces that the pre-tokenizer leaves whole, by the tokenizers library's merges."""
+
+    def __init__(self, model):
+        self.model = model
+        # Byte-level merges see each byte as a printable character: Latin-1's own where it is one, else one from 256 on.
+        own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.shown = {b: b for b in own} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - own))}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        found = self[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
+
+
+class _Words(dict):
+    """Packed ids of words."""
+
+    _plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+    _piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer.model)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+        if word.isalpha():
+            found = self.pieces[word.lower().decode()]
+        else:
+            text = word.decode()
+            if self._plain.fullmatch(text) and "<|" not in text:
+                found = b"".join(map(self.pieces.__getitem__, self._piece.findall(text.lower())))
+            else:
+                found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
 
 
 class WordEncoder:
     """Packed ids of texts by a tokenizer file, by way of memos of words and of the pieces its pre-tokenizer makes.
 
     Words of printable ASCII and Latin-1 letters are lower-cased and cut into pieces here, as the file's normalizer and
-    pre-tokenizer would; unseen pieces go through the same merges of the tokenizers library, many at a time. All other words
-    go through the whole tokenizer.
+    pre-tokenizer would; unseen pieces go through the merges of the tokenizers library, all other words through the whole of it.
     """
 
-    _plain = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
-    _piece = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+")
-
     def __init__(self, path: str):
         if path not in _loaded:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer, pre_tokenizers
-
-            whole = Tokenizer.from_file(path)
-            merges = Tokenizer(whole.model)
-            merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            vocab = whole.get_vocab()
-            last = np.zeros(max(vocab.values()) + 1, bool)
-            last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-            # Byte-level merges see each byte as a printable character: Latin-1's own where it is one, else one from 256 on.
-            own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-            shown = {b: b for b in own} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - own))}
-            _loaded[path] = whole, merges, last, shown, {}, {}, {}
-        self.whole, self.merges, self.last, self.shown, self.memo, self.young, self.pieces = _loaded[path]
-
-    def _merge(self, unseen: list[str]) -> None:
-        shown = " ".join(unseen)
-        if not shown.isascii():
-            shown = " ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in unseen)
-        ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
-        ends, packed = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), ids.tobytes()
-        if len(ends) != len(unseen):
-            raise ValueError("the tokenizer doesn't end each piece with a word's end")
-        self.pieces.update(zip(unseen, map(packed.__getitem__, map(slice, [0, *ends], ends))))
-
-    def _learn(self, unseen: list[bytes]) -> dict[bytes, bytes]:
-        pieces, learnt = self.pieces, {}
-        if len(pieces) > MEMO:
-            pieces.clear()
-        for lo in range(0, len(unseen), 4000):
-            group = unseen[lo : lo + 4000]
-            text = b" ".join(group).decode()
-            if not self._plain.fullmatch(text) or "<|" in text:
-                odd = [w for w in group if not self._plain.fullmatch(w.decode()) or b"<|" in w]
-                learnt.update(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False))))
-                group = [w for w in group if w not in learnt]
-                text = b" ".join(group).decode()
-            cut = self._piece.findall(text.lower())
-            new = [p for p in dict.fromkeys(cut) if p not in pieces]
-            if " " in new:
-                new.remove(" ")
-                pieces[" "] = b"    "  # no id: parts the words below
-            if new:
-                self._merge(new)
-            learnt.update(zip(group, _words(list(map(pieces.__getitem__, cut)))))
-        return learnt
+            from tokenizers import Tokenizer
+
+            _loaded[path] = _Words(Tokenizer.from_file(path))
+        self.words = _loaded[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Words go to the memo when they come again, so that rare ones don't push out the frequent."""
-        memo, young = self.memo, self.young
-        if len(memo) > MEMO:
-            memo.clear()
-        if len(young) > MEMO:
-            young.clear()
-        split = [t.encode().split() for t in texts]
-        found = [list(map(memo.get, ws)) for ws in split]
-        missed = {w for ws, ids in zip(split, found) if None in ids for w, i in zip(ws, ids) if i is None}
-        again = {w: young.pop(w) for w in missed if w in young}
-        memo.update(again)
-        learnt = self._learn([w for w in missed if w not in again])
-        young.update(learnt)
-        known = learnt | again
-        return [b"".join(ids if None not in ids else [known[w] if i is None else i for w, i in zip(ws, ids)]) for ws, ids in zip(split, found)]
-
-
-def _words(pieces: list[bytes]) -> list[bytes]:
-    """Runs of pieces between the four blanks that part words."""
-    words, run = [], []
-    for p in pieces:
-        if p == b"    ":
-            words.append(run[0] if len(run) == 1 else b"".join(run))
-            run = []
-        else:
-            run.append(p)
-    return [*words, b"".join(run)] if pieces else words
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.encode().split())) for t in texts]
 
 
 def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
@@ -156,44 +127,46 @@ def _digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
+def _objects(encoder: WordEncoder, batch: pa.RecordBatch, end_id: int, seen: set[bytes]) -> pa.RecordBatch:
+    """Chunks that the task hasn't sent yet, and the recipes, of a batch of (doc_id, text)."""
+    stop = np.array([end_id], "<u4").tobytes()
+    packed = [p + stop for p in encoder.encode(batch.column(1).to_pylist())]
+    ids, doc_ends = np.frombuffer(b"".join(packed), "<u4"), np.cumsum([len(p) // 4 for p in packed])
+    ends = chunk_ends(ids, doc_ends)
+    begins = np.concatenate([[0], ends[:-1]])
+    width = np.where(np.maximum.reduceat(ids, begins) > 0xFFFF, 4, 2)
+    raw4, raw2 = ids.tobytes(), ids.astype("<u2").tobytes()
+    digests = [_digest(raw4[a:b]) for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]
+    if len(seen) > 100_000:  # only spares repeats inside a task; the rest go in the shuffle
+        seen.clear()
+    fresh = [i for i, d in enumerate(digests) if not (d in seen or seen.add(d))]
+    spans = zip(width[fresh].tolist(), begins[fresh].tolist(), ends[fresh].tolist())
+    chunk_ids = [raw2[2 * a : 2 * b] if w == 2 else raw4[4 * a : 4 * b] for w, a, b in spans]
+    first = np.concatenate([[0], np.searchsorted(ends, doc_ends, side="right")]).tolist()
+    bases = np.concatenate([[0], doc_ends[:-1]])
+    inner = (ends - np.repeat(bases, np.diff(first))).astype("<u4").tobytes()
+    joined, n, m = b"".join(digests), len(fresh), len(packed)
+    return pa.RecordBatch.from_arrays([
+        pa.array(["chunk"] * n + ["doc"] * m),
+        pa.array([digests[i] for i in fresh] + [joined[16 * a : 16 * b] for a, b in zip(first, first[1:])], pa.binary()),
+        pa.array(np.concatenate([width[fresh], np.zeros(m, np.int64)]).astype(np.int32)),
+        pa.array(np.concatenate([(ends - begins)[fresh], doc_ends - bases]).astype(np.int64)),
+        pa.array(chunk_ids + [None] * m, pa.binary()),
+        pa.array([None] * n + batch.column(0).to_pylist(), pa.int64()),
+        pa.array([None] * n + [inner[4 * a : 4 * b] for a, b in zip(first, first[1:])], pa.binary()),
+    ], names=["kind", "digest", "width", "n", "ids", "doc_id", "ends"])
+
+
 def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts, each followed by end_id, and write them to a new store at path."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, stop, seen = WordEncoder(vocab), np.array([end_id], "<u4").tobytes(), set()
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, seen = WordEncoder(vocab), set()
         for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                batch = whole.iloc[lo : lo + 1000]
-                packed = [p + stop for p in encoder.encode(batch["text"].tolist())]
-                ids, doc_ends = np.frombuffer(b"".join(packed), "<u4"), np.cumsum([len(p) // 4 for p in packed])
-                ends = chunk_ends(ids, doc_ends)
-                begins = np.concatenate([[0], ends[:-1]])
-                wide, sizes = (np.maximum.reduceat(ids, begins) > 0xFFFF).tolist(), (ends - begins).tolist()
-                raw4, raw2 = ids.tobytes(), ids.astype("<u2").tobytes()
-                spans = list(zip(begins.tolist(), ends.tolist()))
-                digests = [_digest(raw4[4 * a : 4 * b]) for a, b in spans]
-                fresh = {}
-                for i, d in enumerate(digests):
-                    if d not in seen:
-                        seen.add(d)
-                        fresh[d] = i
-                if len(seen) > 200_000:  # only spares repeats inside a task; the rest go in the shuffle
-                    seen.clear()
-                rows = list(fresh.values())
-                yield pd.DataFrame({
-                    "kind": "chunk", "digest": list(fresh), "width": [4 if wide[i] else 2 for i in rows], "n": [sizes[i] for i in rows],
-                    "ids": [raw4[4 * spans[i][0] : 4 * spans[i][1]] if wide[i] else raw2[2 * spans[i][0] : 2 * spans[i][1]] for i in rows],
-                    "doc_id": pd.array([None] * len(rows), "Int64"), "ends": None})
-                last = np.searchsorted(ends, doc_ends)
-                recipes, at, base = [], 0, 0
-                for j, end in zip(last.tolist(), doc_ends.tolist()):
-                    recipes.append((b"".join(digests[at : j + 1]), (ends[at : j + 1] - base).astype("<u4").tobytes(), end - base))
-                    at, base = j + 1, end
-                yield pd.DataFrame({
-                    "kind": "doc", "digest": [r[0] for r in recipes], "width": 0, "n": [r[2] for r in recipes], "ids": None,
-                    "doc_id": batch["doc_id"].astype("Int64").reset_index(drop=True), "ends": [r[1] for r in recipes]})
+            for lo in range(0, whole.num_rows, DOCS):
+                yield _objects(encoder, whole.slice(lo, DOCS), end_id, seen)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -207,7 +180,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
 
     schema = "kind string, digest binary, width int, n long, ids binary, doc_id long, ends binary"
     # Chunks of one digest meet in one partition; recipes are dealt by their digests and id, so equal texts don't meet.
-    (own.mapInPandas(encoded, schema).repartition("digest", "doc_id").mapInArrow(distinct, schema)
+    (own.mapInArrow(encoded, schema).repartition("digest", "doc_id").mapInArrow(distinct, schema)
      .write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects"))
 
     stored = spark.read.schema(schema).parquet(f"{path}/objects").where("kind = 'doc'").select("doc_id", "n", "digest", "ends")
