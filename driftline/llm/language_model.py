@@ -10,7 +10,8 @@ All n-grams of all documents are counted, in three steps that grow with the inpu
      and go back as counts in the order that each block knows. Ranges are as many as keep one at about RANGE_BYTES.
   3. Blocks and returned counts meet by block: the tuning blocks give a histogram of (bucket, probability ratios), from which
      the driver finds the weights (a few thousand rows at any size); then all blocks give their documents' scores.
-Words are known by 64-bit hashes, bigrams by 54 bits.
+Words are known by 64-bit hashes, bigrams by 48 bits or, from 2^27 tokens on, two more for each doubling, 64 at most; sorted keys go as
+their steps and counts as compressed byte planes.
 
 Defined results: null and empty texts have one token, the end; null ids count as the empty text in the folds; equal rows are scored
 alike and counted as often as they occur; without training documents every probability is 1 / (V + 1) = 1; an empty table gives no
@@ -26,6 +27,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,6 @@ ROUNDS = 60
 #: Steps of the histogram of log2 ratios.
 STEPS = 4
 _END = xxhash.xxh64_intdigest(b"")
-_KEY_BITS = 54
 
 
 def tokenize(text: str) -> list[bytes]:
@@ -66,7 +67,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         def row(r: int, b: dict) -> pd.DataFrame:
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, b["vocab"]), np.uint64, len(b["vocab"]))
             return pd.DataFrame({"block": [base + next(serial)], "n_tokens": [b["n"]], "doc_ids": [b["ids"]], "lengths": [np.array(b["lengths"], "<u4").tobytes()],
-                                 "tokens": [np.concatenate(b["tokens"]).tobytes()], "vocab": [np.concatenate([np.array([_END], np.uint64), hashes]).tobytes()], "role": [r]})
+                                 "tokens": [_planes(np.concatenate(b["tokens"]), 4)], "vocab": [np.concatenate([np.array([_END], np.uint64), hashes]).tobytes()], "role": [r]})
 
         for batch in batches:
             ids = [None if x is None or x != x else int(x) for x in batch["doc_id"].astype("object")]
@@ -91,19 +92,19 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 class Block:
     """A block's tokens, and its distinct unigrams and bigrams in the order of their hashes."""
 
-    def __init__(self, tokens: bytes, vocab: bytes):
-        self.tokens = np.frombuffer(tokens, "<u4")
+    def __init__(self, tokens: bytes, vocab: bytes, key_bits: int):
+        self.tokens = _numbers(tokens, 4)
         hashes = np.frombuffer(vocab, np.uint64)
         self.order = np.argsort(hashes)
         self.place = np.empty(len(hashes), np.int64)  # of a token in the order of hashes
         self.place[self.order] = np.arange(len(hashes))
         self.unigrams = hashes[self.order]
-        before = np.concatenate([np.zeros(1, np.uint32), self.tokens[:-1]])  # documents follow ends, and so does the first
+        before = np.concatenate([np.zeros(1, np.uint64), self.tokens[:-1]])  # documents follow ends, and so does the first
         self.before = before
         mixed = hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.tokens]
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        self.bigrams, self.bigram_of, self.bigram_n = np.unique((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - _KEY_BITS), return_inverse=True, return_counts=True)
+        self.bigrams, self.bigram_of, self.bigram_n = np.unique((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - key_bits), return_inverse=True, return_counts=True)
 
     def unigram_n(self) -> np.ndarray:
         return np.bincount(self.place[self.tokens], minlength=len(self.unigrams))
@@ -115,44 +116,63 @@ def _cuts(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
-def _pack(keys: np.ndarray, size: int) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+def _planes(numbers: np.ndarray, size: int) -> bytes:
+    """Numbers of `size` bytes, compressed a byte plane at a time: high planes are nearly constant."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes())
 
 
-def _unpack(raw: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(raw) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+def _numbers(raw: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :size] = planes.T
     return out.view("<u8").ravel()
 
 
-def counted(cut: DataFrame, ranges: int) -> DataFrame:
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps, in as many bytes as the largest takes; the first byte says how many."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    first, steps = int(keys[0]), steps[1:]
+    size = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([size]) + first.to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    size = raw[0]
+    body = np.frombuffer(raw, np.uint8, offset=9)
+    out = np.zeros((len(body) // size + 1, 8), np.uint8)
+    out[1:, :size] = body.reshape(-1, size)
+    keys = out.view("<u8").ravel()
+    keys[0] = int.from_bytes(raw[1:9], "little")
+    return np.cumsum(keys, dtype=np.uint64)
+
+
+def counted(cut: DataFrame, ranges: int, key_bits: int) -> DataFrame:
     """The counts each block asks for: (kind, range, block, total, tune), and rows of block -1 with a range's sums (n, v, n_tune)."""
     few = max(1, ranges // 4)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for b in batch.itertuples():
-                own = Block(b.tokens, b.vocab)
+                own = Block(b.tokens, b.vocab, key_bits)
                 rows = []
-                for kind, keys, n, bits, parts, size in ((1, own.unigrams, own.unigram_n(), 64, few, 8), (2, own.bigrams, own.bigram_n, _KEY_BITS, ranges, 7)):
-                    at, n = _cuts(keys, bits, parts), n.astype("<u4")
-                    rows += [(kind, i, b.block, b.role, _pack(keys[lo:hi], size), n[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if hi > lo]
+                for kind, keys, n, bits, parts in ((1, own.unigrams, own.unigram_n(), 64, few), (2, own.bigrams, own.bigram_n, key_bits, ranges)):
+                    at = _cuts(keys, bits, parts)
+                    rows += [(kind, i, b.block, b.role, _pack(keys[lo:hi]), _planes(n[lo:hi], 4)) for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if hi > lo]
                 yield pd.DataFrame(rows, columns=["kind", "range", "block", "role", "keys", "n"])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        size = 8 if rows["kind"].iloc[0] == 1 else 7
-        keys = [_unpack(k, size) for k in rows["keys"]]
+        keys = [_unpack(k) for k in rows["keys"]]
         flat, spot = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["n"]]).astype(np.float64)
+        n = np.concatenate([_numbers(x, 4) for x in rows["n"]]).astype(np.float64)
         role = np.repeat(rows["role"].to_numpy(), [len(k) for k in keys])
         total, tune = (np.bincount(spot, n * m, len(flat)).astype(np.int64) for m in (role < 2, role == 1))
-        if total.max(initial=0) >= 1 << 32:
+        if total.max() >= 1 << 32:
             raise ValueError("an n-gram occurs more than 4 billion times")
         out, at = [], 0
         for r, k in zip(rows.itertuples(), keys):
             own = spot[at : at + len(k)]
             at += len(k)
-            out.append((r.kind, r.range, r.block, total[own].astype("<u4").tobytes(), tune[own].astype("<u4").tobytes(), 0, 0, 0))
+            out.append((r.kind, r.range, r.block, _planes(total[own], 4), _planes(tune[own], 4), 0, 0, 0))
         out.append((rows["kind"].iloc[0], rows["range"].iloc[0], -1, b"", b"", int(total.sum()), int((total > 0).sum()), int(tune.sum())))
         return pd.DataFrame(out, columns=["kind", "range", "block", "total", "tune", "n", "v", "n_tune"])
 
@@ -160,13 +180,13 @@ def counted(cut: DataFrame, ranges: int) -> DataFrame:
     return sent.groupBy("kind", "range").applyInPandas(meet, "kind int, range int, block long, total binary, tune binary, n long, v long, n_tune long")
 
 
-def _with_counts(block: pd.DataFrame, counts: pd.DataFrame):
+def _with_counts(block: pd.DataFrame, counts: pd.DataFrame, key_bits: int):
     """(block row, Block, (unigram total, tune), (bigram total, tune)), counts in the block's order."""
     b = block.iloc[0]
-    own, found = Block(b["tokens"], b["vocab"]), []
+    own, found = Block(b["tokens"], b["vocab"], key_bits), []
     for kind, n in ((1, len(own.unigrams)), (2, len(own.bigrams))):
         rows = counts[counts["kind"] == kind].sort_values("range")
-        both = tuple(np.frombuffer(b"".join(rows[c]), "<u4").astype(np.int64) for c in ("total", "tune"))
+        both = tuple(np.concatenate([np.zeros(0, np.int64), *(_numbers(x, 4).astype(np.int64) for x in rows[c])]) for c in ("total", "tune"))
         if len(both[0]) != n:
             raise ValueError("a block's counts didn't all come back")
         found.append(both)
@@ -177,11 +197,11 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(context + 1.0)).astype(np.int64)
 
 
-def tuning_histogram(cut: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
+def tuning_histogram(cut: DataFrame, counts: DataFrame, n: int, v: int, key_bits: int) -> DataFrame:
     """(bucket, bigram, unigram, times): steps of log2(bigram estimate / unigram estimate) and log2(unigram estimate * (V + 1)); null for estimates of 0."""
 
     def each(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        _, own, (uni, uni_tune), (bi, bi_tune) = _with_counts(block, found)
+        _, own, (uni, uni_tune), (bi, bi_tune) = _with_counts(block, found, key_bits)
         uni, bi = uni - uni_tune, bi - bi_tune
         c2, c1, c12 = uni[own.place[own.tokens]], uni[own.place[own.before]], bi[own.bigram_of]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -217,13 +237,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     cut = materialize_by_role(blocks(docs, id_col, text_col))
     total = cut.agg(F.sum("n_tokens")).first()[0] or 0
-    counts = materialize(counted(cut, max(16, -(-total * 5 // RANGE_BYTES))), "lm-counts")
+    key_bits = min(64, max(48, 2 * int(total).bit_length() - 6))  # few of the bigrams share a key
+    counts = materialize(counted(cut, max(16, -(-total * 5 // RANGE_BYTES)), key_bits), "lm-counts")
     sums = counts.where("block = -1 AND kind = 1").agg(F.sum("n"), F.sum("v"), F.sum("n_tune")).first()
     n, v, n_tune = (int(x or 0) for x in sums)
-    mixture = weights(tuning_histogram(cut, counts, n - n_tune, v).toPandas())
+    mixture = weights(tuning_histogram(cut, counts, n - n_tune, v, key_bits).toPandas())
 
     def each(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        b, own, (uni, _), (bi, _) = _with_counts(block, found)
+        b, own, (uni, _), (bi, _) = _with_counts(block, found, key_bits)
         c2, c1, c12 = uni[own.place[own.tokens]], uni[own.place[own.before]], bi[own.bigram_of]
         w = mixture[bucket_of(c1)]
         p = w[:, 0] * (c12 / np.maximum(c1, 1)) + w[:, 1] * (c2 / max(n, 1)) + w[:, 2] / (v + 1)
