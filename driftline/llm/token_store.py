@@ -2,8 +2,8 @@
 
 Folders of a store, all Parquet:
   kind=chunk  digest, width, n, ids: each distinct chunk once; ids are unsigned little-endian, 2 or 4 bytes each (width)
-  recipes     part, idx, doc_id, local_start, n_tokens, digests (16 bytes each, concatenated), ends (end of each chunk in the
-              document's ids), root: in ascending doc_id order, nulls first; parts follow each other, local_start counts inside one
+  recipes     part, idx, doc_id, local_start, n_tokens, digests (16 bytes each, concatenated), ends (array: end of each chunk in
+              the document's ids), root: in ascending doc_id order, nulls first; parts follow each other, local_start counts inside one
   manifest    part, n_docs, n_tokens, root: the Merkle root of a part's document roots; the store's root is over the parts'
 A rolling hash over WINDOW ids ends a chunk where its high bits are zero, so documents that share a long passage share its chunks
 wherever it stands; a chunk stops at LONGEST ids. A document's root is over its chunks' digests.
@@ -38,9 +38,10 @@ from .common import shared_dir
 WINDOW = 8
 MASK_BITS = 9
 LONGEST = 8192
-MEMO = 500_000
+MEMO = 400_000
 #: Documents encoded at a time.
 DOCS = 500
+RECIPES = "doc_id long, n_tokens long, digests binary, ends array<int>, part int, idx long, local_start long, root binary"
 _PRIME = np.uint32(0x9E3779B1)
 
 _loaded: dict[str, _Words] = {}
@@ -101,9 +102,10 @@ class WordEncoder:
             _loaded[path] = _Words(Tokenizer.from_file(path))
         self.words = _loaded[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Of texts in UTF-8."""
         get = self.words.__getitem__
-        return [b"".join(map(get, t.encode().split())) for t in texts]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
@@ -144,7 +146,7 @@ def _objects(encoder: WordEncoder, batch: pa.RecordBatch, end_id: int, seen: set
     chunk_ids = [raw2[2 * a : 2 * b] if w == 2 else raw4[4 * a : 4 * b] for w, a, b in spans]
     first = np.concatenate([[0], np.searchsorted(ends, doc_ends, side="right")]).tolist()
     bases = np.concatenate([[0], doc_ends[:-1]])
-    inner = (ends - np.repeat(bases, np.diff(first))).astype("<u4").tobytes()
+    inner = (ends - np.repeat(bases, np.diff(first))).astype(np.int32)
     joined, n, m = b"".join(digests), len(fresh), len(packed)
     return pa.RecordBatch.from_arrays([
         pa.array(["chunk"] * n + ["doc"] * m),
@@ -153,14 +155,14 @@ def _objects(encoder: WordEncoder, batch: pa.RecordBatch, end_id: int, seen: set
         pa.array(np.concatenate([(ends - begins)[fresh], doc_ends - bases]).astype(np.int64)),
         pa.array(chunk_ids + [None] * m, pa.binary()),
         pa.array([None] * n + batch.column(0).to_pylist(), pa.int64()),
-        pa.array([None] * n + [inner[4 * a : 4 * b] for a, b in zip(first, first[1:])], pa.binary()),
+        pa.ListArray.from_arrays(pa.array([0] * n + first, pa.int32()), pa.array(inner)),
     ], names=["kind", "digest", "width", "n", "ids", "doc_id", "ends"])
 
 
 def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts, each followed by end_id, and write them to a new store at path."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = WordEncoder(vocab), set()
@@ -178,31 +180,31 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
                     seen.add(d)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    schema = "kind string, digest binary, width int, n long, ids binary, doc_id long, ends binary"
+    schema = "kind string, digest binary, width int, n long, ids binary, doc_id long, ends array<int>"
     # Chunks of one digest meet in one partition; recipes are dealt by their digests and id, so equal texts don't meet.
     (own.mapInArrow(encoded, schema).repartition("digest", "doc_id").mapInArrow(distinct, schema)
      .write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects"))
 
     stored = spark.read.schema(schema).parquet(f"{path}/objects").where("kind = 'doc'").select("doc_id", "n", "digest", "ends")
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, idx, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            n = batch["n_tokens"].to_numpy()
+            n = batch.column("n_tokens").to_numpy()
             ends = np.cumsum(n)
-            yield batch.assign(part=part, idx=np.arange(idx, idx + len(batch)), local_start=start + ends - n, root=[_digest(d) for d in batch["digests"]])
-            idx, start = idx + len(batch), start + (int(ends[-1]) if len(ends) else 0)
+            more = {"part": np.full(len(n), part, np.int32), "idx": np.arange(idx, idx + len(n)), "local_start": start + ends - n, "root": [_digest(d) for d in batch.column("digests").to_pylist()]}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more.values())], names=[*batch.schema.names, *more])
+            idx, start = idx + len(n), start + (int(ends[-1]) if len(ends) else 0)
 
     (stored.withColumnsRenamed({"n": "n_tokens", "digest": "digests"}).repartitionByRange("doc_id", "digests").sortWithinPartitions("doc_id", "digests")
-     .mapInPandas(numbered, "doc_id long, n_tokens long, digests binary, ends binary, part int, idx long, local_start long, root binary")
-     .write.option("compression", "zstd").parquet(f"{path}/recipes"))
+     .mapInArrow(numbered, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes"))
     _manifest(recipes(spark, path)).write.parquet(f"{path}/manifest")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, n_tokens long, digests binary, ends binary, part int, idx long, local_start long, root binary").parquet(f"{path}/recipes")
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
 
 
 def _manifest(rows: DataFrame) -> DataFrame:
@@ -256,22 +258,8 @@ def moved(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def _exploded(spark: SparkSession, path: str) -> DataFrame:
     """A row for each chunk of each document: part, idx, at, after (ids that follow), digest."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ends = [np.frombuffer(e, "<u4").astype(np.int64) for e in batch["ends"]]
-            counts = np.array([len(e) for e in ends], np.int64)
-            if not counts.sum():
-                continue
-            total = np.repeat(batch["n_tokens"].to_numpy(), counts)
-            flat = np.concatenate(ends)
-            digests = b"".join(batch["digests"])
-            yield pd.DataFrame({
-                "part": np.repeat(batch["part"].to_numpy(), counts), "idx": np.repeat(batch["idx"].to_numpy(), counts),
-                "at": np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts), "after": total - flat,
-                "digest": [digests[i : i + 16] for i in range(0, len(digests), 16)]})
-
-    return recipes(spark, path).select("part", "idx", "n_tokens", "digests", "ends").mapInPandas(each, "part int, idx long, at int, after long, digest binary")
+    chunk = F.transform("ends", lambda end, i: F.struct(i.alias("at"), (F.col("n_tokens") - end).alias("after"), F.substring(F.col("digests"), 16 * i + 1, F.lit(16)).alias("digest")))
+    return recipes(spark, path).select("part", "idx", F.explode(chunk).alias("c")).select("part", "idx", "c.*")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
