@@ -1,4 +1,6 @@
 """The queries of the comparison engine by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import compare, content
+
+QUERIES: dict = compare.QUERIES | content.QUERIES
+SQL: dict = compare.SQL | content.SQL

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import paths, versions
 from ..functions.text import version_normalized_path
+from ..sources.tables import cut
 
 
 def unique_pairs(pairs: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def unique_pairs(pairs: DataFrame) -> DataFrame:
 def _candidates(deleted: DataFrame, added: DataFrame, bucket: str) -> DataFrame:
     d = deleted.select(F.col("key").alias("d"), F.col(bucket).alias("bucket"), versions.prefix_key(F.col("key")).alias("p"))
     a = added.select(F.col("key").alias("a"), F.col(bucket).alias("bucket"), versions.prefix_key(F.col("key")).alias("p"))
-    both = d.join(a, ["bucket", "p"]).where(versions.equivalent_path(F.col("d"), F.col("a")))
+    both = cut(d.join(a, ["bucket", "p"])).where(versions.equivalent_path(F.col("d"), F.col("a")))
     strict = version_normalized_path(F.col("d")) == version_normalized_path(F.col("a"))
     return both.select(F.concat_ws("\x1f", "bucket", "p").alias("bucket"), "d", "a", strict.alias("strict"))
 
@@ -81,8 +82,10 @@ def path_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
 def align(diff: DataFrame, deleted_content: Column | None = None) -> DataFrame:
     """diff (key, status, file_class, old_sha, new_sha, old_content_key, new_content_key) with new_key and match_kind; paired rows are keyed by the old key, and the added rows they took are gone.
 
-    Containers pair first, then what lies under them, then equal contents, then versioned paths.
+    Containers pair first, then what lies under them, then equal contents, then versioned paths. Each step's pairs and what they
+    leave are cut, as the next step reads them several times.
     """
+    diff = cut(diff)
     deleted = diff.where("status = 'DELETED'").select("key", "file_class", F.col("old_sha").alias("sha"), F.coalesce("old_content_key", "old_sha").alias("content_key"))
     added = diff.where("status = 'ADDED'").select("key", "file_class", F.col("new_sha").alias("sha"), F.coalesce("new_content_key", "new_sha").alias("content_key"))
     found = None
@@ -90,14 +93,13 @@ def align(diff: DataFrame, deleted_content: Column | None = None) -> DataFrame:
 
     def take(pairs: DataFrame, kind: str) -> None:
         nonlocal found, left_d, left_a
-        pairs = pairs.select("d", "a", F.lit(kind).alias("kind"))
+        pairs = cut(pairs.select("d", "a", F.lit(kind).alias("kind")))
         found = pairs if found is None else found.unionByName(pairs)
         left_d = left_d.join(pairs.select(F.col("d").alias("key")), "key", "left_anti")
         left_a = left_a.join(pairs.select(F.col("a").alias("key")), "key", "left_anti")
 
-    containers = container_pairs(left_d, left_a)
-    take(containers, "CONTAINER")
-    take(subfile_pairs(left_d, left_a, containers), "SUBFILE")
+    take(container_pairs(left_d, left_a), "CONTAINER")
+    take(subfile_pairs(left_d, left_a, found.select("d", "a")), "SUBFILE")
     take(content_pairs(left_d, left_a), "CONTENT")
     take(path_pairs(left_d, left_a), "PATH")
     d = deleted.select(F.col("key").alias("d"), F.col("sha").alias("d_sha"), F.col("content_key").alias("d_content"))

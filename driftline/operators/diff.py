@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions import paths
+from ..functions import labels, paths
 
 
 def status(old: Column, new: Column, same: Column) -> Column:
@@ -62,6 +65,17 @@ def class_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, ["jar", "inner"], "full_outer").select("jar", "inner", status(F.col("o"), F.col("n"), F.col("o") == F.col("n")).alias("status"))
 
 
+def class_rollup(classes: DataFrame) -> DataFrame:
+    """Counts of classes by jar, and a row of jar null for all."""
+    return classes.rollup("jar").agg(*[count_status(s).alias(s.lower()) for s in ("ADDED", "DELETED", "MODIFIED", "UNCHANGED")])
+
+
+def top_classes(classes: DataFrame, k: int) -> DataFrame:
+    """The first k changed classes over all jars, in order of jar, status and name, numbered. Only k rows are numbered."""
+    order = ["jar", labels.status_rank(F.col("status")), "inner"]
+    return classes.where("status <> 'UNCHANGED'").orderBy(*order).limit(k).withColumn("pick", F.row_number().over(W.orderBy(*order)))
+
+
 def listing_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Entries of two archive listings (name, size, crc32) by size and checksum; directories (trailing slash) only by presence."""
     o, n = (side.select("name", F.struct("size", "crc32").alias(x)) for side, x in ((old, "o"), (new, "n")))
@@ -107,3 +121,75 @@ def ignored(keys: DataFrame, extensions: DataFrame, key: str = "key") -> DataFra
     suffixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i, F.size(parts)), ".")))).otherwise(F.array().cast("array<string>"))
     hit = keys.select(key, F.explode(suffixes).alias("ext")).join(rules, "ext").select(key).distinct()
     return keys.join(hit, key, "left_anti")
+
+
+def distinct_rules(rules: DataFrame) -> DataFrame:
+    return rules.dropDuplicates(["type", "value"])
+
+
+def without_rules(keys: DataFrame, rules: DataFrame, key: str = "key") -> DataFrame:
+    """keys without those a view rule (type, value) names: exact keys, everything at or below a prefix, file names, extensions.
+
+    A key meets rules by equality, on the few values that each type of rule can have for it.
+    """
+    k = F.col(key)
+    name = paths.file_name(k)
+
+    def of(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), value.alias("value"))
+
+    values = F.concat(F.array(of("exact", k), of("prefix", k), of("name", name), of("ext", F.lower(F.substring_index(name, ".", -1)))), F.transform(paths.ancestors(k), lambda a: of("prefix", a)))
+    value = F.when(F.col("type") == "ext", F.lower(F.regexp_replace("value", r"^\.+", ""))).otherwise(F.regexp_replace("value", "/$", ""))
+    named = keys.select(k, F.explode(values).alias("r")).select(key, "r.*").join(rules.select("type", value.alias("value")).distinct(), ["type", "value"]).select(key).distinct()
+    return keys.join(named, key, "left_anti")
+
+
+def matches(search: str, key: Column, regex: bool = False) -> Column:
+    """Whether keys contain a text or match a pattern, in any case; an empty search or a broken pattern lets all pass."""
+    if not search:
+        return F.lit(True)
+    if not regex:
+        return F.contains(F.lower(key), F.lit(search.lower()))
+    try:
+        re.compile(search)
+    except re.error:
+        return F.lit(True)
+    return key.rlike(f"(?i){search}")
+
+
+def tree(diff: DataFrame) -> DataFrame:
+    """(key, depth, kind, files): every entry and every folder above one, with the number of files below it."""
+    dirs = diff.select(F.explode(paths.ancestors(F.col("key"))).alias("key")).groupBy("key").agg(F.count("*").alias("files")).select("key", F.lit("DIR").alias("kind"), "files")
+    both = dirs.unionByName(diff.select("key", F.lit("FILE").alias("kind"), F.lit(1).cast("long").alias("files")))
+    return both.select("key", paths.depth(F.col("key")).cast("long").alias("depth"), "kind", "files")
+
+
+def increment(diff: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(bucket, key, text) of what an upgrade takes: added and modified entries from the new side by their new key, deleted ones from the old side."""
+    fresh = diff.where(F.col("status").isin("ADDED", "MODIFIED")).select(F.coalesce("new_key", "key").alias("key"))
+    gone = diff.where("status = 'DELETED'").select("key")
+    return new.join(fresh, "key").select(F.lit("increment").alias("bucket"), "key", "text").unionByName(old.join(gone, "key").select(F.lit("deleted").alias("bucket"), "key", "text"))
+
+
+# What a small export has at most (files, bytes), and bytes written in a second.
+SMALL_EXPORT, EXPORT_RATE = (20_000, 256 << 20), 40 << 20
+
+
+def export_estimate(diff: DataFrame) -> DataFrame:
+    """(files, bytes, small, eta_s) of the changed entries."""
+    size = F.when(F.col("status") == "DELETED", F.col("old_size")).otherwise(F.col("new_size"))
+    sums = diff.where("status <> 'UNCHANGED'").agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+    return sums.select("files", "bytes", ((F.col("files") <= SMALL_EXPORT[0]) & (F.col("bytes") <= SMALL_EXPORT[1])).alias("small"), F.ceil(F.col("bytes") / EXPORT_RATE).cast("long").alias("eta_s"))
+
+
+def outside_containers(diff: DataFrame, containers: DataFrame) -> DataFrame:
+    """diff without what lies inside containers (key) that were added or deleted whole."""
+    inside = F.when(F.contains(F.col("key"), F.lit("!/")), F.get(paths.compound(F.col("key")), 0))
+    return diff.withColumn("_container", inside).join(containers.select(F.col("key").alias("_container")).distinct(), "_container", "left_anti").drop("_container")
+
+
+def without_pseudo_directories(entries: DataFrame) -> DataFrame:
+    """entries (key, size) without empty ones that have entries below them: folders that an archive lists without their slash."""
+    dirs = entries.select(F.explode(paths.ancestors(F.col("key"))).alias("key")).distinct()
+    pseudo = entries.where("size = 0").join(dirs, "key", "left_semi").select("key").distinct()
+    return entries.join(pseudo, "key", "left_anti")

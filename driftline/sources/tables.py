@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +21,11 @@ def snapshot(df: DataFrame, key: Column, content: Column, ordinal: Column | None
     own = df.select(key.alias("key"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("sha256"), (ordinal if ordinal is not None else F.lit(0)).alias("_o"))
     one = own.groupBy("key").agg(F.max(F.struct("_o", "sha256", "size")).alias("r")) if ordinal is not None else own.select("key", F.struct("_o", "sha256", "size").alias("r"))
     return one.select("key", "r.size", "r.sha256", paths.file_class(F.col("key")).alias("file_class"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back, so that later steps don't plan and compute it anew. A folder of its own only where the session names none."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
