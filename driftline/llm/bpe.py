@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 STRIDE = 16384
 OVERLAP = 1024
 #: Pieces a worker remembers at most; then it starts anew.
-MEMO = 400_000
+MEMO = 150_000
 
 _loaded: dict[str, tuple] = {}
 

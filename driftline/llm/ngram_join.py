@@ -37,7 +37,7 @@ RECALL = 0.9999
 MOST_HASHES = 128
 SPLIT = 256
 PACK = 400
-MEMO = 400_000
+MEMO = 150_000
 
 
 def choose_bands(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -113,6 +113,7 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
                 sids.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                 hashes.append(signer(s) if len(s) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "f": batch["f"], "sid": pd.array(sids, "Int64"), "bands": hashes})
+        _words.clear()  # the worker goes on to other work
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _fingerprint(text_col).alias("f"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return own.mapInPandas(sign, "doc_id long, f string, sid long, bands array<long>")
@@ -197,7 +198,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     sized = groups.join(groups.groupBy(F.col("root").alias("comp")).agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("blocks")), F.col("root") == F.col("comp")).select("node", "comp", "blocks")
     wanted = sized.join(classes.drop("bands"), F.col("node") == F.col("sid")).select("sid", "comp", "blocks", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.f").alias("rep_f"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _fingerprint(text_col).alias("f"))
-    found = texts.join(materialize(wanted, "ngram-wanted"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("f") == F.col("rep_f"))).select("sid", "comp", "blocks", "copies", "text")
+    found = texts.join(materialize(wanted, "ngram-wanted").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("f") == F.col("rep_f"))).select("sid", "comp", "blocks", "copies", "text")
     result = materialize(verify(materialize(found, "ngram-texts"), n, threshold), "ngram-links")
     number = result.where(F.col("b").isNull()).groupBy(F.col("a").alias("of")).agg(F.sum("links").alias("others"))
     tied = materialize(components(result.where(F.col("b").isNotNull()).select("a", "b")), "ngram-tied")
@@ -213,10 +214,18 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate class, that of the smallest id (nulls first; equal ids: smallest md5); all texts without words stay."""
     found = materialize(links(docs), "ngram-result")
-    keep = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "f")).alias("k")).select("k.*")
-    keep = materialize(keep.select(F.col("doc_id").alias("keep_id"), F.col("f").alias("keep_f")), "ngram-keep")
+    same = found.where(F.col("root").isNotNull()).groupBy("root", "doc_id", "f").agg(F.count("*").alias("n"))
+    keep = same.groupBy("root").agg(F.min(F.struct("doc_id", "f", "n")).alias("k"))
+    keep = materialize(keep.select(F.col("k.doc_id").alias("keep_id"), F.col("k.f").alias("keep_f"), F.col("k.n").alias("keep_n")), "ngram-keep")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), _fingerprint("text").alias("f"), (F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == "").alias("blank"))
-    kept = own.where(~F.col("blank")).join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("f") == F.col("keep_f"))).dropDuplicates(["doc_id", "f"])
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        """ids are as many as classes: sorted and merged at every size."""
+        return own.where(~F.col("blank")).join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("f") == F.col("keep_f")))
+
+    kept, repeated = rows_of(keep.where("keep_n = 1")), keep.where("keep_n > 1")
+    if not repeated.isEmpty():  # only rows that share id and text need whole rows to meet
+        kept = kept.union(rows_of(repeated).dropDuplicates(["doc_id", "f"]))
     return kept.select("doc.*").union(own.where("blank").select("doc.*"))
 
 

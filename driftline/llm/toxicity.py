@@ -35,7 +35,7 @@ SHARED = 2
 DISCOUNT = 0.75
 WINDOW = 6
 PER_CLASS = 3000
-MEMO = 300_000
+MEMO = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
