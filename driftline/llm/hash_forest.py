@@ -7,9 +7,11 @@ largest inner products vectors get one more component, sqrt(longest² - length²
 product.
 
 Rows are dealt to shards of about SHARD vectors, each with a forest of its own; a query goes to every shard, in blocks, and its
-best of all shards are merged. Directions are drawn from a fixed seed, nothing is fitted but the longest length. Close neighbours
-need few candidates; SHARE is for vectors whose neighbours are hardly nearer than the rest (products of 0.4 of 64 components);
-vectors of very different lengths may need more.
+best of all shards are merged. Directions are drawn from a fixed seed, nothing is fitted but lengths. Close neighbours need few
+candidates; SHARE is for vectors whose neighbours are hardly nearer than the rest (products of 0.4 of 64 components). Beside a
+much longer vector all others would seem at right angles to every query, so a shard's vectors are cut by length into bands, each
+a forest with a longest length of its own: a band reaches down to BAND of its longest, or further while it is so small that all
+of it is scored.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components, and null ids, take no part; repeated
 rows (equal id and vector) count once, rows that share an id but not the vector are one query with one best list; only vectors
@@ -28,7 +30,8 @@ from .common import materialize, table
 
 TREES = 48
 BITS = 32
-SHARE = 0.45
+SHARE = 0.65
+BAND = 0.8
 SHARD = 8192
 QUERIES = 1024
 SEED = 11
@@ -81,6 +84,17 @@ class Forest:
             yield found
 
 
+def bands(lengths: np.ndarray, least: int) -> list[np.ndarray]:
+    """Positions of vectors by bands of length, the longest first; a band is within BAND of its longest or has `least` vectors."""
+    order = np.argsort(-lengths, kind="stable")
+    falling, out, lo = -lengths[order], [], 0
+    while lo < len(order):
+        hi = max(lo + least, int(np.searchsorted(falling, falling[lo] * BAND, side="right")))
+        out.append(order[lo:hi])
+        lo = hi
+    return out
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest scores, ties to smaller ids."""
     if len(scores) > k:
@@ -101,9 +115,8 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, shard: int = SHARD, block: int = QUERIES, trees: int = TREES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (see usable) where is_query, its k largest inner products with rows of other ids."""
     vectors = materialize(vectors, "forest-vectors")
-    n, queries, longest = vectors.agg(F.count("*"), F.count_if(is_query), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    n, queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-(queries or 0) // block))
-    longest = float(longest or 0.0) ** 0.5
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     index = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
     asked = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
@@ -113,9 +126,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
         if not len(rows) or not len(wanted):
             return pd.DataFrame(columns=names)
         ids, x, q = rows["vec_id"].to_numpy(), np.stack(rows["v"].tolist()), np.stack(wanted["v"].tolist())
-        forest, out = Forest(x, longest, trees), []
-        least = min(len(x), max(int(share * len(x)), 4 * k))
-        for own, vector, found in zip(wanted["vec_id"].tolist(), q, forest.candidates(q, least)):
+        lengths, parts, out = np.sqrt((x**2).sum(axis=1)), [], []
+        for at in bands(lengths, 4 * k):
+            forest, least = Forest(x[at], lengths[at[0]], trees), min(len(at), max(int(share * len(at)), 4 * k))
+            parts.append([at[found] for found in forest.candidates(q, least)])
+        for own, vector, *found in zip(wanted["vec_id"].tolist(), q, *parts):
+            found = np.concatenate(found)
             found = found[ids[found] != own]
             scores = x[found] @ vector
             at = best(ids[found], scores, k)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,26 @@ def test_odd_vectors_and_ties(spark):
     few = hf.search(hf.usable(df.where("vec_id < 30")), F.col("vec_id") % 20 == 0).collect()
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 8), (0, 20), (20, 0), (20, 8)]
     assert hf.search(hf.usable(df.limit(0)), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [None, (0.8, 1.25), (0.2, 3)])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_given_tables(spark, sf, lengths):
+    given = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet", columns=["vec_id", "embedding"])
+    x = np.array(given["embedding"].to_pylist(), float)
+    if lengths:
+        x *= np.random.default_rng(5).uniform(*lengths, (len(x), 1))
+    rows = list(zip(given["vec_id"].to_pylist(), x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = hf.search(hf.usable(df), F.col("vec_id") % 20 == 0).collect(), brute(rows, 20)
+    assert len(got) == 20 * len(want)
+    found = recall(got, want)
+    print(sf, lengths, round(found, 4))
+    assert found >= 0.9
+
+
+def test_bands():
+    lengths = np.array([1.0, 0.85, 4.0, 3.9, 1.0, 0.1])
+    assert [b.tolist() for b in hf.bands(lengths, 1)] == [[2, 3], [0, 4, 1], [5]]
+    assert [b.tolist() for b in hf.bands(lengths, 4)] == [[2, 3, 0, 4], [1, 5]]
+    assert hf.bands(lengths[:0], 4) == []
