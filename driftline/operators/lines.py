@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CELLS = 5_000_000
+CELLS, ALIGN_CELLS = 5_000_000, 6_000_000
 #: Least similarity of paired lines, and the most lines of a run that is paired.
 SIMILAR, RUN = 0.5, 80
 INLINE_CELLS = {"char": 40_000, "word": 200_000}
@@ -184,19 +184,43 @@ def pair_lines(old: list[str], new: list[str]) -> dict[int, int]:
     return pairs
 
 
-def aligned(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, change_no, pos, type, left, right): blocks side by side, similar lines as replacements."""
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def align_lines(old: list[str], new: list[str], cells: int = ALIGN_CELLS) -> list[tuple[str, int | None, str, str]]:
+    """(ctx, rep, del or add, change_no, left, right): two texts side by side, similar lines of a run of changes as replacements; context has no change_no."""
+    ops = _lcs(old, new, None if len(old) * len(new) <= cells else 0)
+    out, at, no = [], 0, 0
+    while at < len(ops):
+        if ops[at][0] == "ctx":
+            out.append(("ctx", None, old[ops[at][1]], new[ops[at][2]]))
+            at += 1
+            continue
+        end, no = at, no + 1
+        while end < len(ops) and ops[end][0] != "ctx":
+            end += 1
+        run = ops[at:end]
+        dels, adds = [i for op, i, _ in run if op == "del"], [j for op, _, j in run if op == "add"]
+        pairs = {dels[i]: adds[j] for i, j in pair_lines([old[i] for i in dels], [new[j] for j in adds]).items()}
+        used = set(pairs.values())
+        for op, i, j in run:
+            if op == "del":
+                out.append(("rep", no, old[i], new[pairs[i]]) if i in pairs else ("del", no, old[i], ""))
+            elif j not in used:
+                out.append(("add", no, "", new[j]))
+        at = end
+    return out
+
+
+def aligned(df: DataFrame, key: str, old: str, new: str, cells: int = ALIGN_CELLS) -> DataFrame:
+    """(key, pos, change_no, type, left, right): align_lines of two columns, arrays of lines."""
+    own = df.select(F.col(key), F.col(old).alias("old"), F.col(new).alias("new"))
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for k, no, old, new in batch[[key, "change_no", "old_lines", "new_lines"]].itertuples(index=False):
-                pairs = pair_lines(list(old), list(new))
-                used = set(pairs.values())
-                rows = [("rep", x, new[pairs[i]]) if i in pairs else ("del", x, "") for i, x in enumerate(old)] + [("add", "", x) for j, x in enumerate(new) if j not in used]
-                out += [(k, no, p, *r) for p, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=[key, "change_no", "pos", "type", "left", "right"])
-
-    return blocks.select(key, "change_no", "old_lines", "new_lines").mapInPandas(pair, f"`{key}` {blocks.schema[key].dataType.simpleString()}, change_no int, pos int, type string, left string, right string")
+            for k, a, b in batch[[key, "old", "new"]].itertuples(index=False):
+                rows = align_lines(list(a), list(b), cells)
+                yield pd.DataFrame({key: [k] * len(rows), "pos": range(len(rows)), "change_no": pd.array([n for _, n, _, _ in rows], "Int32"),
+                                    "type": [t for t, _, _, _ in rows], "left": [x for _, _, x, _ in rows], "right": [y for _, _, _, y in rows]})
+
+    return own.mapInPandas(align, f"`{key}` {df.schema[key].dataType.simpleString()}, pos int, change_no int, type string, left string, right string")
 
 
 def inline_segments(old: str, new: str, mode: str = "char") -> list[tuple[str, str]]:

@@ -49,8 +49,13 @@ def line_linear_diff(spark, sf_dir):
     return rows.select("doc_id", "op", F.col("old_no").cast("long").alias("old_no"), F.col("new_no").cast("long").alias("new_no"), F.md5("text").alias("line"))
 
 
-def blocks(spark, sf_dir) -> DataFrame:
-    return lines.change_blocks(lines.linear_diff(line_arrays(spark, sf_dir), "doc_id", "old", "new"), "doc_id")
+def blocks(spark, sf_dir, diff=lines.linear_diff) -> DataFrame:
+    return lines.change_blocks(diff(line_arrays(spark, sf_dir), "doc_id", "old", "new"), "doc_id")
+
+
+def folded(spark, sf_dir, diff) -> DataFrame:
+    rows, fold = lines.fold_context(diff(line_arrays(spark, sf_dir), "doc_id", "old", "new"), "doc_id"), F.col("op") == "fold"
+    return rows.groupBy("doc_id").agg(F.count_if(~fold).alias("shown"), F.count_if(fold).alias("folds"), F.coalesce(F.sum(F.when(fold, F.col("count"))), F.lit(0)).alias("folded"))
 
 
 @query("change_blocks", f"""WITH {_ENDS} SELECT doc_id, CASE WHEN dels > 0 AND adds > 0 THEN 'MODIFIED' WHEN dels > 0 THEN 'DELETED' ELSE 'ADDED' END AS type,
@@ -69,8 +74,7 @@ def digest_caps(spark, sf_dir):
   CASE WHEN c = 0 THEN 0 ELSE c + CASE WHEN head <= 3 THEN head ELSE 0 END + least(tail, 3) END AS shown, CASE WHEN c = 0 THEN 1 ELSE (head > 3)::INT + (tail > 3)::INT END AS folds,
   CASE WHEN c = 0 THEN head + tail ELSE CASE WHEN head > 3 THEN head ELSE 0 END + greatest(tail - 3, 0) END AS folded FROM f""")
 def context_fold(spark, sf_dir):
-    rows, fold = lines.fold_context(lines.linear_diff(line_arrays(spark, sf_dir), "doc_id", "old", "new"), "doc_id"), F.col("op") == "fold"
-    return rows.groupBy("doc_id").agg(F.count_if(~fold).alias("shown"), F.count_if(fold).alias("folds"), F.coalesce(F.sum(F.when(fold, F.col("count"))), F.lit(0)).alias("folded"))
+    return folded(spark, sf_dir, lines.linear_diff)
 
 
 @query("line_lcs_diff")
@@ -78,9 +82,24 @@ def line_lcs_diff(spark, sf_dir):
     return lines.lcs_diff(line_arrays(spark, sf_dir), "doc_id", "old", "new")
 
 
+@query("lcs_change_blocks")
+def lcs_change_blocks(spark, sf_dir):
+    return blocks(spark, sf_dir, lines.lcs_diff).select("doc_id", "change_no", "type", *[F.col(c).cast("long").alias(c) for c in ("old_start", "old_end", "new_start", "new_end")])
+
+
+@query("lcs_digest_caps")
+def lcs_digest_caps(spark, sf_dir):
+    return lines.capped_blocks(blocks(spark, sf_dir, lines.lcs_diff), "doc_id").select("doc_id", "change_no", F.col("old_omitted").cast("long").alias("old_omitted"), F.col("new_omitted").cast("long").alias("new_omitted"))
+
+
+@query("lcs_context_fold")
+def lcs_context_fold(spark, sf_dir):
+    return folded(spark, sf_dir, lines.lcs_diff)
+
+
 @query("aligned_pairs")
 def aligned_pairs(spark, sf_dir):
-    return lines.aligned(blocks(spark, sf_dir), "doc_id")
+    return lines.aligned(line_arrays(spark, sf_dir), "doc_id", "old", "new")
 
 
 @query("inline_segments")
