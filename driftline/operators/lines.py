@@ -259,8 +259,8 @@ def inline(old: Column, new: Column, mode: str = "char") -> Column:
     return segments(old, new)
 
 
-def duplicate_windows(lines: DataFrame, key: str, window: int = 10) -> DataFrame:
-    """(key, first, last, size): merged runs of windows of token-normalised lines that also stand elsewhere. lines are (key, line_no, text). Hashes are counted, never paired, so a passage in all files is a row for each."""
+def _spots(lines: DataFrame, key: str, window: int) -> DataFrame:
+    """(key, h, n, first, last, size, before, after): where each window of token-normalised lines stands, with the windows before and after it. A window that repeats line by line is one place."""
     # Fixed value: tokens are runs of word characters and single others.
     tokens = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_$]+|[^\s])"), 1)
     valid = lines.withColumn("norm", F.array_join(tokens, " ")).where((F.size(tokens) > 1) | F.col("norm").rlike("^[A-Za-z0-9_$]"))
@@ -268,9 +268,32 @@ def duplicate_windows(lines: DataFrame, key: str, window: int = 10) -> DataFrame
     rows = valid.select(key, "line_no", F.row_number().over(order).alias("n"), "norm")
     frame = order.rowsBetween(0, window - 1)
     hashed = rows.select(key, "n", "line_no", F.md5(F.array_join(F.collect_list("norm").over(frame), "\n")).alias("h"), F.max("line_no").over(frame).alias("end"), F.count("*").over(frame).alias("k")).where(F.col("k") == window)
-    again = hashed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    spots = hashed.join(again, "h")
     order = W.partitionBy(key).orderBy("n")
-    starts = F.coalesce(F.col("n") - F.lag("n").over(order) > window, F.lit(True)).cast("int")
-    return (spots.withColumn("starts", starts).withColumn("island", F.sum("starts").over(order))
-            .groupBy(key, "island").agg(F.min("line_no").alias("first"), F.max("end").alias("last"), (F.max("n") - F.min("n") + window).cast("long").alias("size")).drop("island"))
+    starts = F.coalesce(F.col("h") != F.lag("h").over(order), F.lit(True)).cast("int")
+    runs = hashed.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order)).groupBy(key, "run", "h").agg(
+        F.min("n").alias("n"), F.min("line_no").alias("first"), F.max("end").alias("last"), (F.max("n") - F.min("n") + window).cast("long").alias("size"))
+    order = W.partitionBy(key).orderBy("run")
+    return runs.withColumns({"before": F.lag("h").over(order), "after": F.lead("h").over(order)}).drop("run")
+
+
+def duplicate_windows(lines: DataFrame, key: str, window: int = 10) -> DataFrame:
+    """(passage, key, first, last, size, places): passages of token-normalised lines that stand in two places or more, a row for each place. lines are (key, line_no, text).
+
+    Windows that follow each other wherever either stands are one passage, named by the hash of its first window: all places of a passage have the same passage and no pairs are made. Where the sets of places differ, passages overlap."""
+    spots = _spots(lines, key, window)
+    only = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
+    kinds = spots.groupBy("h").agg(F.count("*").alias("places"), only("before").alias("before"), only("after").alias("after")).where("places > 1")
+    ahead = kinds.select(F.col("h").alias("before"), F.col("after").alias("h"), F.lit(False).alias("starts")).where("h IS NOT NULL")
+    kinds = kinds.select("h", "places", "before").join(ahead, ["before", "h"], "left").select("h", "places", F.coalesce("starts", F.lit(True)).alias("starts"))
+    own = spots.select(key, "h", "n", "first", "last", "size").join(kinds, "h")
+    island = F.sum(F.col("starts").cast("int")).over(W.partitionBy(key).orderBy("n"))
+    return own.withColumn("island", island).groupBy(key, "island").agg(
+        F.min_by("h", "n").alias("passage"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max(F.col("n") + F.col("size")) - F.min("n")).cast("long").alias("size"), F.max("places").alias("places")).drop("island")
+
+
+def duplicate_total(lines: DataFrame, key: str, window: int = 10) -> DataFrame:
+    """(blocks, total): pairs of places of equal windows, and the lines of the shorter of each, added up from counts by size."""
+    sizes = _spots(lines, key, window).groupBy("h", "size").agg(F.count("*").alias("c"))
+    longer = F.coalesce(F.sum("c").over(W.partitionBy("h").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pairs = F.col("c") * F.col("longer") + F.expr("c * (c - 1) div 2")
+    return sizes.withColumn("longer", longer).agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("blocks"), F.coalesce(F.sum(pairs * F.col("size")), F.lit(0)).alias("total"))

@@ -108,10 +108,31 @@ def inline_segments(spark, sf_dir):
     return rows.select("doc_id", "change_no", "pos", F.to_json(lines.inline(F.col("left"), F.col("right"), "word")).alias("segments"))
 
 
-@query("duplicate_blocks")
-def duplicate_blocks(spark, sf_dir):
+_WINDOWS = r"""l AS (SELECT doc_id, unnest(t) AS text, generate_subscripts(t, 1) AS line_no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
+ v AS (SELECT doc_id, line_no, array_to_string(k, ' ') AS norm FROM (SELECT *, regexp_extract_all(text, '[A-Za-z0-9_$]+|[^\s]') AS k FROM l) WHERE len(k) > 1 OR (len(k) = 1 AND regexp_matches(k[1], '^[A-Za-z0-9_$]'))),
+ w AS (SELECT doc_id, row_number() OVER o AS n, line_no, md5(string_agg(norm, chr(10)) OVER f) AS h, max(line_no) OVER f AS stop, count(*) OVER f AS k FROM v
+  WINDOW o AS (PARTITION BY doc_id ORDER BY line_no), f AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+ r AS (SELECT doc_id, h, min(n) AS n, min(line_no) AS first, max(stop) AS last, max(n) - min(n) + 10 AS size FROM (SELECT *, n - row_number() OVER (PARTITION BY doc_id, h ORDER BY n) AS g FROM w WHERE k = 10) GROUP BY doc_id, h, g)"""
+
+
+def text_lines(spark, sf_dir) -> DataFrame:
     own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
-    return lines.duplicate_windows(own, "doc_id")
+    return own.withColumn("line_no", F.col("line_no") + 1)
+
+
+@query("duplicate_blocks", f"""WITH {_WINDOWS}, t AS (SELECT h, count(*) AS places FROM r GROUP BY h HAVING count(*) > 1),
+ s AS (SELECT * FROM r JOIN t USING (h)),
+ x AS (SELECT a.h AS h, b.h AS after, count(*) AS times FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.n = a.n + a.size - 9 GROUP BY 1, 2),
+ y AS (SELECT x.after AS h FROM x JOIN t p ON p.h = x.h JOIN t q ON q.h = x.after WHERE times = p.places AND times = q.places),
+ z AS (SELECT *, sum((h NOT IN (SELECT h FROM y))::INT) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM s)
+ SELECT doc_id, arg_min(h, n) AS passage, min(first)::INTEGER AS first, max(last)::INTEGER AS last, (max(n + size) - min(n))::BIGINT AS size, max(places) AS places FROM z GROUP BY doc_id, g""")
+def duplicate_blocks(spark, sf_dir):
+    return lines.duplicate_windows(text_lines(spark, sf_dir), "doc_id")
+
+
+@query("duplicate_total", f"""WITH {_WINDOWS} SELECT count(*) AS blocks, coalesce(sum(least(a.size, b.size)), 0)::BIGINT AS total FROM r a JOIN r b ON a.h = b.h AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.n < b.n))""")
+def duplicate_total(spark, sf_dir):
+    return lines.duplicate_total(text_lines(spark, sf_dir), "doc_id")
 
 
 _SPLIT = "replace(regexp_replace(html, '[ \\t]*\\n|\\r\\n?', chr(10), 'g'), '><', concat('>', chr(10), '<'))"

@@ -119,3 +119,37 @@ def test_queries_keep_unchanged_lines_inside_changes(spark):
     assert any(len(x - {None}) > 1 for x in own.values())
     blocks = catalog.QUERIES["lcs_change_blocks"](spark, "/root/testdata/sf0.001").where("doc_id % 4 = 3").collect()
     assert {(r.doc_id, r.change_no) for r in blocks} == {(k, n) for k, x in own.items() for n in x if n}
+
+
+def test_duplicate_passages(spark):
+    """All links between places, against windows compared one by one."""
+    rng = random.Random(7)
+    parts = [[f"part {p} line {i}" for i in range(n)] for p, n in enumerate((12, 15, 11, 4))] + [["same same"] * 13]
+    texts = {k: [y for _ in range(rng.randrange(1, 4)) for y in [*rng.choice(parts), *rng.choice([[], ["}"], [f"own {rng.random()}"]])]] for k in range(30)}
+    data = [(k, i, x) for k, t in texts.items() for i, x in enumerate(t, 1)]
+    df = spark.createDataFrame(data, "doc_id long, line_no int, text string")
+    windows = {}
+    for k, t in texts.items():
+        valid = [(i, x) for i, x in enumerate(t, 1) if x != "}"]
+        before = None
+        for s in range(len(valid) - 9):
+            norm = tuple(x.replace(".", " . ") for _, x in valid[s : s + 10])
+            if norm == before:
+                windows[norm][-1][2] += 1
+                windows[norm][-1][3] = valid[s + 9][0]
+            else:
+                windows.setdefault(norm, []).append([k, valid[s][0], 10, valid[s + 9][0]])
+            before = norm
+    rows = lines.duplicate_windows(df, "doc_id").collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.passage, []).append(r)
+    assert all(len(x) == x[0].places > 1 for x in of.values())
+    covered = lambda r, place: r.doc_id == place[0] and r["first"] <= place[1] and place[3] <= r["last"]
+    shared = [x for x in windows.values() if len(x) > 1]
+    assert shared
+    for places in shared:
+        assert any(len(x) == len(places) and all(any(covered(r, place) for r in x) for place in places) for x in of.values())
+    assert sum(len(x) for x in shared) >= len(rows)
+    pairs = [min(a[2], b[2]) for x in shared for i, a in enumerate(x) for b in x[i + 1 :]]
+    assert lines.duplicate_total(df, "doc_id").first() == (len(pairs), sum(pairs))
