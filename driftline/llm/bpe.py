@@ -8,7 +8,8 @@ neighbours share no start in the overlap (a run of one kind longer than it), the
 Shorter texts are one chunk. Decoding concatenates the raw bytes of the ids.
 
 Defined results: null texts are empty, with no ids; equal rows give equal rows; ids are unsigned 32-bit little-endian; an empty
-table gives no rows; other columns of the documents are neither read nor returned.
+table gives no rows; other columns of the documents are neither read nor returned. Ids pass Python as text, so that longs beside
+nulls stay what they are.
 """
 
 from __future__ import annotations
@@ -74,12 +75,12 @@ class _Coder:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def _digest_row(coder: _Coder, doc_id, packed: bytes) -> tuple:
-    return doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(coder.decode(packed)).hexdigest()
+def _digest_row(coder: _Coder, packed: bytes) -> tuple:
+    return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(coder.decode(packed)).hexdigest()
 
 
-def _ids_row(coder: _Coder, doc_id, packed: bytes) -> tuple:
-    return doc_id, len(packed) // 4, packed, coder.decode(packed).decode("utf-8")
+def _ids_row(coder: _Coder, packed: bytes) -> tuple:
+    return len(packed) // 4, packed, coder.decode(packed).decode("utf-8")
 
 
 def stitch(coder: _Coder, chunks: list[tuple]) -> bytes:
@@ -96,15 +97,16 @@ def stitch(coder: _Coder, chunks: list[tuple]) -> bytes:
 
 
 def encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           row: Callable = _ids_row, schema: str = "doc_id long, n_tokens long, ids binary, decoded string", stride: int = STRIDE, overlap: int = OVERLAP) -> DataFrame:
+           row: Callable = _ids_row, schema: str = "n_tokens long, ids binary, decoded string", stride: int = STRIDE, overlap: int = OVERLAP) -> DataFrame:
     """A row for each document: (doc_id, n_tokens, ids, decoded text) by default; row and schema can ask for others of the ids."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out, names = f"doc_id string, {schema}", ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, names = _Coder(vocab, pattern), [c.split()[0] for c in schema.split(", ")]
+        coder = _Coder(vocab, pattern)
         for batch in batches:
-            rows = [row(coder, doc, b"".join(coder.ids(coder.pieces(text)))) for doc, text in zip(batch["doc_id"], batch["text"])]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "object"}) if rows else pd.DataFrame(columns=names)
+            rows = [(doc, *row(coder, b"".join(coder.ids(coder.pieces(text))))) for doc, text in zip(batch["doc_id"], batch["text"])]
+            yield pd.DataFrame(rows, columns=names)
 
     def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _Coder(vocab, pattern)
@@ -117,7 +119,7 @@ def encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", te
             yield pd.concat([batch.assign(text=batch["text"].str[:stride]).reset_index(drop=True), pd.DataFrame(found, columns=["lengths", "counts", "ids"])], axis=1)
 
     def stitched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, names = _Coder(vocab, pattern), [c.split()[0] for c in schema.split(", ")]
+        coder = _Coder(vocab, pattern)
         for batch in batches:
             rows = []
             for doc, chunks in zip(batch["doc_id"], batch["chunks"]):
@@ -126,19 +128,19 @@ def encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", te
                     lengths = np.frombuffer(c["lengths"], "<u4").astype(np.int64)
                     ends = np.cumsum(np.frombuffer(c["counts"], "<u4").astype(np.int64)) * 4
                     parts.append((c["begin"], c["text"], c["begin"] + np.cumsum(lengths) - lengths, [c["ids"][a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
-                rows.append(row(coder, doc, stitch(coder, parts)))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "object"}) if rows else pd.DataFrame(columns=names)
+                rows.append((doc, *row(coder, stitch(coder, parts))))
+            yield pd.DataFrame(rows, columns=names)
 
     size = F.length("text")
-    one = own.where(size <= stride).mapInPandas(short, schema)
+    one = own.where(size <= stride).mapInPandas(short, out)
     many = (own.where(size > stride)
             .withColumn("rid", F.monotonically_increasing_id())
             .select("rid", "doc_id", "text", F.explode(F.sequence(F.lit(0), size - 1, F.lit(stride))).alias("begin"))
             .select("rid", "doc_id", "begin", F.expr(f"substring(text, begin + 1, {stride + overlap})").alias("text"))
-            .mapInPandas(chunked, "rid long, doc_id long, begin int, text string, lengths binary, counts binary, ids binary")
+            .mapInPandas(chunked, "rid long, doc_id string, begin int, text string, lengths binary, counts binary, ids binary")
             .groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("begin", "text", "lengths", "counts", "ids"))).alias("chunks"))
-            .mapInPandas(stitched, schema))
-    return one.union(many)
+            .mapInPandas(stitched, out))
+    return one.union(many).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode(encoded: DataFrame, vocab: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -156,7 +158,7 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, row=_digest_row,
-                  schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                  schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -50,5 +50,11 @@ def test_digests_and_decode(spark):
     assert {bytes(r.bytes) for r in again.collect()} == {b"some text", b"x", b""}
 
 
+def test_long_ids_beside_nulls(spark):
+    rows = [(2**53 + 1, "a"), (None, "b"), (2**53 + 3, "c " * 20_000), (-(2**63), None)]
+    got = bpe.digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+
+
 def test_no_rows(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
