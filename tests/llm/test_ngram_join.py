@@ -69,6 +69,34 @@ def test_keep_one(spark):
     assert out.count() == len({c for _, c, _ in brute(rows)})
 
 
+def test_a_chain_of_unlike_texts_is_compared_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(nj, "SPLIT", 8)
+    seen = []
+    monkeypatch.setattr(nj, "verify", lambda members, t, real=nj.verify: seen.append(members.groupBy("band").count().collect()) or real(members, t))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(240):  # each near the few before it, the ends unlike
+        base = [*base[2:], word(), word()]
+        rows.append((i, " ".join(base)))
+    got = nj.links(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute(rows)
+    assert any(r.band >= 0 for r in seen[0])
+
+
+def test_long_ids_beside_nulls(spark):
+    rows = [(2**53 + 1, "one text of its own here", 1), (None, "another text that is quite unlike", 2), (2**53 + 3, "a third with nothing in common at all", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int").coalesce(1)
+    assert {tuple(r) for r in nj.keep_one(df).collect()} == set(rows)
+    assert {r.doc_id for r in nj.links(df).collect()} == {i for i, *_ in rows}
+
+
+def test_the_row_that_stays_does_not_depend_on_order(spark):
+    rows = [(7, "one text that is here more than once", x) for x in range(20)]
+    kept = [nj.keep_one(spark.createDataFrame(r, "doc_id long, text string, x int")).collect() for r in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
 def test_bands():
     for t in (0.5, 0.8, 0.9):
         b, r = nj.choose_bands(t)
