@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bytes of text that a class' sample has at most.
+BYTES = 48 << 20
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, per_class: int) -> pd.DataFrame:
-    """(text, label) of at most per_class documents of each class, those whose md5(doc_id) come first, as pandas on the driver.
 
-    labels may repeat ids (the larger label counts) or lack them; may_learn is a condition on labels' doc_id. Only ids of the
-    sample, at most 2 * per_class of them, are broadcast; whole texts of these documents alone come to the driver. Of documents
-    with equal ids one is taken.
+def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, per_class: int, most_bytes: int = BYTES) -> pd.DataFrame:
+    """(text, label) of at most per_class documents and most_bytes of text of each class, as pandas on the driver.
+
+    Documents are taken whole, in the order of md5(doc_id), up to the first that goes beyond most_bytes. labels may repeat ids (the
+    larger label counts) or lack them; may_learn is a condition on labels' doc_id. Of documents with equal ids the smallest text is
+    taken, before anything comes to the driver. Only ids of the sample, at most 2 * per_class of them, are broadcast.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & may_learn)
-             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label")).withColumn("draw", F.md5(F.col("doc_id").cast("string"))))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id", "left_semi").distinct()
-    known = known.join(found, "doc_id", "left_semi")
-    chosen = [known.where(F.col("label") == c).orderBy("draw").limit(per_class) for c in (0, 1)]
-    ids = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("chosen_id"), "label", "draw")
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label", "draw").toPandas())
-    return rows.sort_values(["draw", "text"]).drop_duplicates("doc_id").reset_index(drop=True)[["text", "label"]]
+             .groupBy(F.col("doc_id").cast("long").alias("known_id")).agg(F.max(label).alias("label")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sized = (own.select("doc_id", F.octet_length("text").cast("long").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+             .join(known, F.col("doc_id") == F.col("known_id")).withColumn("draw", F.md5(F.col("doc_id").cast("string"))))
+    first = [sized.where(F.col("label") == c).orderBy("draw", "doc_id").limit(per_class) for c in (0, 1)]
+    upto = W.partitionBy("label").orderBy("draw", "doc_id")  # over 2 * per_class rows
+    chosen = first[0].union(first[1]).withColumn("bytes", F.sum("n").over(upto)).where(F.col("bytes") <= most_bytes).select("known_id", "label", "draw")
+    rows = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id")).groupBy("doc_id", "label", "draw").agg(F.min("text").alias("text")).toPandas()
+    return rows.sort_values(["draw", "doc_id"]).reset_index(drop=True)[["text", "label"]]

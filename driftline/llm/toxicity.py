@@ -1,18 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For each class a Kneser-Ney model gives the characters of words (runs of letters, lower-cased, with their edges) from the ORDER - 1
-before them. The highest orders count within the class; below SHARED the continuation counts of both classes are pooled, so a
-rare expression backs off to the same estimates in both and only what a class really says apart moves the score. A word's
-evidence is its log-likelihood under the toxic model less that under the ordinary one. Evidence is length-normalised twice: over
-the whole text, and over the window of WINDOW words where its mean is largest, for an insult in a long text is toxic too. Two
-weights and a bias, learned by logistic regression on documents that gave no counts, turn both into a probability.
+For each class a Kneser-Ney model gives the words of a text (runs of letters, lower-cased), in this chain of backing off:
+  words of the class, by continuation counts (how many different words come before them) -> characters of a word (with its edges)
+  from the ORDER - 1 before them, in the class -> shorter n-grams of characters of both classes together, by continuation counts.
+So an expression that is rare or unseen backs off to counts that both classes share and only what a class really says apart moves
+the score. The discount is DISCOUNT: what is seen once counts as unseen, for a small class says much by chance. A word's evidence is
+its log-likelihood under the toxic model less that under the ordinary one, within CAP. (Word pairs were tried as a level above and
+left out: on three folds of sf0.1 they cost 6 of 98 toxic texts of the smaller languages and added 12 false ones of 2120.)
 
-The models come from a bounded sample (PER_CLASS documents of each class at most, whole texts; every third of them is for the
-weights); all documents are scored in tasks, where a word's evidence is remembered.
+Evidence is normalised by length: its mean over the text, and the mean log-likelihood ratio of a text in which a share of RATE words
+comes from the toxic model and all others from the ordinary one, for toxic texts are mostly ordinary words; the latter also by its
+logarithm. The largest mean of a window of WINDOW words stands beside them, for one insult in a long text is toxic too. Weights and a bias, learned by logistic regression on documents that gave no counts, turn these into a probability.
+
+The models come from a bounded sample (PER_CLASS documents and labelled.BYTES of text of each class at most, whole texts; every
+third of them is for the weights); all documents are scored in tasks, where a word's evidence is remembered.
 
 Defined results: null, empty and letterless texts have no evidence, and get the score of the bias; equal texts get equal scores;
 null ids are scored; if the sample lacks a class, all scores are 0 (none toxic) or 1; an empty table gives no rows; labels, lang,
-source and doc_id are not inputs of a score.
+source and doc_id are not inputs of a score; other columns may have any name but the score's.
 """
 
 from __future__ import annotations
@@ -30,12 +35,13 @@ from pyspark.sql import functions as F
 from .common import id_fold, table
 from .labelled import sample
 
-ORDER = 5
-SHARED = 2
-DISCOUNT = 0.75
+ORDER = 7
+DISCOUNT = 1.0
+CAP = 8.0
+RATE = 0.002
 WINDOW = 6
 PER_CLASS = 3000
-MEMO = 150_000
+MEMO = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -43,111 +49,145 @@ def tokens(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def kneser_ney(words: Counter, shared: dict[int, dict[str, set[str]]]) -> tuple[dict[str, float], dict[str, float]]:
-    """(log probability by n-gram, log backoff weight by context) of the characters of words; shared has, by order of SHARED and below, each n-gram's left neighbours in both classes."""
-    raw: dict[str, int] = Counter()
-    left: dict[int, dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
-    for word, n in words.items():
-        s = f"<{word}>"
+def _level(counts: dict) -> tuple[dict, dict]:
+    """(discounted count by n-gram, (total, share that backs off) by context) of counts by n-gram."""
+    totals, off = Counter(), Counter()
+    for gram, n in counts.items():
+        totals[gram[:-1]] += n
+        off[gram[:-1]] += min(n, DISCOUNT)
+    return {g: n - DISCOUNT for g, n in counts.items() if n > DISCOUNT}, {h: (t, off[h] / t) for h, t in totals.items()}
+
+
+def _interpolated(level: tuple[dict, dict], gram, lower: float) -> float:
+    total, share = level[1].get(gram[:-1], (1, 1.0))
+    return level[0].get(gram, 0) / total + share * lower
+
+
+class Characters:
+    """Kneser-Ney models of the characters of words, one a class. words: word -> count, by class."""
+
+    def __init__(self, words: list[Counter]):
+        top: list[Counter] = [Counter() for _ in words]
+        before: list[dict[str, set[str]]] = [defaultdict(set) for _ in range(ORDER)]
+        for c, counts in enumerate(words):
+            for word, n in counts.items():
+                s = f"<{word}>"
+                for i in range(1, len(s)):
+                    top[c][s[max(0, i - ORDER + 1) : i + 1]] += n
+                    for k in range(1, ORDER):  # at a word's start there is one left neighbour, the edge
+                        if i - k >= -1:
+                            before[k][s[max(0, i - k + 1) : i + 1]].add(s[i - k] if i >= k else "")
+        self.types = len(before[1]) + 1
+        # Of the shorter n-grams: probabilities of those that are seen, and the share that backs off by context.
+        self.known: dict[str, float] = {}
+        self.off: dict[str, float] = {}
+        for k in range(1, ORDER):
+            level = _level({g: len(x) for g, x in before[k].items()})
+            found = {g: _interpolated(level, g, self._shared(g[1:])) for g in level[0]}
+            self.off.update({h: share for h, (_, share) in level[1].items()})
+            self.known.update(found)
+        self.top = [_level(counts) for counts in top]
+
+    def _shared(self, gram: str) -> float:
+        weight = 1.0
+        while gram:
+            found = self.known.get(gram)
+            if found is not None:
+                return weight * found
+            weight *= self.off.get(gram[:-1], 1.0)
+            gram = gram[1:]
+        return weight / self.types
+
+    def _by_class(self, gram: str) -> list[float] | None:
+        """Probability of an n-gram's last character by class; None where no class knows what comes before it, so all say the same."""
+        context = gram[:-1]
+        if not any(context in contexts for _, contexts in self.top):
+            return None
+        lower = self._shared(gram[1:])
+        return [_interpolated(level, gram, lower) for level in self.top]
+
+    def words(self, word: str) -> list[float]:
+        """Log probability of a word's characters, by class."""
+        s, out = f"<{word}>", [0.0] * len(self.top)
+        for i in range(1, len(s)):
+            gram = s[max(0, i - ORDER + 1) : i + 1]
+            for c, p in enumerate(self._by_class(gram) or [self._shared(gram[1:])] * len(out)):
+                out[c] += math.log(p)
+        return out
+
+    def ratio(self, word: str) -> float:
+        """Log of the second class' probability of a word over the first's."""
+        s, out = f"<{word}>", 0.0
         for i in range(1, len(s)):
-            raw[s[max(0, i - ORDER + 1) : i + 1]] += n
-            for k in range(SHARED + 1, ORDER):
-                if i - k >= 0:
-                    left[k][s[i - k + 1 : i + 1]].add(s[i - k])
-    counts: dict[int, Counter] = {k: Counter() for k in range(1, ORDER + 1)}
-    for gram, n in raw.items():  # shorter n-grams at a word's start have no left neighbour and count as they are
-        counts[len(gram)][gram] += n if len(gram) == ORDER or gram[0] == "<" else 0
-    for k in range(1, ORDER):
-        for gram, before in (shared[k] if k <= SHARED else left[k]).items():
-            counts[k][gram] += len(before)
-    logp, backoff = {}, {}
-    total = sum(counts[1].values())
-    types = len(counts[1]) + 1
-    floor = DISCOUNT * len(counts[1]) / max(total, 1) / types if total else 1.0
-    probability = {g: max(n - DISCOUNT, 0) / total + floor for g, n in counts[1].items()}
-    logp[""] = math.log(floor)
-    logp.update({g: math.log(p) for g, p in probability.items()})
-    for k in range(2, ORDER + 1):
-        totals, kinds = Counter(), Counter()
-        for gram, n in counts[k].items():
-            totals[gram[:-1]] += n
-            kinds[gram[:-1]] += n > 0
-        weight = {h: DISCOUNT * kinds[h] / t for h, t in totals.items() if t}
-        backoff.update({h: math.log(w) for h, w in weight.items()})
-        lower, probability = probability, {}
-        for gram, n in counts[k].items():
-            if n:
-                h, shorter = gram[:-1], gram[1:]
-                below = lower.get(shorter)
-                if below is None:
-                    below = math.exp(_log_probability(shorter, logp, backoff))
-                probability[gram] = max(n - DISCOUNT, 0) / totals[h] + weight[h] * below
-        logp.update({g: math.log(p) for g, p in probability.items()})
-    return logp, backoff
-
-
-def _log_probability(gram: str, logp: dict[str, float], backoff: dict[str, float]) -> float:
-    total = 0.0
-    while gram and gram not in logp:
-        total += backoff.get(gram[:-1], 0.0)
-        gram = gram[1:]
-    return total + logp[gram]
+            found = self._by_class(s[max(0, i - ORDER + 1) : i + 1])
+            if found:
+                out += math.log(found[1] / found[0])
+        return out
+
+
+class Models:
+    """Kneser-Ney models of words, one a class, from tokenised texts by class."""
+
+    def __init__(self, texts: list[list[list[str]]]):
+        self.characters = Characters([Counter(w for t in docs for w in t) for docs in texts])
+        self.levels = []
+        for docs in texts:
+            before = Counter((w,) for _, w in {pair for t in docs for pair in zip(["", *t], t)})
+            self.levels.append(_level(before))
+        # Evidence of words that a class knows; all others back off in both.
+        self.known = {w: float(np.subtract(*self.words(w)[::-1])) for w in {w for counts, _ in self.levels for (w,) in counts}}
+        self.unseen = float(np.log(self.levels[1][1].get((), (1, 1.0))[1]) - np.log(self.levels[0][1].get((), (1, 1.0))[1]))
+
+    def words(self, word: str) -> list[float]:
+        """Log probability of a word, by class."""
+        return [math.log(max(_interpolated(level, (word,), math.exp(max(c, -600.0))), 1e-300)) for level, c in zip(self.levels, self.characters.words(word))]
 
 
 class Evidence:
-    """log P(word | toxic) - log P(word | ordinary), remembered."""
+    """log P(word | toxic) - log P(word | ordinary) of the words of texts, within CAP, remembered by word."""
 
-    def __init__(self, models):
+    def __init__(self, models: Models):
         self.models, self.memo = models, {}
 
-    def word(self, word: str) -> float:
-        s, (ordinary, toxic) = f"<{word}>", self.models
-        return sum(_log_probability(g, *toxic) - _log_probability(g, *ordinary) for g in (s[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(s))))
+    def _of(self, word: str) -> float:
+        found = self.models.known.get(word)
+        if found is None:
+            found = self.models.unseen + self.models.characters.ratio(word)
+        self.memo[word] = found = min(max(found, -CAP), CAP)
+        return found
 
-    def text(self, text: str) -> tuple[float, float]:
-        """(mean evidence of the text, largest mean of a window)."""
+    def text(self, text: str) -> tuple[float, float, float, float]:
+        """(mean evidence, mean log ratio of a mixture, the latter's logarithm, largest mean of a window)."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
         ws = tokens(text)
-        if not ws:
-            return 0.0, 0.0
-        found = list(map(memo.get, ws))
-        if None in found:
-            for i, w in enumerate(ws):
-                if found[i] is None:
-                    if w not in memo:
-                        memo[w] = self.word(w)
-                    found[i] = memo[w]
-        each = np.array(found)
-        upto = np.concatenate([[0.0], np.cumsum(each)])
-        return float(each.mean()), float((upto[WINDOW:] - upto[:-WINDOW]).max() if len(each) > WINDOW else each.sum()) / WINDOW
+        each = list(map(memo.get, ws))
+        if None in each:
+            each = [memo[w] if w in memo else self._of(w) for w in ws]
+        each = np.array(each or [0.0])
+        mixed = np.log1p(RATE * np.exp(each)).mean()
+        upto = np.cumsum(each)
+        window = (max(upto[WINDOW - 1], (upto[WINDOW:] - upto[:-WINDOW]).max()) if len(each) > WINDOW else upto[-1]) / WINDOW
+        return float(each.mean()), float(mixed), float(np.log(mixed + 1e-3)), float(window)
 
 
 def train(texts: list[str], labels: list[int]) -> tuple | None:
-    """((ordinary model, toxic model), weights of mean, window and bias); None where a class is missing."""
+    """(models, weights of the features and bias); None where a class is missing."""
     fold = {c: [i for i, y in enumerate(labels) if y == c] for c in (0, 1)}
     if min(map(len, fold.values())) < 2:
         return None
     tune = [i for c in (0, 1) for i in fold[c][1::3]]
     held = set(tune)
-    words = {c: Counter(w for i in fold[c] if i not in held for w in tokens(texts[i])) for c in (0, 1)}
-    shared: dict[int, dict[str, set[str]]] = {k: defaultdict(set) for k in range(1, SHARED + 1)}
-    for word in words[0].keys() | words[1].keys():
-        s = f"<{word}>"
-        for i in range(1, len(s)):
-            for k in shared:
-                if i - k >= 0:
-                    shared[k][s[i - k + 1 : i + 1]].add(s[i - k])
-    models = tuple(kneser_ney(words[c], shared) for c in (0, 1))
+    models = Models([[tokens(texts[i]) for i in fold[c] if i not in held] for c in (0, 1)])
     evidence = Evidence(models)
     x = np.array([[*evidence.text(texts[i]), 1.0] for i in tune])
     y = np.array([labels[i] for i in tune], float)
     scale = np.abs(x).max(axis=0) + 1e-9
-    w, z = np.zeros(3), x / scale
+    w, z = np.zeros(x.shape[1]), x / scale
     for _ in range(60):  # Newton's method, with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = z.T @ (z * (p * (1 - p))[:, None]) + 1e-3 * np.eye(3)
+        h = z.T @ (z * (p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w))
         w = w - np.linalg.solve(h, z.T @ (p - y) + 1e-3 * w)
     return models, w / scale
 
@@ -156,7 +196,7 @@ def score_texts(model, only: float, texts: list[str], evidence: Evidence | None
     if model is None:
         return np.full(len(texts), only)
     evidence = evidence or Evidence(model[0])
-    z = np.array([[*evidence.text(t), 1.0] for t in texts]).reshape(-1, 3) @ model[1]
+    z = np.array([[*evidence.text(t), 1.0] for t in texts]).reshape(-1, 5) @ model[1]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
