@@ -98,31 +98,25 @@ class Characters:
             gram = gram[1:]
         return weight / self.types
 
-    def _by_class(self, gram: str) -> list[float] | None:
-        """Probability of an n-gram's last character by class; None where no class knows what comes before it, so all say the same."""
-        context = gram[:-1]
-        if not any(context in contexts for _, contexts in self.top):
-            return None
-        lower = self._shared(gram[1:])
-        return [_interpolated(level, gram, lower) for level in self.top]
-
     def words(self, word: str) -> list[float]:
         """Log probability of a word's characters, by class."""
         s, out = f"<{word}>", [0.0] * len(self.top)
         for i in range(1, len(s)):
             gram = s[max(0, i - ORDER + 1) : i + 1]
-            for c, p in enumerate(self._by_class(gram) or [self._shared(gram[1:])] * len(out)):
-                out[c] += math.log(p)
+            lower = self._shared(gram[1:])
+            for c, level in enumerate(self.top):
+                out[c] += math.log(_interpolated(level, gram, lower))
         return out
 
-    def ratio(self, word: str) -> float:
-        """Log of the second class' probability of a word over the first's."""
-        s, out = f"<{word}>", 0.0
-        for i in range(1, len(s)):
-            found = self._by_class(s[max(0, i - ORDER + 1) : i + 1])
-            if found:
-                out += math.log(found[1] / found[0])
-        return out
+    def ratios(self) -> tuple[dict[str, float], dict[str, float]]:
+        """Log of the second class' probability of a character over the first's: by n-gram that a class knows, and by context for all other n-grams, as what both back off to is the same."""
+        (first, first_contexts), (second, second_contexts) = self.top
+        grams = {}
+        for gram in first.keys() | second.keys():
+            lower = self._shared(gram[1:])
+            grams[gram] = math.log(_interpolated(self.top[1], gram, lower) / _interpolated(self.top[0], gram, lower))
+        off = {h: math.log(second_contexts.get(h, (1, 1.0))[1] / first_contexts.get(h, (1, 1.0))[1]) for h in first_contexts.keys() | second_contexts.keys()}
+        return grams, {h: x for h, x in off.items() if x}
 
 
 class Models:
@@ -134,26 +128,40 @@ class Models:
         for docs in texts:
             before = Counter((w,) for _, w in {pair for t in docs for pair in zip(["", *t], t)})
             self.levels.append(_level(before))
-        # Evidence of words that a class knows; all others back off in both.
-        self.known = {w: float(np.subtract(*self.words(w)[::-1])) for w in {w for counts, _ in self.levels for (w,) in counts}}
-        self.unseen = float(np.log(self.levels[1][1].get((), (1, 1.0))[1]) - np.log(self.levels[0][1].get((), (1, 1.0))[1]))
 
     def words(self, word: str) -> list[float]:
         """Log probability of a word, by class."""
         return [math.log(max(_interpolated(level, (word,), math.exp(max(c, -600.0))), 1e-300)) for level, c in zip(self.levels, self.characters.words(word))]
 
 
-class Evidence:
-    """log P(word | toxic) - log P(word | ordinary) of the words of texts, within CAP, remembered by word."""
+class Ratios:
+    """What scoring needs of the models: log P(word | toxic) - log P(word | ordinary) of words that a class knows, and what gives it for all others."""
 
     def __init__(self, models: Models):
-        self.models, self.memo = models, {}
+        first, second = models.levels
+        self.known = {w: float(np.subtract(*models.words(w)[::-1])) for (w,) in first[0].keys() | second[0].keys()}
+        self.unseen = math.log(second[1].get((), (1, 1.0))[1] / first[1].get((), (1, 1.0))[1])
+        self.grams, self.contexts = models.characters.ratios()
 
-    def _of(self, word: str) -> float:
-        found = self.models.known.get(word)
+    def word(self, word: str) -> float:
+        found = self.known.get(word)
         if found is None:
-            found = self.models.unseen + self.models.characters.ratio(word)
-        self.memo[word] = found = min(max(found, -CAP), CAP)
+            s, found, grams, contexts = f"<{word}>", self.unseen, self.grams, self.contexts
+            for i in range(1, len(s)):
+                gram = s[max(0, i - ORDER + 1) : i + 1]
+                x = grams.get(gram)
+                found += contexts.get(gram[:-1], 0.0) if x is None else x
+        return found
+
+
+class Evidence:
+    """Evidence of the words of texts, within CAP, remembered by word."""
+
+    def __init__(self, ratios: Ratios):
+        self.ratios, self.memo = ratios, {}
+
+    def _of(self, word: str) -> float:
+        self.memo[word] = found = min(max(self.ratios.word(word), -CAP), CAP)
         return found
 
     def text(self, text: str) -> tuple[float, float, float, float]:
@@ -173,14 +181,14 @@ class Evidence:
 
 
 def train(texts: list[str], labels: list[int]) -> tuple | None:
-    """(models, weights of the features and bias); None where a class is missing."""
+    """(ratios, weights of the features and bias); None where a class is missing."""
     fold = {c: [i for i, y in enumerate(labels) if y == c] for c in (0, 1)}
     if min(map(len, fold.values())) < 2:
         return None
     tune = [i for c in (0, 1) for i in fold[c][1::3]]
     held = set(tune)
-    models = Models([[tokens(texts[i]) for i in fold[c] if i not in held] for c in (0, 1)])
-    evidence = Evidence(models)
+    ratios = Ratios(Models([[tokens(texts[i]) for i in fold[c] if i not in held] for c in (0, 1)]))
+    evidence = Evidence(ratios)
     x = np.array([[*evidence.text(texts[i]), 1.0] for i in tune])
     y = np.array([labels[i] for i in tune], float)
     scale = np.abs(x).max(axis=0) + 1e-9
@@ -189,7 +197,7 @@ def train(texts: list[str], labels: list[int]) -> tuple | None:
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = z.T @ (z * (p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w))
         w = w - np.linalg.solve(h, z.T @ (p - y) + 1e-3 * w)
-    return models, w / scale
+    return ratios, w / scale
 
 
 def score_texts(model, only: float, texts: list[str], evidence: Evidence | None = None) -> np.ndarray:

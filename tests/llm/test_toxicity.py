@@ -75,6 +75,8 @@ def test_against_the_definition(monkeypatch):
     for word in ("river", "vilegrub", "vilegrubby", "rivers", "the", "zzz", "e"):
         for have, want in zip(models.words(word), direct(texts, word)):
             assert math.exp(have) == pytest.approx(want, rel=1e-9)
+        ordinary, toxic = direct(texts, word)
+        assert tx.Ratios(models).word(word) == pytest.approx(math.log(toxic / ordinary), abs=1e-9)
 
 
 def test_the_query_names_its_folds(spark):
