@@ -1,25 +1,28 @@
-"""Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
+"""Language-model scores by deleted interpolation of trigram, bigram, unigram and uniform estimates.
 
-P(w | v) = a[b] * c(v w) / c(v) + u[b] * c(w) / N + z[b] / (V + 1),  b the bucket of v by the logarithm of its frequency. The
-weights of each bucket are learned by expectation-maximisation on counts held out: one tenth of the training documents (TUNE_FOLD)
-is tuned on with the counts of the rest; then all training documents count. Unknown words share one place, the + 1.
+P(w | u v) = a * c(u v w) / c(u v) + (1 - a) * (b * c(v w) / c(v) + (1 - b) * (g * c(w) / N + (1 - g) / (V + 1)))
+a depends on the bucket of c(u v), b on that of c(v): half octaves of frequency. The weights are learned by expectation-maximisation
+on counts held out: one tenth of the training documents (TUNE_FOLD) is tuned on with the counts of the rest; then all training
+documents count. Unknown words share one place, the + 1. A document begins after two ends.
 
-All n-grams of all documents are counted, in three steps that grow with the input:
+All n-grams of all documents are counted, in steps that grow with the input:
   1. Tasks cut documents into blocks of about BLOCK tokens, numbered within the block (written to the shared folder).
-  2. A block sends its distinct n-gram hashes, sorted and cut by hash range, each range as one row; a range's rows meet, add up,
-     and go back as counts in the order that each block knows. Ranges are as many as keep one at about RANGE_BYTES.
-  3. Blocks and returned counts meet by block: the tuning blocks give a histogram of (bucket, probability ratios), from which
-     the driver finds the weights (a few thousand rows at any size); then all blocks give their documents' scores.
-Words are known by 64-bit hashes, bigrams by 48 bits or, from 2^27 tokens on, two more for each doubling, 64 at most; sorted keys go as
-their steps and counts as compressed byte planes.
+  2. A block sends its distinct n-gram hashes, sorted and cut by their first bits, a row for each part; rows of a part meet, add up,
+     and go back as counts in the order that each block knows. A block is never cut into more than 2^LEVEL_BITS parts: where the
+     input calls for more, parts of 2^LEVEL_BITS blocks are merged and cut again, level by level, and the counts come back the same
+     way. So rows are at most 2^LEVEL_BITS a block and level, and levels grow with the logarithm of the input.
+  3. Blocks and returned counts meet by block: the tuning blocks give the estimates of their tokens, over which each round of
+     expectation-maximisation is a job that brings back two numbers a bucket; then all blocks give their documents' scores.
+Words and n-grams are known by 64-bit hashes and counted in 8 bytes; sorted keys go as their steps and both as compressed byte planes.
 
 Defined results: null and empty texts have one token, the end; null ids count as the empty text in the folds; equal rows are scored
 alike and counted as often as they occur; without training documents every probability is 1 / (V + 1) = 1; an empty table gives no
-rows; other columns are not read.
+rows; other columns are not read. Ids pass Python as text, so that longs beside nulls stay what they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -31,15 +34,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, materialize, table
+from .common import id_fold, materialize, shared_dir, table
 
 BLOCK = 2_000_000
-RANGE_BYTES = 8 << 20
+PART_BYTES = 8 << 20
+LEVEL_BITS = 8
 TUNE_FOLD = 1
-ROUNDS = 60
-#: Steps of the histogram of log2 ratios.
-STEPS = 4
+ROUNDS = 20
+BUCKETS = 128
 _END = xxhash.xxh64_intdigest(b"")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokenize(text: str) -> list[bytes]:
@@ -48,10 +52,9 @@ def tokenize(text: str) -> list[bytes]:
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of documents of one role: 0 counted, 1 counted and tuned on, 2 held out. Token 0 is the end."""
+    """Blocks of documents: tuned on (role 1), or counted or held out (role 0). Token 0 is the end."""
     fold = id_fold(F.col(id_col), 10)
-    role = F.when(fold == 0, 2).when(fold == TUNE_FOLD, 1).otherwise(0)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), role.alias("role"))
+    own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold == 0).alias("held"), (fold == TUNE_FOLD).cast("int").alias("role"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -60,24 +63,22 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         def fresh():
             vocab = defaultdict(count(1).__next__)
-            return {"vocab": vocab, "ids": [], "lengths": [], "tokens": [], "n": 0}
+            return {"vocab": vocab, "ids": [], "held": [], "lengths": [], "tokens": [], "n": 0}
 
-        open_ = {r: fresh() for r in (0, 1, 2)}
+        open_ = {r: fresh() for r in (0, 1)}
 
         def row(r: int, b: dict) -> pd.DataFrame:
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, b["vocab"]), np.uint64, len(b["vocab"]))
-            return pd.DataFrame({"block": [base + next(serial)], "n_tokens": [b["n"]], "doc_ids": [b["ids"]], "lengths": [np.array(b["lengths"], "<u4").tobytes()],
+            return pd.DataFrame({"block": [base + next(serial)], "n_tokens": [b["n"]], "doc_ids": [b["ids"]], "held": [np.array(b["held"], bool).tobytes()], "lengths": [np.array(b["lengths"], "<u4").tobytes()],
                                  "tokens": [_planes(np.concatenate(b["tokens"]), 4)], "vocab": [np.concatenate([np.array([_END], np.uint64), hashes]).tobytes()], "role": [r]})
 
         for batch in batches:
-            ids = [None if x is None or x != x else int(x) for x in batch["doc_id"].astype("object")]
-            for doc, text, r in zip(ids, batch["text"], batch["role"].tolist()):
+            for doc, text, held, r in zip(batch["doc_id"], batch["text"], batch["held"].tolist(), batch["role"].tolist()):
                 ws, b = tokenize(text), open_[r]
                 tokens = np.zeros(len(ws) + 1, np.uint32)
                 tokens[:-1] = np.fromiter(map(b["vocab"].__getitem__, ws), np.uint32, len(ws))
-                b["ids"].append(doc)
-                b["lengths"].append(len(tokens))
-                b["tokens"].append(tokens)
+                for name, value in (("ids", doc), ("held", held), ("lengths", len(tokens)), ("tokens", tokens)):
+                    b[name].append(value)
                 b["n"] += len(tokens)
                 if b["n"] >= BLOCK:
                     yield row(r, b)
@@ -86,187 +87,297 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             if b["ids"]:
                 yield row(r, b)
 
-    return own.mapInPandas(cut, "block long, n_tokens long, doc_ids array<long>, lengths binary, tokens binary, vocab binary, role int")
+    return own.mapInPandas(cut, "block long, n_tokens long, doc_ids array<string>, held binary, lengths binary, tokens binary, vocab binary, role int")
 
 
-class Block:
-    """A block's tokens, and its distinct unigrams and bigrams in the order of their hashes."""
-
-    def __init__(self, tokens: bytes, vocab: bytes, key_bits: int):
-        self.tokens = _numbers(tokens, 4)
-        hashes = np.frombuffer(vocab, np.uint64)
-        self.order = np.argsort(hashes)
-        self.place = np.empty(len(hashes), np.int64)  # of a token in the order of hashes
-        self.place[self.order] = np.arange(len(hashes))
-        self.unigrams = hashes[self.order]
-        before = np.concatenate([np.zeros(1, np.uint64), self.tokens[:-1]])  # documents follow ends, and so does the first
-        self.before = before
-        mixed = hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.tokens]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        self.bigrams, self.bigram_of, self.bigram_n = np.unique((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - key_bits), return_inverse=True, return_counts=True)
-
-    def unigram_n(self) -> np.ndarray:
-        return np.bincount(self.place[self.tokens], minlength=len(self.unigrams))
-
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def _cuts(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
-    """Where sorted keys pass from one hash range to the next: ranges + 1 positions."""
-    edges = [(i << bits) // ranges for i in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
-
-def _planes(numbers: np.ndarray, size: int) -> bytes:
+class Block:
+    """A block's tokens and, for each order, its distinct n-grams in the order of their hashes and each token's place among them."""
+
+    def __init__(self, row):
+        tokens = _numbers(row.tokens, 4).astype(np.int64)
+        self.lengths = np.frombuffer(row.lengths, "<u4").astype(np.int64)
+        self.held = np.frombuffer(row.held, bool)
+        hashes = np.frombuffer(row.vocab, np.uint64)
+        before = np.concatenate([np.zeros(1, np.int64), tokens[:-1]])  # documents follow ends, and so does the first
+        self.first = before == 0
+        order = np.argsort(hashes)
+        place = np.empty(len(hashes), np.int64)
+        place[order] = np.arange(len(hashes))
+        self.end = int(place[0])
+        self.keys, self.at = [hashes[order]], [place[tokens].astype(np.int32)]
+        self.before = place[before].astype(np.int32)
+        own = hashes[tokens]
+        pairs = _mix(hashes[before] * _ODD + own)
+        context = np.concatenate([np.zeros(1, np.uint64), pairs[:-1]])
+        context[self.first] = 0
+        for grams in (pairs, _mix(context * _ODD + own + np.uint64(1))):
+            keys, at = np.unique(grams, return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at.astype(np.int32))
+
+    def counts(self) -> list[np.ndarray]:
+        """How often each n-gram of an order occurs in documents that are not held out."""
+        learned = np.repeat(~self.held, self.lengths)
+        return [np.bincount(at[learned], minlength=len(keys)) for keys, at in zip(self.keys, self.at)]
+
+    def seen(self, counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(c(u v w), c(u v), c(v w), c(v), c(w)) by token, from the counts of the n-grams of each order."""
+        uni, bi, tri = counts
+        c12 = bi[self.at[1]]
+        context = np.concatenate([np.zeros(1, np.int64), c12[:-1]])
+        context[self.first] = uni[self.end]
+        return tri[self.at[2]], context, c12, uni[self.before], uni[self.at[0]]
+
+
+def _planes(numbers: np.ndarray, size: int = 8) -> bytes:
     """Numbers of `size` bytes, compressed a byte plane at a time: high planes are nearly constant."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes())
 
 
-def _numbers(raw: bytes, size: int) -> np.ndarray:
+def _numbers(raw: bytes, size: int = 8) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :size] = planes.T
     return out.view("<u8").ravel()
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as their steps, in as many bytes as the largest takes; the first byte says how many."""
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the byte planes of their steps; planes above the largest step are left out."""
     steps = np.diff(keys, prepend=np.uint64(0))
     first, steps = int(keys[0]), steps[1:]
     size = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([size]) + first.to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    return bytes([size]) + first.to_bytes(8, "little") + (_planes(steps, size) if len(steps) else b"")
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    first = np.array([int.from_bytes(raw[1:9], "little")], np.uint64)
+    return np.cumsum(np.concatenate([first, _numbers(raw[9:], raw[0])]), dtype=np.uint64) if len(raw) > 9 else first
+
+
+def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(prefix, begin, end) of sorted keys by their first bits, those that have any."""
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
+    for prefix, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(keys)])):
+        if hi > lo:
+            yield prefix, lo, hi
+
+
+SENT = "order int, prefix long, child long, role int, keys binary, total binary, tune binary"
+BACK = "order int, prefix long, child long, total binary, tune binary, n long, v long, n_tune long"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
 
+def _sum(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of each row, all keys, their totals, their counts in tuning documents)."""
+    keys = [_unpacked(k) for k in rows["keys"]]
+    union, spot = np.unique(np.concatenate(keys), return_inverse=True)
+    total, tune = (np.zeros(len(union), np.int64) for _ in "ab")
+    for out, column in ((total, "total"), (tune, "tune")):
+        np.add.at(out, spot, np.concatenate([_numbers(x).astype(np.int64) for x in rows[column]]))
+    return keys, union, total, tune
 
-def _unpack(raw: bytes) -> np.ndarray:
-    size = raw[0]
-    body = np.frombuffer(raw, np.uint8, offset=9)
-    out = np.zeros((len(body) // size + 1, 8), np.uint8)
-    out[1:, :size] = body.reshape(-1, size)
-    keys = out.view("<u8").ravel()
-    keys[0] = int.from_bytes(raw[1:9], "little")
-    return np.cumsum(keys, dtype=np.uint64)
 
+def _returned(rows: pd.DataFrame, keys: list[np.ndarray], union: np.ndarray, total: np.ndarray, tune: np.ndarray) -> pd.DataFrame:
+    """The counts of each row's keys; counts in tuning documents only for those that need them."""
+    out = []
+    for r, own in zip(rows.itertuples(), keys):
+        at = np.searchsorted(union, own)
+        out.append((r.order, r.prefix, r.child, _planes(total[at]), _planes(tune[at]) if r.role else b"", 0, 0, 0))
+    return pd.DataFrame(out, columns=_names(BACK))
 
-def counted(cut: DataFrame, ranges: int, key_bits: int) -> DataFrame:
-    """The counts each block asks for: (kind, range, block, total, tune), and rows of block -1 with a range's sums (n, v, n_tune)."""
-    few = max(1, ranges // 4)
+
+def _merge(bits: int):
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        _, union, total, tune = _sum(rows)
+        order, group = rows["order"].iloc[0], rows["parent"].iloc[0]
+        out = [(order, prefix, group, 1, _packed(union[lo:hi]), _planes(total[lo:hi]), _planes(tune[lo:hi])) for prefix, lo, hi in _parts(union, bits)]
+        return pd.DataFrame(out, columns=_names(SENT))
+
+    return merge
+
+
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    keys, union, total, tune = _sum(rows)
+    back = _returned(rows, keys, union, total, tune)
+    back.loc[len(back)] = (rows["order"].iloc[0], rows["prefix"].iloc[0], -1, b"", b"", int(total.sum()), int((total > 0).sum()), int(tune.sum()))
+    return back
+
+
+def _deal(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """What came back for a merged part, dealt to the rows that went into it."""
+    if not len(rows):
+        return pd.DataFrame(columns=_names(BACK))
+    keys = [_unpacked(k) for k in rows["keys"]]
+    found = found.sort_values("prefix")
+    total, tune = (np.concatenate([_numbers(x).astype(np.int64) for x in found[c]]) for c in ("total", "tune"))
+    return _returned(rows, keys, np.unique(np.concatenate(keys)), total, tune)
+
+
+def counted(cut: DataFrame, n_blocks: int, n_bytes: int) -> DataFrame:
+    """The counts each block asks for: (order, prefix, block, total, tune), and rows of block -1 with a part's sums (n, v, n_tune)."""
+    bits = max(4, (max(1, -(-n_bytes // PART_BYTES)) - 1).bit_length())
+    steps = [*range(LEVEL_BITS, bits, LEVEL_BITS), bits]
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for b in batch.itertuples():
-                own = Block(b.tokens, b.vocab, key_bits)
+                own = Block(b)
+                nothing = b.role == 0
                 rows = []
-                for kind, keys, n, bits, parts in ((1, own.unigrams, own.unigram_n(), 64, few), (2, own.bigrams, own.bigram_n, key_bits, ranges)):
-                    at = _cuts(keys, bits, parts)
-                    rows += [(kind, i, b.block, b.role, _pack(keys[lo:hi]), _planes(n[lo:hi], 4)) for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if hi > lo]
-                yield pd.DataFrame(rows, columns=["kind", "range", "block", "role", "keys", "n"])
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpack(k) for k in rows["keys"]]
-        flat, spot = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([_numbers(x, 4) for x in rows["n"]]).astype(np.float64)
-        role = np.repeat(rows["role"].to_numpy(), [len(k) for k in keys])
-        total, tune = (np.bincount(spot, n * m, len(flat)).astype(np.int64) for m in (role < 2, role == 1))
-        if total.max() >= 1 << 32:
-            raise ValueError("an n-gram occurs more than 4 billion times")
-        out, at = [], 0
-        for r, k in zip(rows.itertuples(), keys):
-            own = spot[at : at + len(k)]
-            at += len(k)
-            out.append((r.kind, r.range, r.block, _planes(total[own], 4), _planes(tune[own], 4), 0, 0, 0))
-        out.append((rows["kind"].iloc[0], rows["range"].iloc[0], -1, b"", b"", int(total.sum()), int((total > 0).sum()), int(tune.sum())))
-        return pd.DataFrame(out, columns=["kind", "range", "block", "total", "tune", "n", "v", "n_tune"])
-
-    sent = cut.select("block", "role", "tokens", "vocab").mapInPandas(send, "kind int, range int, block long, role int, keys binary, n binary")
-    return sent.groupBy("kind", "range").applyInPandas(meet, "kind int, range int, block long, total binary, tune binary, n long, v long, n_tune long")
-
-
-def _with_counts(block: pd.DataFrame, counts: pd.DataFrame, key_bits: int):
-    """(block row, Block, (unigram total, tune), (bigram total, tune)), counts in the block's order."""
-    b = block.iloc[0]
-    own, found = Block(b["tokens"], b["vocab"], key_bits), []
-    for kind, n in ((1, len(own.unigrams)), (2, len(own.bigrams))):
-        rows = counts[counts["kind"] == kind].sort_values("range")
-        both = tuple(np.concatenate([np.zeros(0, np.int64), *(_numbers(x, 4).astype(np.int64) for x in rows[c])]) for c in ("total", "tune"))
-        if len(both[0]) != n:
+                for order, (keys, n) in enumerate(zip(own.keys, own.counts()), 1):
+                    for prefix, lo, hi in _parts(keys, steps[0]):
+                        rows.append((order, prefix, b.block, b.role, _packed(keys[lo:hi]), _planes(n[lo:hi]), _planes(n[lo:hi] * (not nothing))))
+                yield pd.DataFrame(rows, columns=_names(SENT))
+
+    sent = cut.select("block", "role", "held", "lengths", "tokens", "vocab").mapInPandas(send, SENT)
+    levels = []
+    for level, more in enumerate(steps[1:], 1):
+        groups = -(-n_blocks // (1 << LEVEL_BITS * level))
+        sent = materialize(sent.withColumn("parent", F.pmod(F.xxhash64("child"), F.lit(groups))), "lm-level")
+        levels.append((sent, more - steps[level - 1]))
+        sent = sent.groupBy("order", "prefix", "parent").applyInPandas(_merge(more), SENT)
+    back = sent.groupBy("order", "prefix").applyInPandas(_meet, BACK)
+    for asked, more in reversed(levels):
+        back = materialize(back, "lm-back")
+        own = back.where("child >= 0").withColumn("above", F.shiftright("prefix", more))
+        back = (asked.groupBy("order", "prefix", "parent").cogroup(own.groupBy("order", "above", "child")).applyInPandas(_deal, BACK)
+                .unionByName(back.where("child < 0")))
+    return back.withColumnRenamed("child", "block")
+
+
+def _with_counts(block: pd.DataFrame, counts: pd.DataFrame) -> tuple:
+    """(block row, Block, totals by order, counts in tuning documents by order), counts in the block's order."""
+    b = next(block.itertuples())
+    own, total, tune = Block(b), [], []
+    for order, keys in enumerate(own.keys, 1):
+        rows = counts[counts["order"] == order].sort_values("prefix")
+        for out, column in ((total, "total"), (tune, "tune")) if b.role else ((total, "total"),):
+            out.append(np.concatenate([np.zeros(0, np.int64), *(_numbers(x).astype(np.int64) for x in rows[column])]))
+        if len(total[-1]) != len(keys):
             raise ValueError("a block's counts didn't all come back")
-        found.append(both)
-    return b, own, *found
+    return b, own, total, tune
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(context + 1.0)).astype(np.int64)
+    return np.minimum(np.floor(2 * np.log2(context + 1.0)), BUCKETS - 1).astype(np.int64)
+
+
+def estimates(seen: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, ...]:
+    """(trigram bucket, bigram bucket, estimates by trigram, bigram and unigram) of tokens' counts."""
+    c3, context3, c2, context2, c1 = seen
+    return bucket_of(context3), bucket_of(context2), c3 / np.maximum(context3, 1), c2 / np.maximum(context2, 1), c1 / max(n, 1)
+
+
+def probabilities(weights: tuple, found: tuple[np.ndarray, ...], floor: float) -> tuple[np.ndarray, ...]:
+    """(P, its parts) of tokens with estimates."""
+    a, b, g = weights
+    b3, b2, e3, e2, e1 = found
+    q1, q2, q3 = g * e1, b[b2] * e2, a[b3] * e3
+    p1 = q1 + (1 - g) * floor
+    p2 = q2 + (1 - b[b2]) * p1
+    return q3 + (1 - a[b3]) * p2, q3, p2, q2, p1, q1
+
+
+def expected(weights: tuple, found: tuple[np.ndarray, ...], times: np.ndarray, floor: float) -> np.ndarray:
+    """(3, BUCKETS, 2): how many tokens each weight explains and is asked about, by order and bucket."""
+    p, q3, p2, q2, p1, q1 = probabilities(weights, found, floor)
+    r3 = q3 / p
+    r2 = (1 - r3) * q2 / p2
+    rest = 1 - r3 - r2
+    out = np.zeros((3, BUCKETS, 2))
+    for k, (bucket, explained, asked) in enumerate(((found[0], r3, np.ones(len(p))), (found[1], r2, 1 - r3), (np.zeros(len(p), np.int64), rest * q1 / p1, rest))):
+        for j, x in enumerate((explained, asked)):
+            out[k, :, j] = np.bincount(bucket, x * times, BUCKETS)
+    return out
+
+
+def maximised(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The weights of the next round; a bucket that nothing fell into takes those below it, and unseen contexts have none."""
+    out = []
+    for k in (0, 1):
+        weights, last = np.zeros(BUCKETS), 0.3
+        for i in range(1, BUCKETS):
+            if sums[k, i, 1] > 0:
+                last = min(max(sums[k, i, 0] / sums[k, i, 1], 1e-4), 1 - 1e-4)
+            weights[i] = last
+        out.append(weights)
+    g = sums[2, 0, 0] / sums[2, 0, 1] if sums[2, 0, 1] > 0 else 0.9
+    return out[0], out[1], min(max(g, 1e-4), 1 - 1e-4)
 
 
-def tuning_histogram(cut: DataFrame, counts: DataFrame, n: int, v: int, key_bits: int) -> DataFrame:
-    """(bucket, bigram, unigram, times): steps of log2(bigram estimate / unigram estimate) and log2(unigram estimate * (V + 1)); null for estimates of 0."""
+def learned(cut: DataFrame, counts: DataFrame, n: int, v: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights by expectation-maximisation over the tuning blocks; n and v are of the counts without them, and of all."""
+    names = ["b3", "b2", "e3", "e2", "e1", "times"]
 
     def each(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        _, own, (uni, uni_tune), (bi, bi_tune) = _with_counts(block, found, key_bits)
-        uni, bi = uni - uni_tune, bi - bi_tune
-        c2, c1, c12 = uni[own.place[own.tokens]], uni[own.place[own.before]], bi[own.bigram_of]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.round(STEPS * np.log2(c2 / max(n, 1) * (v + 1)))
-            over = np.round(STEPS * np.log2((c12 / c1) / (c2 / max(n, 1))))
-        out = pd.DataFrame({"bucket": bucket_of(c1), "bigram": np.where(c12 > 0, over, np.nan), "unigram": np.where(c2 > 0, up, np.nan)})
-        return out.groupby(["bucket", "bigram", "unigram"], dropna=False).size().reset_index(name="times")
-
-    rows = cut.where("role = 1").select("block", "tokens", "vocab").groupBy("block").cogroup(counts.where("block >= 0").groupBy("block"))
-    return rows.applyInPandas(lambda b, c: each(b, c) if len(b) else pd.DataFrame(columns=["bucket", "bigram", "unigram", "times"]), "bucket long, bigram double, unigram double, times long").groupBy("bucket", "bigram", "unigram").agg(F.sum("times").alias("times"))
-
-
-def weights(histogram: pd.DataFrame) -> np.ndarray:
-    """Mixture weights (bigram, unigram, uniform) of 64 buckets by expectation-maximisation; a bucket without counts takes those below it."""
-    out, last = np.zeros((64, 3)), np.array([0.1, 0.8, 0.1])
-    for b in range(64):
-        rows = histogram[histogram["bucket"] == b]
-        if len(rows):
-            up = np.exp2(rows["unigram"].to_numpy(float) / STEPS)
-            p = np.stack([np.nan_to_num(np.exp2(rows["bigram"].to_numpy(float) / STEPS) * up), np.nan_to_num(up), np.ones(len(rows))], axis=1)
-            times, w = rows["times"].to_numpy(float), np.array([0.3, 0.6, 0.1])
-            for _ in range(ROUNDS):
-                share = p * w
-                w = (share / share.sum(axis=1, keepdims=True) * times[:, None]).sum(axis=0) / times.sum()
-            last = (w + 1e-4) / (w + 1e-4).sum()
-        out[b] = last
-    out[0, 1:] += out[0, 0] / 2  # unseen contexts have no bigrams
-    out[0, 0] = 0
-    return out
+        if not len(block):
+            return pd.DataFrame(columns=names)
+        _, own, total, tune = _with_counts(block, found)
+        seen = own.seen([a - b for a, b in zip(total, tune)])
+        key = np.zeros(len(own.first), np.uint64)
+        for x in seen:
+            key = _mix(key * _ODD + x.astype(np.uint64))
+        _, at, times = np.unique(key, return_index=True, return_counts=True)
+        got = estimates(tuple(x[at] for x in seen), n)
+        return pd.DataFrame({name: [np.ascontiguousarray(x).tobytes()] for name, x in zip(names, (*got, times))})
+
+    rows = cut.where("role = 1").groupBy("block").cogroup(counts.where("block >= 0").groupBy("block"))
+    tokens = materialize(rows.applyInPandas(each, ", ".join(f"{c} binary" for c in names)), "lm-tuning")
+    floor = 1 / (v + 1)
+    weights = maximised(np.zeros((3, BUCKETS, 2)))
+    for _ in range(ROUNDS):
+
+        def round_(batches: Iterator[pd.DataFrame], weights=weights) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((3, BUCKETS, 2))
+            for batch in batches:
+                for r in batch.itertuples():
+                    found = tuple(np.frombuffer(getattr(r, c), np.int64 if c in ("b3", "b2") else np.float64) for c in names[:-1])
+                    sums += expected(weights, found, np.frombuffer(r.times, np.int64), floor)
+            at = np.nonzero(sums)
+            yield pd.DataFrame({"at": np.ravel_multi_index(at, sums.shape), "x": sums[at]})
+
+        sums = np.zeros(3 * BUCKETS * 2)
+        for r in tokens.mapInPandas(round_, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            sums[r["at"]] = r["x"]
+        weights = maximised(sums.reshape(3, BUCKETS, 2))
+    return weights
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    cut = materialize_by_role(blocks(docs, id_col, text_col))
-    total = cut.agg(F.sum("n_tokens")).first()[0] or 0
-    key_bits = min(64, max(48, 2 * int(total).bit_length() - 6))  # few of the bigrams share a key
-    counts = materialize(counted(cut, max(16, -(-total * 5 // RANGE_BYTES)), key_bits), "lm-counts")
-    sums = counts.where("block = -1 AND kind = 1").agg(F.sum("n"), F.sum("v"), F.sum("n_tune")).first()
+    cut = _written(blocks(docs, id_col, text_col))
+    total, n_blocks = cut.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    counts = materialize(counted(cut, n_blocks, 10 * total), "lm-counts")
+    sums = counts.where((F.col("block") == -1) & (F.col("order") == 1)).agg(F.sum("n"), F.sum("v"), F.sum("n_tune")).first()
     n, v, n_tune = (int(x or 0) for x in sums)
-    mixture = weights(tuning_histogram(cut, counts, n - n_tune, v, key_bits).toPandas())
+    weights = learned(cut, counts, n - n_tune, v)
 
     def each(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        b, own, (uni, _), (bi, _) = _with_counts(block, found, key_bits)
-        c2, c1, c12 = uni[own.place[own.tokens]], uni[own.place[own.before]], bi[own.bigram_of]
-        w = mixture[bucket_of(c1)]
-        p = w[:, 0] * (c12 / np.maximum(c1, 1)) + w[:, 1] * (c2 / max(n, 1)) + w[:, 2] / (v + 1)
-        if not n:
-            p = np.full(len(c2), 1.0 / (v + 1))
-        lengths = np.frombuffer(b["lengths"], "<u4").astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
+        b, own, total, _ = _with_counts(block, found)
+        seen = own.seen(total)
+        p = probabilities(weights, estimates(seen, n), 1 / (v + 1))[0] if n else np.full(len(own.first), 1 / (v + 1))
+        starts = np.cumsum(own.lengths) - own.lengths
         return pd.DataFrame({
-            "doc_id": pd.array(list(b["doc_ids"]), "Int64"), "held_out": b["role"] == 2, "n_tokens": lengths, "n_known": np.add.reduceat((c2 > 0).astype(np.int64), starts), "train_tokens": n,
-            "base_score": np.add.reduceat(np.log10((c2 + 0.1) / (n + 0.1 * (v + 1))), starts), "score": np.add.reduceat(np.log10(p), starts)})
+            "doc_id": list(b.doc_ids), "held_out": own.held, "n_tokens": own.lengths, "n_known": np.add.reduceat((seen[4] > 0).astype(np.int64), starts), "train_tokens": n,
+            "base_score": np.add.reduceat(np.log10((seen[4] + 0.1) / (n + 0.1 * (v + 1))), starts), "score": np.add.reduceat(np.log10(p), starts)})
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return (cut.select("block", "role", "doc_ids", "lengths", "tokens", "vocab").groupBy("block").cogroup(counts.where("block >= 0").select("kind", "range", "block", "total", "tune").groupBy("block"))
-            .applyInPandas(lambda b, c: each(b, c) if len(b) else pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")]), schema))
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    found = counts.where("block >= 0").select("order", "prefix", "block", "total")
+    rows = cut.drop("n_tokens").withColumn("role", F.lit(0)).groupBy("block").cogroup(found.groupBy("block"))
+    return rows.applyInPandas(lambda b, c: each(b, c) if len(b) else pd.DataFrame(columns=_names(schema)), schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def materialize_by_role(cut: DataFrame) -> DataFrame:
+def _written(cut: DataFrame) -> DataFrame:
     """Like materialize, a folder by role, so that tuning reads its own blocks only."""
-    import uuid
-
-    from .common import shared_dir
-
     path = f"{shared_dir(cut.sparkSession)}/lm-blocks-{uuid.uuid4().hex}"
     cut.write.option("compression", "zstd").partitionBy("role").parquet(path)
     return cut.sparkSession.read.schema(cut.schema).parquet(path)

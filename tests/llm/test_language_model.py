@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from driftline.llm import language_model as lm
@@ -29,49 +30,89 @@ def made():
     return [*rows, (500, None, "x"), (501, "", "x"), (None, "W1é unseen", "x"), (502, "zzz " * 30_000, "x"), (7, rows[7][1], "x"), (10, "ÀB ab", "x")]
 
 
-@pytest.mark.parametrize("block", [300, 2_000_000])
-def test_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(lm, "BLOCK", block)
-    rows = made()
-    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)).collect()
-    assert len(got) == len(rows)
+def brute(rows):
+    """Trigram scores with weights by plain expectation-maximisation over single tokens."""
     train = [words(t) for i, t, _ in rows if fold(i) != 0]
     tune = [words(t) for i, t, _ in rows if fold(i) == 1]
-    uni, bi = Counter(w for d in train for w in d), Counter(b for d in train for b in zip(["<end>", *d], d))
-    uni_t, bi_t = Counter(w for d in tune for w in d), Counter(b for d in tune for b in zip(["<end>", *d], d))
-    n, v = sum(uni.values()), len(uni)
-    kept = n - sum(uni_t.values())
-    hist = Counter()
-    for d in tune:
-        for a, b in zip(["<end>", *d], d):
-            c1, c2, c12 = uni[a] - uni_t[a], uni[b] - uni_t[b], bi[a, b] - bi_t[a, b]
-            up = round(lm.STEPS * math.log2(c2 / kept * (v + 1))) if c2 else math.nan
-            over = round(lm.STEPS * math.log2((c12 / c1) / (c2 / kept))) if c12 else math.nan
-            hist[int(math.log2(c1 + 1)), "n" if over != over else over, "n" if up != up else up] += 1
-    import pandas as pd
-
-    frame = pd.DataFrame([(b, math.nan if o == "n" else o, math.nan if u == "n" else u, t) for (b, o, u), t in hist.items()], columns=["bucket", "bigram", "unigram", "times"])
-    mixture = lm.weights(frame)
-    want = Counter()
+
+    def count(docs):
+        grams = [Counter(), Counter(), Counter()]
+        for d in docs:
+            padded = ["<end>", "<end>", *d]
+            for k in range(3):
+                grams[k].update(tuple(padded[i - k : i + 1]) for i in range(2, len(padded)))
+        return grams
+
+    whole, held = count(train), count(tune)
+    n, v = sum(whole[0].values()), len(whole[0])
+
+    def facts(d, grams, total):
+        padded = ["<end>", "<end>", *d]
+        ends = grams[0]["<end>",]
+        for i in range(2, len(padded)):
+            u, x, w = padded[i - 2 : i + 1]
+            c3, c2 = (ends if x == "<end>" else grams[1][u, x]), grams[0][x,]
+            yield (int(2 * math.log2(c3 + 1)), int(2 * math.log2(c2 + 1)), grams[2][u, x, w] / max(c3, 1), grams[1][x, w] / max(c2, 1), grams[0][w,] / total)
+
+    def p(weights, f):
+        a, b, g = weights
+        p1 = g * f[4] + (1 - g) / (v + 1)
+        p2 = b[f[1]] * f[3] + (1 - b[f[1]]) * p1
+        return p1, p2, a[f[0]] * f[2] + (1 - a[f[0]]) * p2
+
+    rest = [x - y for x, y in zip(whole, held)]
+    seen = [f for d in tune for f in facts(d, rest, n - sum(held[0].values()))]
+    weights = [0.3 * (i > 0) for i in range(lm.BUCKETS)], [0.3 * (i > 0) for i in range(lm.BUCKETS)], 0.9
+    for _ in range(lm.ROUNDS):
+        hits, asks = Counter(), Counter()
+        for f in seen:
+            p1, p2, p3 = p(weights, f)
+            r3 = weights[0][f[0]] * f[2] / p3
+            r2 = (1 - r3) * weights[1][f[1]] * f[3] / p2
+            for key, hit, ask in ((("a", f[0]), r3, 1), (("b", f[1]), r2, 1 - r3), ("g", (1 - r3 - r2) * weights[2] * f[4] / p1, 1 - r3 - r2)):
+                hits[key] += hit
+                asks[key] += ask
+        new = []
+        for name in "ab":
+            last, own = 0.3, [0.0]
+            for i in range(1, lm.BUCKETS):
+                if asks[name, i] > 0:
+                    last = min(max(hits[name, i] / asks[name, i], 1e-4), 1 - 1e-4)
+                own.append(last)
+            new.append(own)
+        weights = (*new, min(max(hits["g"] / asks["g"], 1e-4), 1 - 1e-4))
+    out = Counter()
     for i, t, _ in rows:
         d = words(t)
-        base = sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in d)
-        score = 0.0
-        for a, b in zip(["<end>", *d], d):
-            w = mixture[int(math.log2(uni[a] + 1))]
-            score += math.log10(w[0] * bi[a, b] / max(uni[a], 1) + w[1] * uni[b] / n + w[2] / (v + 1))
-        want[i, fold(i) == 0, len(d), sum(uni[w] > 0 for w in d), n, round(base, 5), round(score, 5)] += 1
+        base = sum(math.log10((whole[0][w,] + 0.1) / (n + 0.1 * (v + 1))) for w in d)
+        score = sum(math.log10(p(weights, f)[2]) for f in facts(d, whole, n))
+        out[i, fold(i) == 0, len(d), sum(whole[0][w,] > 0 for w in d), n, round(base, 5), round(score, 5)] += 1
+    return out
+
+
+@pytest.mark.parametrize(("block", "part", "bits"), [(300, 64, 2), (900, 256, 3), (2_000_000, 8 << 20, 8)])
+def test_against_brute_force(spark, monkeypatch, block, part, bits):
+    for name, value in (("BLOCK", block), ("PART_BYTES", part * 64 if block < 1000 else part), ("LEVEL_BITS", bits), ("ROUNDS", 4)):
+        monkeypatch.setattr(lm, name, value)
+    rows = made()
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)).collect()
     have = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got)
-    assert have == want
+    assert have == brute(rows)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one():
-    uni, bi = Counter(a=5, b=3, c=2), {("a", "a"): 2, ("a", "b"): 3}
-    w = [0.5, 0.3, 0.2]
-    total = sum(w[0] * bi.get(("a", x), 0) / 5 + w[1] * uni[x] / 10 + w[2] / 4 for x in "abcu")
-    assert total == pytest.approx(1)
+def test_long_ids_beside_nulls(spark):
+    rows = [(2**53 + 1, "a b"), (None, "c"), (2**53 + 3, "d " * 50)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+
+
+def test_counts_over_32_bits():
+    x = np.array([0, 1, 2**40, 2**33 + 5], np.int64)
+    assert lm._numbers(lm._planes(x)).tolist() == x.tolist()
+    keys = np.array([5, 9, 2**63, 2**64 - 1], np.uint64)
+    assert lm._unpacked(lm._packed(keys)).tolist() == keys.tolist() and lm._unpacked(lm._packed(keys[3:])).tolist() == [2**64 - 1]
 
 
 def test_no_rows_and_nothing_to_learn_from(spark):
