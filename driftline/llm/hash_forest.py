@@ -6,8 +6,9 @@ time, and their ranges widen, until these hold SHARE of the vectors. The candida
 largest inner products vectors get one more component, sqrt(longest² - length²), which makes the nearest angle the largest
 product.
 
-Rows are dealt to shards of about SHARD vectors, each with a forest of its own; a query goes to every shard, in blocks, and its
-best of all shards are merged. Directions are drawn from a fixed seed, nothing is fitted but lengths. Close neighbours need few
+Rows are dealt to shards of about SHARD vectors, each with a forest that is built once. A shard's vectors and the queries it is asked
+are sorted to one task, vectors first, so queries stream past a forest that is there; a query's best of all shards are merged. No
+query can skip a shard: where neighbours are hardly nearer than the rest, any routing loses recall in proportion (README). Directions are drawn from a fixed seed, nothing is fitted but lengths. Close neighbours need few
 candidates; SHARE is for vectors whose neighbours are hardly nearer than the rest (products of 0.4 of 64 components). Beside a
 much longer vector all others would seem at right angles to every query, so a shard's vectors are cut by length into bands, each
 a forest with a longest length of its own: a band reaches down to BAND of its longest, or further while it is so small that all
@@ -20,6 +21,8 @@ of equal length meet; ties go to the smaller id; a query with fewer candidates t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,8 @@ BITS = 32
 SHARE = 0.65
 BAND = 0.8
 SHARD = 8192
-QUERIES = 1024
+#: Queries whose descents a task holds at a time.
+QUERIES = 512
 SEED = 11
 
 
@@ -112,34 +116,52 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return own.where(~bad & F.exists("v", lambda x: x != 0)).withColumn("n", F.size("v")).distinct()
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, shard: int = SHARD, block: int = QUERIES, trees: int = TREES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of vectors (see usable) where is_query, its k largest inner products with rows of other ids."""
-    vectors = materialize(vectors, "forest-vectors")
-    n, queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-(queries or 0) // block))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    index = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    asked = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    names = ["query_id", "vec_id", "score"]
-
-    def find(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(wanted):
-            return pd.DataFrame(columns=names)
-        ids, x, q = rows["vec_id"].to_numpy(), np.stack(rows["v"].tolist()), np.stack(wanted["v"].tolist())
-        lengths, parts, out = np.sqrt((x**2).sum(axis=1)), [], []
-        for at in bands(lengths, 4 * k):
-            forest, least = Forest(x[at], lengths[at[0]], trees), min(len(at), max(int(share * len(at)), 4 * k))
-            parts.append([at[found] for found in forest.candidates(q, least)])
-        for own, vector, *found in zip(wanted["vec_id"].tolist(), q, *parts):
+def _answers(ids: np.ndarray, x: np.ndarray, share: float, k: int, trees: int):
+    """A function of (query ids, queries) that yields (query id, ids, scores) of each query's best k among the vectors x."""
+    lengths, forests = np.sqrt((x**2).sum(axis=1)), []
+    for at in bands(lengths, 4 * k):
+        forests.append((at, Forest(x[at], lengths[at[0]], trees), min(len(at), max(int(share * len(at)), 4 * k))))
+
+    def answer(own_ids: np.ndarray, q: np.ndarray):
+        parts = [[at[found] for found in forest.candidates(q, least)] for at, forest, least in forests]
+        for own, vector, *found in zip(own_ids.tolist(), q, *parts):
             found = np.concatenate(found)
             found = found[ids[found] != own]
             scores = x[found] @ vector
             at = best(ids[found], scores, k)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[found][at], "score": scores[at]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=names)
+            yield own, ids[found][at], scores[at]
 
-    keys = ["n", "shard", "block"]
-    near = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(find, "query_id long, vec_id long, score double")
+    return answer
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, shard: int = SHARD, trees: int = TREES) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of vectors (see usable) where is_query, its k largest inner products with rows of other ids."""
+    vectors = materialize(vectors, "forest-vectors")
+    shards = max(1, -(-vectors.count() // shard))
+    index = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
+    asked = vectors.where(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held, answer = None, [], None
+        for batch in batches:
+            change = (batch[["n", "shard", "asks"]] != batch[["n", "shard", "asks"]].shift()).any(axis=1).cumsum()
+            for _, rows in batch.groupby(change, sort=False):
+                if group != (key := (rows["n"].iloc[0], rows["shard"].iloc[0])):
+                    group, held, answer = key, [], None
+                if not rows["asks"].iloc[0]:
+                    held.append((rows["vec_id"].to_numpy(), np.stack(rows["v"].tolist())))
+                    continue
+                if answer is None:
+                    if not held:
+                        continue
+                    answer, held = _answers(*map(np.concatenate, zip(*held)), share, k, trees), []
+                for lo in range(0, len(rows), QUERIES):
+                    some = rows.iloc[lo : lo + QUERIES]
+                    for own, ids, scores in answer(some["vec_id"].to_numpy(), np.stack(some["v"].tolist())):
+                        yield pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores})
+
+    keys = ["n", "shard"]
+    near = index.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "asks").mapInPandas(find, "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

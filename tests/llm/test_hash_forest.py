@@ -34,7 +34,7 @@ def test_recall(spark, scaled):
     rows = [(i, [float(y) for y in np.float32(v)]) for i, v in enumerate(x)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     want = brute(rows, 20)
-    got = hf.search(hf.usable(df), F.col("vec_id") % 20 == 0, shard=700, block=64, share=0.65 if scaled else hf.SHARE).collect()
+    got = hf.search(hf.usable(df), F.col("vec_id") % 20 == 0, shard=700).collect()
     assert len(got) == 20 * len(want)
     assert recall(got, want) >= 0.9
     vectors = dict(rows)
@@ -76,6 +76,24 @@ def test_recall_of_given_tables(spark, sf, lengths):
     assert found >= 0.9
 
 
+def test_a_forest_is_built_once_a_shard(spark, tmp_path):
+    """However many blocks its queries come in."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((900, 8)))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = hf.search(hf.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.lit(True), k=5, share=1.0, shard=400).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    ids, x = np.arange(900), np.array([v for _, v in rows])
+    scores = x @ x.T
+    for r in got:
+        own = np.where(ids == r.query_id, -np.inf, scores[r.query_id])
+        assert r.vec_id == np.argsort(-own, kind="stable")[r.rank - 1]
+    assert len(got) == 4500
+
+
 def test_bands():
     lengths = np.array([1.0, 0.85, 4.0, 3.9, 1.0, 0.1])
     assert [b.tolist() for b in hf.bands(lengths, 1)] == [[2, 3], [0, 4, 1], [5]]
