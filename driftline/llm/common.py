@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests on local[n])."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -51,6 +53,19 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
+#: Equal rows that one task numbers at a time.
+STEP = 10_000
+
+
+def numbered(rows: DataFrame, copies: str, name: str) -> DataFrame:
+    """Each row as often as its `copies` says, numbered from 1 in `name`. Rows of many copies are cut into runs of STEP, dealt out before they expand."""
+    few = rows.where(F.col(copies) <= STEP).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long"))))
+    many = rows.where(F.col(copies) > STEP).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long"), F.lit(STEP).cast("long"))))
+    many = many.repartition(F.xxhash64(*[F.col(f"`{c}`") for c in (copies, name)]))
+    run = F.sequence(F.col(name), F.least(F.col(name) + (STEP - 1), F.col(copies).cast("long")))
+    return few.unionByName(many.withColumn(name, F.explode(run))).drop(copies)
+
+
 def one_column_of(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have yet."""
     taken, name = {c.lower() for c in df.columns}, base

@@ -6,10 +6,11 @@ need not split. Bytes are summed once by the prefixes of a first directory depth
 shallower prefixes come from these sums. Only documents in buckets that are still too large go on, 8 bits deeper each round.
 
 The hash is over id, text and an ordinal among equal rows, so that equal rows, even a third of all, can part. Equal rows are
-counted first, then numbered from their count; no task gathers them.
+counted first, then numbered from their count in runs that are dealt over tasks; no task gathers them.
 
 Defined results: null ids and texts are values of their own, with no bytes; a document over LIMIT has a shard of its own; at BITS
-bits a bucket stays as it is; an empty table gives no rows; shard is the prefix in binary, '' for the only one.
+bits a bucket stays as it is; an empty table gives no rows; shard is the prefix in binary, '' for the only one. Where documents have a
+column of that name, the new one has an underscore in front (as many as it takes).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered, one_column_of
 
 LIMIT = 16 << 20
 BITS = 60
@@ -35,7 +36,7 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, n_bytes, ordinal, h) for each row: equal rows are counted, then numbered."""
     fingerprint = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     same = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), fingerprint.alias("f")).groupBy("doc_id", "n_bytes", "f").agg(F.count("*").alias("copies"))
-    each = same.select("doc_id", "n_bytes", "f", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("ordinal"))
+    each = numbered(same, "copies", "ordinal")
     return each.select("doc_id", "n_bytes", "ordinal", _hash(F.col("doc_id"), F.col("f"), F.col("ordinal")).alias("h"))
 
 
@@ -71,19 +72,19 @@ def assign(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs (all columns) with `shard`. Rows equal in every column are counted and numbered; the hash is over all columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    print_ = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-    each = (docs.groupBy(*columns).agg(F.count("*").alias("_copies")).select(F.struct(*columns).alias("doc"), print_.alias("f"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("ordinal"))
-            .select("doc", F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long").alias("n_bytes"), _hash(F.lit("row"), F.col("f"), F.col("ordinal")).alias("h")))
+    """docs (all columns) with `shard`, or a longer name that docs don't have. Rows equal in every column are counted and numbered; the hash is over all columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    each = numbered(whole.groupBy("doc").agg(F.count("*").alias("copies")), "copies", "ordinal")
+    fingerprint = F.md5(F.to_json("doc", {"ignoreNullFields": "false"}))
+    each = each.select("doc", F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long").alias("n_bytes"), _hash(F.lit("row"), fingerprint, F.col("ordinal")).alias("h"))
     placed = assign(materialize(each, "shard-rows"), limit)
-    return placed.select("doc.*", "shard")
+    return placed.select("doc.*", F.col("shard").alias(one_column_of(docs, "shard")))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write docs as Parquet, a folder for each shard (its prefix follows an x)."""
-    sharded = shard_documents(docs, limit)
-    sharded.withColumn("shard", F.concat(F.lit("x"), F.col("shard"))).repartition("shard").write.partitionBy("shard").parquet(path)
+    sharded, name = shard_documents(docs, limit), one_column_of(docs, "shard")
+    sharded.withColumn(name, F.concat(F.lit("x"), F.col(name))).repartition(name).write.partitionBy(name).parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import mixing
+from driftline.llm import common, mixing
 from driftline.llm.common import materialize
 
 
@@ -26,7 +26,7 @@ def test_against_the_rule(spark):
     docs = [(i, "w " * (i * 37 % 90 + 1), ["a", "b", None, "Z", "é"][0 if i % 3 else i % 5], "x") for i in range(2000)]
     docs += [(None, None, "a", "x"), (5, "", "b", "x"), (7, "one two", "tiny", "x"), (7, "one two", "tiny", "x"), (8, "  ", "empty", "x"), (9, "long " * 20_000, "a", "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, taken string")
-    keyed = materialize(mixing.with_keys(df.select("doc_id", "text", "source")).drop("text"), "t")
+    keyed = materialize(mixing.with_keys(df.select("doc_id", "text", "source")), "t")
     rows = mixing.mix(keyed).collect()
     assert len(rows) == len(docs)
     sizes = {}
@@ -57,6 +57,23 @@ def test_mixed_documents(spark):
     assert by["t"] == 30 and abs(by["s"] - 70) <= 1
 
 
+def test_equal_rows_and_null_ids_go_their_own_ways(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 5)
+    monkeypatch.setattr(mixing, "RUN", 4)
+    monkeypatch.setattr(common, "STEP", 50)
+    docs = [(None, "a b", "s")] * 400 + [(None, f"c d {i}", "s") for i in range(200)] + [(i, "x y z", "t") for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(materialize(mixing.with_keys(df), "t")).collect()
+    assert len(rows) == len(docs) and len({r.mix_key for r in rows}) == len(docs)
+    equal = [r.taken for r in rows if r.mix_id is None and r.mix_size == 2]
+    assert 0 < sum(t > 0 for t in equal) <= len(equal)
+    for s, target in reshared({"s": 1400, "t": 150}).items():
+        assert sum(r.taken for r in rows if r.mix_source == s) == pytest.approx(target, abs=0.51)
+    out = mixing.mixed_documents(df)
+    n = {r.text: r["count"] for r in out.groupBy("text").count().collect()}
+    assert n["a b"] > 100 and sorted(map(str, out.collect())) == sorted(map(str, mixing.mixed_documents(df).collect()))
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixed_documents(df).count() == 0

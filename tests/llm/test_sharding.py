@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+from driftline.llm import common
 from driftline.llm import sharding as sh
 from driftline.llm.common import materialize
 
@@ -50,5 +51,21 @@ def test_whole_documents(spark):
     assert spark.read.parquet(path).count() == 300
 
 
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a", 5, "s"), (1, "a", 5, "s"), (2, "b", 6, "t")], "doc_id long, text string, _copies int, shard string")
+    out = sh.shard_documents(df, 1)
+    assert out.columns == [*df.columns, "_shard"]
+    assert sorted(map(tuple, out.drop("_shard").collect())) == sorted(map(tuple, df.collect()))
+    assert out.select("_shard").distinct().count() == 3
+
+
+def test_runs_of_equal_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "STEP", 100)
+    df = spark.createDataFrame([(1, "same")] * 1050 + [(None, None)] * 77, "doc_id long, text string")
+    rows = sh.hashed(df).collect()
+    assert sorted(r.ordinal for r in rows if r.doc_id == 1) == list(range(1, 1051)) and len(rows) == 1127
+    assert len({r.h for r in rows}) == 1127
+
+
 def test_no_rows(spark):
     assert sh.assign(materialize(sh.hashed(spark.createDataFrame([], "doc_id long, text string")), "t")).count() == 0
