@@ -8,9 +8,11 @@ Folders of a store, all Parquet:
 A rolling hash over WINDOW ids ends a chunk where its high bits are zero, so documents that share a long passage share its chunks
 wherever it stands; a chunk stops at LONGEST ids. A document's root is over its chunks' digests.
 
-Tokenising splits a text at ASCII white space, which the tokenizer drops and never merges across, and remembers words' ids.
+Tokenising splits a text at ASCII white space, which the tokenizer drops and never merges across, and remembers words' ids. That is
+for files whose normalizer and pre-tokenizer are those of KNOWN; other files' texts go through the library whole.
 
-Reading: each chunk is read once and its digest checked. crc32 is linear, so a document's crc32 is the exclusive or of its
+Reading: each chunk is read once and its digest checked; document roots are made again from the recipes' digests, part roots from
+these, and compared with the manifest, so swapped, lost or replaced chunks, recipes and parts all raise. crc32 is linear, so a document's crc32 is the exclusive or of its
 chunks' crc32s, each moved by the bytes that follow it; documents(...) puts the ids themselves together.
 
 Defined results: a null text is empty and has the end id only; equal rows are documents of their own, next to each other, that
@@ -20,6 +22,7 @@ share all chunks; null ids come first; an empty table makes an empty store; othe
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -44,7 +47,7 @@ DOCS = 500
 RECIPES = "doc_id long, n_tokens long, digests binary, ends array<int>, part int, idx long, local_start long, root binary"
 _PRIME = np.uint32(0x9E3779B1)
 
-_loaded: dict[str, _Words] = {}
+_loaded: dict[str, object] = {}
 
 
 class _Pieces(dict):
@@ -88,6 +91,16 @@ class _Words(dict):
         return found
 
 
+#: Digest of the normalizer and pre-tokenizer (sorted JSON) that the split into words and pieces stands for.
+KNOWN = "030f605e4f340b0458c72cba5c104920ded9b7910a25d9e82c455d4a8374b9a5"
+
+
+def _settings(path: str) -> str:
+    with open(path) as f:
+        whole = json.load(f)
+    return hashlib.sha256(json.dumps([whole.get("normalizer"), whole.get("pre_tokenizer")], sort_keys=True).encode()).hexdigest()
+
+
 class WordEncoder:
     """Packed ids of texts by a tokenizer file, by way of memos of words and of the pieces its pre-tokenizer makes.
 
@@ -99,11 +112,14 @@ class WordEncoder:
         if path not in _loaded:
             from tokenizers import Tokenizer
 
-            _loaded[path] = _Words(Tokenizer.from_file(path))
+            own = Tokenizer.from_file(path)
+            _loaded[path] = _Words(own) if _settings(path) == KNOWN else own
         self.words = _loaded[path]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Of texts in UTF-8."""
+        if not isinstance(self.words, _Words):
+            return [array("I", e.ids).tobytes() for e in self.words.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         get = self.words.__getitem__
         return [b"".join(map(get, t.split())) for t in texts]
 
@@ -113,7 +129,7 @@ def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     gear = (ids + np.uint32(1)) * _PRIME
     gear ^= gear >> np.uint32(15)
     rolled, weight = gear.copy(), 1
-    for k in range(1, WINDOW):
+    for k in range(1, min(WINDOW, len(ids))):
         weight = weight * 0x01000193 & 0xFFFFFFFF
         rolled[k:] += gear[: len(ids) - k] * np.uint32(weight)
     starts = np.concatenate([[0], doc_ends[:-1]])
@@ -208,7 +224,13 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _manifest(rows: DataFrame) -> DataFrame:
-    """Merkle root by part: document roots in order are hashed in runs of 1024, then the runs' hashes."""
+    """Merkle root by part: document roots, made from the recipes' digests, are hashed in order in runs of 1024, then the runs' hashes."""
+
+    @F.pandas_udf("binary")
+    def root(digests: pd.Series) -> pd.Series:
+        return digests.map(_digest)
+
+    rows = rows.select("part", "idx", "n_tokens", root("digests").alias("root"))
     runs = rows.groupBy("part", F.floor(F.col("idx") / 1024).alias("run")).agg(
         F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("root"),
         F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
@@ -217,11 +239,16 @@ def _manifest(rows: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "root"))), lambda x: x["root"]), ""), 256).alias("root"))
 
 
-def broken_parts(spark: SparkSession, path: str) -> DataFrame:
-    """Parts whose recipes don't give the manifest's root; no rows if the store is whole."""
+def _compared(spark: SparkSession, path: str) -> DataFrame:
+    """(part, root, now) of every part that the manifest or the recipes have."""
     now = _manifest(recipes(spark, path)).select("part", F.col("root").alias("now"))
     kept = spark.read.schema("part int, n_docs long, n_tokens long, root string").parquet(f"{path}/manifest")
-    return kept.join(now, "part", "full_outer").where(~F.col("root").eqNullSafe(F.col("now")))
+    return kept.select("part", "root").join(now, "part", "full_outer")
+
+
+def broken_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Parts whose recipes don't give the manifest's root; no rows if the store is whole."""
+    return _compared(spark, path).where(~F.col("root").eqNullSafe(F.col("now")))
 
 
 def store_root(spark: SparkSession, path: str) -> DataFrame:
@@ -262,11 +289,14 @@ def _exploded(spark: SparkSession, path: str) -> DataFrame:
     return recipes(spark, path).select("part", "idx", F.explode(chunk).alias("c")).select("part", "idx", "c.*")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """rows with start: local_start and all ids of the parts before. There is one row by part to sum over."""
+def _starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, idx, doc_id, n_tokens, start) of the recipes, start being local_start and all ids of the parts before; raises where a part's root isn't the manifest's. There is one row by part to sum over."""
+    rows = recipes(spark, path).select("part", "idx", "doc_id", "local_start", "n_tokens")
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+    parts = parts.join(_compared(spark, path), "part", "full_outer")
+    whole = F.when(F.col("root").eqNullSafe(F.col("now")), F.coalesce("tokens", F.lit(0))).otherwise(F.raise_error(F.lit("a part's recipes don't give its root in the manifest")))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
+    parts = parts.select("part", whole.cast("long").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
     return rows.join(parts, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
@@ -290,7 +320,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     crcs = chunks(spark, path).mapInPandas(read, "digest binary, n long, crc long")
     by_doc = (_exploded(spark, path).join(crcs, "digest", "left").withColumn("moved", shifted(F.coalesce("crc", F.lit(0)), F.col("after")))
               .groupBy("part", "idx").agg(F.bit_xor("moved").alias("ids_crc32"), F.sum("n").alias("found"), F.count_if(F.col("crc").isNull()).alias("lost")))
-    rows = _starts(recipes(spark, path).select("part", "idx", "doc_id", "local_start", "n_tokens"))
+    rows = _starts(spark, path)
     whole = F.when((F.col("found") == F.col("n_tokens")) & (F.col("lost") == 0), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document's chunks are not all there")))
     return rows.join(by_doc, ["part", "idx"]).select("doc_id", "start", "n_tokens", whole.alias("ids_crc32"))
 
@@ -304,7 +334,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
     whole = (_exploded(spark, path).join(chunks(spark, path), "digest")
              .groupBy("part", "idx").agg(F.sort_array(F.collect_list(F.struct("at", "width", "ids"))).alias("chunks")).mapInPandas(join, "part int, idx long, ids binary"))
-    rows = _starts(recipes(spark, path).select("part", "idx", "doc_id", "local_start", "n_tokens"))
+    rows = _starts(spark, path)
     return rows.join(whole, ["part", "idx"]).select("doc_id", "start", "n_tokens", "ids")
 
 

@@ -1,9 +1,11 @@
+import json
 import random
 import uuid
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from driftline.llm import token_store as ts
@@ -45,6 +47,33 @@ def test_store(spark):
     assert kept.count() == kept.select("digest").distinct().count()
 
 
+def test_swapped_chunks_raise(spark):
+    rows = [(i, f"text {i} " * (40 * i + 1)) for i in range(12)]
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    ts.write(spark.createDataFrame(rows, "doc_id long, text string"), path, VOCAB)
+    kept = ts.recipes(spark, path).collect()
+    spoiled = [r.asDict() for r in kept]
+    many = next(r for r in spoiled if len(r["digests"]) >= 32 and r["digests"][:16] != r["digests"][16:32])
+    many["digests"] = many["digests"][16:32] + many["digests"][:16] + many["digests"][32:]
+    spark.createDataFrame([tuple(r.values()) for r in spoiled], ts.RECIPES).write.mode("overwrite").parquet(f"{path}/recipes")
+    assert ts.broken_parts(spark, path).count() == 1
+    with pytest.raises(Exception, match="root in the manifest"):
+        ts.checksums(spark, path).collect()
+    with pytest.raises(Exception, match="root in the manifest"):
+        ts.documents(spark, path).collect()
+
+
+def test_a_file_with_other_settings_goes_through_the_library(tmp_path):
+    whole = json.load(open(VOCAB))
+    whole["normalizer"] = None
+    other = str(tmp_path / "other.json")
+    json.dump(whole, open(other, "w"))
+    encoder, own = ts.WordEncoder(other), Tokenizer.from_file(other)
+    for x in ("Hello WORLD", "", "it's  12 é"):
+        assert np.frombuffer(encoder.encode([x.encode()])[0], "<u4").tolist() == own.encode(x, add_special_tokens=False).ids
+    assert isinstance(ts.WordEncoder(VOCAB).words, ts._Words)
+
+
 def test_shared_passages_share_chunks(spark):
     rng = np.random.default_rng(1)
     passage = rng.integers(0, 40_000, 20_000, dtype=np.uint32)
@@ -55,6 +84,12 @@ def test_shared_passages_share_chunks(spark):
     assert np.diff(ts.chunk_ends(same, np.array([50_000])), prepend=0).max() <= ts.LONGEST
 
 
+def test_a_task_of_few_ids(spark):
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    ts.write(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").repartition(2, "doc_id"), path, VOCAB)
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in ts.checksums(spark, path).collect()) == [(1, 0, 3), (2, 3, 1)]
+
+
 def test_no_rows(spark):
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     ts.write(spark.createDataFrame([], "doc_id long, text string"), path, VOCAB)
