@@ -48,7 +48,8 @@ def test_store(spark):
 
 
 def test_swapped_chunks_raise(spark):
-    rows = [(i, f"text {i} " * (40 * i + 1)) for i in range(12)]
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60 * i + 1))) for i in range(20)]
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     ts.write(spark.createDataFrame(rows, "doc_id long, text string"), path, VOCAB)
     kept = ts.recipes(spark, path).collect()
