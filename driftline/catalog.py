@@ -1,6 +1,6 @@
 """The queries of the comparison engine by name, and their SQL."""
 
-from .plans import compare, content
+from .plans import compare, content, forms
 
-QUERIES: dict = compare.QUERIES | content.QUERIES
-SQL: dict = compare.SQL | content.SQL
+QUERIES: dict = compare.QUERIES | content.QUERIES | forms.QUERIES
+SQL: dict = compare.SQL | content.SQL | forms.SQL

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import VERSION_MARK
@@ -75,12 +75,15 @@ def deploy_normalized(text: Column) -> Column:
 
 
 def valid_pattern(pattern: str | None) -> str | None:
-    """The pattern if it compiles, else None: a bad rule is no rule."""
+    """The pattern if the engine that runs it compiles it, else None: a bad rule is no rule."""
+    if not pattern:
+        return None
+    jvm = SparkSession.active().sparkContext._jvm
     try:
-        re.compile(pattern or "")
-    except re.error:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
         return None
-    return pattern or None
+    return pattern
 
 
 def rule_normalized(line: Column, ignore_whitespace: bool = False, ignore_comments: bool = False, ignore_regex: str | None = None) -> Column:

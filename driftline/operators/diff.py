@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import labels, paths
+from ..functions import labels, paths, text
 
 
 def status(old: Column, new: Column, same: Column) -> Column:
@@ -150,11 +148,8 @@ def matches(search: str, key: Column, regex: bool = False) -> Column:
         return F.lit(True)
     if not regex:
         return F.contains(F.lower(key), F.lit(search.lower()))
-    try:
-        re.compile(search)
-    except re.error:
-        return F.lit(True)
-    return key.rlike(f"(?i){search}")
+    pattern = text.valid_pattern(f"(?i){search}")
+    return key.rlike(pattern) if pattern else F.lit(True)
 
 
 def tree(diff: DataFrame) -> DataFrame:

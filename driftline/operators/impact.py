@@ -26,6 +26,12 @@ def api_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return changed.unionByName(gone).unionByName(fresh)
 
 
+def api_counts(changes: DataFrame) -> DataFrame:
+    """One row: how many signatures went, changed and came."""
+    n = lambda level, name: F.count_if(F.col("level") == level).alias(name)
+    return changes.agg(n("REMOVED_API", "removed"), n("SIGNATURE_CHANGED", "changed"), n("ADDED_API", "added"))
+
+
 def fqn(key: Column) -> Column:
     """A class' qualified name from its key: source or class file, without the folders that packages put in front."""
     k = F.regexp_replace(key, r"^(.*\.jar/)?((WEB-INF|BOOT-INF)/classes/)?", "")
