@@ -1,64 +1,86 @@
 """Pairing of deleted with added keys that a new version has only renamed.
 
-Each pairing is an equi-join on a bucket (base name, content, or normalised path) and on the first characters of every path
-segment, which equivalent paths share; the version rule is checked on the joined rows. Keys with one candidate on either side
-pair at once. The rest are settled in key order inside their bucket, as an earlier pair can make a later candidate the only one.
+Keys meet in buckets: of one content or one normalised path, and of the same first characters of every path segment, which
+equivalent paths share. A deleted key takes the only added key of its own skeleton (the path without versions) that is left, or
+where there is none the only equivalent one. Where every deleted key of a bucket has exactly one added key of its skeleton and the
+reverse, which counts by skeleton tell, nobody competes and an equi-join on the skeleton pairs them, however many share the bucket.
+Only buckets with competitors are settled in key order, as an earlier pair can make a later candidate the only one: their keys, not
+their pairs, come together, and a key looks no further than two candidates.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import paths, versions
 from ..functions.text import version_normalized_path
 from ..sources.tables import cut
 
 
-def unique_pairs(pairs: DataFrame) -> DataFrame:
-    """(d, a) of candidate pairs (bucket, d, a, strict): each d takes its only strict candidate, or without strict ones its only one, of those that are left."""
-    counted = (pairs.withColumn("of_d", F.count("*").over(W.partitionBy("bucket", "d"))).withColumn("of_a", F.count("*").over(W.partitionBy("bucket", "a"))))
-    # A d whose candidates nobody else wants needs no order either.
-    alone = counted.withColumn("contested", F.max("of_a").over(W.partitionBy("bucket", "d")) > 1)
-    free = alone.where(~F.col("contested"))
-    simple = free.groupBy("bucket", "d").agg(F.count_if("strict").alias("s"), F.count("*").alias("n"), F.max(F.when(F.col("strict"), F.col("a"))).alias("strict_a"), F.max("a").alias("any_a"))
-    simple = simple.select("d", F.when(F.col("s") == 1, F.col("strict_a")).when((F.col("s") == 0) & (F.col("n") == 1), F.col("any_a")).alias("a")).where(F.col("a").isNotNull())
+def _two(candidates: dict, d, fits) -> list:
+    """The first candidate that fits, or the first two."""
+    found = []
+    for a, row in candidates.items():
+        if fits(d, row):
+            found.append(a)
+            if len(found) == 2:
+                break
+    return found
+
+
+def in_order(deleted: pd.DataFrame, added: pd.DataFrame, fits) -> list[tuple[str, str]]:
+    """Pairs of one bucket's keys (key, skeleton, ...), in the order of deleted keys. fits says whether a deleted row may take an added one."""
+    own, left, out = defaultdict(dict), {}, []
+    for row in added.sort_values("key").itertuples(index=False):
+        own[row.skeleton][row.key] = left[row.key] = row
+    for d in deleted.sort_values("key").itertuples(index=False):
+        found = _two(own[d.skeleton], d, fits) or _two(left, d, fits)
+        if len(found) == 1:
+            out.append((d.key, found[0]))
+            del own[left[found[0]].skeleton][found[0]], left[found[0]]
+    return out
+
+
+def _settled(deleted: DataFrame, added: DataFrame, keys: list[str], fits) -> DataFrame:
+    def settle(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(in_order(d, a, fits) if len(d) and len(a) else [], columns=["d", "a"])
+
+    deleted, added = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (deleted, added))  # columns of their own: both may come from one diff
+    return deleted.groupBy(*keys).cogroup(added.groupBy(*keys)).applyInPandas(settle, "d string, a string")
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for d, own in rows.sort_values("d").groupby("d", sort=True):
-            left = own[~own["a"].isin(taken)]
-            strict = left[left["strict"]]
-            pick = strict if len(strict) else left
-            if len(pick) == 1:
-                out.append((d, pick["a"].iloc[0]))
-                taken.add(out[-1][1])
-        return pd.DataFrame(out, columns=["d", "a"])
 
-    hard = alone.where("contested").select("bucket", "d", "a", "strict").groupBy("bucket").applyInPandas(settle, "d string, a string")
-    return simple.unionByName(hard)
+def _equivalent(d, a) -> bool:
+    return versions.equivalent_paths(d.key, a.key)
 
 
-def _candidates(deleted: DataFrame, added: DataFrame, bucket: str) -> DataFrame:
-    d = deleted.select(F.col("key").alias("d"), F.col(bucket).alias("bucket"), versions.prefix_key(F.col("key")).alias("p"))
-    a = added.select(F.col("key").alias("a"), F.col(bucket).alias("bucket"), versions.prefix_key(F.col("key")).alias("p"))
-    both = cut(d.join(a, ["bucket", "p"])).where(versions.equivalent_path(F.col("d"), F.col("a")))
-    strict = version_normalized_path(F.col("d")) == version_normalized_path(F.col("a"))
-    return both.select(F.concat_ws("\x1f", "bucket", "p").alias("bucket"), "d", "a", strict.alias("strict"))
+def equivalent_pairs(deleted: DataFrame, added: DataFrame, bucket: str) -> DataFrame:
+    """(d, a) of keys whose bucket is the same and whose paths are equivalent."""
+    keys = ["bucket", "p"]
+    d, a = (side.select("key", F.col(bucket).alias("bucket"), versions.prefix_key(F.col("key")).alias("p"), version_normalized_path(F.col("key")).alias("skeleton")).where("bucket IS NOT NULL") for side in (deleted, added))
+    sizes = lambda side, n: side.groupBy(*keys, "skeleton").agg(F.count("*").alias(n), F.min("key").alias(f"{n}_key"))
+    both = cut(sizes(d, "n_d").join(sizes(a, "n_a"), [*keys, "skeleton"], "full_outer"))
+    alone = (F.col("n_d") == 1) & (F.col("n_a") == 1) & versions.equivalent_path(F.col("n_d_key"), F.col("n_a_key"))
+    # A bucket is easy if nobody in it looks beyond their own skeleton, or at two there.
+    easy = both.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("n_d").isNull() | alone, F.lit(False))).alias("easy"), F.count("n_d").alias("any_d"), F.count("n_a").alias("any_a"))
+    easy = cut(easy.where("any_d > 0 AND any_a > 0").select(*keys, "easy"))
+    pairs = both.where("n_d IS NOT NULL").join(easy.where("easy"), keys, "left_semi").select(F.col("n_d_key").alias("d"), F.col("n_a_key").alias("a"))
+    hard = easy.where("NOT easy")
+    return pairs.unionByName(_settled(d.join(hard, keys, "left_semi"), a.join(hard, keys, "left_semi"), keys, _equivalent))
 
 
 def container_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
-    """Archives of one base name and different versions."""
+    """Archives of one base name and different versions: each takes the only one that is left."""
     is_archive = F.col("file_class").isin("ARCHIVE", "JAR")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame) -> DataFrame:
         f = paths.file_name(F.col("key"))
-        return df.where(is_archive).select(F.col("key").alias(name), versions.base_name(f).alias("bucket"), versions.version(f).alias(f"{name}_v"))
+        return df.where(is_archive).select("key", versions.base_name(f).alias("bucket"), versions.version(f).alias("version"), F.lit("").alias("skeleton")).where("bucket IS NOT NULL")
 
-    both = side(deleted, "d").join(side(added, "a"), "bucket").where("d_v <> a_v")
-    return unique_pairs(both.select("bucket", "d", "a", F.lit(False).alias("strict")))
+    return _settled(side(deleted), side(added), ["bucket"], lambda d, a: d.version != a.version)
 
 
 def subfile_pairs(deleted: DataFrame, added: DataFrame, containers: DataFrame) -> DataFrame:
@@ -71,12 +93,12 @@ def subfile_pairs(deleted: DataFrame, added: DataFrame, containers: DataFrame) -
 
 
 def content_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
-    return unique_pairs(_candidates(deleted, added, "content_key"))
+    return equivalent_pairs(deleted, added, "content_key")
 
 
 def path_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
     skeleton = version_normalized_path(F.col("key"))
-    return unique_pairs(_candidates(deleted.withColumn("skeleton", skeleton), added.withColumn("skeleton", skeleton), "skeleton"))
+    return equivalent_pairs(deleted.withColumn("path", skeleton), added.withColumn("path", skeleton), "path")
 
 
 def align(diff: DataFrame, deleted_content: Column | None = None) -> DataFrame:
