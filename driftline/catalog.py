@@ -1,6 +1,6 @@
 """The queries of the comparison engine by name, and their SQL."""
 
-from .plans import compare, content, forms
+from .plans import compare, content, files, forms
 
-QUERIES: dict = compare.QUERIES | content.QUERIES | forms.QUERIES
-SQL: dict = compare.SQL | content.SQL | forms.SQL
+QUERIES: dict = compare.QUERIES | content.QUERIES | files.QUERIES | forms.QUERIES
+SQL: dict = compare.SQL | content.SQL | files.SQL | forms.SQL

@@ -59,19 +59,23 @@ def references(sources: DataFrame, targets: DataFrame) -> DataFrame:
 
     Sources are cut into their distinct words, which meet targets by simple name: no text is searched once per target.
     """
-    words = sources.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), 1))))
+    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), 1))).alias("word")
+    words = sources.select("key", "fqn", "pkg", word)
     named = targets.select("target", simple_name(F.col("target")).alias("word"), package(F.col("target")).alias("target_pkg"))
-    found = words.join(named, "word").where((F.col("target") != F.col("fqn")) & ((F.col("target_pkg") == F.col("pkg")) | F.array_contains("imports", F.col("target")) | F.contains("text", F.col("target"))))
-    return found.select("target", F.col("key").alias("source_key")).distinct()
+    found = words.join(named, "word").where(F.col("target") != F.col("fqn")).select("key", "target", (F.col("target_pkg") == F.col("pkg")).alias("near"))
+    # Only those that neither share the package nor are the target itself need imports and text, and these travel once a source.
+    far = found.where("NOT near").groupBy("key").agg(F.collect_set("target").alias("wanted"))
+    imported = F.filter("wanted", lambda t: F.array_contains("imports", t) | F.contains(F.col("text"), t))
+    written = sources.select("key", "imports", "text").join(far, "key").select(F.col("key").alias("source_key"), F.explode(imported).alias("target"))
+    return found.where("near").select("target", F.col("key").alias("source_key")).unionByName(written.select("target", "source_key")).distinct()
 
 
 def impact(targets: DataFrame, refs: DataFrame) -> DataFrame:
-    """(target, status, risk, n_refs, referenced_by) of targets (target, deleted, signature_changed)."""
-    by = refs.groupBy("target").agg(F.sort_array(F.collect_set("source_key")).alias("referenced_by"))
-    n = F.coalesce(F.size("referenced_by"), F.lit(0))
-    risk = F.when(n == 0, "LOW").when(F.col("deleted"), "CRITICAL").when(F.col("signature_changed"), "HIGH").otherwise("MEDIUM")
-    rows = targets.join(by, "target", "left").withColumn("referenced_by", F.coalesce("referenced_by", F.array().cast("array<string>")))
-    return rows.select("target", F.when(F.col("deleted"), "DELETED").otherwise("MODIFIED").alias("status"), risk.alias("risk"), F.size("referenced_by").cast("long").alias("n_refs"), "referenced_by")
+    """(target, status, risk, n_refs) of targets (target, deleted, signature_changed); who refers to a target are the rows of refs."""
+    by = refs.select("target", "source_key").distinct().groupBy("target").agg(F.count("*").alias("n_refs"))
+    rows = targets.join(by, "target", "left").withColumn("n_refs", F.coalesce("n_refs", F.lit(0)))
+    risk = F.when(F.col("n_refs") == 0, "LOW").when(F.col("deleted"), "CRITICAL").when(F.col("signature_changed"), "HIGH").otherwise("MEDIUM")
+    return rows.select("target", F.when(F.col("deleted"), "DELETED").otherwise("MODIFIED").alias("status"), risk.alias("risk"), "n_refs")
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str, value: str, fallback: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, text, versions
 from ..model import Options
 from ..operators import impact, lines
+from ..operators.quantiles import quantiles
 from .compare import compared
 from .inputs import DIFF_SQL, LINES_TEXT, TEXT, FRONT, table
 
@@ -234,9 +235,12 @@ def prompt_budget(spark, sf_dir):
 def latency_percentiles(spark, sf_dir):
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), "value", "ts", (F.col("event_type") == "error").alias("failed"))
-    q = [F.round(F.percentile("value", F.lit(p)), 4).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
-    return rows.rollup("label").agg(F.count("*").alias("n"), *q, F.min("value").alias("least"), F.max("value").alias("most"), F.round(100.0 * F.count_if("failed") / F.count("*"), 4).alias("error_rate"),
-                                    F.round(F.count("*") * 1000000.0 / (micros(F.max("ts")) - micros(F.min("ts"))), 6).alias("per_second"))
+    # A row counts under its label and under all of them.
+    each = rows.withColumn("group", F.explode(F.array(F.struct(F.lit(False).alias("all"), "label"), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("label")))))
+    sums = each.groupBy("group").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(100.0 * F.count_if("failed") / F.count("*"), 4).alias("error_rate"),
+                                     F.round(F.count("*") * 1000000.0 / (micros(F.max("ts")) - micros(F.min("ts"))), 6).alias("per_second")).withColumnRenamed("group", "of")
+    found = quantiles(each, "group", "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    return sums.join(found, F.col("group") == F.col("of"), "left").select(F.col("of.label").alias("label"), "n", *[F.round(p, 4).alias(p) for p in ("p50", "p90", "p95", "p99")], "least", "most", "error_rate", "per_second")
 
 
 @query("column_search", "SELECT 'c_name' AS col, count(*) AS hits FROM customer WHERE contains(lower(c_name), '12') HAVING count(*) > 0 UNION ALL SELECT 'c_mktsegment', count(*) FROM customer WHERE contains(lower(c_mktsegment), '12') HAVING count(*) > 0")

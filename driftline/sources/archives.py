@@ -12,10 +12,12 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..model import Options
+from .tables import cut
 
 ENTRY = "snapshot_id string, key string, container_key string, depth int, size long, crc32 long, sha256 string, bytes binary, error string"
 
@@ -48,35 +50,48 @@ def expand_zip(data: bytes, options: Options) -> Iterator[tuple[str, int, int, b
         yield "", 0, 0, None, f"root: {type(e).__name__}"
 
 
+#: Bytes of contents that a task hands on at a time.
+FRAME = 32 << 20
+
+
 def _expanded(rows: DataFrame, options: Options) -> DataFrame:
     """Children of archives (snapshot_id, key, depth, bytes)."""
+    names = [c.split()[0] for c in ENTRY.split(", ")]
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                out = []
+                out, held = [], 0
                 for name, size, crc, data, error in expand_zip(r.bytes, options):
                     out.append((r.snapshot_id, f"{r.key}/{name}" if r.key and name else name or r.key, r.key, r.depth + 1, size, crc, hashlib.sha256(data).hexdigest() if data is not None else None, data, error))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in ENTRY.split(", ")])
+                    held += len(data or b"")
+                    if held > FRAME:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+                yield pd.DataFrame(out, columns=names)
 
     return rows.select("snapshot_id", "key", "depth", "bytes").mapInPandas(expand, ENTRY)
 
 
-def scan_archives(spark: SparkSession, pattern: str, options: Options | None = None) -> DataFrame:
-    """Entries of every archive that matches a path pattern; snapshot_id is the file's name."""
-    files = spark.read.format("binaryFile").load(pattern)
+def entries_of(files: DataFrame, options: Options | None = None) -> DataFrame:
+    """Entries of archives (path, content); snapshot_id is the file's name."""
     roots = files.select(paths.file_name(F.col("path")).alias("snapshot_id"), F.lit("").alias("key"), F.lit(-1).alias("depth"), F.col("content").alias("bytes"))
     return _expanded(roots, options or Options())
 
 
+def scan_archives(spark: SparkSession, pattern: str, options: Options | None = None) -> DataFrame:
+    """Entries of every archive that matches a path pattern."""
+    return entries_of(spark.read.format("binaryFile").load(pattern), options)
+
+
 def flatten(entries: DataFrame, options: Options | None = None) -> DataFrame:
-    """entries with archives inside archives expanded, depth by depth, children keyed container/inner; an expanded container goes, one that can't be read stays with its error."""
+    """entries with archives inside archives expanded, depth by depth, children keyed container/inner; an expanded container goes, one that can't be read stays with its error. Each depth is cut, so no archive is unpacked twice."""
     options = options or Options()
     is_container = paths.file_class(F.col("key")).isin("ARCHIVE", "JAR") & F.col("bytes").isNotNull()
     done, level = None, entries
     for _ in range(options.max_depth):
         containers = level.where(is_container)
-        children = _expanded(containers, options)
+        children = cut(_expanded(containers, options))  # read three times below
         failed = children.where(F.col("error").startswith("root:")).select("snapshot_id", F.col("container_key").alias("key"), F.col("error").alias("root_error"))
         kept = level.join(failed, ["snapshot_id", "key"], "left").where(~is_container | F.col("root_error").isNotNull())
         kept = kept.withColumn("error", F.coalesce("root_error", "error")).drop("root_error").select(*[c.split()[0] for c in ENTRY.split(", ")])
@@ -107,10 +122,19 @@ def library_layers(entries: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     return expanded.unionByName(whole)
 
 
-def listing_text(entries: DataFrame) -> DataFrame:
-    """(snapshot_id, listing): a line for each entry in name order: size, checksum, kind, name."""
-    line = F.concat_ws(" ", F.lpad(F.col("size").cast("string"), 12, " "), F.lpad(F.lower(F.hex("crc32")), 8, "0"), F.lit("-"), F.substring("key", 1, 512))
-    return entries.groupBy("snapshot_id").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("key", line.alias("line")))), 1, Options().listing_limit), lambda x: x["line"]), "\n").alias("listing"))
+def listing_lines(entries: DataFrame) -> DataFrame:
+    """(snapshot_id, key, line): how a listing shows an entry: size, checksum, d or -, name. Folders above entries have lines of their own."""
+    files = entries.where("error IS NULL").select("snapshot_id", "key", "size", "crc32", F.lit("-").alias("kind"))
+    dirs = files.select("snapshot_id", F.explode(paths.ancestors(F.col("key"))).alias("key")).distinct()
+    dirs = dirs.select("snapshot_id", F.concat("key", F.lit("/")).alias("key"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("crc32"), F.lit("d").alias("kind"))
+    crc = F.coalesce(F.lpad(F.lower(F.hex("crc32")), 8, "0"), F.lit("--------"))
+    return files.unionByName(dirs).select("snapshot_id", "key", F.concat_ws(" ", F.lpad(F.col("size").cast("string"), 12, " "), crc, "kind", F.substring("key", 1, 512)).alias("line"))
+
+
+def first_lines(lines: DataFrame, limit: int) -> DataFrame:
+    """(snapshot_id, line_no, line): the first lines of every listing by name. A listing's order is a window over one archive's names, without those beyond the limit."""
+    order = W.partitionBy("snapshot_id").orderBy("key")
+    return lines.withColumn("line_no", F.row_number().over(order).cast("long")).where(F.col("line_no") <= limit).select("snapshot_id", "line_no", "line")
 
 
 def is_zip(data: Column) -> Column:
