@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,12 +50,12 @@ def tokens(text: str) -> list[str]:
 
 
 def _level(counts: dict) -> tuple[dict, dict]:
-    """(discounted count by n-gram, (total, share that backs off) by context) of counts by n-gram."""
+    """(discounted count by n-gram, (total, share that backs off) by context) of counts by n-gram; where all backs off, neither is kept."""
     totals, off = Counter(), Counter()
     for gram, n in counts.items():
         totals[gram[:-1]] += n
         off[gram[:-1]] += min(n, DISCOUNT)
-    return {g: n - DISCOUNT for g, n in counts.items() if n > DISCOUNT}, {h: (t, off[h] / t) for h, t in totals.items()}
+    return {g: n - DISCOUNT for g, n in counts.items() if n > DISCOUNT}, {h: (t, off[h] / t) for h, t in totals.items() if off[h] < t}
 
 
 def _interpolated(level: tuple[dict, dict], gram, lower: float) -> float:
@@ -67,26 +67,26 @@ class Characters:
     """Kneser-Ney models of the characters of words, one a class. words: word -> count, by class."""
 
     def __init__(self, words: list[Counter]):
-        top: list[Counter] = [Counter() for _ in words]
-        before: list[dict[str, set[str]]] = [defaultdict(set) for _ in range(ORDER)]
-        for c, counts in enumerate(words):
-            for word, n in counts.items():
-                s = f"<{word}>"
-                for i in range(1, len(s)):
-                    top[c][s[max(0, i - ORDER + 1) : i + 1]] += n
-                    for k in range(1, ORDER):  # at a word's start there is one left neighbour, the edge
-                        if i - k >= -1:
-                            before[k][s[max(0, i - k + 1) : i + 1]].add(s[i - k] if i >= k else "")
-        self.types = len(before[1]) + 1
-        # Of the shorter n-grams: probabilities of those that are seen, and the share that backs off by context.
+        every = set().union(*words)
+        # Of the shorter n-grams: probabilities of those that are seen twice or more, and the share that backs off by context.
         self.known: dict[str, float] = {}
         self.off: dict[str, float] = {}
+        self.types = len({ch for w in every for ch in w}) + 2
         for k in range(1, ORDER):
-            level = _level({g: len(x) for g, x in before[k].items()})
+            # How many different characters come before an n-gram; before a word's edge there is one, nothing.
+            longer = {s[i - k : i + 1] for s in (f"\x00<{w}>" for w in every) for i in range(max(2, k), len(s))}
+            level = _level(Counter(g[1:] for g in longer))
             found = {g: _interpolated(level, g, self._shared(g[1:])) for g in level[0]}
             self.off.update({h: share for h, (_, share) in level[1].items()})
             self.known.update(found)
-        self.top = [_level(counts) for counts in top]
+        self.top = []
+        for counts in words:
+            top: Counter = Counter()
+            for word, n in counts.items():
+                s = f"<{word}>"
+                for i in range(1, len(s)):
+                    top[s[max(0, i - ORDER + 1) : i + 1]] += n
+            self.top.append(_level(top))
 
     def _shared(self, gram: str) -> float:
         weight = 1.0
