@@ -13,7 +13,8 @@ All n-grams of all documents are counted, in steps that grow with the input:
      way. So rows are at most 2^LEVEL_BITS a block and level, and levels grow with the logarithm of the input.
   3. Blocks and returned counts meet by block: the tuning blocks give the estimates of their tokens, over which each round of
      expectation-maximisation is a job that brings back two numbers a bucket; then all blocks give their documents' scores.
-Words and n-grams are known by 64-bit hashes and counted in 8 bytes; sorted keys go as their steps and both as compressed byte planes.
+Words and bigrams are known by 64-bit hashes, trigrams by the first 56 bits of one, at every size (of 10^13 different trigrams one in
+7 000 shares its key); all are counted in 8 bytes. Sorted keys go as their steps, and keys and counts as compressed byte planes.
 
 Defined results: null and empty texts have one token, the end; null ids count as the empty text in the folds; equal rows are scored
 alike and counted as often as they occur; without training documents every probability is 1 / (V + 1) = 1; an empty table gives no
@@ -42,6 +43,8 @@ LEVEL_BITS = 8
 TUNE_FOLD = 1
 ROUNDS = 20
 BUCKETS = 128
+#: Tokens that arithmetic takes at a time.
+SLICE = 1 << 17
 _END = xxhash.xxh64_intdigest(b"")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,7 +119,9 @@ class Block:
         pairs = _mix(hashes[before] * _ODD + own)
         context = np.concatenate([np.zeros(1, np.uint64), pairs[:-1]])
         context[self.first] = 0
-        for grams in (pairs, _mix(context * _ODD + own + np.uint64(1))):
+        triples = _mix(context * _ODD + own + np.uint64(1)) & ~np.uint64(0xFF)
+        del own, context, before, tokens
+        for grams in (pairs, triples):
             keys, at = np.unique(grams, return_inverse=True)
             self.keys.append(keys)
             self.at.append(at.astype(np.int32))
@@ -126,13 +131,15 @@ class Block:
         learned = np.repeat(~self.held, self.lengths)
         return [np.bincount(at[learned], minlength=len(keys)) for keys, at in zip(self.keys, self.at)]
 
-    def seen(self, counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """(c(u v w), c(u v), c(v w), c(v), c(w)) by token, from the counts of the n-grams of each order."""
+    def seen(self, counts: list[np.ndarray]) -> Iterator[tuple[slice, tuple[np.ndarray, ...]]]:
+        """(c(u v w), c(u v), c(v w), c(v), c(w)) of tokens, from the counts of the n-grams of each order, a slice of tokens at a time."""
         uni, bi, tri = counts
-        c12 = bi[self.at[1]]
-        context = np.concatenate([np.zeros(1, np.int64), c12[:-1]])
-        context[self.first] = uni[self.end]
-        return tri[self.at[2]], context, c12, uni[self.before], uni[self.at[0]]
+        for lo in range(0, len(self.first), SLICE):
+            part = slice(lo, lo + SLICE)
+            earlier = self.at[1][max(lo - 1, 0) : lo + SLICE - 1]
+            context = bi[earlier if lo else np.concatenate([earlier[:1], earlier])[: len(self.at[1][part])]]
+            context = np.where(self.first[part], uni[self.end], context)
+            yield part, (tri[self.at[2][part]], context, bi[self.at[1][part]], uni[self.before[part]], uni[self.at[0][part]])
 
 
 def _planes(numbers: np.ndarray, size: int = 8) -> bytes:
@@ -152,7 +159,7 @@ def _packed(keys: np.ndarray) -> bytes:
     steps = np.diff(keys, prepend=np.uint64(0))
     first, steps = int(keys[0]), steps[1:]
     size = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([size]) + first.to_bytes(8, "little") + (_planes(steps, size) if len(steps) else b"")
+    return bytes([size]) + first.to_bytes(8, "little") + (_planes(steps, size) if len(steps) else b"")  # planes of zeros cost nothing
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -316,19 +323,21 @@ def maximised(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
 
 def learned(cut: DataFrame, counts: DataFrame, n: int, v: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights by expectation-maximisation over the tuning blocks; n and v are of the counts without them, and of all."""
-    names = ["b3", "b2", "e3", "e2", "e1", "times"]
+    names, kinds = ["b3", "b2", "e3", "e2", "e1", "times"], ["u1", "u1", "<f4", "<f4", "<f4", "<u4"]
 
     def each(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
             return pd.DataFrame(columns=names)
         _, own, total, tune = _with_counts(block, found)
-        seen = own.seen([a - b for a, b in zip(total, tune)])
-        key = np.zeros(len(own.first), np.uint64)
-        for x in seen:
-            key = _mix(key * _ODD + x.astype(np.uint64))
-        _, at, times = np.unique(key, return_index=True, return_counts=True)
-        got = estimates(tuple(x[at] for x in seen), n)
-        return pd.DataFrame({name: [np.ascontiguousarray(x).tobytes()] for name, x in zip(names, (*got, times))})
+        out = []
+        for _, seen in own.seen([a - b for a, b in zip(total, tune)]):
+            key = np.zeros(len(seen[0]), np.uint64)
+            for x in seen:
+                key = _mix(key * _ODD + x.astype(np.uint64))
+            _, at, times = np.unique(key, return_index=True, return_counts=True)
+            got = estimates(tuple(x[at] for x in seen), n)
+            out.append([x.astype(kind).tobytes() for x, kind in zip((*got, times), kinds)])
+        return pd.DataFrame(out, columns=names)
 
     rows = cut.where("role = 1").groupBy("block").cogroup(counts.where("block >= 0").groupBy("block"))
     tokens = materialize(rows.applyInPandas(each, ", ".join(f"{c} binary" for c in names)), "lm-tuning")
@@ -340,8 +349,8 @@ def learned(cut: DataFrame, counts: DataFrame, n: int, v: int) -> tuple[np.ndarr
             sums = np.zeros((3, BUCKETS, 2))
             for batch in batches:
                 for r in batch.itertuples():
-                    found = tuple(np.frombuffer(getattr(r, c), np.int64 if c in ("b3", "b2") else np.float64) for c in names[:-1])
-                    sums += expected(weights, found, np.frombuffer(r.times, np.int64), floor)
+                    *found, times = (np.frombuffer(getattr(r, c), kind) for c, kind in zip(names, kinds))
+                    sums += expected(weights, (found[0].astype(np.int64), found[1].astype(np.int64), *(x.astype(np.float64) for x in found[2:])), times, floor)
             at = np.nonzero(sums)
             yield pd.DataFrame({"at": np.ravel_multi_index(at, sums.shape), "x": sums[at]})
 
@@ -363,12 +372,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def each(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         b, own, total, _ = _with_counts(block, found)
-        seen = own.seen(total)
-        p = probabilities(weights, estimates(seen, n), 1 / (v + 1))[0] if n else np.full(len(own.first), 1 / (v + 1))
+        known, base, own_score = (np.empty(len(own.first)) for _ in "abc")
+        for part, seen in own.seen(total):
+            known[part], base[part] = seen[4] > 0, np.log10((seen[4] + 0.1) / (n + 0.1 * (v + 1)))
+            own_score[part] = np.log10(probabilities(weights, estimates(seen, n), 1 / (v + 1))[0]) if n else 0.0
         starts = np.cumsum(own.lengths) - own.lengths
         return pd.DataFrame({
-            "doc_id": list(b.doc_ids), "held_out": own.held, "n_tokens": own.lengths, "n_known": np.add.reduceat((seen[4] > 0).astype(np.int64), starts), "train_tokens": n,
-            "base_score": np.add.reduceat(np.log10((seen[4] + 0.1) / (n + 0.1 * (v + 1))), starts), "score": np.add.reduceat(np.log10(p), starts)})
+            "doc_id": list(b.doc_ids), "held_out": own.held, "n_tokens": own.lengths, "n_known": np.add.reduceat(known, starts).astype(np.int64), "train_tokens": n,
+            "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(own_score, starts)})
 
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     found = counts.where("block >= 0").select("order", "prefix", "block", "total")

@@ -92,7 +92,7 @@ def brute(rows):
 
 @pytest.mark.parametrize(("block", "part", "bits"), [(300, 64, 2), (900, 256, 3), (2_000_000, 8 << 20, 8)])
 def test_against_brute_force(spark, monkeypatch, block, part, bits):
-    for name, value in (("BLOCK", block), ("PART_BYTES", part * 64 if block < 1000 else part), ("LEVEL_BITS", bits), ("ROUNDS", 4)):
+    for name, value in (("BLOCK", block), ("PART_BYTES", part * 64 if block < 1000 else part), ("LEVEL_BITS", bits), ("ROUNDS", 4), ("SLICE", 77 if block == 900 else 1 << 17)):
         monkeypatch.setattr(lm, name, value)
     rows = made()
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)).collect()
