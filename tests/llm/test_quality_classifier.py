@@ -1,3 +1,4 @@
+import zlib
 import random
 
 import pytest
@@ -39,3 +40,16 @@ def test_one_class_and_no_rows(spark):
     assert qc.Scorer(qc.train(["a b"], [1]))(["a b", ""]).tolist() == [0.5, 0.5]
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")
     assert qc.score(docs, qc.fit(docs, labels, F.lit(True)), ["doc_id"]).count() == 0
+
+
+def test_held_out_fold_of_the_tables(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    got = qc.query(spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == r.quality for r in held) >= 0.98 * len(held)
+
+
+def test_markers():
+    assert qc.tokens("a a b\nc d\nc d\n\n\na a b").count(qc.REPEAT) == 2
+    assert qc.tokens("a a b\nc d\nc d\n\n\na a b").count(qc.LINE) == 5
