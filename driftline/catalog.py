@@ -1,6 +1,6 @@
 """The queries of the comparison engine by name, and their SQL."""
 
-from .plans import compare, content, files, forms, sources
+from .plans import compare, content, files, forms, reports, sources
 
-QUERIES: dict = compare.QUERIES | content.QUERIES | files.QUERIES | forms.QUERIES | sources.QUERIES
-SQL: dict = compare.SQL | content.SQL | files.SQL | forms.SQL | sources.SQL
+QUERIES: dict = compare.QUERIES | content.QUERIES | files.QUERIES | forms.QUERIES | reports.QUERIES | sources.QUERIES
+SQL: dict = compare.SQL | content.SQL | files.SQL | forms.SQL | reports.SQL | sources.SQL

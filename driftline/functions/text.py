@@ -8,6 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import VERSION_MARK
+from .paths import file_class, is_deploy_manifest, is_known_text, is_text_diffable
 
 # Build numbers with a time in brackets, with a dotted time, and alone.
 VERSION_TOKENS = (
@@ -74,6 +75,13 @@ def deploy_normalized(text: Column) -> Column:
     return F.regexp_replace(s, r'(?i)size\s*=\s*"\d+"', 'size="*"')
 
 
+def content_key(key: Column, text: Column, limit: int) -> Column:
+    """What tells contents apart when names change: the digest of a text without build noise, else of the bytes."""
+    plain = (is_text_diffable(file_class(key)) | is_known_text(key)) & (F.octet_length(text) <= limit)
+    form = F.when(is_deploy_manifest(key), deploy_normalized(text)).when(plain, noise_normalized(text)).otherwise(text)
+    return F.sha2(form, 256)
+
+
 def valid_pattern(pattern: str | None) -> str | None:
     """The pattern if the engine that runs it compiles it, else None: a bad rule is no rule."""
     if not pattern:

@@ -111,6 +111,12 @@ def compare(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(F.filter(each, lambda x: x != 0), F.lit(0)), F.lit(0))
 
 
+def up_to_date(current: Column, tag: Column) -> Column:
+    """Whether a version is at least that of a tag, without a leading v; null for a tag without digits or no version."""
+    plain = lambda v: F.regexp_replace(F.coalesce(v, F.lit("")), "^[vV]", "")
+    return F.when((F.trim(current) != "") & plain(tag).rlike(r"\d"), compare(plain(current), plain(tag)) >= 0)
+
+
 def ordered(a: Column, b: Column) -> Column:
     """A struct (old, new) of two names, the one with the smaller version first."""
     return F.when(compare(version(a), version(b)) > 0, F.struct(b.alias("old"), a.alias("new"))).otherwise(F.struct(a.alias("old"), b.alias("new")))
