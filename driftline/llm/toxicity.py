@@ -25,7 +25,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -51,11 +52,16 @@ def tokens(text: str) -> list[str]:
 
 def _level(counts: dict) -> tuple[dict, dict]:
     """(discounted count by n-gram, (total, share that backs off) by context) of counts by n-gram; where all backs off, neither is kept."""
-    totals, off = Counter(), Counter()
-    for gram, n in counts.items():
-        totals[gram[:-1]] += n
-        off[gram[:-1]] += min(n, DISCOUNT)
-    return {g: n - DISCOUNT for g, n in counts.items() if n > DISCOUNT}, {h: (t, off[h] / t) for h, t in totals.items() if off[h] < t}
+    kept, contexts = {}, {}
+    order = sorted(counts, key=lambda g: (len(g), g))  # n-grams of one context stand together
+    for _, same in groupby(order, key=len):
+        for context, grams in groupby(same, key=lambda g: g[:-1]):
+            grams = list(grams)
+            total, off = sum(map(counts.__getitem__, grams)), sum(min(counts[g], DISCOUNT) for g in grams)
+            if off < total:
+                contexts[context] = total, off / total
+                kept.update((g, counts[g] - DISCOUNT) for g in grams if counts[g] > DISCOUNT)
+    return kept, contexts
 
 
 def _interpolated(level: tuple[dict, dict], gram, lower: float) -> float:
@@ -64,26 +70,27 @@ def _interpolated(level: tuple[dict, dict], gram, lower: float) -> float:
 
 
 class Characters:
-    """Kneser-Ney models of the characters of words, one a class. words: word -> count, by class."""
+    """Kneser-Ney models of the characters of words, one a class, from words and how often each occurs by class."""
 
-    def __init__(self, words: list[Counter]):
-        every = set().union(*words)
+    def __init__(self, words: list[str], counts: list[np.ndarray]):
         # Of the shorter n-grams: probabilities of those that are seen twice or more, and the share that backs off by context.
         self.known: dict[str, float] = {}
         self.off: dict[str, float] = {}
-        self.types = len({ch for w in every for ch in w}) + 2
+        self.types = len({ch for w in words for ch in w}) + 2
         for k in range(1, ORDER):
             # How many different characters come before an n-gram; before a word's edge there is one, nothing.
-            longer = {s[i - k : i + 1] for s in (f"\x00<{w}>" for w in every) for i in range(max(2, k), len(s))}
-            level = _level(Counter(g[1:] for g in longer))
+            longer = {s[i - k : i + 1] for s in (f"\x00<{w}>" for w in words) for i in range(max(2, k), len(s))}
+            shorter = Counter(g[1:] for g in longer)
+            del longer
+            level = _level(shorter)
             found = {g: _interpolated(level, g, self._shared(g[1:])) for g in level[0]}
             self.off.update({h: share for h, (_, share) in level[1].items()})
             self.known.update(found)
         self.top = []
-        for counts in words:
+        for own in counts:
             top: Counter = Counter()
-            for word, n in counts.items():
-                s = f"<{word}>"
+            for i, n in zip(np.flatnonzero(own).tolist(), own[own > 0].tolist()):
+                s = f"<{words[i]}>"
                 for i in range(1, len(s)):
                     top[s[max(0, i - ORDER + 1) : i + 1]] += n
             self.top.append(_level(top))
@@ -122,12 +129,23 @@ class Characters:
 class Models:
     """Kneser-Ney models of words, one a class, from tokenised texts by class."""
 
-    def __init__(self, texts: list[list[list[str]]]):
-        self.characters = Characters([Counter(w for t in docs for w in t) for docs in texts])
-        self.levels = []
+    def __init__(self, texts: list[Iterable[list[str]]]):
+        number: dict[str, int] = {}
+        found, lefts = [], []
         for docs in texts:
-            before = Counter((w,) for _, w in {pair for t in docs for pair in zip(["", *t], t)})
-            self.levels.append(_level(before))
+            own = [np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t)) for t in docs]
+            ids = np.concatenate([np.zeros(0, np.int64), *own])
+            before = np.concatenate([np.zeros(0, np.int64), *(np.concatenate([[-1], x[:-1]]) for x in own if len(x))])
+            found.append(ids)
+            lefts.append(np.unique((before + 1) << 32 | ids) & 0xFFFFFFFF)  # one for each different word before
+        words = list(number)
+        self.characters = Characters(words, [np.bincount(ids, minlength=len(words)) for ids in found])
+        self.levels = []
+        for left in lefts:
+            n = np.bincount(left, minlength=len(words))
+            total, off = int(n.sum()), float(np.minimum(n, DISCOUNT).sum())
+            kept = np.flatnonzero(n > DISCOUNT).tolist()
+            self.levels.append(({(words[i],): int(n[i]) - DISCOUNT for i in kept}, {(): (total, off / total)} if off < total else {}))
 
     def words(self, word: str) -> list[float]:
         """Log probability of a word, by class."""
@@ -187,7 +205,7 @@ def train(texts: list[str], labels: list[int]) -> tuple | None:
         return None
     tune = [i for c in (0, 1) for i in fold[c][1::3]]
     held = set(tune)
-    ratios = Ratios(Models([[tokens(texts[i]) for i in fold[c] if i not in held] for c in (0, 1)]))
+    ratios = Ratios(Models([(tokens(texts[i]) for i in fold[c] if i not in held) for c in (0, 1)]))
     evidence = Evidence(ratios)
     x = np.array([[*evidence.text(texts[i]), 1.0] for i in tune])
     y = np.array([labels[i] for i in tune], float)
