@@ -134,12 +134,13 @@ class Block:
     def seen(self, counts: list[np.ndarray]) -> Iterator[tuple[slice, tuple[np.ndarray, ...]]]:
         """(c(u v w), c(u v), c(v w), c(v), c(w)) of tokens, from the counts of the n-grams of each order, a slice of tokens at a time."""
         uni, bi, tri = counts
-        for lo in range(0, len(self.first), SLICE):
-            part = slice(lo, lo + SLICE)
-            earlier = self.at[1][max(lo - 1, 0) : lo + SLICE - 1]
-            context = bi[earlier if lo else np.concatenate([earlier[:1], earlier])[: len(self.at[1][part])]]
-            context = np.where(self.first[part], uni[self.end], context)
-            yield part, (tri[self.at[2][part]], context, bi[self.at[1][part]], uni[self.before[part]], uni[self.at[0][part]])
+        pairs, n = self.at[1], len(self.first)
+        for lo in range(0, n, SLICE):
+            hi = min(lo + SLICE, n)
+            part = slice(lo, hi)
+            earlier = pairs[lo - 1 : hi - 1] if lo else np.concatenate([pairs[:1], pairs[: hi - 1]])
+            context = np.where(self.first[part], uni[self.end], bi[earlier])
+            yield part, (tri[self.at[2][part]], context, bi[pairs[part]], uni[self.before[part]], uni[self.at[0][part]])
 
 
 def _planes(numbers: np.ndarray, size: int = 8) -> bytes:

@@ -92,7 +92,7 @@ def brute(rows):
 
 @pytest.mark.parametrize(("block", "part", "bits"), [(300, 64, 2), (900, 256, 3), (2_000_000, 8 << 20, 8)])
 def test_against_brute_force(spark, monkeypatch, block, part, bits):
-    for name, value in (("BLOCK", block), ("PART_BYTES", part * 64 if block < 1000 else part), ("LEVEL_BITS", bits), ("ROUNDS", 4), ("SLICE", 77 if block == 900 else 1 << 17)):
+    for name, value in (("BLOCK", block), ("PART_BYTES", part * 64 if block < 1000 else part), ("LEVEL_BITS", bits), ("ROUNDS", 4)):
         monkeypatch.setattr(lm, name, value)
     rows = made()
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)).collect()
@@ -108,6 +108,20 @@ def test_long_ids_beside_nulls(spark):
     assert {r.doc_id for r in got} == {i for i, _ in rows}
 
 
+@pytest.mark.parametrize("n", [1, 6, 7, 8, 20, 21])
+def test_slices_of_tokens_are_the_whole(monkeypatch, n):
+    from types import SimpleNamespace
+
+    tokens = np.array([1 + i % 3 if i % 5 else 0 for i in range(1, n)] + [0], np.uint32)
+    ends = np.flatnonzero(tokens == 0) + 1
+    row = SimpleNamespace(tokens=lm._planes(tokens, 4), lengths=np.diff(ends, prepend=0).astype("<u4").tobytes(), held=bytes(len(ends)), vocab=np.arange(10, 14, dtype=np.uint64).tobytes())
+    block = lm.Block(row)
+    whole = [np.concatenate(x) for x in zip(*(seen for _, seen in block.seen(block.counts())))]
+    monkeypatch.setattr(lm, "SLICE", 7)
+    cut = [np.concatenate(x) for x in zip(*(seen for _, seen in block.seen(block.counts())))]
+    assert all((a == b).all() for a, b in zip(whole, cut)) and len(whole[0]) == n
+
+
 def test_counts_over_32_bits():
     x = np.array([0, 1, 2**40, 2**33 + 5], np.int64)
     assert lm._numbers(lm._planes(x)).tolist() == x.tolist()
