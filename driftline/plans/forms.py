@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import labels, paths, text, versions
+from ..functions import beautify, labels, paths, text, versions
 from ..model import KNOWN_TEXT, Options
-from ..operators import diff, impact, tree
+from ..operators import diff, impact, lines, tree
 from .compare import compared
 from .inputs import DIFF_SQL, DIFFABLE, TEXT, in_sql, table
 
@@ -268,3 +268,32 @@ def token_usage(spark, sf_dir):
 @query("bytes_in_memory", f"WITH {DIFF_SQL} SELECT coalesce(sum(new_size) FILTER (new_size <= 65536), 0)::BIGINT AS held, count(*) FILTER (new_size <= 65536) AS entries FROM diff WHERE status <> 'DELETED'")
 def bytes_in_memory(spark, sf_dir):
     return tree.held_bytes(compared(spark, sf_dir).where("status <> 'DELETED'"), "new_size")
+
+
+# ---- front-end texts
+
+#: By id: a style and a script on one line, a page, a configuration.
+_FRONT_CLASS = "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'CSS' WHEN 1 THEN 'JS' WHEN 2 THEN 'HTML' ELSE 'CONFIG' END"
+_PIECE = "concat('a', doc_id, '{b:\"x;}\";c:d}')"
+_FRONT_TEXT = f"CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN repeat({_PIECE}, 30) WHEN 1 THEN repeat({_PIECE}, 30) WHEN 2 THEN '<p><b>x</b></p>' ELSE concat('k=v  ', chr(13), chr(10), 'l=w') END"
+_SPREAD = "concat('a', doc_id, '{', chr(10), '  b:\"x;}\";', chr(10), '  c:d', chr(10), '}')"
+_FORM = f"CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN repeat({_SPREAD}, 30) WHEN 1 THEN repeat({_SPREAD}, 30) WHEN 2 THEN concat('<p>', chr(10), '<b>x</b>', chr(10), '</p>') ELSE concat('k=v  ', chr(10), 'l=w') END"
+
+
+@query("frontend_forms", f"SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'css-beautify' WHEN 1 THEN 'js-beautify' WHEN 2 THEN 'html-beautify' ELSE 'text-normalize' END AS engine, md5({_FORM}) AS form FROM documents WHERE doc_id IS NOT NULL")
+def frontend_forms(spark, sf_dir):
+    """Front-end texts in the form in which they are compared."""
+    rows = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"{_FRONT_CLASS} AS cls", f"{_FRONT_TEXT} AS t")
+    return rows.select("doc_id", beautify.engine(F.col("cls")).alias("engine"), F.md5(beautify.beautified(F.col("t"), F.col("cls"))).alias("form"))
+
+
+@query("frontend_diff", "SELECT doc_id, 2 AS deleted, 2 AS added FROM documents WHERE doc_id IS NOT NULL AND doc_id % 4 < 2 UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE doc_id % 4 >= 2")
+def frontend_diff(spark, sf_dir):
+    """Minified texts that differ in two places differ in two lines of their forms."""
+    rows = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"{_FRONT_CLASS} AS cls", f"{_FRONT_TEXT} AS t")
+    last = f"length(t) - length({_PIECE})"  # the first letter of the first and of the last piece becomes another
+    rows = rows.withColumn("u", F.expr(f"CASE WHEN doc_id % 4 < 2 THEN concat('z', substring(t, 2, {last} - 1), 'z', substring(t, {last} + 2)) ELSE t END"))
+    form = lambda c: F.split(beautify.beautified(F.col(c), F.col("cls")), "\n")
+    both = rows.select("doc_id", form("t").alias("old"), form("u").alias("new"))
+    ops = lines.lcs_diff(both, "doc_id", "old", "new").groupBy("doc_id").agg(F.count_if(F.col("op") == "del").alias("deleted"), F.count_if(F.col("op") == "add").alias("added"))
+    return ops.select("doc_id", "deleted", "added")

@@ -1,6 +1,6 @@
 import zlib
 
-from driftline.functions import text
+from driftline.functions import beautify, text
 from driftline.operators import diff, tree
 from driftline.plans import forms
 from pyspark.sql import functions as F
@@ -41,3 +41,16 @@ def test_tree_order(spark):
     rows = spark.createDataFrame([("b.txt", "FILE"), ("z", "DIR"), ("z/a.txt", "FILE"), ("a.txt", "FILE"), ("z/y", "DIR"), ("z/y/q", "FILE")], "key string, kind string")
     got = tree.page(rows, tree.in_tree(), 10).orderBy("pos").collect()
     assert [r.key for r in got] == ["z", "z/y", "z/y/q", "z/a.txt", "a.txt", "b.txt"]
+
+
+def test_spread():
+    assert beautify.spread("a{b:'}';c}", "CSS") == "a{\n  b:'}';\n  c\n}"
+    assert beautify.spread('f(){x="a\\";{";/* { */y}//;}\nz', "JS") == 'f(){\n  x="a\\";{";\n  /* { *\ny\n}//;}\nz'
+    assert beautify.spread("/*/a;", "CSS") == "/*\na;\n" and beautify.spread("/* open {", "JS") == "/* open {" and beautify.spread("'open {", "JS") == "'open {"
+    assert beautify.spread("}}{", "JS").count("\n") == 3 and beautify.spread("{" * 70, "JS").split("\n")[-1] == "  " * 64
+
+
+def test_only_minified_texts_are_spread(spark):
+    rows = [("JS", "a;b;"), ("JS", "a;b;" * 200), ("CSS", None), ("HTML", "<a><b>"), ("CONFIG", "a{" * 300)]
+    got = [r.f for r in spark.createDataFrame(rows, "cls string, t string").coalesce(1).select(beautify.beautified(F.col("t"), F.col("cls")).alias("f")).collect()]
+    assert got == ["a;b;", "a;\nb;\n" * 200, None, "<a>\n<b>", "a{" * 300]
