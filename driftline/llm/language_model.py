@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import id_fold, materialize, shared_dir, table
 
-BLOCK = 2_000_000
+BLOCK = 1_600_000
 PART_BYTES = 8 << 20
 LEVEL_BITS = 8
 TUNE_FOLD = 1
@@ -122,9 +122,12 @@ class Block:
         triples = _mix(context * _ODD + own + np.uint64(1)) & ~np.uint64(0xFF)
         del own, context, before, tokens
         for grams in (pairs, triples):
-            keys, at = np.unique(grams, return_inverse=True)
+            keys = np.unique(grams)
+            at = np.empty(len(grams), np.int32)  # looked up a slice at a time: the inverse of unique takes four arrays more
+            for lo in range(0, len(grams), SLICE):
+                at[lo : lo + SLICE] = np.searchsorted(keys, grams[lo : lo + SLICE])
             self.keys.append(keys)
-            self.at.append(at.astype(np.int32))
+            self.at.append(at)
 
     def counts(self) -> list[np.ndarray]:
         """How often each n-gram of an order occurs in documents that are not held out."""
