@@ -200,6 +200,28 @@ def log_bundle(spark, sf_dir):
     return report.bundle(logs.withColumn("body", report.tail(F.col("body"), 400)), "conv_id", "body", 4000).where("conv_id < 20")
 
 
+_PACKS = """k AS (SELECT doc_id, doc_id // 10 AS p FROM documents WHERE doc_id IS NOT NULL), o AS (SELECT concat('x/a', p, '.zip') AS key, concat('o', p) AS t FROM k WHERE p % 3 <> 0 GROUP BY p UNION ALL SELECT concat('x/a', p, '.zip!/d', doc_id), '' FROM k WHERE p % 3 <> 0),
+ n AS (SELECT concat('x/a', p, '.zip') AS key, concat('n', p) AS t FROM k WHERE p % 3 <> 1 GROUP BY p UNION ALL SELECT concat('x/a', p, '.zip!/d', doc_id), CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END FROM k WHERE p % 3 <> 1),
+ d AS (SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.key IS NULL THEN 'DELETED' WHEN o.key IS NULL THEN 'ADDED' WHEN o.t = n.t THEN 'UNCHANGED' ELSE 'MODIFIED' END AS status FROM o FULL JOIN n ON o.key = n.key)"""
+
+
+@query("whole_containers", f"WITH {_PACKS} SELECT key, status FROM d WHERE NOT (contains(key, '!/') AND split_part(key, '!/', 1) IN (SELECT key FROM d WHERE status IN ('ADDED', 'DELETED')))")
+def whole_containers(spark, sf_dir):
+    """A diff without what lies in archives that were added or deleted whole."""
+    docs, i = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id"), F.col("doc_id")
+    pack = F.floor(i / 10)
+
+    def side(out: int, mark: str, body):
+        own = docs.where(pack % 3 != out)
+        archive = F.concat(F.lit("x/a"), pack.cast("string"), F.lit(".zip"))
+        rows = own.select(archive.alias("key"), F.concat(F.lit(mark), pack.cast("string")).alias("text")).distinct()
+        return snapshot(rows.unionByName(own.select(F.concat(archive, F.lit("!/d"), i).alias("key"), body.alias("text"))), F.col("key"), F.col("text"))
+
+    rows = diff.snapshot_diff(side(0, "o", F.lit("")), side(1, "n", F.when(i % 5 == 0, "x").otherwise("")))
+    whole = rows.where(F.col("status").isin("ADDED", "DELETED") & F.col("file_class").isin("ARCHIVE", "JAR")).select("key")
+    return diff.outside_containers(rows, whole).select("key", "status")
+
+
 @query("mojibake")
 def mojibake_texts(spark, sf_dir):
     """Texts that are UTF-8 read as GBK."""
