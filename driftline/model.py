@@ -4,12 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
-STATUSES = ("ADDED", "DELETED", "MODIFIED", "UNCHANGED")
-LAYERS = ("L0", "L1", "L2")
-MATCH_KINDS = ("KEY", "CONTAINER", "SUBFILE", "CONTENT", "PATH", "NONE")
-
 # File classes, what follows from them, and the labels of reports.
 FILE_CLASSES = {
     # class: (front-end text, text that is compared by line, label)
@@ -59,8 +53,6 @@ class Options:
     max_total_bytes: int = 4 << 30
     max_depth: int = 6
     listing_limit: int = 50_000
-    tree_depth: int = 12
-    tree_nodes: int = 20_000
     normalize_limit: int = 2 << 20
     text_limit: int = 4 << 20
     hash_limit: int = 64 << 20
@@ -70,10 +62,3 @@ class Options:
     file_budget: int = 8_000
     total_budget: int = 60_000
     least_budget: int = 500
-
-
-ENTRIES = T.StructType([
-    T.StructField("snapshot_id", T.StringType()), T.StructField("key", T.StringType()), T.StructField("layer", T.StringType()), T.StructField("file_class", T.StringType()),
-    T.StructField("size", T.LongType()), T.StructField("sha256", T.StringType()), T.StructField("outer_entry", T.StringType()), T.StructField("inner_entry", T.StringType()),
-    T.StructField("crc32", T.LongType()), T.StructField("mtime_ms", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("container_key", T.StringType()),
-])

@@ -262,7 +262,7 @@ def inline(old: Column, new: Column, mode: str = "char") -> Column:
 def _spots(lines: DataFrame, key: str, window: int) -> DataFrame:
     """(key, h, n, first, last, size, before, after): where each window of token-normalised lines stands, with the windows before and after it. A window that repeats line by line is one place."""
     # Fixed value: tokens are runs of word characters and single others.
-    tokens = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_$]+|[^\s])"), 1)
+    tokens = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_$]+|\S)"), 1)
     valid = lines.withColumn("norm", F.array_join(tokens, " ")).where((F.size(tokens) > 1) | F.col("norm").rlike("^[A-Za-z0-9_$]"))
     order = W.partitionBy(key).orderBy("line_no")
     rows = valid.select(key, "line_no", F.row_number().over(order).alias("n"), "norm")

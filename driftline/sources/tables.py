@@ -24,8 +24,11 @@ def snapshot(df: DataFrame, key: Column, content: Column, ordinal: Column | None
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back, so that later steps don't plan and compute it anew. A folder of its own only where the session names none."""
+    """df written to the shared checkpoint folder and read back, so that later steps don't plan and compute it anew. A folder of its own only where a local session names none."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
