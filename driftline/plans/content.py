@@ -50,6 +50,27 @@ def line_linear_diff(spark, sf_dir):
     return rows.select("doc_id", "op", F.col("old_no").cast("long").alias("old_no"), F.col("new_no").cast("long").alias("new_no"), F.md5("text").alias("line"))
 
 
+_ROWS = f"""{_ENDS}, x AS (SELECT doc_id, 'ctx' AS op, i AS old_no, i AS new_no, o[i] AS text FROM (SELECT *, unnest(range(1, head + 1)) AS i FROM d)
+  UNION ALL SELECT doc_id, 'del', i, NULL, o[i] FROM (SELECT *, unnest(range(head + 1, head + dels + 1)) AS i FROM d)
+  UNION ALL SELECT doc_id, 'add', NULL, i, n[i] FROM (SELECT *, unnest(range(head + 1, head + adds + 1)) AS i FROM d)
+  UNION ALL SELECT doc_id, 'ctx', i, i + len(n) - len(o), o[i] FROM (SELECT *, unnest(range(len(o) - tail + 1, len(o) + 1)) AS i FROM d))"""
+
+
+@query("find_in_diff", f"WITH {_ROWS} SELECT doc_id, old_no, new_no, CASE op WHEN 'ctx' THEN 'left,right' WHEN 'del' THEN 'left' ELSE 'right' END AS sides FROM x WHERE contains(lower(text), 'on t')")
+def find_in_diff(spark, sf_dir):
+    """Lines of a difference that hold a text, and the sides they are on."""
+    found = lines.search_lines(lines.linear_diff(line_arrays(spark, sf_dir), "doc_id", "old", "new"), "On T")
+    return found.select("doc_id", F.col("old_no").cast("long").alias("old_no"), F.col("new_no").cast("long").alias("new_no"), F.array_join("sides", ",").alias("sides"))
+
+
+@query("group_quotas")
+def group_quotas(spark, sf_dir):
+    """What each source's documents may say of a prompt: sources in order share what is left evenly, and leave what they don't need."""
+    need = F.sum(F.length(F.coalesce("text", F.lit("")))).alias("need")
+    groups = table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(need)
+    return impact.group_quotas(groups, OPTIONS.total_budget, ["source"], "source", "need")
+
+
 def blocks(spark, sf_dir, diff=lines.linear_diff) -> DataFrame:
     return lines.change_blocks(diff(line_arrays(spark, sf_dir), "doc_id", "old", "new"), "doc_id")
 

@@ -6,6 +6,7 @@ import pytest
 from driftline.functions import mojibake
 from driftline.operators import impact, report
 from driftline.operators.quantiles import quantiles
+from driftline.plans import content
 
 
 def test_mojibake():
@@ -52,3 +53,15 @@ def test_references(spark):
     refs = impact.references(sources, targets)
     assert {r.source_key for r in refs.collect()} == {"c", "s", "f"}
     assert {r.target: (r.risk, r.n_refs) for r in impact.impact(targets, refs).collect()} == {"y.Svc": ("CRITICAL", 3), "y.Gone": ("LOW", 0)}
+
+
+def test_group_quotas(spark):
+    sf = "/root/testdata/sf0.01"
+    need = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("source", "text").collect():
+        need[r.source or "none"] = need.get(r.source or "none", 0) + len(r.text or "")
+    left, want = content.OPTIONS.total_budget, {}
+    for k, name in enumerate(sorted(need)):
+        want[name] = min(need[name], left // (len(need) - k))
+        left -= want[name]
+    assert {r.source: r.quota for r in content.group_quotas(spark, sf).collect()} == want
