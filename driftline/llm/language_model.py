@@ -122,10 +122,13 @@ class Block:
         triples = _mix(context * _ODD + own + np.uint64(1)) & ~np.uint64(0xFF)
         del own, context, before, tokens
         for grams in (pairs, triples):
-            keys = np.unique(grams)
-            at = np.empty(len(grams), np.int32)  # looked up a slice at a time: the inverse of unique takes four arrays more
-            for lo in range(0, len(grams), SLICE):
-                at[lo : lo + SLICE] = np.searchsorted(keys, grams[lo : lo + SLICE])
+            order = np.argsort(grams)
+            sorted_ = grams[order]
+            new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+            keys, at = sorted_[new], np.empty(len(grams), np.int32)
+            del sorted_
+            at[order] = np.cumsum(new, dtype=np.int32) - 1
+            del order, new
             self.keys.append(keys)
             self.at.append(at)
 
