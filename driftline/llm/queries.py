@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hash_forest, language_model, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_store, toxicity
+from . import bpe, filter_audit, hash_forest, language_model, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_language_model": language_model.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_secret_scan": secret_scan.query,
 }
 
 SQL = {
     "op3_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
