@@ -6,20 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges that the values of a group are counted in, before ranks are looked for inside one of them.
-RANGES = 4096
+#: Ranges that the values of a group are cut into, before ranks are looked for inside one of them.
+RANGES = 256
+
+
+def ranged(counts: DataFrame) -> DataFrame:
+    """counts (g, v, c) with n, the rows of its group, and r, the range of its value.
+
+    Ranges end at quantiles of the distinct values, from a mergeable sketch, so each has about as many of them wherever the values
+    lie; outliers, infinite values and NaN, which is above all others, don't widen any.
+    """
+    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    cuts = counts.groupBy(F.col("g").alias("of")).agg(F.percentile_approx("v", shares, F.lit(40 * RANGES)).alias("cuts"), F.sum("c").alias("n"))
+    at = F.size(F.filter(F.array_distinct("cuts"), lambda x: x < F.col("v")))
+    return counts.join(cuts, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "c", "n", at.alias("r"))
 
 
 def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(by, one column a share): quantiles of value by group, with linear interpolation between neighbours.
 
-    Equal values are counted once. A group's span is cut into RANGES equal ranges, counts of ranges are summed up, and values are
-    ordered only inside their range, so neither a hot group nor one of many values is in one task, unless its values are.
+    Equal values are counted once. Counts of a group's ranges are summed up, and values are ordered only inside their range, so
+    neither a hot group nor one of many values is in one task.
     """
     counts = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
-    span = counts.groupBy(F.col("g").alias("of")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    at = F.when(F.col("high") > F.col("low"), F.least(F.lit(RANGES - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES))).otherwise(0).cast("int")
-    placed = counts.join(span, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "c", "n", at.alias("r"))
+    placed = ranged(counts)
     sums = placed.groupBy("g", "r").agg(F.sum("c").alias("size"))
     before = F.coalesce(F.sum("size").over(W.partitionBy("g").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("g").alias("of"), F.col("r").alias("of_r"), before.alias("before"))
