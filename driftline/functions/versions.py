@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -89,8 +90,48 @@ def equivalent_paths(a: str, b: str) -> bool:
 
 
 def prefix_key(key: Column) -> Column:
-    """What equivalent paths have in common: the first characters of each segment."""
-    return F.array_join(F.transform(segments(key), lambda s: F.substring(s, 1, LEAST_PREFIX)), "/")
+    """What equivalent paths have in common: segments without a digit after the first characters, and the first characters of the others."""
+    return F.array_join(F.transform(segments(key), lambda s: F.when(F.substring(s, F.lit(LEAST_PREFIX + 1), F.length(s)).rlike(r"\p{Nd}"), F.substring(s, 1, LEAST_PREFIX)).otherwise(s)), "/")
+
+
+#: Segments of a path, from its end, whose stems tell candidates apart; others do by their first characters.
+STEM_SEGMENTS = 2
+
+
+def _stems(segment: str) -> set[str]:
+    """Beginnings of a segment of which equivalent ones share one: what stands before a run of digits, without marks at its end and up to one letter."""
+    out = set()
+    for m in re.finditer(r"\d+", segment[LEAST_PREFIX:]):
+        stem = segment[: LEAST_PREFIX + m.start()].rstrip("()._-")
+        out |= {stem, stem[:-1].rstrip("()._-")}
+    return out or {segment}
+
+
+def path_stems(key: str) -> list[str]:
+    """Stems of a path: equivalent paths share one. The last STEM_SEGMENTS segments with a digit have their stems, those above their first characters."""
+    found, left = [""], STEM_SEGMENTS
+    for s in reversed([s for s in key.replace("\\", "/").replace("!/", "/").split("/") if s]):
+        own = {s}
+        if re.search(r"\d", s[LEAST_PREFIX:]):
+            own = _stems(s) if left else {s[:LEAST_PREFIX]}
+            left = max(0, left - 1)
+        found = [f"{x}/{rest}" for x in own for rest in found]
+    return sorted(found)
+
+
+def same_base(a: str, b: str, version_a: str | None, version_b: str | None, base_a: str | None, base_b: str | None) -> bool:
+    """Whether two file names are those of one package in different versions: by their base names, or where one has no version by their common beginning."""
+    if version_a is not None and version_b is not None:
+        return version_a != version_b and base_a is not None and base_a == base_b
+    a, b = (re.sub(r"(?s)(.)\.[^./\\]*$", r"\1", x) for x in (a, b))
+    p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return p >= LEAST_PREFIX and all(looks_version_tail(x[p:]) for x in (a, b))
+
+
+def looks_version_tail(tail: str) -> bool:
+    """A digit, and nothing but letters, digits and ()._-."""
+    kinds = [unicodedata.category(c) for c in tail]
+    return "Nd" in kinds and all(k[0] == "L" or k == "Nd" or c in "()._-" for c, k in zip(tail, kinds))
 
 
 def sort_key(v: Column) -> Column:

@@ -4,50 +4,83 @@ Keys meet in buckets: of one content or one normalised path, and of the same fir
 equivalent paths share. A deleted key takes the only added key of its own skeleton (the path without versions) that is left, or
 where there is none the only equivalent one. Where every deleted key of a bucket has exactly one added key of its skeleton and the
 reverse, which counts by skeleton tell, nobody competes and an equi-join on the skeleton pairs them, however many share the bucket.
-Only buckets with competitors are settled in key order, as an earlier pair can make a later candidate the only one: their keys, not
-their pairs, come together, and a key looks no further than two candidates.
+Only buckets with competitors are settled in key order, as an earlier pair can make a later candidate the only one. Before that, keys
+without any candidate go: equivalent paths share a stem (what stands before a run of digits), so a key whose stems nobody on the
+other side has is nobody's competitor. The keys that are left, not their pairs, come together; a key looks only at those that share
+a stem, and no further than two of them.
+
+Archives of one base name take each other without meeting: an archive is taken only while it is the only one of another version,
+which can be so for two of a base name at most, and counts by version tell which. Base names near which a name without a version
+stands, which competes by its common beginning, are settled from sorted names.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import paths, versions
 from ..functions.text import version_normalized_path
 from ..sources.tables import cut
 
 
-def _two(candidates: dict, d, fits) -> list:
+def _two(candidates, d, fits) -> list:
     """The first candidate that fits, or the first two."""
     found = []
-    for a, row in candidates.items():
+    for row in candidates:
         if fits(d, row):
-            found.append(a)
+            found.append(row)
             if len(found) == 2:
                 break
     return found
 
 
-def in_order(deleted: pd.DataFrame, added: pd.DataFrame, fits) -> list[tuple[str, str]]:
-    """Pairs of one bucket's keys (key, skeleton, ...), in the order of deleted keys. fits says whether a deleted row may take an added one."""
-    own, left, out = defaultdict(dict), {}, []
+def in_order(deleted: pd.DataFrame, added: pd.DataFrame, fits, stems) -> list[tuple[str, str]]:
+    """Pairs of one bucket's keys (key, skeleton, ...), in the order of deleted keys. fits says whether a deleted row may take an added one; rows that may share one of their stems."""
+    own, near, out = defaultdict(dict), defaultdict(dict), []
     for row in added.sort_values("key").itertuples(index=False):
-        own[row.skeleton][row.key] = left[row.key] = row
+        own[row.skeleton][row.key] = row
+        for stem in stems(row.key):
+            near[stem][row.key] = row
     for d in deleted.sort_values("key").itertuples(index=False):
-        found = _two(own[d.skeleton], d, fits) or _two(left, d, fits)
+        found = _two(own[d.skeleton].values(), d, fits)
+        if not found:
+            seen = {}
+            for stem in stems(d.key):
+                for row in _two(near[stem].values() if stem in near else (), d, fits):
+                    seen[row.key] = row
+            found = list(seen.values())
         if len(found) == 1:
-            out.append((d.key, found[0]))
-            del own[left[found[0]].skeleton][found[0]], left[found[0]]
+            a = found[0]
+            out.append((d.key, a.key))
+            del own[a.skeleton][a.key]
+            for stem in stems(a.key):
+                del near[stem][a.key]
     return out
 
 
-def _settled(deleted: DataFrame, added: DataFrame, keys: list[str], fits) -> DataFrame:
+@F.pandas_udf(ArrayType(StringType()))
+def _path_stems(keys: pd.Series) -> pd.Series:
+    return keys.map(versions.path_stems)
+
+
+def with_candidates(side: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of side that share a stem with one of the other side in their bucket."""
+    stems, theirs = (x.select(*keys, "key", F.explode(_path_stems("key")).alias("stem")) for x in (side, other))
+    live = stems.join(theirs.select(*keys, "stem").distinct(), [*keys, "stem"], "left_semi").select(*keys, "key").distinct()
+    return side.join(live, [*keys, "key"], "left_semi")
+
+
+def _settled(deleted: DataFrame, added: DataFrame, keys: list[str], pairs_of) -> DataFrame:
     def settle(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(in_order(d, a, fits) if len(d) and len(a) else [], columns=["d", "a"])
+        return pd.DataFrame(pairs_of(d, a) if len(d) and len(a) else [], columns=["d", "a"])
 
     deleted, added = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (deleted, added))  # columns of their own: both may come from one diff
     return deleted.groupBy(*keys).cogroup(added.groupBy(*keys)).applyInPandas(settle, "d string, a string")
@@ -69,18 +102,110 @@ def equivalent_pairs(deleted: DataFrame, added: DataFrame, bucket: str) -> DataF
     easy = cut(easy.where("any_d > 0 AND any_a > 0").select(*keys, "easy"))
     pairs = both.where("n_d IS NOT NULL").join(easy.where("easy"), keys, "left_semi").select(F.col("n_d_key").alias("d"), F.col("n_a_key").alias("a"))
     hard = easy.where("NOT easy")
-    return pairs.unionByName(_settled(d.join(hard, keys, "left_semi"), a.join(hard, keys, "left_semi"), keys, _equivalent))
+    d, a = cut(d.join(hard, keys, "left_semi")), cut(a.join(hard, keys, "left_semi"))
+    return pairs.unionByName(_settled(with_candidates(d, a, keys), with_candidates(a, d, keys), keys, lambda x, y: in_order(x, y, _equivalent, versions.path_stems)))
+
+
+class _Sorted:
+    """Added archives by name, those taken skipped: the first two that begin like a name up to `least` characters, and not up to `most`."""
+
+    def __init__(self, rows: list):
+        self.rows = sorted(rows, key=lambda r: (r.stem, r.key))
+        self.stems = [r.stem for r in self.rows]
+        self.next = list(range(len(rows) + 1))
+        self.place = {r.key: i for i, r in enumerate(self.rows)}
+
+    def _alive(self, i: int) -> int:
+        while self.next[i] != i:
+            self.next[i] = self.next[self.next[i]]
+            i = self.next[i]
+        return i
+
+    def take(self, key: str) -> None:
+        if key in self.place:
+            self.next[self.place[key]] = self.place[key] + 1
+
+    def _range(self, prefix: str) -> tuple[int, int]:
+        return bisect_left(self.stems, prefix), bisect_right(self.stems, prefix, key=lambda s: s[: len(prefix)])
+
+    def near(self, stem: str):
+        """Those whose common beginning with stem leaves both a tail."""
+        digits = [i for i, c in enumerate(stem) if unicodedata.category(c) == "Nd"]
+        if not digits or digits[-1] < versions.LEAST_PREFIX:
+            return
+        tail = len(stem)
+        while tail > 0 and (stem[tail - 1] in "()._-" or unicodedata.category(stem[tail - 1]) == "Nd" or unicodedata.category(stem[tail - 1])[0] == "L"):
+            tail -= 1
+        low, high = self._range(stem[: max(versions.LEAST_PREFIX, tail)])
+        skip, past = self._range(stem[: digits[-1] + 1])
+        for a, b in ((low, max(low, skip)), (max(low, past), high)):
+            i = self._alive(a)
+            while i < b:
+                yield self.rows[i]
+                i = self._alive(i + 1)
+
+
+def _archives_in_order(deleted: pd.DataFrame, added: pd.DataFrame) -> list[tuple[str, str]]:
+    """Pairs of archives that share their first characters, some of them without a version."""
+    rows = list(added.sort_values("key").itertuples(index=False))
+    by_base, everyone = defaultdict(lambda: defaultdict(dict)), _Sorted(rows)
+    unversioned = _Sorted([r for r in rows if r.version is None])
+    for r in rows:
+        if r.version is not None and r.base is not None:
+            by_base[r.base][r.version][r.key] = r
+    fits = lambda d, a: versions.same_base(d.name, a.name, d.version, a.version, d.base, a.base)
+    out = []
+    for d in deleted.sort_values("key").itertuples(index=False):
+        if d.version is None:
+            found = _two(everyone.near(d.stem), d, fits)
+        else:
+            others = (r for v, own in by_base[d.base].items() if v != d.version for r in own.values()) if d.base is not None and d.base in by_base else ()
+            found = list(islice(others, 2)) + _two(unversioned.near(d.stem), d, fits)
+        if len(found) == 1:
+            a = found[0]
+            out.append((d.key, a.key))
+            everyone.take(a.key)
+            unversioned.take(a.key)
+            if a.version is not None and a.base is not None:
+                del by_base[a.base][a.version][a.key]
+    return out
+
+
+def _by_base(deleted: DataFrame, added: DataFrame) -> DataFrame:
+    """Pairs of versioned archives. Of one base name an added archive is the only one of another version for some deleted one if it is the only one, or all others share a version; so counts by version say which can be taken."""
+    sizes = added.groupBy("base", "version").agg(F.count("*").alias("n"), F.min("key").alias("k"))
+    least, most = F.min(F.struct("n", "version", "k")), F.max(F.struct("n", "version", "k"))
+    kinds = sizes.groupBy("base").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), least.alias("x"), most.alias("y"))
+    kinds = cut(kinds.where("n = 1 OR (kinds = 2 AND x.n = 1)"))
+    # Alone: any other version takes it. One and one: whoever has one version takes the other. One and many: only the many's version takes it.
+    v = F.col("version")
+    may = F.when(F.col("n") == 1, v != F.col("x.version")).when(F.col("y.n") == 1, v.isin(F.col("x.version"), F.col("y.version"))).otherwise(v == F.col("y.version"))
+    met = cut(deleted.join(kinds, "base").select("base", "key", "version", "n", "x", "y", may.alias("may")))
+    first = met.where("may").groupBy("base").agg(F.min(F.struct("key", "version")).alias("d"), F.first("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
+    takes_x = (F.col("n") == 1) | (F.col("y.n") > 1) | (F.col("d.version") == F.col("y.version"))
+    first = first.select("base", "n", F.col("d.key").alias("d"), F.when(takes_x, F.col("x.k")).otherwise(F.col("y.k")).alias("a"), F.when(takes_x, F.col("y")).otherwise(F.col("x")).alias("left"))
+    first = cut(first)
+    rest = first.where("n = 2").select(F.col("base").alias("of"), F.col("d").alias("after"), "left")
+    later = met.select("base", "key", "version").join(rest, F.col("base") == F.col("of")).where((F.col("key") > F.col("after")) & (F.col("version") != F.col("left.version")))
+    later = later.groupBy("base").agg(F.min("key").alias("d"), F.first("left.k").alias("a"))
+    return first.select("d", "a").unionByName(later.select("d", "a"))
 
 
 def container_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
-    """Archives of one base name and different versions: each takes the only one that is left."""
+    """Archives of one package in different versions: each takes the only one that is left."""
     is_archive = F.col("file_class").isin("ARCHIVE", "JAR")
 
     def side(df: DataFrame) -> DataFrame:
         f = paths.file_name(F.col("key"))
-        return df.where(is_archive).select("key", versions.base_name(f).alias("bucket"), versions.version(f).alias("version"), F.lit("").alias("skeleton")).where("bucket IS NOT NULL")
+        own = df.where(is_archive).select("key", f.alias("name"), versions.stem(f).alias("stem"), versions.base_name(f).alias("base"), versions.version(f).alias("version"))
+        return cut(own.where(F.length("stem") > versions.LEAST_PREFIX).withColumn("near", F.substring("stem", 1, versions.LEAST_PREFIX)))
 
-    return _settled(side(deleted), side(added), ["bucket"], lambda d, a: d.version != a.version)
+    d, a = side(deleted), side(added)
+    odd = d.where("version IS NULL").select("near").join(a.select("near"), "near", "left_semi").union(a.where("version IS NULL").select("near").join(d.select("near"), "near", "left_semi")).distinct()
+    odd = cut(odd)
+    plain = [x.join(odd, "near", "left_anti").where("base IS NOT NULL AND version IS NOT NULL") for x in (d, a)]
+    near = [x.join(odd, "near", "left_semi") for x in (d, a)]
+    return _by_base(*plain).unionByName(_settled(*near, ["near"], _archives_in_order))
 
 
 def subfile_pairs(deleted: DataFrame, added: DataFrame, containers: DataFrame) -> DataFrame:

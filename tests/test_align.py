@@ -72,3 +72,71 @@ def test_affixes(spark):
     new = [("foo-rc2.txt", "f"), ("logo-login.dce2e9f.png", "l")]
     got = aligned(spark, old, new)
     assert got["foo-rc1.txt"][0] == "foo-rc2.txt" and got["logo.dce2e9f.png"][1] == "DELETED" and got["logo-login.dce2e9f.png"][1] == "ADDED"
+
+
+def test_equivalent_paths_share_a_stem():
+    rng = random.Random(5)
+    parts = ["view", "view1", "view12", "-v", "_", "a", "b", "2", "3", ".1", "(2)", "rc", "x9", "alpha", "0"]
+    seg = lambda: "".join(rng.choices(parts, k=rng.randint(1, 5)))
+    names = list({"/".join(seg() for _ in range(rng.randint(1, 2))) for _ in range(700)})
+    met = 0
+    for a in names:
+        for b in names:
+            if versions.equivalent_paths(a, b):
+                met += a != b
+                assert set(versions.path_stems(a)) & set(versions.path_stems(b)), (a, b)
+    assert met > 300
+
+
+def test_equal_files_of_unlike_names(spark):
+    """Thousands of empty files on each side whose names only begin alike compete with nobody."""
+    n = 20_000
+    old = [(f"app/viewalpha{i}x{i % 7}.html", "empty") for i in range(n)]
+    new = [(f"app/viewbeta{i}x{i % 7}.html", "empty") for i in range(n)]
+    began = time.time()
+    got = aligned(spark, old, new)
+    assert len(got) == 2 * n and {k for _, _, k in got.values()} == {"NONE"}
+    assert time.time() - began < 20
+
+
+def containers_by_hand(deleted, added, info):
+    left, out = sorted(added), {}
+    for d in sorted(deleted):
+        fit = [a for a in left if info[d].name != info[a].name and versions.same_base(info[d].name, info[a].name, info[d].version, info[a].version, info[d].base, info[a].base)]
+        if len(fit) == 1:
+            out[d] = fit[0]
+            left.remove(fit[0])
+    return out
+
+
+def test_containers_one_by_one(spark):
+    """Version-renamed archives, with and without versions on both sides, against all candidates looked at in order."""
+    rng = random.Random(11)
+    names = [*(f"{b}-{v}.zip" for b in ("core", "store", "service") for v in ("1.0", "1.1", "2.0", "036M059(20260101-0900)")), "service-a1x.zip", "service-b2y.zip", "service-a1x2y.jar", "core-x.jar", "store-9é9z.zip", "storeq7q.zip", "sto1r.zip", "corea9b.jar", "coreb8c.jar"]
+    for trial in range(12):
+        old = {f"{rng.choice('pq')}/{rng.choice(names)}" for _ in range(rng.randint(2, 9))}
+        new = {f"{rng.choice('pqr')}/{rng.choice(names)}" for _ in range(rng.randint(1, 6))}
+        gone, fresh = old - new, new - old
+        frame = lambda keys: spark.createDataFrame([(k, "JAR" if k.endswith("jar") else "ARCHIVE") for k in sorted(keys)], "key string, file_class string")
+        f = F.element_at(F.split("key", "/"), -1)
+        info = {r.key: r for r in frame(gone | fresh).select("key", f.alias("name"), versions.version(f).alias("version"), versions.base_name(f).alias("base")).collect()}
+        got = {r.d: r.a for r in align.container_pairs(frame(gone), frame(fresh)).collect()}
+        assert got == containers_by_hand(gone, fresh, info), (sorted(gone), sorted(fresh))
+
+
+def test_same_base():
+    """Pairs of names with and without versions."""
+    of = lambda a, b, va, vb, ba, bb: versions.same_base(a, b, va, vb, ba, bb)
+    assert of("app-1.0.zip", "app-2.0.zip", "1.0", "2.0", "app-", "app-")
+    assert not of("BEMP-adapterV1.zip", "BEMP-cpesmqV2.zip", "1", "2", "BEMP-adapterV", "BEMP-cpesmqV")
+    assert of("service-a1x.zip", "service-b2y.zip", None, None, None, None) and not of("service.zip", "service-b2y.zip", None, None, None, None)
+    assert not of("srv1x.zip", "srv2y.zip", None, None, None, None)
+
+
+def test_archives_of_one_name(spark):
+    """Many archives of one base name and version moved to other folders: nothing pairs, and nobody scans the others."""
+    n = 5_000
+    old, new = [(f"a/m{i}/core-1.0.zip", f"h{i}") for i in range(n)], [(f"b/m{i}/core-1.0.zip", f"g{i}") for i in range(n)]
+    began = time.time()
+    pairs = align.container_pairs(*(spark.createDataFrame([(k, "ARCHIVE") for k, _ in x], "key string, file_class string") for x in (old, new)))
+    assert pairs.count() == 0 and time.time() - began < 30
