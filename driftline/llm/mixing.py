@@ -7,10 +7,12 @@ comes from a hash of seed, doc_id, text and an ordinal among equal rows, so reru
 their own ways. Their words are prefix-summed up to the budget; the document across it is taken in part. A document's quality
 weight can be any column over 0, such as a classifier's score; without one it is the share of its characters that are no symbols.
 
-The order is never made in one task: keys are cut into ranges of about RANGE documents (1 - exp(-key) grows with the key), the
-ranges' words are summed, prefix-summed inside runs of RUN ranges and over the runs, and only documents of one range are ordered
-together. Equal rows are counted first, then numbered in runs that are dealt over tasks. Only sources, one small row each, are
-ranked as a whole.
+The order is never made in one task: keys are cut into ranges of about RANGE documents, the ranges' words are summed, prefix-summed
+inside runs of RUN ranges and over the runs, and only documents of one range are ordered together. Ranges come from counts: a
+source's keys are counted in BINS bins for each doubling of the key, and a bin is cut evenly into as many ranges as its count
+calls for. Keys of whatever weights are a mixture of exponentials, whose density hardly changes over a hundredth of a key, so the
+ranges of a bin are alike for any weights. Equal rows are counted first, then numbered in runs that are dealt over tasks. Only
+sources, one small row each, are ranked as a whole.
 
 Defined results: null and empty texts have no words and are taken for none; null is a source of its own; equal rows can be taken
 differently but their multiset is the same; an empty table gives no rows; other columns are carried along, whatever their names.
@@ -27,12 +29,13 @@ from .common import WORD, materialize, numbered
 MOST = 3
 RANGE = 500
 RUN = 1000
+BINS = 64
 SEED = "mix-1"
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
-    """(mix_source, source_size, target, epochs, budget, ranges) by source from rows with (mix_source, mix_size)."""
-    by = sized.groupBy("mix_source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("docs"))
+    """(mix_source, source_size, target, epochs, budget) by source from rows with (mix_source, mix_size)."""
+    by = sized.groupBy("mix_source").agg(F.sum("mix_size").alias("source_size"))
     order = W.orderBy(F.col("mix_source").asc_nulls_last())
     weighed = by.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("long"))
     # Sources fill up in the order of size by weight: whoever would get more than MOST sizes from what is left stops there.
@@ -53,7 +56,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
     epochs = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.round("target") / F.col("source_size"))).cast("long")
     return (ranked.withColumn("target", target).withColumn("epochs", epochs)
             .withColumn("budget", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
-            .select("mix_source", "source_size", "target", "epochs", "budget", F.ceil(F.col("docs") / RANGE).alias("ranges")))
+            .select("mix_source", "source_size", "target", "epochs", "budget"))
 
 
 def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weight: Column | None = None, fingerprint: Column | None = None) -> DataFrame:
@@ -71,6 +74,19 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return each.withColumn("mix_key", -F.log(u) / F.col("mix_weight")).drop("mix_weight")
 
 
+def ranged(keyed: DataFrame) -> DataFrame:
+    """keyed rows with mix_range, which grows with mix_key: its bin's first range, and where in the bin the key lies."""
+    bin_ = F.floor(F.log2("mix_key") * BINS).cast("long")
+    counts = keyed.groupBy("mix_source", bin_.alias("bin")).agg(F.ceil(F.count("*") / RANGE).alias("cuts"))
+    upto = W.partitionBy("mix_source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # a few thousand bins
+    bins = counts.select(F.col("mix_source").alias("of_source"), F.col("bin").alias("of_bin"), "cuts", F.coalesce(F.sum("cuts").over(upto), F.lit(0)).alias("first"))
+    bins = materialize(bins, "mix-bins")
+    low, high = (F.pow(F.lit(2.0), (F.col("bin") + k) / BINS) for k in (0, 1))
+    inside = F.least(F.col("cuts") - 1, F.greatest(F.lit(0), F.floor((F.col("mix_key") - low) / (high - low) * F.col("cuts"))))
+    return (keyed.withColumn("bin", bin_).join(bins, F.col("mix_source").eqNullSafe(F.col("of_source")) & (F.col("bin") == F.col("of_bin")))
+            .withColumn("mix_range", (F.col("first") + inside).cast("long")).drop("bin", "of_source", "of_bin", "cuts", "first"))
+
+
 def _before(sums: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """sums with `before`, the sum of value over smaller `at`: inside runs of RUN, and over the runs' sums."""
     run = F.floor(F.col(at) / RUN)
@@ -87,17 +103,16 @@ def _before(sums: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
 def mix(keyed: DataFrame) -> DataFrame:
     """keyed rows (with_keys, materialised) with source_size, target and taken: the words that the mix takes, repeats counted."""
     targets = materialize(source_targets(keyed.select("mix_source", "mix_size")), "mix-targets").withColumnRenamed("mix_source", "of_source")
-    ranged = (keyed.join(targets.select("of_source", "ranges"), F.col("mix_source").eqNullSafe(F.col("of_source")))
-              .withColumn("mix_range", F.floor((1.0 - F.exp(-F.col("mix_key"))) * F.col("ranges")).cast("long")).drop("ranges", "of_source"))
-    sums = materialize(ranged.groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("range_size")), "mix-sums")
+    placed = ranged(keyed)
+    sums = materialize(placed.groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("range_size")), "mix-sums")
     sums = _before(sums, ["mix_source"], "mix_range", "range_size")
-    sums = (sums.join(targets.drop("ranges"), F.col("mix_source").eqNullSafe(F.col("of_source"))).drop("of_source", "range_size")
+    sums = (sums.join(targets, F.col("mix_source").eqNullSafe(F.col("of_source"))).drop("of_source", "range_size")
             .withColumnsRenamed({"mix_source": "of_source", "mix_range": "of_range"}))
     sums = materialize(sums, "mix-ranges")
     inside = W.partitionBy("mix_source", "mix_range").orderBy("mix_key", "mix_id", "mix_size", "mix_ordinal").rowsBetween(W.unboundedPreceding, -1)
     done = F.col("before") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0))
     part = F.least(F.col("mix_size"), F.greatest(F.lit(0), F.col("budget") - done))
-    return (ranged.join(sums, F.col("mix_source").eqNullSafe(F.col("of_source")) & (F.col("mix_range") == F.col("of_range")))
+    return (placed.join(sums, F.col("mix_source").eqNullSafe(F.col("of_source")) & (F.col("mix_range") == F.col("of_range")))
             .withColumn("taken", F.col("epochs") * F.col("mix_size") + part).drop("of_source", "of_range", "before", "epochs", "budget", "mix_range"))
 
 

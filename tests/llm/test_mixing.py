@@ -77,3 +77,15 @@ def test_equal_rows_and_null_ids_go_their_own_ways(spark, monkeypatch):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixed_documents(df).count() == 0
+
+
+def test_ranges_stay_even_for_any_weights(spark):
+    """Weights from 0.001 to 50, alike or mixed, keep the largest range under ten times the mean."""
+    n = 40_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), F.col("id"))
+    mixed = F.when(F.col("id") % 3 == 0, 0.001).when(F.col("id") % 3 == 1, 1.0).otherwise(50.0)
+    for weight in (F.lit(0.001), F.lit(0.05), F.lit(1.0), F.lit(50.0), mixed):
+        placed = mixing.ranged(mixing.with_keys(docs, weight=weight))
+        sizes = placed.groupBy("mix_range").agg(F.count("*").alias("n"), F.min("mix_key").alias("low"), F.max("mix_key").alias("high")).orderBy("mix_range").collect()
+        assert sum(r.n for r in sizes) == n and max(r.n for r in sizes) <= 2 * mixing.RANGE
+        assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
