@@ -1,6 +1,7 @@
 """Quality rules with adaptive thresholds (native DataFrame operations only).
 
-Every document gets counts (see measure()). Each rule turns them into one integer ratio. Per language and source the ratios
+Every document gets counts (see measure()). Each rule turns them into one integer ratio; lines and words that repeat are divided by
+their number and a prior, as one repeated line of three says little. Per language and source the ratios
 go into a mergeable quantile sketch: bins that are exact below 1000 and keep three significant digits above (relative error
 under 1 %), with one count per bin. Sketches merge by adding counts, so those of a language and of the whole corpus come from
 adding up those of its sources. The upper fence of a rule is  q75 + SPREAD * (q75 - q50) + margin  of the sketch of the
@@ -8,7 +9,8 @@ document's language and source; a group of fewer than MIN_GROUP documents uses i
 fences are joined to the documents, which are kept if the fixed floor (base_failed) and all fences let them pass.
 
 Defined results: null and empty texts count no words and fail the floor; null language or source is a group of its own; equal
-rows get equal verdicts; an empty table gives no rows; other columns are carried along untouched.
+rows get equal verdicts; an empty table gives no rows; other columns are carried along untouched, and a new column whose name is
+taken has underscores in front, as many as it takes.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BLANKS, WORD, let, materialize, words
+from .common import BLANKS, WORD, let, materialize, one_column_of, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,8 +28,8 @@ MIN_GROUP = 200
 #: Rule: (ratio as an SQL expression of the counts, margin over the sketch's fence).
 RULES = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 150),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 250),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 250),
+    "dup_lines": ("1000 * n_dup_lines div (n_lines + 10)", 250),
+    "repeats": ("1000 * n_repeat_words div (n_words + 50)", 250),
     "upper": ("1000 * n_upper div greatest(word_chars, 1)", 300),
     "length": ("10 * word_chars div greatest(n_words, 1)", 40),
 }
@@ -53,7 +55,7 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns (all by default) and `rule_counts`, a struct of what the rules count."""
+    """The carried columns (all by default) and, last, `rule_counts`, a struct of what the rules count."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(BLANKS)) != "")
     counts = let(words(text), lambda w: F.struct(
@@ -70,7 +72,8 @@ def measure(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
     flat = let(whole, lambda x: F.struct(
         x["a"]["n_words"].alias("n_words"), x["word_chars"].alias("word_chars"), x["n_symbols"].alias("n_symbols"), x["b"]["n_dup_lines"].alias("n_dup_lines"),
         x["a"]["n_repeat_words"].alias("n_repeat_words"), x["b"]["n_lines"].alias("n_lines"), x["n_upper"].alias("n_upper")))
-    return docs.select(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)], flat.alias("rule_counts"))
+    own = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)], flat.alias("_"))
+    return own.toDF(*own.columns[:-1], one_column_of(own, "rule_counts"))
 
 
 def base_failed(counts: str = "rule_counts") -> Column:
@@ -117,14 +120,16 @@ def fences(bins: DataFrame) -> DataFrame:
 
 
 def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """measured with base_failed and kept. The fences are written first: their true size decides whether the join broadcasts them."""
-    spots = materialize(fences(sketch(measured, lang_col, source_col)), "rule-fences")
+    """measured, its counts last, with base_failed and kept. The fences are written first: their true size decides whether the join broadcasts them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in measured.columns])
+    own = measured.select(row.alias("row"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{measured.columns[-1]}`").alias("rule_counts"))
+    spots = materialize(fences(sketch(own)), "rule-fences")
     spots = spots.withColumnsRenamed({"lang": "fence_lang", "source": "fence_source"})
-    joined = measured.join(spots, F.col(lang_col).eqNullSafe(F.col("fence_lang")) & F.col(source_col).eqNullSafe(F.col("fence_source")), "left")
+    joined = own.join(spots, F.col("lang").eqNullSafe(F.col("fence_lang")) & F.col("source").eqNullSafe(F.col("fence_source")), "left")
     passes = ~base_failed()
     for r in RULES:
         passes = passes & (_ratio(r) <= F.coalesce(F.col(f"fence_{r}"), F.lit(0)))
-    return joined.withColumns({"base_failed": base_failed(), "kept": passes}).drop(*spots.columns)
+    return joined.select("row.*", base_failed().alias(one_column_of(measured, "base_failed")), passes.alias(one_column_of(measured, "kept")))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -163,8 +168,8 @@ WITH base AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
 ), ratios AS (
   SELECT rid, lang, source, base_failed, unnest([
-    {{'rule': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1), 'margin': 150}}, {{'rule': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'margin': 250}},
-    {{'rule': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'margin': 250}}, {{'rule': 'upper', 'v': 1000 * n_upper // greatest(word_chars, 1), 'margin': 300}},
+    {{'rule': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1), 'margin': 150}}, {{'rule': 'dup_lines', 'v': 1000 * n_dup_lines // (n_lines + 10), 'margin': 250}},
+    {{'rule': 'repeats', 'v': 1000 * n_repeat_words // (n_words + 50), 'margin': 250}}, {{'rule': 'upper', 'v': 1000 * n_upper // greatest(word_chars, 1), 'margin': 300}},
     {{'rule': 'length', 'v': 10 * word_chars // greatest(n_words, 1), 'margin': 40}}]) AS e FROM flagged
 ), binned AS (
   SELECT lang, source, e.rule AS rule, e.margin AS margin, CASE WHEN e.v < 1000 THEN e.v ELSE e.v - e.v % (10 ** (length(e.v::VARCHAR) - 3))::BIGINT END AS bin, count(*) AS n

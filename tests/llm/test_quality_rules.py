@@ -46,3 +46,24 @@ def test_sketches_merge(spark):
     merged = half[0].union(half[1]).groupBy("lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
     whole = qr.sketch(qr.measure(df))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_few_repeated_lines_are_no_reason(spark):
+    """Clean documents of a few lines, one or two of which repeat, stay; many repeated lines go."""
+    rows = [(i, prose(i), "en", "s") for i in range(600)]
+    line = "and so it says here once again"
+    rows += [(700, f"{prose(9, 60)}\n{line}\n{line}", "en", "s"), (701, f"{prose(8, 40)}\n{line}\n{prose(7, 40)}\n{line}\n{prose(6, 30)}\n{line}", "en", "s")]
+    rows += [(702, "\n".join(f"{line} {k // 2} {prose(k // 2, 6)}" for k in range(60)), "en", "s")]
+    kept = {r.doc_id for r in qr.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {*range(600), 700, 701} <= kept and 702 not in kept
+
+
+def test_columns_with_names_of_ours(spark):
+    names = ["rule_counts", "fence_lang", "fence_source", "fence_symbols", "kept", "base_failed", "row", "rule", "bin"]
+    rows = [(i, prose(i), "en", None, *"abcdefghi") for i in range(5)] + [(9, None, None, None, *"abcdefghi")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = qr.judge(qr.measure(df))
+    assert out.columns == [*df.columns, "_rule_counts", "_base_failed", "_kept"]
+    assert all(tuple(r)[4:13] == tuple("abcdefghi") for r in out.collect())
+    assert {r.doc_id: (r._base_failed, r._kept) for r in out.collect()} == {**{i: (False, True) for i in range(5)}, 9: (True, False)}
+    assert qr.judge(qr.measure(df.limit(0))).count() == 0
