@@ -187,18 +187,18 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
                 yield _objects(encoder, whole.slice(lo, DOCS), end_id, seen)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        last = None  # equal chunks are neighbours
         for batch in batches:
             keep = []
             for kind, d in zip(batch.column("kind").to_pylist(), batch.column("digest").to_pylist()):
-                keep.append(kind == "doc" or d not in seen)
+                keep.append(kind == "doc" or d != last)
                 if kind == "chunk":
-                    seen.add(d)
+                    last = d
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     schema = "kind string, digest binary, width int, n long, ids binary, doc_id long, ends array<int>"
     # Chunks of one digest meet in one partition; recipes are dealt by their digests and id, so equal texts don't meet.
-    (own.mapInArrow(encoded, schema).repartition("digest", "doc_id").mapInArrow(distinct, schema)
+    (own.mapInArrow(encoded, schema).repartition("digest", "doc_id").sortWithinPartitions("kind", "digest").mapInArrow(distinct, schema)
      .write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects"))
 
     stored = spark.read.schema(schema).parquet(f"{path}/objects").where("kind = 'doc'").select("doc_id", "n", "digest", "ends")
@@ -214,7 +214,9 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more.values())], names=[*batch.schema.names, *more])
             idx, start = idx + len(n), start + (int(ends[-1]) if len(ends) else 0)
 
-    (stored.withColumnsRenamed({"n": "n_tokens", "digest": "digests"}).repartitionByRange("doc_id", "digests").sortWithinPartitions("doc_id", "digests")
+    # Equal rows, whose order says nothing, are told apart so that many of them part.
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    (stored.withColumnsRenamed({"n": "n_tokens", "digest": "digests"}).withColumn("spread", spread).repartitionByRange("doc_id", "digests", "spread").sortWithinPartitions("doc_id", "digests").drop("spread")
      .mapInArrow(numbered, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes"))
     _manifest(recipes(spark, path)).write.parquet(f"{path}/manifest")
 
