@@ -103,8 +103,8 @@ def _sums(parts: list[str], cells: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([names, *map(pa.array, where), *(pa.array(np.ascontiguousarray(x).ravel().astype(np.int64)) for x in sums)], names=["part", "at", "step", *_SUMS])
 
 
-def partial_sums(rows: DataFrame) -> DataFrame:
-    """(part, at, step, _SUMS) of each task's rows (part, cell, label)."""
+def partial_sums(rows: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(part, at, step, _SUMS) of each task's rows (part, cell, label); a task holds the counts of so many parts at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -124,7 +124,7 @@ def partial_sums(rows: DataFrame) -> DataFrame:
                     held[name] = held[name] + cells[k]
                     continue
                 held[name] = cells[k]
-                if len(held) >= PARTS:
+                if len(held) >= parts:
                     yield sent()
         if held:
             yield sent()

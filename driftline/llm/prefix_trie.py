@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 FAMILY, SHARED = 100, 6
-#: Depths of a family's trie that are built at a time.
+#: Depths of a family's trie that are built at a time; the base's turns are all in the first block.
 BLOCK = 1024
 #: Conversation ids whose ends are joined before they are hashed.
 RUN = 1000

@@ -40,12 +40,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # runs of 16 or more
 VALUE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
-SAMPLE = 1500
+SAMPLE = 4000
 LONGEST = 256
 LEAST = 20
 #: Of a sample, one string of this many is held out for the thresholds.
 HELD_OUT = 4
-FLOOR = 0.05
+FLOOR, ORDINARY = 0.05, 0.995
 #: Confidence of the Hoeffding bound, and weight of a kind's own characters in each state.
 ALPHA, SMOOTH = 0.05, 0.5
 #: Remembered scores in a task.
@@ -253,7 +253,9 @@ class Formats:
                 self.least.append(math.inf)
                 continue
             own = sorted(self._gain(kind, s) for s in rest[k])
-            self.least.append(max([0.0, own[int(FLOOR * len(own))], *(self._gain(kind, s) for s in rest[-1])]))
+            ordinary = sorted(self._gain(kind, s) for s in rest[-1])
+            below = max(0.0, ordinary[min(len(ordinary) - 1, int(ORDINARY * len(ordinary)))]) if ordinary else 0.0
+            self.least.append(max(below, (below + own[int(FLOOR * len(own))]) / 2))
 
     def _gain(self, kind: Automaton, value: str) -> float:
         return kind.log_likelihood(value) - self.background.log_likelihood(value)
