@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,6 +58,12 @@ def _lcs(a: list, b: list, cells: int | None) -> list[tuple[str, int, int]]:
         while t < min(n, m) - h and a[n - 1 - t] == b[m - 1 - t]:
             t += 1
         return [("ctx", i, i) for i in range(h)] + [("del", i, -1) for i in range(h, n - t)] + [("add", -1, j) for j in range(h, m - t)] + [("ctx", n - t + k, m - t + k) for k in range(t)]
+    h = 0  # a common head is always context, whatever follows
+    while h < min(n, m) and a[h] == b[h]:
+        h += 1
+    head, a, b, n, m = [("ctx", i, i) for i in range(h)], a[h:], b[h:], n - h, m - h
+    if not n or not m:
+        return head + [("del", h + i, -1) for i in range(n)] + [("add", -1, h + j) for j in range(m)]
     number: dict = {}
     x = np.array([number.setdefault(v, len(number)) for v in a], np.int64)
     y = np.array([number.setdefault(v, len(number)) for v in b], np.int64)
@@ -67,30 +74,56 @@ def _lcs(a: list, b: list, cells: int | None) -> list[tuple[str, int, int]]:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and x[i] == y[j]:
-            out.append(("ctx", i, j))
+            out.append(("ctx", h + i, h + j))
             i, j = i + 1, j + 1
         elif i < n and (j == m or best[i + 1, j] >= best[i, j + 1]):
-            out.append(("del", i, -1))
+            out.append(("del", h + i, -1))
             i += 1
         else:
-            out.append(("add", -1, j))
+            out.append(("add", -1, h + j))
             j += 1
-    return out
+    return head + out
+
+
+#: Rows of lines that a task hands on at a time.
+ROWS = 50_000
+
+
+def _numbers(values: list[int]) -> pa.Array:
+    """Line numbers from 1; null where there is none."""
+    v = np.array(values, np.int32)
+    return pa.array(v + 1, mask=v < 0)
 
 
 def lcs_diff(df: DataFrame, key: str, old: str, new: str, old_norm: str | None = None, new_norm: str | None = None, cells: int = CELLS) -> DataFrame:
     """(key, pos, op, old_no, new_no, text) by longest common subsequence. Lines match by old_norm and new_norm (arrays like old and new), and show as they are."""
-    names = [key, "old", "new", "old_norm", "new_norm"]
-    own = df.select(F.col(key), F.col(old).alias("old"), F.col(new).alias("new"), F.col(old_norm or old).alias("old_norm"), F.col(new_norm or new).alias("new_norm"))
+    normal = [F.col(old_norm or old).alias("old_norm"), F.col(new_norm or new).alias("new_norm")] if old_norm or new_norm else []
+    own = df.select(F.col(key).alias("key"), F.col(old).alias("old"), F.col(new).alias("new"), *normal)
+    out = ["pos", "op", "old_no", "new_no", "text"]
 
-    def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, a, b, x, y in batch[names].itertuples(index=False):
-                ops = _lcs(list(x), list(y), cells)
-                yield pd.DataFrame({key: [k] * len(ops), "pos": range(len(ops)), "op": [o for o, _, _ in ops], "old_no": pd.array([i + 1 if i >= 0 else None for _, i, _ in ops], "Int32"),
-                                    "new_no": pd.array([j + 1 if j >= 0 else None for _, _, j in ops], "Int32"), "text": [a[i] if i >= 0 else b[j] for _, i, j in ops]})
+            at, ops, texts, pos = [], [], [], []
+
+            def sent() -> pa.RecordBatch:
+                columns = [batch.column("key").take(pa.array(at, pa.int32())), pa.array(pos, pa.int32()), pa.array([o for o, _, _ in ops], pa.string()), _numbers([i for _, i, _ in ops]), _numbers([j for _, _, j in ops]), pa.array(texts, pa.string())]
+                for x in (at, ops, texts, pos):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(columns, names=[key, *out])
 
-    return own.mapInPandas(diff, f"`{key}` {df.schema[key].dataType.simpleString()}, pos int, op string, old_no int, new_no int, text string")
+            for k in range(batch.num_rows):
+                a, b, *norms = (batch.column(c)[k].as_py() or [] for c in range(1, batch.num_columns))
+                own = _lcs(*(norms or (a, b)), cells)
+                at += [k] * len(own)
+                ops += own
+                pos += range(len(own))
+                texts += [a[i] if i >= 0 else b[j] for _, i, j in own]
+                if len(ops) >= ROWS:
+                    yield sent()
+            if ops:
+                yield sent()
+
+    return own.mapInArrow(diff, f"`{key}` {df.schema[key].dataType.simpleString()}, pos int, op string, old_no int, new_no int, text string")
 
 
 def number(lines: DataFrame, key: str) -> DataFrame:
@@ -211,16 +244,29 @@ def align_lines(old: list[str], new: list[str], cells: int = ALIGN_CELLS) -> lis
 
 def aligned(df: DataFrame, key: str, old: str, new: str, cells: int = ALIGN_CELLS) -> DataFrame:
     """(key, pos, change_no, type, left, right): align_lines of two columns, arrays of lines."""
-    own = df.select(F.col(key), F.col(old).alias("old"), F.col(new).alias("new"))
+    own = df.select(F.col(key).alias("key"), F.col(old).alias("old"), F.col(new).alias("new"))
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, a, b in batch[[key, "old", "new"]].itertuples(index=False):
-                rows = align_lines(list(a), list(b), cells)
-                yield pd.DataFrame({key: [k] * len(rows), "pos": range(len(rows)), "change_no": pd.array([n for _, n, _, _ in rows], "Int32"),
-                                    "type": [t for t, _, _, _ in rows], "left": [x for _, _, x, _ in rows], "right": [y for _, _, _, y in rows]})
-
-    return own.mapInPandas(align, f"`{key}` {df.schema[key].dataType.simpleString()}, pos int, change_no int, type string, left string, right string")
+            at, rows, pos = [], [], []
+
+            def sent() -> pa.RecordBatch:
+                columns = [batch.column("key").take(pa.array(at, pa.int32())), pa.array(pos, pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.string()) for c in (0, 2, 3))]
+                for x in (at, rows, pos):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(columns, names=[key, "pos", "change_no", "type", "left", "right"])
+
+            for k in range(batch.num_rows):
+                own = align_lines(*(batch.column(c)[k].as_py() or [] for c in ("old", "new")), cells)
+                at += [k] * len(own)
+                rows += own
+                pos += range(len(own))
+                if len(rows) >= ROWS:
+                    yield sent()
+            if rows:
+                yield sent()
+
+    return own.mapInArrow(align, f"`{key}` {df.schema[key].dataType.simpleString()}, pos int, change_no int, type string, left string, right string")
 
 
 def inline_segments(old: str, new: str, mode: str = "char") -> list[tuple[str, str]]:
