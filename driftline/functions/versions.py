@@ -123,11 +123,36 @@ def same_base(a: str, b: str, version_a: str | None, version_b: str | None, base
     """Whether two file names are those of one package in different versions: by their base names, or where one has no version by their common beginning."""
     if version_a is not None and version_b is not None:
         return version_a != version_b and base_a is not None and base_a == base_b
-    a, b = (re.sub(r"(?s)(.)\.[^./\\]*$", r"\1", x) for x in (a, b))
+    a, b = _stem(a), _stem(b)
     p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     return p >= LEAST_PREFIX and all(looks_version_tail(x[p:]) for x in (a, b))
 
 
+def _stem(name: str) -> str:
+    return re.sub(r"(?s)(.)\.[^./\\]*$", r"\1", name)
+
+
+def file_version(name: str) -> str | None:
+    """version() of a string."""
+    s = _stem(name)
+    dotted, build = (re.search(p.replace(r"\d", "[0-9]"), s) for p in (DOTTED, BUILD_TAIL))
+    if not dotted or (build and dotted.start() and s[dotted.start() - 1] == "("):
+        return build and build[1]
+    return dotted[1]
+
+
+def file_base(name: str) -> str | None:
+    """base_name() of a string."""
+    s, v = _stem(name), file_version(name)
+    return s[: len(s) - len(v)] if v and s.endswith(v) and len(s) - len(v) >= LEAST_PREFIX else None
+
+
+def same_package(a: str, b: str) -> bool:
+    """Whether two paths' file names are those of one package in different versions."""
+    a, b = a.rpartition("/")[2], b.rpartition("/")[2]
+    return _stem(a) != _stem(b) and same_base(a, b, file_version(a), file_version(b), file_base(a), file_base(b))
+
+
 def looks_version_tail(tail: str) -> bool:
     """A digit, and nothing but letters, digits and ()._-."""
     kinds = [unicodedata.category(c) for c in tail]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -105,18 +106,20 @@ def nested_unpack(spark, sf_dir):
     return archives.flatten(archives.entries_of(_packs(spark, sf_dir, _nested))).select("snapshot_id", "key", "depth", "sha256", "error")
 
 
-def _office(pack: int, docs: list[tuple[int, str]]) -> bytes:
-    def document(text: str) -> bytes:
-        body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
-        return zipped([("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'.encode())])
+def word_document(text: str) -> bytes:
+    """A document with a paragraph for each line, without the characters that XML can't hold."""
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in re.sub("[\x00-\x08\x0b-\x1f]", "", text).split("\n"))
+    return zipped([("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'.encode())])
+
 
-    return zipped([(f"office/doc{i}.docx", document("".join(c for c in t if c in "\t\n" or " " <= c <= "~"))) for i, t in docs])
+def _office(pack: int, docs: list[tuple[int, str]]) -> bytes:
+    return zipped([(f"office/doc{i}.docx", word_document(t)) for i, t in docs])
 
 
-@query("office_text", f"""WITH p AS (SELECT doc_id, regexp_replace({TEXT}, '[^\\x09\\x0A\\x20-\\x7E]', '', 'g') AS t, doc_id // {PACK} AS pack FROM documents WHERE doc_id IS NOT NULL)
+@query("office_text", f"""WITH p AS (SELECT doc_id, regexp_replace({TEXT}, '[\\x00-\\x08\\x0B-\\x1F]', '', 'g') AS t, doc_id // {PACK} AS pack FROM documents WHERE doc_id IS NOT NULL)
  SELECT concat('p', pack, '.zip') AS snapshot_id, concat('office/doc', doc_id, '.docx') AS key, md5(t) AS text, NULL AS error FROM p""")
 def office_text(spark, sf_dir):
-    """Paragraphs of office documents in archives."""
+    """Paragraphs of office documents in archives, in all languages of the texts."""
     return archives.texts(archives.entries_of(_packs(spark, sf_dir, _office))).select("snapshot_id", "key", F.md5("text").alias("text"), "error")
 
 
