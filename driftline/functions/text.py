@@ -172,4 +172,9 @@ def best_version(versions: Column) -> Column:
 def human_size(size: Column) -> Column:
     return (F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
             .when(size < 1 << 20, F.format_string("%.1f KB", size / 1024.0)).when(size < 1 << 30, F.format_string("%.1f MB", size / float(1 << 20)))
-            .otherwise(F.format_string("%.1f GB", size / float(1 << 30))))
+            .when(size < 1 << 40, F.format_string("%.1f GB", size / float(1 << 30))).otherwise(F.format_string("%.1f TB", size / float(1 << 40))))
+
+
+def shown_time(ms: Column) -> Column:
+    """A time in milliseconds, in the session's zone; a dash for none."""
+    return F.coalesce(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("-"))

@@ -257,3 +257,11 @@ def align(diff: DataFrame, deleted_content: Column | None = None) -> DataFrame:
     rest = diff.join(found.select(F.col("d").alias("key")), "key", "left_anti").join(found.select(F.col("a").alias("key")), "key", "left_anti")
     kept = rest.select("key", F.when(F.col("status") != "DELETED", F.col("key")).alias("new_key"), "status", F.when(F.col("status").isin("ADDED", "DELETED"), "NONE").otherwise("KEY").alias("match_kind"))
     return kept.unionByName(paired)
+
+
+def looked_up(aligned: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """asked with new_key, what an old key is called now if it is paired with another, and old_key, what a new key was called."""
+    pairs = aligned.where("new_key IS NOT NULL AND new_key <> key AND match_kind NOT IN ('KEY', 'NONE')").select("key", "new_key")
+    forth = pairs.select(F.col("key").alias("of_old"), "new_key")
+    back = pairs.select(F.col("new_key").alias("of_new"), F.col("key").alias("old_key"))
+    return asked.join(forth, F.col(key) == F.col("of_old"), "left").join(back, F.col(key) == F.col("of_new"), "left").drop("of_old", "of_new")

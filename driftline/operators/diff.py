@@ -93,7 +93,8 @@ def folder_diff(left: DataFrame, right: DataFrame) -> DataFrame:
         F.when(file & ~F.col("l.mtime_ms").eqNullSafe(F.col("r.mtime_ms")), "MTIME"), F.when(file & ~F.col("l.sha256").eqNullSafe(F.col("r.sha256")), "CONTENT")))
     state = F.when(F.col("l").isNull(), "RIGHT_ONLY").when(F.col("r").isNull(), "LEFT_ONLY").when(F.col("l.type") != F.col("r.type"), "TYPE_MISMATCH").when(F.size(changes) == 0, "SAME").otherwise("MODIFIED")
     kind = F.when(both & (F.col("l.type") != F.col("r.type")), "FILE").otherwise(F.coalesce("l.type", "r.type"))
-    return l.join(r, "path", "full_outer").select("path", state.alias("status"), changes.alias("changes"), kind.alias("type"), both.alias("both"), F.col("l").isNotNull().alias("in_left"), F.col("r").isNotNull().alias("in_right"), F.col("l.type").alias("left_type"), F.col("r.type").alias("right_type"))
+    return l.join(r, "path", "full_outer").select("path", state.alias("status"), changes.alias("changes"), kind.alias("type"), both.alias("both"), F.col("l").isNotNull().alias("in_left"), F.col("r").isNotNull().alias("in_right"), F.col("l.type").alias("left_type"), F.col("r.type").alias("right_type"),
+        *[F.col(f"{s}.{c}").alias(f"{side}_{c}") for s, side in (("l", "left"), ("r", "right")) for c in ("size", "mtime_ms")])
 
 
 def folder_summary(diff: DataFrame) -> DataFrame:

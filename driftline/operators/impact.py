@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import cut
+
 
 def api_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(cls, level, api) from signatures (cls, api, ordinal) of both sides.
@@ -97,14 +100,27 @@ def running_budget(rows: DataFrame, group: list[str], order: list, size: Column,
 
 
 def group_quotas(groups: DataFrame, total: int, order: list, key: str, need: str) -> DataFrame:
-    """(key, quota): groups in order share what is left evenly among those still to come, and leave what they don't need. groups is one small row a folder."""
-    folded = groups.orderBy(*order).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(key).alias("k"), F.col(need).cast("long").alias("n")))).alias("g"))
-    start = F.struct(F.lit(total).cast("long").alias("left"), F.size("g").cast("long").alias("todo"), F.array().cast("array<struct<k:string,quota:bigint>>").alias("out"))
+    """(key, quota): groups in order share what is left evenly among those still to come, and leave what they don't need.
+
+    While more groups are to come than there is to share, a share is nothing; so only the last `total` groups can have any, and only
+    they come together.
+    """
+    rows = groups.select(F.struct(*order).alias("o"), F.col(key).cast("string").alias("k"), F.col(need).cast("long").alias("n"))
+    last = cut(rows.orderBy(F.desc("o"), F.desc("k")).limit(total)).withColumn("at", F.row_number().over(W.orderBy("o", "k")))
+
+    def share(own: pd.DataFrame) -> pd.DataFrame:
+        left, todo, out = total, len(own), []
+        for k, n in own.sort_values("at")[["k", "n"]].itertuples(index=False):
+            got = min(n, left // todo)
+            out.append((k, got))
+            left, todo = left - got, todo - 1
+        return pd.DataFrame(out, columns=["k", "quota"])
+
+    shared = last.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(share, "k string, quota long")
+    rest = rows.select("k").join(last.select("k"), "k", "left_anti").select("k", F.lit(0).cast("long").alias("quota"))
+    return shared.unionByName(rest).withColumnRenamed("k", key)
 
-    def step(acc: Column, x: Column) -> Column:
-        share = F.floor(acc["left"] / acc["todo"]).cast("long")
-        got = F.least(x["n"], share)
-        return F.struct((acc["left"] - got).alias("left"), (acc["todo"] - 1).alias("todo"), F.concat(acc["out"], F.array(F.struct(x["k"].cast("string").alias("k"), got.alias("quota")))).alias("out"))
 
-    out = folded.select(F.explode(F.aggregate("g", start, step, lambda a: a["out"])).alias("r"))
-    return out.select(F.col("r.k").alias(key), F.col("r.quota").alias("quota"))
+def without_added(targets: DataFrame, added: DataFrame) -> DataFrame:
+    """targets (target, ...) that are not purely added classes (fqn): these can break nobody."""
+    return targets.join(added.select(F.col("fqn").alias("target")), "target", "left_anti")

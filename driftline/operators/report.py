@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, paths
+from ..functions.text import human_size, shown_time
+from ..sources.tables import cut
 
 # Labels and headings of reports.
 STATUS_LABELS = {"ADDED": "新增 +", "DELETED": "删除 -", "MODIFIED": "修改 ~", "UNCHANGED": "未变 ="}
@@ -48,6 +50,14 @@ def load_rows(lines: DataFrame) -> DataFrame:
     return own.where("elapsed IS NOT NULL")
 
 
+def load_xml(spark: SparkSession, path: str) -> DataFrame:
+    """load_rows of logs in XML: samples by their attributes. What is no sample, or has no duration, doesn't count."""
+    rows = spark.read.format("xml").schema("_ts STRING, _t STRING, _lb STRING, _s STRING").option("rowTag", "httpSample").option("mode", "PERMISSIVE").load(path)
+    number = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
+    own = rows.select(F.coalesce(F.nullif("_lb", F.lit("")), F.lit("ALL")).alias("label"), number("_t").alias("elapsed"), F.coalesce(number("_ts"), F.lit(0)).alias("ts"), (F.lower(F.coalesce(F.nullif("_s", F.lit("")), F.lit("true"))) == "true").alias("ok"))
+    return own.where("elapsed IS NOT NULL")
+
+
 def load_summary(rows: DataFrame) -> DataFrame:
     """By label: calls, durations, errors, and calls a second of the whole test."""
     span = rows.agg(((F.max(F.col("ts") + F.col("elapsed")) - F.min("ts")) / 1000.0).alias("seconds"))
@@ -134,6 +144,68 @@ def folder_table(summary: DataFrame) -> DataFrame:
     return summary.select(F.posexplode(F.array(*lines)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
+#: Marks of a folder's tree, and what attributes are called.
+MARKS = {"LEFT_ONLY": "[<]", "RIGHT_ONLY": "[>]", "MODIFIED": "[*]", "TYPE_MISMATCH": "[!]", "SAME": "[=]"}
+ATTRIBUTES = {"SIZE": "大小 ", "MTIME": "修改时间 ", "CONTENT": "内容不同", "TYPE": "类型冲突(文件/目录)"}
+LEGEND = "图例：`[<]` 仅左侧  `[>]` 仅右侧  `[*]` 两侧不同  `[!]` 类型冲突  `[=]` 相同"
+NO_LINES = "_无文本文件内容差异（或文本文件内容未变，仅属性变化）。_"
+
+
+def marker(status: Column, differs_below: Column) -> Column:
+    """The mark of an entry; a folder that is the same but for what lies below it has that of a change."""
+    out = F.when(differs_below, MARKS["MODIFIED"])
+    for name, mark in MARKS.items():
+        out = out.when(status == name, mark)
+    return out
+
+
+def attribute_summary(changes: Column) -> Column:
+    """What changed of an entry with left_size, right_size, left_mtime_ms, right_mtime_ms."""
+    has = lambda c: F.array_contains(changes, c)
+    pair = lambda show, c: F.concat(show(F.col(f"left_{c}")), F.lit("→"), show(F.col(f"right_{c}")))
+    sized = lambda n: F.coalesce(human_size(n), F.lit("-"))
+    parts = F.array_compact(F.array(F.when(has("SIZE"), F.concat(F.lit(ATTRIBUTES["SIZE"]), pair(sized, "size"))), F.when(has("MTIME"), F.concat(F.lit(ATTRIBUTES["MTIME"]), pair(shown_time, "mtime_ms"))),
+                                    F.when(has("CONTENT"), ATTRIBUTES["CONTENT"]), F.when(has("TYPE"), ATTRIBUTES["TYPE"])))
+    return F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]"))
+
+
+def folder_tree(diff: DataFrame) -> DataFrame:
+    """(a, b, c, line) of folder_diff as a tree: folders before files, by name, indented by depth."""
+    path, is_dir = F.col("path"), F.col("type") == "DIR"
+    below = diff.where("status <> 'SAME'").select(F.explode(paths.ancestors(path)).alias("dir")).distinct()
+    rows = diff.join(below, path == F.col("dir"), "left")
+    differs = is_dir & (F.col("status") == "SAME") & F.col("dir").isNotNull()
+    names = F.split(path, "/")
+    # Each step of a path says first whether it is a folder; a folder's step ends below any name's characters.
+    place = F.array_join(F.transform(names, lambda x, i: F.concat(F.when((i < F.size(names) - 1) | is_dir, "0").otherwise("1"), x)), "\u0001")
+    more = F.when(F.col("status") == "MODIFIED", F.concat(F.lit(" "), attribute_summary(F.col("changes")))).when(differs, " (子树含差异)").otherwise("")
+    line = F.concat(F.repeat(F.lit("  "), F.size(names) - 1), F.lit("- "), marker(F.col("status"), differs), F.lit(" "), paths.file_name(path), F.when(is_dir, "/").otherwise(""), more)
+    return rows.select(F.lit(0).alias("a"), place.alias("b"), F.lit(0).alias("c"), line.alias("line"))
+
+
+def folder_report(diff: DataFrame, units: DataFrame, errors: DataFrame, left: str, right: str) -> DataFrame:
+    """(line_no, line) of the report of two folders: counts, tree, line differences of modified texts (key, old_lines, new_lines), and what could not be read (path, error)."""
+    from . import document, lines
+    from .diff import folder_summary
+
+    spark = diff.sparkSession
+    diff = cut(diff)
+    counts = folder_table(folder_summary(diff)).select(F.col("line_no").alias("a"), F.lit("").alias("b"), F.lit(0).alias("c"), "line")
+    failed = errors.agg(F.count("*").alias("n"))
+    ops = lines.lcs_diff(units, "key", "old_lines", "new_lines")
+    mark = F.when(F.col("op") == "del", "- ").when(F.col("op") == "add", "+ ").otherwise("  ")
+    shown = units.select("key").distinct()
+    each = (ops.select(F.lit(0).alias("a"), F.col("key").alias("b"), (F.col("pos") + 3).alias("c"), F.concat(mark, "text").alias("line"))
+            .unionByName(shown.select(F.lit(0).alias("a"), F.col("key").alias("b"), F.posexplode(F.array(F.concat(F.lit("### "), "key"), F.lit(""), F.lit("```diff"))).alias("c", "line")))
+            .unionByName(shown.select(F.lit(0).alias("a"), F.col("key").alias("b"), F.explode(F.array(F.struct(F.lit((1 << 31) - 2).alias("c"), F.lit("```").alias("line")), F.struct(F.lit((1 << 31) - 1).alias("c"), F.lit("").alias("line")))).alias("e")).select("a", "b", "e.*")))
+    n = F.col("n")
+    head = document.fixed(spark, ["# 文件夹对比报告", "", f"- 左侧目录: `{left}`", f"- 右侧目录: `{right}`", "", "## 一、差异汇总", "", "| 维度 | 数量 |", "|---|---|"])
+    return document.assembled([
+        head, counts, document.of_row(failed, F.concat(F.lit("| 读取错误（已隔离） | "), n, F.lit(" |")), F.lit("")), document.fixed(spark, ["## 二、差异树（展开视图）", "", LEGEND, ""]), folder_tree(diff), document.fixed(spark, ["", "## 三、修改文件内容差异（行级）", ""]), each,
+        document.of_row(units.agg(F.count("*").alias("n")).where("n = 0"), F.lit(NO_LINES)), document.of_row(failed.where("n > 0"), F.lit(""), F.lit("## 四、读取错误明细（已隔离，不影响其余比对）"), F.lit("")),
+        errors.select(F.lit(0).alias("a"), F.col("path").alias("b"), F.lit(0).alias("c"), F.concat(F.lit("- "), "path", F.lit(": "), "error").alias("line"))])
+
+
 def default_rule(key: Column, kind: str) -> Column:
     """What a rule of a kind would say for a key."""
     name = paths.file_name(key)
