@@ -102,6 +102,8 @@ def equivalent_pairs(deleted: DataFrame, added: DataFrame, bucket: str) -> DataF
     easy = cut(easy.where("any_d > 0 AND any_a > 0").select(*keys, "easy"))
     pairs = both.where("n_d IS NOT NULL").join(easy.where("easy"), keys, "left_semi").select(F.col("n_d_key").alias("d"), F.col("n_a_key").alias("a"))
     hard = easy.where("NOT easy")
+    if hard.isEmpty():
+        return pairs
     d, a = cut(d.join(hard, keys, "left_semi")), cut(a.join(hard, keys, "left_semi"))
     return pairs.unionByName(_settled(with_candidates(d, a, keys), with_candidates(a, d, keys), keys, lambda x, y: in_order(x, y, _equivalent, versions.path_stems)))
 
@@ -180,7 +182,7 @@ def _by_base(deleted: DataFrame, added: DataFrame) -> DataFrame:
     # Alone: any other version takes it. One and one: whoever has one version takes the other. One and many: only the many's version takes it.
     v = F.col("version")
     may = F.when(F.col("n") == 1, v != F.col("x.version")).when(F.col("y.n") == 1, v.isin(F.col("x.version"), F.col("y.version"))).otherwise(v == F.col("y.version"))
-    met = cut(deleted.join(kinds, "base").select("base", "key", "version", "n", "x", "y", may.alias("may")))
+    met = deleted.join(kinds, "base").select("base", "key", "version", "n", "x", "y", may.alias("may"))
     first = met.where("may").groupBy("base").agg(F.min(F.struct("key", "version")).alias("d"), F.first("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
     takes_x = (F.col("n") == 1) | (F.col("y.n") > 1) | (F.col("d.version") == F.col("y.version"))
     first = first.select("base", "n", F.col("d.key").alias("d"), F.when(takes_x, F.col("x.k")).otherwise(F.col("y.k")).alias("a"), F.when(takes_x, F.col("y")).otherwise(F.col("x")).alias("left"))
@@ -200,10 +202,12 @@ def container_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
         own = df.where(is_archive).select("key", f.alias("name"), versions.stem(f).alias("stem"), versions.base_name(f).alias("base"), versions.version(f).alias("version"))
         return cut(own.where(F.length("stem") > versions.LEAST_PREFIX).withColumn("near", F.substring("stem", 1, versions.LEAST_PREFIX)))
 
-    d, a = side(deleted), side(added)
+    d, a, versioned = side(deleted), side(added), "base IS NOT NULL AND version IS NOT NULL"
     odd = d.where("version IS NULL").select("near").join(a.select("near"), "near", "left_semi").union(a.where("version IS NULL").select("near").join(d.select("near"), "near", "left_semi")).distinct()
     odd = cut(odd)
-    plain = [x.join(odd, "near", "left_anti").where("base IS NOT NULL AND version IS NOT NULL") for x in (d, a)]
+    if odd.isEmpty():
+        return _by_base(*(x.where(versioned) for x in (d, a)))
+    plain = [x.join(odd, "near", "left_anti").where(versioned) for x in (d, a)]
     near = [x.join(odd, "near", "left_semi") for x in (d, a)]
     return _by_base(*plain).unionByName(_settled(*near, ["near"], _archives_in_order))
 

@@ -216,6 +216,10 @@ def default_rule(key: Column, kind: str) -> Column:
     return F.regexp_extract(key, r"^(.*/)?[^/]*$", 1) if kind == "prefix" else key
 
 
+# Characters of a log's end, and of a bundle.
+LOG_TAIL, BUNDLE = 256 << 10, 5 << 20
+
+
 def tail(body: Column, most: int) -> Column:
     """The last characters of a log, from the first whole line."""
     end = F.substring(body, F.length(body) - most + 1, F.lit(most))

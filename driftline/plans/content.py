@@ -213,7 +213,7 @@ def api_changes(spark, sf_dir):
 
 _SOURCES = """s AS (SELECT concat('s', doc_id) AS key, concat('com.x.Doc', doc_id) AS fqn, CASE WHEN doc_id % 2 = 0 THEN 'com.x' ELSE 'com.y' END AS pkg, concat('com.x.Doc', doc_id % 50) AS imported,
   concat(coalesce(text, ''), ' Doc', (doc_id * 7) % 97, ' com.x.Doc', doc_id % 31) AS text FROM documents),
- t AS (SELECT concat('com.x.Doc', k) AS target, concat('Doc', k) AS word, k FROM range(61) r(k)),
+ t AS (SELECT concat('com.x.Doc', k) AS target, concat('Doc', k) AS word, k FROM (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id IS NOT NULL)),
  w AS (SELECT s.*, unnest(list_distinct(regexp_extract_all(text, '\\w+'))) AS word FROM s),
  r AS (SELECT DISTINCT target, w.key AS source_key FROM w JOIN t ON w.word = t.word WHERE target <> fqn AND (pkg = 'com.x' OR imported = target OR contains(w.text, target)))"""
 
@@ -226,7 +226,7 @@ def impact_risk(spark, sf_dir):
     sources = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("s"), i).alias("key"), name(i).alias("fqn"), F.when(i % 2 == 0, "com.x").otherwise("com.y").alias("pkg"), F.array(name(i % 50)).alias("imports"),
         F.concat(F.coalesce("text", F.lit("")), F.lit(" Doc"), (i * 7) % 97, F.lit(" com.x.Doc"), i % 31).alias("text"))
-    targets = spark.range(61).select(name(F.col("id")).alias("target"), (F.col("id") % 3 == 0).alias("deleted"), (F.col("id") % 2 == 0).alias("signature_changed"))
+    targets = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(i).distinct().select(name(i).alias("target"), (i % 3 == 0).alias("deleted"), (i % 2 == 0).alias("signature_changed"))
     return impact.impact(targets, impact.references(sources, targets)).select("target", "status", "n_refs", "risk")
 
 

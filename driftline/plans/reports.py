@@ -33,13 +33,6 @@ def tree_json(spark, sf_dir):
     return report.nodes(compared(spark, sf_dir))
 
 
-@query("ci_gate", "SELECT unnest(['same', 'changed', 'failed']) AS run, unnest([0, 1, 2]) AS exit_code")
-def ci_gate(spark, sf_dir):
-    """Exit codes: nothing changed, something did, a side could not be read."""
-    runs = spark.createDataFrame([("same", 0, 0, 0, None), ("changed", 0, 2, 0, None), ("failed", 1, 0, 0, "root: BadZipFile")], "run string, added int, deleted int, modified int, error string")
-    return runs.select("run", report.exit_code(F.col("added") + F.col("deleted") + F.col("modified"), F.col("error")).alias("exit_code"))
-
-
 @query("class_export", f"""WITH {DIFF_SQL}, c AS (SELECT key, status, coalesce(CASE WHEN status = 'DELETED' THEN old_text ELSE new_text END, '') AS t FROM diff WHERE status <> 'UNCHANGED' AND file_class = 'CLASS')
  SELECT key AS path, md5(t) AS content FROM c UNION ALL SELECT concat(regexp_extract(key, '^(.*/)?[^/]*$', 1), '.', status, '.', regexp_extract(key, '[^/]*$')), md5(concat(status, ' ', key)) FROM c""")
 def class_export(spark, sf_dir):
@@ -191,13 +184,13 @@ def default_rules(spark, sf_dir):
     return compared(spark, sf_dir).select("key", *[report.default_rule(k, kind).alias(kind) for kind in ("ext", "name", "prefix")])
 
 
-@query("log_bundle", r"""WITH l AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, CASE WHEN length(body) > 400 THEN substr(right(body, 400), strpos(right(body, 400), chr(10)) + 1) ELSE body END AS body FROM l),
- u AS (SELECT *, 4000 - coalesce(sum(length(body)) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM t) SELECT conv_id, length(body) AS n, length(body) <= rest AS taken FROM u WHERE conv_id < 20""")
+@query("log_bundle", r"""WITH l AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, CASE WHEN length(body) > 262144 THEN substr(right(body, 262144), strpos(right(body, 262144), chr(10)) + 1) ELSE body END AS body FROM l),
+ u AS (SELECT *, 5242880 - coalesce(sum(length(body)) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM t) SELECT conv_id, length(body) AS n, length(body) <= rest AS taken FROM u""")
 def log_bundle(spark, sf_dir):
     """The ends of logs, from their first whole line, as far as a bundle has room; the order of logs is that of their names."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("t")).alias("r"))
     logs = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["t"]), "\n").alias("body"))
-    return report.bundle(logs.withColumn("body", report.tail(F.col("body"), 400)), "conv_id", "body", 4000).where("conv_id < 20")
+    return report.bundle(logs.withColumn("body", report.tail(F.col("body"), report.LOG_TAIL)), "conv_id", "body", report.BUNDLE)
 
 
 _PACKS = """k AS (SELECT doc_id, doc_id // 10 AS p FROM documents WHERE doc_id IS NOT NULL), o AS (SELECT concat('x/a', p, '.zip') AS key, concat('o', p) AS t FROM k WHERE p % 3 <> 0 GROUP BY p UNION ALL SELECT concat('x/a', p, '.zip!/d', doc_id), '' FROM k WHERE p % 3 <> 0),
