@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import answers, beautify, labels, lexer, paths
 from ..model import Options
 from ..operators import align, diff, document, impact, lines, markdown, projects, report
-from ..sources import folders
 from ..sources.tables import cut
 from .compare import compared, renamed
-from .inputs import DIFF_SQL, DIFFABLE, LIB_JAR, NEW_TEXT, TEXT, label_sql, table, versions
-from .trees import _FOLDER, _FRESH, _GONE, _PATH, shared_folder, write_files
+from .inputs import DIFF_SQL, DIFFABLE, LIB_JAR, TEXT, label_sql, table, versions
+from .trees import _FOLDER, shared_folder, two_folders, write_files
 
 OPTIONS = Options()
 QUERIES: dict = {}
@@ -222,12 +221,7 @@ _SHOWN_TIME = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%d %H:%M:%S.000')"
  SELECT row_number() OVER (ORDER BY array_to_string([concat(CASE WHEN i < len(string_split(path, '/')) OR leaf = 0 THEN '0' ELSE '1' END, string_split(path, '/')[i]) FOR i IN range(1, len(string_split(path, '/')) + 1)], chr(1))) AS line_no, concat(repeat('  ', (len(string_split(path, '/')) - 1)::INT), line) AS line FROM rows""")
 def folder_tree_lines(spark, sf_dir):
     """The tree of a folder report over files that tasks have written, with marks and what changed."""
-    sides, root = [], shared_folder(spark)
-    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
-    for side, text, lacks, time in (("old", TEXT, _FRESH, "1600000000 + doc_id"), ("new", NEW_TEXT, _GONE, "1600000000 + doc_id + CASE WHEN doc_id % 17 = 5 THEN 60 ELSE 0 END")):
-        write_files(docs.where(f"NOT ({lacks})").selectExpr(f"{_PATH} AS path", f"{text} AS text", f"{time} AS time"), f"{root}/{side}")
-        sides.append(folders.scan(spark, f"{root}/{side}", OPTIONS))
-    return document.assembled([report.folder_tree(diff.folder_diff(*sides))])
+    return document.assembled([report.folder_tree(diff.folder_diff(*two_folders(spark, sf_dir)))])
 
 
 # ---- names and tokens

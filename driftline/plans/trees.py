@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -75,6 +76,23 @@ def write_files(rows: DataFrame, root: str) -> None:
     rows.select("path", "text", F.col("time").cast("long").alias("time")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
+def scanned(spark, rows: DataFrame) -> DataFrame:
+    """folders.scan of files written for rows, which go once they are read."""
+    root = shared_folder(spark)
+    try:
+        write_files(rows, root)
+        return folders.scan(spark, root, OPTIONS)
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
+
+
+def two_folders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Both versions of the documents as scanned folders; some files of the new one have only another time."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    sides = ((TEXT, _FRESH, "1600000000 + doc_id"), (NEW_TEXT, _GONE, "1600000000 + doc_id + CASE WHEN doc_id % 17 = 5 THEN 60 ELSE 0 END"))
+    return tuple(scanned(spark, docs.where(f"NOT ({lacks})").selectExpr(f"{_PATH} AS path", f"{text} AS text", f"{time} AS time")) for text, lacks, time in sides)
+
+
 _PATH = "concat(coalesce(lang, 'none'), '/', coalesce(source, 'none'), '/d', doc_id % 7, '/doc', doc_id, '.txt')"
 _FOLDER = f"""f AS (SELECT {_PATH} AS path, {TEXT} AS o, {NEW_TEXT} AS n, NOT coalesce({_FRESH}, false) AS in_old, NOT coalesce({_GONE}, false) AS in_new, doc_id % 17 = 5 AS touched FROM documents WHERE doc_id IS NOT NULL),
  d AS (SELECT concat_ws('/', unnest([[a], [a, b], [a, b, c]])) AS path, in_old, in_new FROM (SELECT split_part(path, '/', 1) AS a, split_part(path, '/', 2) AS b, split_part(path, '/', 3) AS c, in_old, in_new FROM f))""".replace("concat_ws('/', unnest([[a], [a, b], [a, b, c]]))", "unnest([a, concat(a, '/', b), concat(a, '/', b, '/', c)])")
@@ -85,21 +103,15 @@ _FOLDER = f"""f AS (SELECT {_PATH} AS path, {TEXT} AS o, {NEW_TEXT} AS n, NOT co
  UNION ALL SELECT path, 'DIR', CASE WHEN bool_or(in_old) AND bool_or(in_new) THEN 'SAME' WHEN bool_or(in_old) THEN 'LEFT_ONLY' ELSE 'RIGHT_ONLY' END, '' FROM d WHERE in_old OR in_new GROUP BY path""")
 def folder_scan_diff(spark, sf_dir):
     """Two folders of files, written by tasks, listed and compared by size, time and content."""
-    sides, root = [], shared_folder(spark)
-    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
-    for side, text, lacks, time in (("old", TEXT, _FRESH, "1600000000 + doc_id"), ("new", NEW_TEXT, _GONE, "1600000000 + doc_id + CASE WHEN doc_id % 17 = 5 THEN 60 ELSE 0 END")):
-        write_files(docs.where(f"NOT ({lacks})").selectExpr(f"{_PATH} AS path", f"{text} AS text", f"{time} AS time"), f"{root}/{side}")
-        sides.append(folders.scan(spark, f"{root}/{side}", OPTIONS))
-    found = diff.folder_diff(*sides)
+    found = diff.folder_diff(*two_folders(spark, sf_dir))
     return found.select("path", "type", "status", F.array_join(F.transform("changes", lambda c: F.concat(c, F.lit(" "))), "").alias("changes"))
 
 
 @query("folder_snapshot", f"""WITH {_FOLDER} SELECT path AS key, strlen(o)::BIGINT AS size, sha256(o) AS sha256, 'CONFIG' AS file_class FROM f WHERE in_old UNION ALL SELECT DISTINCT concat(path, '/'), 0, 'dir', 'FOLDER' FROM d WHERE in_old""")
 def folder_snapshot(spark, sf_dir):
     """A folder as a snapshot: its files by digest, and the folders that hold files."""
-    root = shared_folder(spark)
-    write_files(table(spark, sf_dir, "documents").where(f"doc_id IS NOT NULL AND NOT ({_FRESH})").selectExpr(f"{_PATH} AS path", f"{TEXT} AS text", "doc_id AS time"), root)
-    return folders.snapshot(folders.scan(spark, root, OPTIONS), OPTIONS)
+    rows = table(spark, sf_dir, "documents").where(f"doc_id IS NOT NULL AND NOT ({_FRESH})").selectExpr(f"{_PATH} AS path", f"{TEXT} AS text", "doc_id AS time")
+    return folders.snapshot(scanned(spark, rows), OPTIONS)
 
 
 def _packed(spark, sf_dir, build, size: int = PACK) -> DataFrame:
