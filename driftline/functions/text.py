@@ -163,6 +163,21 @@ def manifest_version(text: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?m)^{name}:[ \t]*(.*)$", 1)), F.lit(""))
 
 
+#: Fixed value: where a manifest may have a version.
+MANIFEST_VERSIONS = ("Bundle-Version", "Implementation-Version", "Specification-Version", "Build-Version", "Version")
+
+
+def manifest_versions(text: Column) -> Column:
+    """All versions that a manifest's lines give, in the order of its lines."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?m)^(?:{'|'.join(MANIFEST_VERSIONS)}):([^\n]*)$"), 1), lambda v: F.trim(v, F.lit(" \t\r")))
+
+
+def properties_version(text: Column) -> Column:
+    """The version of a file of properties."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^version=([^\n]*)$"), 1)
+    return F.trim(F.get(found, F.lit(0)), F.lit(" \t\r"))
+
+
 def best_version(versions: Column) -> Column:
     """The most detailed of an array: most dotted parts, then longest, then first."""
     ranked = F.transform(F.filter(versions, lambda v: v.isNotNull()), lambda v, i: F.struct(F.size(F.split(v, r"\.")).alias("parts"), F.length(v).alias("length"), (-i).alias("first"), v.alias("v")))

@@ -126,6 +126,18 @@ def distinct_rules(rules: DataFrame) -> DataFrame:
     return rules.dropDuplicates(["type", "value"])
 
 
+def with_rule(rules: DataFrame, kind: str, value: str) -> DataFrame:
+    """rules (at, type, value) with one more at their end, unless it is there. A user's list of rules."""
+    new = rules.sparkSession.createDataFrame([(kind, value)], "type string, value string").join(rules, ["type", "value"], "left_anti")
+    end = rules.agg(F.coalesce(F.max("at") + 1, F.lit(0)).alias("at"))
+    return rules.unionByName(end.join(F.broadcast(new)).select(F.col("at").cast(rules.schema["at"].dataType), "type", "value"))  # one row each
+
+
+def without_rule(rules: DataFrame, at: int) -> DataFrame:
+    """rules without the one at a place from 0; those behind it move up. A place that isn't there removes none."""
+    return rules.where(F.col("at") != at).withColumn("at", F.col("at") - F.when(F.col("at") > at, 1).otherwise(0) if at >= 0 else F.col("at"))
+
+
 def without_rules(keys: DataFrame, rules: DataFrame, key: str = "key") -> DataFrame:
     """keys without those a view rule (type, value) names: exact keys, everything at or below a prefix, file names, extensions.
 

@@ -250,3 +250,17 @@ def close_prompts(units: DataFrame, context: str = "", local: bool = False) -> D
     prompt = F.concat(F.lit(f"## 项目级上下文（简要）\n{context}\n\n" if context else ""), F.lit("深读以下改动，以 JSON 返回：intent、risk(LOW/MEDIUM/HIGH)、impact（含对"), about, F.lit("的影响）、testPoints(数组)、contextInfluence。\n\n### "), "key",
                       F.coalesce(F.concat(F.lit(" （"), label, F.lit("）")), F.lit("")), F.lit("\n```diff\n"), shown, F.lit("\n```\n"))
     return rows.select("key", (prompt if local else text.redact_prompt(prompt)).alias("prompt"))
+
+
+# Fixed value: tokens from which the cost of a call has to be confirmed.
+WARN_TOKENS = 8_000
+
+
+def costs(overview: DataFrame, close: DataFrame, warn: float = WARN_TOKENS) -> DataFrame:
+    """(mode, key, tokens, over) of what calls would send: report and analyze the overview and the close prompts, classify the close ones, single one file's."""
+    tokens = lambda rows: F.coalesce(F.sum(text.token_estimate(F.col("prompt"))), F.lit(0.0)).alias("tokens")
+    closely = close.agg(tokens(close)).withColumnRenamed("tokens", "close")
+    both = overview.agg(tokens(overview)).join(F.broadcast(closely))  # one row each
+    modes = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(None).cast("string").alias("key"), v.alias("tokens")) for m, v in (("report", F.col("tokens") + F.col("close")), ("analyze", F.col("tokens") + F.col("close")), ("classify", F.col("close")))])).alias("m")).select("m.*")
+    single = close.select(F.lit("single").alias("mode"), "key", text.token_estimate(F.col("prompt")).alias("tokens"))
+    return modes.unionByName(single).withColumn("over", F.col("tokens") > warn)

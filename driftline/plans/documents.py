@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, beautify, labels, lexer, paths
 from ..model import Options
 from ..operators import align, diff, document, impact, lines, markdown, projects, report
+from ..sources import archives
 from ..sources.tables import cut
 from .compare import compared, renamed
 from .inputs import DIFF_SQL, DIFFABLE, LIB_JAR, TEXT, label_sql, table, versions
@@ -224,9 +225,31 @@ def folder_tree_lines(spark, sf_dir):
     return document.assembled([report.folder_tree(diff.folder_diff(*two_folders(spark, sf_dir)))])
 
 
+@query("cost_modes")
+def cost_modes(spark, sf_dir):
+    """What each kind of call would send, in tokens, and whether that has to be confirmed."""
+    return document.costs(overview_prompt(spark, sf_dir), close_prompts(spark, sf_dir))
+
+
 # ---- names and tokens
 
 
+_MANIFEST = "concat('Manifest-Version: 1.0', chr(10), 'Bundle-Version: 2.', doc_id % 5, CASE WHEN doc_id % 2 = 0 THEN '.1' ELSE '' END, chr(13), chr(10), ' Version: 9.9.9.9', chr(10), 'Implementation-Version:3.', doc_id % 7, chr(10))"
+_PROPERTIES = "concat('#x', chr(10), 'groupId=g', chr(10), 'version=1.2.', doc_id % 3, CASE WHEN doc_id % 4 = 0 THEN '.4' ELSE '' END, chr(10))"
+
+
+@query("package_versions", f"""SELECT concat('p', doc_id) AS snapshot_id, CASE WHEN doc_id % 3 = 0 THEN concat('1.2.', doc_id % 3, CASE WHEN doc_id % 4 = 0 THEN '.4' ELSE '' END) WHEN doc_id % 3 = 1 THEN CASE WHEN doc_id % 2 = 0 THEN concat('2.', doc_id % 5, '.1') ELSE concat('2.', doc_id % 5) END
+  WHEN doc_id % 4 = 0 THEN concat('1.2.', doc_id % 3, '.4') WHEN doc_id % 2 = 0 THEN concat('2.', doc_id % 5, '.1') ELSE concat('1.2.', doc_id % 3) END AS version FROM documents WHERE doc_id IS NOT NULL""")
+def package_versions(spark, sf_dir):
+    """Versions of packages from manifests, build files, or the better of both."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    name = "concat('p', doc_id) AS snapshot_id"
+    return archives.package_versions(docs.where("doc_id % 3 <> 0").selectExpr(name, "'META-INF/MANIFEST.MF' AS key", f"{_MANIFEST} AS text")
+                                     .unionByName(docs.where("doc_id % 3 <> 1").selectExpr(name, "'META-INF/maven/g/a/pom.properties' AS key", f"{_PROPERTIES} AS text")).unionByName(docs.selectExpr(name, "'META-INF/other' AS key", "'version=9.9.9.9.9' AS text")))
+
+
+
+
 @query("rename_lookup", f"""WITH m AS (SELECT CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN concat('core-036M059(20260101-0900)/src/doc', doc_id, '.js') WHEN 1 THEN concat('pkg/bundle_', coalesce(source, 'none'), '-1.2.zip!/doc', doc_id, '.txt') ELSE concat('plain/doc', doc_id, '.xml') END AS o,
   CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN concat('core-036M061(20260707-1135)/src/doc', doc_id, '.js') WHEN 1 THEN concat('pkg/bundle_', coalesce(source, 'none'), '-1.3.zip!/doc', doc_id, '.txt') ELSE concat('plain/doc', doc_id, '.xml') END AS n, doc_id FROM documents WHERE doc_id IS NOT NULL)
  SELECT doc_id, o AS asked, CASE WHEN doc_id % 3 < 2 THEN n END AS new_key, NULL AS old_key FROM m UNION ALL SELECT doc_id, n, NULL, o FROM m WHERE doc_id % 3 < 2""")

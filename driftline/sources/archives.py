@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.text import best_version, manifest_versions, properties_version
 from ..model import Options
 from .tables import cut
 
@@ -111,6 +112,15 @@ def package_type(keys: DataFrame, group: str = "snapshot_id") -> DataFrame:
     return keys.groupBy(group).agg(F.when(F.bool_or(F.col("key").startswith("BOOT-INF/")), "FAT_JAR").when(F.bool_or(F.col("key").startswith("WEB-INF/")), "WAR").otherwise("JAR").alias("package_type"))
 
 
+def package_versions(texts: DataFrame) -> DataFrame:
+    """(snapshot_id, version) of packages from their entries' texts (snapshot_id, key, text): the more detailed of the manifest's and the first build file's."""
+    manifest = F.col("key") == "META-INF/MANIFEST.MF"
+    build = F.col("key").startswith("META-INF/maven/") & F.col("key").endswith("pom.properties")
+    rows = texts.select("snapshot_id", "key", F.when(manifest, best_version(manifest_versions(F.col("text")))).alias("m"), F.when(build, properties_version(F.col("text"))).alias("p"))
+    both = rows.groupBy("snapshot_id").agg(F.max("m").alias("m"), F.min(F.when(F.col("p").isNotNull(), F.struct("key", "p"))).alias("p"))
+    return both.select("snapshot_id", best_version(F.array("m", F.col("p.p"))).alias("version"))
+
+
 def library_layers(entries: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """(jar, inner, layer, key) of listings (jar, inner): jars with a class under an internal prefix are expanded to L1 rows, others are one L2 row."""
     own = F.lit(False)

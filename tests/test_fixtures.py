@@ -119,3 +119,28 @@ def test_folder_report(spark):
     assert tree == ["- [*] d/ (子树含差异)", "  - [=] e/", "  - [*] x.txt [大小 1 B→2 B, 内容不同]", "- [<] z/", "- [=] a.txt", "- [>] b.bin"]
     at = got.index("### d/x.txt")
     assert got[at : at + 7] == ["### d/x.txt", "", "```diff", "  a", "- b", "+ c", "```"] and got[-1] == "- bad: read: OSError" and "| 读取错误（已隔离） | 1 |" in got and "| 仅左侧存在 (LEFT_ONLY) | 1 |" in got
+
+
+def test_rules_are_added_once_and_removed_by_place(spark):
+    rules = spark.createDataFrame([], "at int, type string, value string")
+    for kind, value in (("ext", ".log"), ("name", "x"), ("ext", ".log"), ("exact", "a/b")):
+        rules = diff.with_rule(rules, kind, value)
+    listed = lambda r: [(x.at, x.type, x.value) for x in sorted(r.collect(), key=lambda x: x.at)]
+    assert listed(rules) == [(0, "ext", ".log"), (1, "name", "x"), (2, "exact", "a/b")]
+    assert listed(diff.without_rule(rules, 1)) == [(0, "ext", ".log"), (1, "exact", "a/b")] and listed(diff.without_rule(rules, 9)) == listed(diff.without_rule(rules, -1)) == listed(rules)
+
+
+def test_costs(spark):
+    from driftline.operators import document
+
+    close = spark.createDataFrame([("a", "x" * 100), ("b", "y" * 20_000)], "key string, prompt string")
+    got = {(r.mode, r.key): (r.tokens, r.over) for r in document.costs(spark.createDataFrame([("z" * 10,)], "prompt string"), close).collect()}
+    assert got == {("report", None): (10_055.0, True), ("analyze", None): (10_055.0, True), ("classify", None): (10_050.0, True), ("single", "a"): (50.0, False), ("single", "b"): (10_000.0, True)}
+
+
+def test_manifests(spark):
+    from driftline.sources import archives
+
+    rows = [("a", "META-INF/MANIFEST.MF", "Version: 1\nBuild-Version: 1.2.3 \r\nBundle-Version: 4.5.6"), ("a", "META-INF/maven/x/pom.properties", "version=1.2.3.4\nversion=9"), ("b", "META-INF/MANIFEST.MF", None), ("c", "META-INF/maven/x/pom.properties", "nothing"), ("d", "META-INF/MANIFEST.MF", "Version:10.1\nVersion:9.10")]
+    got = {r.snapshot_id: r.version for r in archives.package_versions(spark.createDataFrame(rows, "snapshot_id string, key string, text string")).collect()}
+    assert got == {"a": "1.2.3.4", "b": None, "c": None, "d": "10.1"}
