@@ -16,7 +16,8 @@ of it is scored.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components, and null ids, take no part; repeated
 rows (equal id and vector) count once, rows that share an id but not the vector are one query with one best list; only vectors
-of equal length meet; ties go to the smaller id; a query with fewer candidates than k has all of them; no rows give no rows.
+of equal length meet; ties go to the smaller id; a query with fewer candidates than k has all of them; products beyond the range of doubles are infinite and go by id; no rows give no
+rows.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     """(query_id, rank, vec_id, score): for each row of vectors (see usable) where is_query, its k largest inner products with rows of other ids."""
     vectors = materialize(vectors, "forest-vectors")
     shards = max(1, -(-vectors.count() // shard))
-    index = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
+    index = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
     asked = vectors.where(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
