@@ -171,7 +171,7 @@ def _inner_keys(packs: DataFrame, spark, sf_dir) -> DataFrame:
 def _read_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     packs = _packed(spark, sf_dir, _nested)
     keys = _inner_keys(packs, spark, sf_dir)
-    return tuple(inner.inner_bytes(packs.select(F.lit("s").alias("snapshot"), F.col("root").alias("name"), F.col(c).alias("bytes")), keys) for c in ("old", "new"))
+    return tuple(inner.inner_bytes(packs.select(F.lit("s").alias("snapshot"), F.col("root").alias("name"), F.col(c).alias("bytes")), keys, missing=False) for c in ("old", "new"))
 
 
 @query("inner_read", f"WITH {_INNER} SELECT DISTINCT concat(root, '!/', box, '!/com/app/Doc', doc_id, '.txt') AS key, CASE WHEN in_old THEN sha256(old_text) END AS old_sha, CASE WHEN in_new THEN sha256(new_text) END AS new_sha FROM x WHERE in_old OR in_new")
@@ -179,7 +179,7 @@ def inner_read(spark, sf_dir):
     """Entries of archives in archives, read by their whole address in both versions; libraries are found under the new version's names too."""
     old, new = _read_sides(spark, sf_dir)
     sha = lambda df, c: df.select("key", F.sha2("bytes", 256).alias(c))
-    return sha(old, "old_sha").join(sha(new, "new_sha"), "key")
+    return sha(old, "old_sha").join(sha(new, "new_sha"), "key", "full_outer")
 
 
 @query("inner_diff", f"""WITH {_INNER}, t AS (SELECT concat(root, '!/', box, '!/com/app/Doc', doc_id, '.txt') AS key, CASE WHEN in_old THEN string_split(regexp_replace(old_text, '[ \\t]*\\n|\\r\\n?', chr(10), 'g'), chr(10)) ELSE [] END AS o, CASE WHEN in_new THEN string_split(regexp_replace(new_text, '[ \\t]*\\n|\\r\\n?', chr(10), 'g'), chr(10)) ELSE [] END AS n FROM x WHERE in_old OR in_new),
@@ -187,9 +187,14 @@ def inner_read(spark, sf_dir):
  SELECT key, 'text-normalize' AS engine, head AS same, len(o) - head AS deleted, len(n) - head AS added FROM h""")
 def inner_diff(spark, sf_dir):
     """Differences of entries inside archives, each by the way of its class: here texts, whose last line changes."""
-    found = cut(inner.units(*(x.select("key", "bytes") for x in _read_sides(spark, sf_dir))))
-    counts = inner.unit_lines(found).groupBy("key").agg(*[F.count_if(F.col("op") == op).alias(name) for op, name in (("ctx", "same"), ("del", "deleted"), ("add", "added"))])
-    return found.where("error IS NULL").select("key", "engine").join(counts, "key", "left").select("key", "engine", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("same", "deleted", "added")])
+    return _counted(inner.units(*(x.select("key", "bytes") for x in _read_sides(spark, sf_dir))), "key", "engine")
+
+
+def _counted(units: DataFrame, *names: str) -> DataFrame:
+    """units that could be read, by some of their columns, with the lines that are the same, deleted and added. A unit has a line at least."""
+    own = units.select(F.struct(*names).alias("key"), "error", "old_lines", "new_lines")
+    ops = inner.unit_lines(own).groupBy("key").agg(*[F.count_if(F.col("op") == op).alias(name) for op, name in (("ctx", "same"), ("del", "deleted"), ("add", "added"))])
+    return ops.select("key.*", "same", "deleted", "added")
 
 
 def _flat(side: str, pack: int, docs: list[tuple[int, str]]) -> bytes:
@@ -224,10 +229,9 @@ def office_diff(spark, sf_dir):
     packs = _packed(spark, sf_dir, _office)
     docs = versions_of(spark, sf_dir).where("old_text IS NOT NULL OR new_text IS NOT NULL")
     keys = docs.select(F.lit("s").alias("snapshot"), F.concat(F.lit("p"), F.floor(F.col("doc_id") / PACK).cast("string"), F.lit(".zip!/office/doc"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("key")).distinct()
-    old, new = (inner.inner_bytes(packs.select(F.lit("s").alias("snapshot"), F.col("root").alias("name"), F.col(c).alias("bytes")), keys) for c in ("old", "new"))
-    found = cut(inner.units(old.select("key", "bytes"), new.select("key", "bytes")))
-    counts = inner.unit_lines(found).groupBy("key").agg(*[F.count_if(F.col("op") == op).alias(name) for op, name in (("ctx", "same"), ("del", "deleted"), ("add", "added"))])
-    return found.select("key", "engine", F.md5(F.array_join("new_lines", "\n")).alias("new_text")).join(counts, "key", "left").select("key", "engine", "new_text", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("same", "deleted", "added")])
+    old, new = (inner.inner_bytes(packs.select(F.lit("s").alias("snapshot"), F.col("root").alias("name"), F.col(c).alias("bytes")), keys, missing=False) for c in ("old", "new"))
+    found = inner.units(old.select("key", "bytes"), new.select("key", "bytes"))
+    return _counted(found.withColumn("new_text", F.md5(F.array_join("new_lines", "\n"))), "key", "engine", "new_text")
 
 
 def _pair(side: str, pack: int, docs: list[tuple[int, str]]) -> bytes:

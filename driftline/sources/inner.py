@@ -6,6 +6,7 @@ carries on nothing but what was asked for: names for the tree, bytes for the arc
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 import zlib
@@ -17,13 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import beautify, paths, versions
-from ..functions.text import short_hash
 from ..operators import diff, lines
 from .archives import FRAME, decode_text, office_text
 from .tables import cut
 
 # How deep a tree goes, how many nodes it has, how large an entry is read.
 DEPTH, NODES, MOST_BYTES = 12, 20_000, 64 << 20
+# Fixed value: the short hash of what isn't there.
+NO_HASH = "0000000"
 BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError, NotImplementedError)
 
 
@@ -60,8 +62,18 @@ def listings(containers: DataFrame) -> DataFrame:
     return containers.mapInPandas(read, "root string, key string, name string, size long, crc long, error string")
 
 
+#: Names that are sent to where the archives are; more are joined to them by shuffling both.
+NAMES = 500_000
+
+
+def met(containers: DataFrame, asked: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """containers with what is asked of them. Bytes stay where they are unless too many names are asked."""
+    return containers.join(F.broadcast(asked) if n <= NAMES else asked, keys)
+
+
 def read_entries(containers: DataFrame, wanted: DataFrame) -> DataFrame:
     """(root, key, bytes) of wanted (root, key, name) entries of archives (root, key, bytes), keyed as they were asked for; those that aren't there or can't be read have no row."""
+    n = wanted.count()
     names = wanted.groupBy("root", "key").agg(F.collect_set("name").alias("names"))  # an archive's own names at most
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +99,7 @@ def read_entries(containers: DataFrame, wanted: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(out, columns=["root", "key", "bytes"])
 
-    return containers.join(names, ["root", "key"]).mapInPandas(read, "root string, key string, bytes binary")
+    return met(containers, names, ["root", "key"], n).mapInPandas(read, "root string, key string, bytes binary")
 
 
 def _rank(status: Column) -> Column:
@@ -104,7 +116,7 @@ def tree(old: DataFrame, new: DataFrame, ignored: DataFrame | None = None, depth
     each depth nodes beyond that are left out, as nodes still to come can only push them further back, so no depth opens more
     archives than that. ignored: extensions (ext) left out.
     """
-    sides = [cut(x.select("root", F.col("root").alias("key"), "bytes")) for x in (old, new)]
+    sides = [x.select("root", F.col("root").alias("key"), "bytes") for x in (old, new)]  # read twice, as they were given
     known = failed = None
     for level in range(depth):
         o, n = (cut(listings(side)) for side in sides)
@@ -136,39 +148,38 @@ def tree(old: DataFrame, new: DataFrame, ignored: DataFrame | None = None, depth
     return known.join(failed, ["root", "key"], "left").select("at", *_NODE[:-1], expandable.alias("expandable"), "error")
 
 
-def inner_bytes(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """(snapshot, key, bytes) of keys (snapshot, key as a!/b!/c) in archives (snapshot, name, bytes); bytes is null where a key leads nowhere.
+def inner_bytes(files: DataFrame, keys: DataFrame, missing: bool = True) -> DataFrame:
+    """(snapshot, key, bytes) of keys (snapshot, key as a!/b!/c) in archives (snapshot, name, bytes). A key that leads nowhere has no bytes, or, without `missing`, no row, and then no bytes are shuffled.
 
     An archive or entry that isn't there under its name is the only one of the same package in another version, if there is one.
     """
     keys = cut(keys.select("snapshot", "key", paths.compound(F.col("key")).alias("parts")).distinct())
     tops = keys.select("snapshot", F.get("parts", 0).alias("key")).distinct()
-    names = files.select("snapshot", "name")
+    names = cut(files.select("snapshot", "name"))
     exact = tops.join(names, (tops["snapshot"] == names["snapshot"]) & (F.col("key") == F.col("name"))).select(tops["snapshot"], "key", "name")
-    missing = tops.join(names, (tops["snapshot"] == names["snapshot"]) & (F.col("key") == F.col("name")), "left_anti")
+    lost = tops.join(names, (tops["snapshot"] == names["snapshot"]) & (F.col("key") == F.col("name")), "left_anti")
 
     def stemmed(df: DataFrame, c: str) -> DataFrame:
         f = paths.file_name(F.col(c))
         return df.withColumns({"version": versions.version(f), "base": versions.base_name(f)}).where("base IS NOT NULL AND version IS NOT NULL")
 
-    a, b = stemmed(missing, "key"), stemmed(names, "name").withColumnsRenamed({"snapshot": "s", "base": "b", "version": "v"})
+    a, b = stemmed(lost, "key"), stemmed(names, "name").withColumnsRenamed({"snapshot": "s", "base": "b", "version": "v"})
     other = (a.join(b, (F.col("snapshot") == F.col("s")) & (F.col("base") == F.col("b"))).where("version <> v")
              .groupBy("snapshot", "key").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1").drop("n"))
-    chosen = cut(exact.unionByName(other)).withColumnsRenamed({"snapshot": "root", "name": "file"})
-    found = files.join(chosen, (F.col("snapshot") == F.col("root")) & (F.col("name") == F.col("file"))).select("root", "key", "bytes")
+    chosen = cut(exact.unionByName(other))
+    found = met(files, chosen, ["snapshot", "name"], chosen.count()).select(F.col("snapshot").alias("root"), "key", "bytes")
+    depth = keys.agg(F.max(F.size("parts"))).first()[0] or 1
     done = None
-    at = 1
-    while True:
+    for at in range(1, depth + 1):
         way = keys.select("snapshot", F.col("key").alias("whole"), "parts", F.array_join(F.slice("parts", 1, at), "!/").alias("on"))
-        here = way.where(F.size("parts") == at).join(found, (F.col("snapshot") == F.col("root")) & (F.col("on") == F.col("key"))).select("snapshot", F.col("whole").alias("key"), "bytes")
+        ends = cut(way.where(F.size("parts") == at).select(F.col("snapshot").alias("root"), F.col("on").alias("key"), "whole"))
+        here = met(found, ends, ["root", "key"], ends.count()).select(F.col("root").alias("snapshot"), F.col("whole").alias("key"), "bytes")
         done = here if done is None else done.unionByName(here)
-        deeper = way.where(F.size("parts") > at)
-        if deeper.isEmpty():
-            break
-        wanted = deeper.select(F.col("snapshot").alias("root"), F.col("on").alias("key"), F.get("parts", at).alias("name")).distinct()
-        found = cut(read_entries(found, wanted))
-        at += 1
-    return keys.select("snapshot", "key").join(done, ["snapshot", "key"], "left")
+        if at < depth:
+            wanted = way.where(F.size("parts") > at).select(F.col("snapshot").alias("root"), F.col("on").alias("key"), F.get("parts", at).alias("name")).distinct()
+            found = read_entries(found, wanted)
+            found = cut(found) if at + 1 < depth else found  # what is opened again is kept
+    return keys.select("snapshot", "key").join(done, ["snapshot", "key"], "left") if missing else done
 
 
 def _listing_lines(data: bytes) -> list[str]:
@@ -177,7 +188,7 @@ def _listing_lines(data: bytes) -> list[str]:
 
 
 def readable(rows: DataFrame) -> DataFrame:
-    """(key, side, text, error) of entries (key, side, bytes): listings of archives, texts of office documents, decoded texts; what has no text has an error."""
+    """(key, side, text, error, hash) of entries (key, side, bytes): listings of archives, texts of office documents, decoded texts; what has no text has an error."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,11 +206,11 @@ def readable(rows: DataFrame) -> DataFrame:
                         error = f"{r.file_class} has no text"
                 except BROKEN as e:
                     error = f"{type(e).__name__}"
-                out.append((r.key, r.side, text, error))
-            yield pd.DataFrame(out, columns=["key", "side", "text", "error"])
+                out.append((r.key, r.side, text, error, hashlib.sha1(r.bytes).hexdigest()[:7] if r.bytes else NO_HASH))
+            yield pd.DataFrame(out, columns=["key", "side", "text", "error", "hash"])
 
     cls = paths.file_class(F.element_at(paths.compound(F.col("key")), -1))
-    return rows.select("key", "side", "bytes", cls.alias("file_class"), route(cls).alias("route")).mapInPandas(read, "key string, side string, text string, error string")
+    return rows.select("key", "side", "bytes", cls.alias("file_class"), route(cls).alias("route")).mapInPandas(read, "key string, side string, text string, error string, hash string")
 
 
 def route(cls: Column) -> Column:
@@ -209,20 +220,17 @@ def route(cls: Column) -> Column:
 
 def units(old: DataFrame, new: DataFrame) -> DataFrame:
     """(key, engine, error, old_lines, new_lines, old_hash, new_hash) of entries (key, bytes) of two versions: what is compared line by line, and why not. A side without the entry has no lines."""
-    rows = cut(old.select("key", F.lit("old").alias("side"), "bytes").unionByName(new.select("key", F.lit("new").alias("side"), "bytes")))
-    read = readable(rows.where("bytes IS NOT NULL"))
+    rows = old.select("key", F.lit("old").alias("side"), "bytes").unionByName(new.select("key", F.lit("new").alias("side"), "bytes"))
+    none = rows.where(F.col("bytes").isNull()).select("key", "side", F.lit(None).cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("error"), F.lit(NO_HASH).alias("hash"))
     cls = paths.file_class(F.element_at(paths.compound(F.col("key")), -1))
     form = F.when(route(cls) == "text", beautify.beautified(F.col("text"), cls)).otherwise(F.col("text"))
-    read = read.select("key", "side", F.split(form, "\n").alias("lines"), "error")
+    read = readable(rows.where(F.col("bytes").isNotNull())).select("key", "side", F.split(form, "\n").alias("lines"), "error", "hash").unionByName(none)
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    joined = read.groupBy("key").agg(side("old", "lines").alias("old_lines"), side("new", "lines").alias("new_lines"), F.min("error").alias("error"))
-    hashes = rows.select("key", "side", short_hash(F.col("bytes")).alias("h")).groupBy("key").agg(*[F.coalesce(side(s, "h"), F.lit("0000000")).alias(f"{s}_hash") for s in ("old", "new")])
+    met = read.groupBy("key").agg(side("old", "lines").alias("o"), side("new", "lines").alias("n"), F.min("error").alias("e"), *[F.coalesce(side(s, "hash"), F.lit(NO_HASH)).alias(f"{s}_hash") for s in ("old", "new")])
     engine = F.when(route(cls) == "listing", "archive-listing").when(route(cls) == "office", "office-text").when(route(cls) == "text", beautify.engine(cls))
-    nowhere = F.when(F.col("old_lines").isNull() & F.col("new_lines").isNull() & F.col("error").isNull(), "on neither side").otherwise(F.col("error"))
-    none = F.array().cast("array<string>")
-    failed = nowhere.isNotNull()
-    return hashes.join(joined, "key", "left").select("key", F.when(~failed, engine).alias("engine"), nowhere.alias("error"),
-                                                    *[F.when(failed, none).otherwise(F.coalesce(f"{s}_lines", none)).alias(f"{s}_lines") for s in ("old", "new")], "old_hash", "new_hash")
+    error = F.when(F.col("o").isNull() & F.col("n").isNull() & F.col("e").isNull(), "on neither side").otherwise(F.col("e"))
+    empty = F.array().cast("array<string>")
+    return met.select("key", F.when(error.isNull(), engine).alias("engine"), error.alias("error"), *[F.when(error.isNotNull(), empty).otherwise(F.coalesce(c, empty)).alias(f"{s}_lines") for s, c in (("old", "o"), ("new", "n"))], "old_hash", "new_hash")
 
 
 def unit_lines(units: DataFrame) -> DataFrame:
