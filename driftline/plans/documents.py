@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import answers, beautify, labels, lexer, paths
+from ..functions import answers, beautify, lexer, paths, text
 from ..model import Options
 from ..operators import align, diff, document, impact, lines, markdown, projects, report
 from ..sources import archives
@@ -283,3 +283,29 @@ def token_kinds(spark, sf_dir):
     plain = f"""substring(replace(replace(replace(replace(replace({TEXT}, '\\n', ' '), '"', ''), "'", ''), '`', ''), '/', ''), 1, 200)"""
     own = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"{plain} AS t").selectExpr("doc_id", f"{_LINE} AS l")
     return own.select("doc_id", lexer.token_at(F.col("l"), (F.col("doc_id") * 7 % 90).cast("int")).alias("kind"))
+
+
+# ---- lines by rules, and inside lines
+
+
+@query("rule_diff", f"""WITH l AS (SELECT doc_id, len(string_split({TEXT}, chr(10))) AS n FROM documents WHERE doc_id IS NOT NULL)
+ SELECT doc_id, n - (doc_id % 5 = 0)::INT AS same, (doc_id % 5 = 0)::INT AS deleted, (doc_id % 5 = 0)::INT AS added FROM l""")
+def rule_diff(spark, sf_dir):
+    """Differences of lines that are compared without their blanks: new indentation is none, a changed last line is."""
+    own = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"split({TEXT}, '\\n') AS old")
+    moved = F.transform("old", lambda x, i: F.concat(F.lit("   "), x, F.lit(" "), F.when((F.col("doc_id") % 5 == 0) & (i == F.size("old") - 1), "x").otherwise("")))
+    plain = lambda c: F.transform(c, lambda x: text.rule_normalized(x, True, False, ""))
+    rows = own.withColumn("new", moved).withColumns({"o": plain("old"), "n": plain("new")})
+    ops = lines.lcs_diff(rows, "doc_id", "old", "new", "o", "n").groupBy("doc_id")
+    return ops.agg(*[F.count_if(F.col("op") == op).alias(name) for op, name in (("ctx", "same"), ("del", "deleted"), ("add", "added"))])
+
+
+@query("inline_characters", f"""WITH l AS (SELECT doc_id, unnest(string_split({TEXT}, chr(10))) AS l, unnest(range(1, len(string_split({TEXT}, chr(10))) + 1)) AS line_no FROM documents WHERE doc_id IS NOT NULL),
+ c AS (SELECT doc_id, line_no, length(l) AS n, length(l) - length(replace(l, 'a', '')) AS k, length(l) - (strpos(l, 'a') - 1) - (strpos(reverse(l), 'a') - 1) AS middle FROM l WHERE contains(l, 'a'))
+ SELECT doc_id, line_no, CASE WHEN middle * middle > 40000 THEN n - middle ELSE n - k END AS same, CASE WHEN middle * middle > 40000 THEN middle ELSE k END AS deleted, CASE WHEN middle * middle > 40000 THEN middle ELSE k END AS added FROM c""")
+def inline_characters(spark, sf_dir):
+    """Characters that are the same, deleted and added in lines of which one letter has become another."""
+    own = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"posexplode(split({TEXT}, '\\n')) AS (at, l)").where("contains(l, 'a')")
+    pieces = own.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), lines.inline(F.col("l"), F.replace("l", F.lit("a"), F.lit("e"))).alias("s"))
+    size = lambda kind: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.when(x["t"] == kind, F.length(x["s"])).otherwise(0))
+    return pieces.select("doc_id", "line_no", size("eq").alias("same"), size("del").alias("deleted"), size("add").alias("added"))
