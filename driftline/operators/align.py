@@ -178,7 +178,7 @@ def _by_base(deleted: DataFrame, added: DataFrame) -> DataFrame:
     sizes = added.groupBy("base", "version").agg(F.count("*").alias("n"), F.min("key").alias("k"))
     least, most = F.min(F.struct("n", "version", "k")), F.max(F.struct("n", "version", "k"))
     kinds = sizes.groupBy("base").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), least.alias("x"), most.alias("y"))
-    kinds = cut(kinds.where("n = 1 OR (kinds = 2 AND x.n = 1)"))
+    kinds = kinds.where("n = 1 OR (kinds = 2 AND x.n = 1)")
     # Alone: any other version takes it. One and one: whoever has one version takes the other. One and many: only the many's version takes it.
     v = F.col("version")
     may = F.when(F.col("n") == 1, v != F.col("x.version")).when(F.col("y.n") == 1, v.isin(F.col("x.version"), F.col("y.version"))).otherwise(v == F.col("y.version"))
@@ -203,10 +203,13 @@ def container_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
         return cut(own.where(F.length("stem") > versions.LEAST_PREFIX).withColumn("near", F.substring("stem", 1, versions.LEAST_PREFIX)))
 
     d, a, versioned = side(deleted), side(added), "base IS NOT NULL AND version IS NOT NULL"
+    sizes = [x.agg(F.count("*").alias("n"), F.count_if(F.col("version").isNull()).alias("bare")).first() for x in (d, a)]
+    if not all(x.n for x in sizes):
+        return d.select(F.col("key").alias("d"), F.col("key").alias("a")).limit(0)
+    if not any(x.bare for x in sizes):
+        return _by_base(*(x.where(versioned) for x in (d, a)))
     odd = d.where("version IS NULL").select("near").join(a.select("near"), "near", "left_semi").union(a.where("version IS NULL").select("near").join(d.select("near"), "near", "left_semi")).distinct()
     odd = cut(odd)
-    if odd.isEmpty():
-        return _by_base(*(x.where(versioned) for x in (d, a)))
     plain = [x.join(odd, "near", "left_anti").where(versioned) for x in (d, a)]
     near = [x.join(odd, "near", "left_semi") for x in (d, a)]
     return _by_base(*plain).unionByName(_settled(*near, ["near"], _archives_in_order))

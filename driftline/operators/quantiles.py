@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Ranges that the values of a group are cut into, before ranks are looked for inside one of them.
 RANGES = 256
+#: Cuts of a run.
+STEP = 16
 
 
 def ranged(counts: DataFrame) -> DataFrame:
@@ -17,9 +19,13 @@ def ranged(counts: DataFrame) -> DataFrame:
     lie; outliers, infinite values and NaN, which is above all others, don't widen any.
     """
     shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    cuts = counts.groupBy(F.col("g").alias("of")).agg(F.percentile_approx("v", shares, F.lit(40 * RANGES)).alias("cuts"), F.sum("c").alias("n"))
-    at = F.size(F.filter(F.array_distinct("cuts"), lambda x: x < F.col("v")))
-    return counts.join(cuts, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "c", "n", at.alias("r"))
+    cuts = counts.groupBy(F.col("g").alias("of")).agg(F.array_distinct(F.percentile_approx("v", shares, F.lit(40 * RANGES))).alias("cuts"), F.sum("c").alias("n"))
+    # A value is looked for among runs of cuts first, then inside one.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("cuts") - 1) / STEP).cast("int")), lambda i: F.slice("cuts", i * STEP + 1, F.lit(STEP)))
+    cuts = cuts.select("of", "n", runs.alias("runs")).select("of", "n", "runs", F.transform("runs", lambda x: F.element_at(x, -1)).alias("ends"))
+    below = lambda x: F.size(F.filter(x, lambda y: y < F.col("v")))
+    placed = counts.join(cuts, F.col("g").eqNullSafe(F.col("of"))).withColumn("run", below("ends"))
+    return placed.select("g", "v", "c", "n", (F.col("run") * STEP + F.coalesce(below(F.get("runs", F.col("run"))), F.lit(0))).alias("r"))
 
 
 def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
