@@ -116,16 +116,17 @@ def folder_snapshot(spark, sf_dir):
 
 def _packed(spark, sf_dir, build, size: int = PACK) -> DataFrame:
     """(root, old, new): an archive of each version for every `size` documents, as build(version, pack, documents) makes it."""
-    rows = versions_of(spark, sf_dir).withColumn("pack", F.floor(F.col("doc_id") / size))
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    # An edit only adds to a text, so texts travel once.
+    rows = docs.selectExpr("doc_id", f"CAST(floor(doc_id / {size}) AS BIGINT) AS pack", f"{TEXT} AS text", f"substring({NEW_TEXT}, length({TEXT}) + 1) AS more", f"NOT ({_FRESH}) AS in_old", f"NOT ({_GONE}) AS in_new")
 
     def make(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["doc_id", "old_text", "new_text"])
+        own = own.sort_values(["doc_id", "text"])
         pack = int(own["pack"].iloc[0])
         sides = []
-        for c in ("old_text", "new_text"):
-            there = {int(i): t for i, t in zip(own["doc_id"], own[c]) if isinstance(t, str)}
-            sides.append(build(c[:3], pack, sorted(there.items())))
-        return pd.DataFrame({"root": [f"p{pack}.zip"], "old": [sides[0]], "new": [sides[1]]})
+        for there, texts in ((own["in_old"], own["text"]), (own["in_new"], own["text"] + own["more"])):
+            sides.append({int(i): t for i, t in zip(own["doc_id"][there], texts[there])})
+        return pd.DataFrame({"root": [f"p{pack}.zip"], **{side: [build(side, pack, sorted(x.items()))] for side, x in zip(("old", "new"), sides)}})
 
     return cut(rows.groupBy("pack").applyInPandas(make, StructType([StructField("root", StringType()), StructField("old", BinaryType()), StructField("new", BinaryType())])))
 
