@@ -67,3 +67,12 @@ def test_columns_with_names_of_ours(spark):
     assert all(tuple(r)[4:13] == tuple("abcdefghi") for r in out.collect())
     assert {r.doc_id: (r._base_failed, r._kept) for r in out.collect()} == {**{i: (False, True) for i in range(5)}, 9: (True, False)}
     assert qr.judge(qr.measure(df.limit(0))).count() == 0
+
+
+def test_labelled_documents(spark):
+    """Of the given tables every document labelled good that passes the fixed floor stays, and none labelled poor does."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = qr.query(spark, sf).join(labels, "doc_id").groupBy("quality", "base_failed", "kept").count().collect()
+    n = {(r.quality, r.base_failed, r.kept): r["count"] for r in rows}
+    assert n[1, False, True] > 3000 and (1, False, False) not in n and n[0, False, False] > 200 and not any(kept for q, _, kept in n if q == 0)
