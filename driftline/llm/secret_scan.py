@@ -11,7 +11,7 @@ likelihoods under a kind's automaton and the background's. One that is above the
 thresholds lie above every background string held out from learning, and above the lowest FLOOR of the credentials held out.
 
 Tasks read each text once and keep spans, credentials and candidates; these are written, then sampled, then scored. The sample takes
-SAMPLE distinct strings of each kind (the smallest by md5, at most LONGEST characters each): every task keeps its own smallest,
+SAMPLE distinct strings of each kind, BACKGROUND times as many candidates (the smallest by md5, at most LONGEST characters each): every task keeps its own smallest,
 which merge to the table's. It is all that comes to the driver, where automata are learned and sent to tasks; everything is scored.
 
 Defined results: a null text is empty and has no spans; null ids and repeated rows are documents like others; equal texts have equal
@@ -40,14 +40,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # runs of 16 or more
 VALUE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
-SAMPLE = 4000
+SAMPLE, BACKGROUND = 4000, 4
 LONGEST = 256
 LEAST = 20
 #: Of a sample, one string of this many is held out for the thresholds.
 HELD_OUT = 4
-FLOOR, ORDINARY = 0.05, 0.995
-#: Confidence of the Hoeffding bound, and weight of a kind's own characters in each state.
-ALPHA, SMOOTH = 0.05, 0.5
+FLOOR, ORDINARY = 0.05, 0.998
+#: Confidence of the Hoeffding bound.
+ALPHA = 0.05
 #: Remembered scores in a task.
 MEMO = 200_000
 END = ""
@@ -105,21 +105,22 @@ def _order(value: str) -> bytes:
 
 
 def sample(found: DataFrame, size: int = SAMPLE) -> list[list[str]]:
-    """Of each kind, and of the candidates, the `size` distinct values that are smallest by md5, in that order."""
+    """Of each kind, and of the candidates, the `size` distinct values (BACKGROUND times as many) that are smallest by md5, in that order."""
     kinds = len(KINDS) + 1
+    sizes = [size] * len(KINDS) + [BACKGROUND * size]
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, bytes]] = [{} for _ in range(kinds)]
 
         def cut(k: int) -> None:
-            held[k] = dict(sorted(held[k].items(), key=lambda x: x[1])[:size])
+            held[k] = dict(sorted(held[k].items(), key=lambda x: x[1])[: sizes[k]])
 
         for batch in batches:
             for base, values, tokens in zip(*(batch.column(c).to_pylist() for c in ("base", "base_values", "tokens"))):
                 for k, value in [*zip(base[2::3], values), *((kinds - 1, t) for t in tokens)]:
                     if len(value) <= LONGEST and value not in held[k]:
                         held[k][value] = _order(value)
-                        if len(held[k]) >= 4 * size:
+                        if len(held[k]) >= 4 * sizes[k]:
                             cut(k)
         for k in range(kinds):
             cut(k)
@@ -128,7 +129,7 @@ def sample(found: DataFrame, size: int = SAMPLE) -> list[list[str]]:
 
     rows = found.select("base", "base_values", "tokens").mapInArrow(least, "kind int, value string").groupBy("kind", "value").agg(F.md5("value").alias("place"))
     rows = materialize(rows, "secret-sample")
-    return [[r.value for r in rows.where(F.col("kind") == k).orderBy("place").limit(size).collect()] for k in range(kinds)]
+    return [[r.value for r in rows.where(F.col("kind") == k).orderBy("place").limit(sizes[k]).collect()] for k in range(kinds)]
 
 
 class Automaton:
@@ -221,10 +222,12 @@ class Automaton:
         share = {c: (n + 1) / total for c, n in seen.items()}
         self.rare = 1 / total
         self.usual = {c: max(sorted(of), key=of.get) for c, of in leads.items()}
-        self.table = [{c: (to, math.log((n + SMOOTH * share[c]) / (self.visits[k] + SMOOTH))) for c, (to, n) in s.items()} for k, s in enumerate(self.next)]
-        self.other = [{c: math.log(SMOOTH * p / (v + SMOOTH)) for c, p in share.items()} for v in self.visits]
-        self.unseen = [math.log(SMOOTH * self.rare / (v + SMOOTH)) for v in self.visits]
-        self.ending = [math.log((e + SMOOTH * share[END]) / (v + SMOOTH)) for e, v in zip(self.ends, self.visits)]
+        # As many visits as a state has different characters are taken to have been of others.
+        weight = [len(s) + 1 for s in self.next]
+        self.table = [{c: (to, math.log((n + w * share[c]) / (v + w))) for c, (to, n) in s.items()} for s, v, w in zip(self.next, self.visits, weight)]
+        self.other = [{c: math.log(w * p / (v + w)) for c, p in share.items()} for v, w in zip(self.visits, weight)]
+        self.unseen = [math.log(w * self.rare / (v + w)) for v, w in zip(self.visits, weight)]
+        self.ending = [math.log((e + w * share[END]) / (v + w)) for e, v, w in zip(self.ends, self.visits, weight)]
 
     def log_likelihood(self, value: str) -> float:
         at, total = 0, 0.0
