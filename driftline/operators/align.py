@@ -4,6 +4,8 @@ Keys meet in buckets: of one content or one normalised path, and of the same fir
 equivalent paths share. A deleted key takes the only added key of its own skeleton (the path without versions) that is left, or
 where there is none the only equivalent one. Where every deleted key of a bucket has exactly one added key of its skeleton and the
 reverse, which counts by skeleton tell, nobody competes and an equi-join on the skeleton pairs them, however many share the bucket.
+Before contents are looked at, a skeleton that one deleted and one added key have pairs these, whatever they hold: else a file that
+was edited would take a copy of its old text from the file that still has it, and that file would lose its own successor.
 Only buckets with competitors are settled in key order, as an earlier pair can make a later candidate the only one. Before that, keys
 without any candidate go: equivalent paths share a stem (what stands before a run of digits), so a key whose stems nobody on the
 other side has is nobody's competitor. The keys that are left, not their pairs, come together; a key looks only at those that share
@@ -233,10 +235,19 @@ def path_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
     return equivalent_pairs(deleted.withColumn("path", skeleton), added.withColumn("path", skeleton), "path")
 
 
+def own_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
+    """(d, a, same) of equivalent keys whose skeleton nobody else has on either side, and whether their contents are equal."""
+    side = lambda df, name: df.select(version_normalized_path(F.col("key")).alias("skeleton"), F.lit(name).alias("side"), "key", "content_key")
+    of = lambda name: F.max(F.when(F.col("side") == name, F.struct("key", "content_key"))).alias(name)
+    both = side(deleted, "d").unionByName(side(added, "a")).groupBy("skeleton").agg(of("d"), of("a"), F.count("*").alias("n")).where("n = 2 AND d IS NOT NULL AND a IS NOT NULL")
+    same = F.coalesce(F.col("d.content_key") == F.col("a.content_key"), F.lit(False))
+    return both.where(versions.equivalent_path(F.col("d.key"), F.col("a.key"))).select(F.col("d.key").alias("d"), F.col("a.key").alias("a"), same.alias("same"))
+
+
 def align(diff: DataFrame, deleted_content: Column | None = None) -> DataFrame:
     """diff (key, status, file_class, old_sha, new_sha, old_content_key, new_content_key) with new_key and match_kind; paired rows are keyed by the old key, and the added rows they took are gone.
 
-    Containers pair first, then what lies under them, then equal contents, then versioned paths. Each step's pairs and what they
+    Containers pair first, then what lies under them, then keys that are alone with their versioned path, then equal contents, then versioned paths. Each step's pairs and what they
     leave are cut, as the next step reads them several times.
     """
     diff = cut(diff)
@@ -245,17 +256,18 @@ def align(diff: DataFrame, deleted_content: Column | None = None) -> DataFrame:
     found = None
     left_d, left_a = deleted, added
 
-    def take(pairs: DataFrame, kind: str) -> None:
+    def take(pairs: DataFrame, kind: Column) -> None:
         nonlocal found, left_d, left_a
-        pairs = cut(pairs.select("d", "a", F.lit(kind).alias("kind")))
+        pairs = cut(pairs.select("d", "a", kind.alias("kind")))
         found = pairs if found is None else found.unionByName(pairs)
         left_d = left_d.join(pairs.select(F.col("d").alias("key")), "key", "left_anti")
         left_a = left_a.join(pairs.select(F.col("a").alias("key")), "key", "left_anti")
 
-    take(container_pairs(left_d, left_a), "CONTAINER")
-    take(subfile_pairs(left_d, left_a, found.select("d", "a")), "SUBFILE")
-    take(content_pairs(left_d, left_a), "CONTENT")
-    take(path_pairs(left_d, left_a), "PATH")
+    take(container_pairs(left_d, left_a), F.lit("CONTAINER"))
+    take(subfile_pairs(left_d, left_a, found.select("d", "a")), F.lit("SUBFILE"))
+    take(own_pairs(left_d, left_a), F.when(F.col("same"), "CONTENT").otherwise("PATH"))
+    take(content_pairs(left_d, left_a), F.lit("CONTENT"))
+    take(path_pairs(left_d, left_a), F.lit("PATH"))
     d = deleted.select(F.col("key").alias("d"), F.col("sha").alias("d_sha"), F.col("content_key").alias("d_content"))
     a = added.select(F.col("key").alias("a"), F.col("sha").alias("a_sha"), F.col("content_key").alias("a_content"))
     paired = found.join(d, "d").join(a, "a")

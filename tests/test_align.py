@@ -140,3 +140,11 @@ def test_archives_of_one_name(spark):
     began = time.time()
     pairs = align.container_pairs(*(spark.createDataFrame([(k, "ARCHIVE") for k, _ in x], "key string, file_class string") for x in (old, new)))
     assert pairs.count() == 0 and time.time() - began < 30
+
+
+def test_copies_leave_each_its_own_successor(spark):
+    """An edited file whose old text another file still has is paired with its own successor, and so is the other."""
+    path = "core-{}/src/doc{}.js"
+    old, new = "036M059(20260101-0900)", "036M061(20260707-1135)"
+    got = aligned(spark, [(path.format(old, i), "copy") for i in (10, 12, 15)], [(path.format(new, 10), "edited"), (path.format(new, 12), "copy"), (path.format(new, 15), "edited too")])
+    assert got == {path.format(old, i): (path.format(new, i), status, kind) for i, status, kind in ((10, "MODIFIED", "PATH"), (12, "UNCHANGED", "CONTENT"), (15, "MODIFIED", "PATH"))}
