@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 #: Ranges that the values of a group are cut into, before ranks are looked for inside one of them.
 RANGES = 256
 #: Cuts of a run.
@@ -23,6 +25,7 @@ def ranged(counts: DataFrame) -> DataFrame:
     # A value is looked for among runs of cuts first, then inside one.
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("cuts") - 1) / STEP).cast("int")), lambda i: F.slice("cuts", i * STEP + 1, F.lit(STEP)))
     cuts = cuts.select("of", "n", runs.alias("runs")).select("of", "n", "runs", F.transform("runs", lambda x: F.element_at(x, -1)).alias("ends"))
+    cuts = cut(cuts)  # sketches merge in the order in which tasks end, so made twice they would end ranges elsewhere
     below = lambda x: F.size(F.filter(x, lambda y: y < F.col("v")))
     placed = counts.join(cuts, F.col("g").eqNullSafe(F.col("of"))).withColumn("run", below("ends"))
     return placed.select("g", "v", "c", "n", (F.col("run") * STEP + F.coalesce(below(F.get("runs", F.col("run"))), F.lit(0))).alias("r"))
