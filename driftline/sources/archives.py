@@ -7,10 +7,10 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,26 +52,39 @@ def expand_zip(data: bytes, options: Options) -> Iterator[tuple[str, int, int, b
 
 
 #: Bytes of contents that a task hands on at a time.
-FRAME = 32 << 20
+FRAME = 4 << 20
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def frames(batches: Iterator[pa.RecordBatch], made: Callable[..., Iterator[tuple]], to: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows that made(*row) has for each row of batches, every FRAME bytes."""
+    for batch in batches:
+        out, held = [], 0
+        for k in range(batch.num_rows):
+            for row in made(*(c[k].as_py() for c in batch.columns)):
+                out.append(row)
+                held += 64 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
+                if held > FRAME:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+
+
+def row_by_row(df: DataFrame, made: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that made(*row) has for each row of df, in tasks. One row of a batch is a Python object at a time, and what is made goes on every FRAME bytes, so a task holds no more however large its part is."""
+    to = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+    return df.mapInArrow(lambda batches: frames(batches, made, to), schema)
 
 
 def _expanded(rows: DataFrame, options: Options) -> DataFrame:
     """Children of archives (snapshot_id, key, depth, bytes)."""
-    names = [c.split()[0] for c in ENTRY.split(", ")]
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                out, held = [], 0
-                for name, size, crc, data, error in expand_zip(r.bytes, options):
-                    out.append((r.snapshot_id, f"{r.key}/{name}" if r.key and name else name or r.key, r.key, r.depth + 1, size, crc, hashlib.sha256(data).hexdigest() if data is not None else None, data, error))
-                    held += len(data or b"")
-                    if held > FRAME:
-                        yield pd.DataFrame(out, columns=names)
-                        out, held = [], 0
-                yield pd.DataFrame(out, columns=names)
+    def expand(snapshot_id: str, key: str, depth: int, data: bytes) -> Iterator[tuple]:
+        for name, size, crc, inner, error in expand_zip(data, options):
+            yield snapshot_id, f"{key}/{name}" if key and name else name or key, key, depth + 1, size, crc, hashlib.sha256(inner).hexdigest() if inner is not None else None, inner, error
 
-    return rows.select("snapshot_id", "key", "depth", "bytes").mapInPandas(expand, ENTRY)
+    return row_by_row(rows.select("snapshot_id", "key", "depth", "bytes"), expand, ENTRY)
 
 
 def entries_of(files: DataFrame, options: Options | None = None) -> DataFrame:
@@ -219,11 +232,9 @@ def office_text(name: str, data: bytes) -> tuple[str | None, str | None]:
 def texts(entries: DataFrame) -> DataFrame:
     """(snapshot_id, key, text, error) of entries with bytes: office documents by their parts, text classes decoded."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(r.snapshot_id, r.key, *(office_text(r.key, r.bytes) if r.file_class == "OFFICE" else (decode_text(r.bytes), None))) for r in batch.itertuples()]
-            yield pd.DataFrame(out, columns=["snapshot_id", "key", "text", "error"])
+    def read(snapshot_id: str, key: str, data: bytes, file_class: str) -> Iterator[tuple]:
+        yield snapshot_id, key, *(office_text(key, data) if file_class == "OFFICE" else (decode_text(data), None))
 
     cls = paths.file_class(F.col("key"))
     own = entries.where(F.col("bytes").isNotNull() & ((cls == "OFFICE") | paths.is_text_diffable(cls) | paths.is_known_text(F.col("key"))))
-    return own.select("snapshot_id", "key", "bytes", cls.alias("file_class")).mapInPandas(read, "snapshot_id string, key string, text string, error string")
+    return row_by_row(own.select("snapshot_id", "key", "bytes", cls.alias("file_class")), read, "snapshot_id string, key string, text string, error string")

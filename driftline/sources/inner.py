@@ -12,14 +12,13 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import beautify, paths, versions
 from ..operators import diff, lines
-from .archives import FRAME, decode_text, office_text
+from .archives import decode_text, office_text, row_by_row
 from .tables import cut
 
 # How deep a tree goes, how many nodes it has, how large an entry is read.
@@ -49,17 +48,13 @@ def resolved(names: list[str], wanted: str) -> str | None:
 def listings(containers: DataFrame) -> DataFrame:
     """(root, key, name, size, crc, error) of the entries of archives (root, key, bytes); one row with an error of those that can't be read."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                try:
-                    out += [(r.root, r.key, name, size, crc, None) for name, (size, crc) in listing(r.bytes).items()]
-                except BROKEN as e:
-                    out.append((r.root, r.key, None, None, None, type(e).__name__))
-            yield pd.DataFrame(out, columns=["root", "key", "name", "size", "crc", "error"])
+    def read(root: str, key: str, data: bytes) -> Iterator[tuple]:
+        try:
+            yield from [(root, key, name, size, crc, None) for name, (size, crc) in listing(data).items()]
+        except BROKEN as e:
+            yield root, key, None, None, None, type(e).__name__
 
-    return containers.mapInPandas(read, "root string, key string, name string, size long, crc long, error string")
+    return row_by_row(containers.select("root", "key", "bytes"), read, "root string, key string, name string, size long, crc long, error string")
 
 
 #: Names that are sent to where the archives are; more are joined to them by shuffling both.
@@ -76,30 +71,22 @@ def read_entries(containers: DataFrame, wanted: DataFrame) -> DataFrame:
     n = wanted.count()
     names = wanted.groupBy("root", "key").agg(F.collect_set("name").alias("names"))  # an archive's own names at most
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out, held = [], 0
-            for r in batch.itertuples():
-                try:
-                    with zipfile.ZipFile(io.BytesIO(r.bytes)) as z:
-                        there = z.namelist()
-                        for name in r.names:
-                            found = resolved(there, name)
-                            if found is None or found.endswith("/") or z.getinfo(found).file_size > MOST_BYTES:
-                                continue
-                            try:
-                                out.append((r.root, f"{r.key}!/{name}", z.read(found)))
-                            except BROKEN:
-                                continue
-                            held += len(out[-1][2])
-                            if held > FRAME:
-                                yield pd.DataFrame(out, columns=["root", "key", "bytes"])
-                                out, held = [], 0
-                except BROKEN:
-                    continue
-            yield pd.DataFrame(out, columns=["root", "key", "bytes"])
-
-    return met(containers, names, ["root", "key"], n).mapInPandas(read, "root string, key string, bytes binary")
+    def read(root: str, key: str, data: bytes, names: list[str]) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                there = z.namelist()
+                for name in names:
+                    found = resolved(there, name)
+                    if found is None or found.endswith("/") or z.getinfo(found).file_size > MOST_BYTES:
+                        continue
+                    try:
+                        yield root, f"{key}!/{name}", z.read(found)
+                    except BROKEN:
+                        continue
+        except BROKEN:
+            return
+
+    return row_by_row(met(containers, names, ["root", "key"], n).select("root", "key", "bytes", "names"), read, "root string, key string, bytes binary")
 
 
 def _rank(status: Column) -> Column:
@@ -190,27 +177,23 @@ def _listing_lines(data: bytes) -> list[str]:
 def readable(rows: DataFrame) -> DataFrame:
     """(key, side, text, error, hash) of entries (key, side, bytes): listings of archives, texts of office documents, decoded texts; what has no text has an error."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                text = error = None
-                try:
-                    if r.route == "listing":
-                        text = "\n".join(_listing_lines(r.bytes))
-                    elif r.route == "office":
-                        text, error = office_text(r.key, r.bytes)
-                    elif r.route == "text":
-                        text = decode_text(r.bytes)
-                    else:
-                        error = f"{r.file_class} has no text"
-                except BROKEN as e:
-                    error = f"{type(e).__name__}"
-                out.append((r.key, r.side, text, error, hashlib.sha1(r.bytes).hexdigest()[:7] if r.bytes else NO_HASH))
-            yield pd.DataFrame(out, columns=["key", "side", "text", "error", "hash"])
+    def read(key: str, side: str, data: bytes, file_class: str, way: str) -> Iterator[tuple]:
+        text = error = None
+        try:
+            if way == "listing":
+                text = "\n".join(_listing_lines(data))
+            elif way == "office":
+                text, error = office_text(key, data)
+            elif way == "text":
+                text = decode_text(data)
+            else:
+                error = f"{file_class} has no text"
+        except BROKEN as e:
+            error = f"{type(e).__name__}"
+        yield key, side, text, error, hashlib.sha1(data).hexdigest()[:7] if data else NO_HASH
 
     cls = paths.file_class(F.element_at(paths.compound(F.col("key")), -1))
-    return rows.select("key", "side", "bytes", cls.alias("file_class"), route(cls).alias("route")).mapInPandas(read, "key string, side string, text string, error string, hash string")
+    return row_by_row(rows.select("key", "side", "bytes", cls.alias("file_class"), route(cls).alias("route")), read, "key string, side string, text string, error string, hash string")
 
 
 def route(cls: Column) -> Column:

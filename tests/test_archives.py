@@ -3,6 +3,7 @@ import io
 import zipfile
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from driftline.model import Options
@@ -104,3 +105,19 @@ def test_folder_scan(spark, tmp_path):
 def test_decode(data):
     assert archives.decode_text(data.encode()) == data
     assert archives.decode_text(b"\xff\xfe\xfa") == "\xff\xfe\xfa"
+
+
+def test_a_task_hands_on_what_it_made_before_it_makes_more():
+    """Of a batch that becomes 64 MB, no more than a frame and a row is there at a time."""
+    made = []
+
+    def blown_up(n):
+        made.append(n)
+        yield n, bytes(1 << 20)
+
+    to = pa.schema([("n", pa.int64()), ("bytes", pa.binary())])
+    rows = []
+    for frame in archives.frames(iter([pa.RecordBatch.from_arrays([pa.array(range(64), pa.int64())], names=["n"])]), blown_up, to):
+        assert frame.nbytes < archives.FRAME + (2 << 20) and len(made) - len(rows) <= archives.FRAME // (1 << 20) + 1
+        rows += frame.column("n").to_pylist()
+    assert rows == list(range(64))
