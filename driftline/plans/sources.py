@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import java_source
 from ..model import Options
 from ..operators import impact
+from ..sources.tables import cut
 from .inputs import table
 
 OPTIONS = Options()
@@ -54,7 +55,7 @@ def api_outline(spark, sf_dir):
  UNION ALL SELECT {_CLS}, unnest(['REMOVED_API', 'ADDED_API']), unnest(['items(Map<String, ? extends T>):Map<String, List<T>>', 'shown():void']) FROM documents WHERE doc_id % 6 = 1""")
 def api_compatibility(spark, sf_dir):
     """Changes of interfaces between two versions of sources; what can't be read on a side says nothing about its class."""
-    old, new = (java_source.outlines(_sources(spark, sf_dir, sql)) for sql in (_OLD, _NEW))
+    old, new = (cut(java_source.outlines(_sources(spark, sf_dir, sql))) for sql in (_OLD, _NEW))  # read several times below
     readable = new.select("cls").distinct()
     return impact.api_changes(old.join(readable, "cls", "left_semi"), new)
 

@@ -24,3 +24,10 @@ def test_normal_form():
 def test_long_source():
     body = "".join(f"  public int m{i}(int a) {{ if (a > {i}) {{ return a; }} return {i}; }}\n" for i in range(600))
     assert len(apis("class Big {\n" + body + "}")) == 600
+
+
+def test_sources_are_read_once_however_often_their_outlines_are(spark):
+    from driftline.plans import sources
+
+    found = sources.api_compatibility(spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
