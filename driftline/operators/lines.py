@@ -47,6 +47,37 @@ def linear_diff(df: DataFrame, key: str, old: str, new: str) -> DataFrame:
     return ends.select(key, F.posexplode(rows).alias("pos", "r")).select(key, "pos", "r.*")
 
 
+#: Elements of the new side up to which a row of the comparison is one integer.
+BITS = 4096
+
+
+def _lcs_bits(a: list, b: list) -> list[tuple[str, int, int]]:
+    """What _lcs has without a common head, from rows of bits: row i has a bit for each place from b's end at which the longest common subsequence of a[i:] and that much of b grows."""
+    n, m = len(a), len(b)
+    number: dict = {}
+    x, y = ([number.setdefault(v, len(number)) for v in side] for side in (a, b))
+    back = np.array(y[::-1], np.int64)
+    places = {v: int.from_bytes(np.packbits(back == v, bitorder="little").tobytes(), "little") for v in set(x)}
+    every = (1 << m) - 1
+    grows, flat = [0] * (n + 1), every
+    for i in range(n - 1, -1, -1):
+        met = flat & places[x[i]]
+        flat = ((flat + met) | (flat - met)) & every
+        grows[i] = flat ^ every
+    out, i, j, length = [], 0, 0, grows[0].bit_count()
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append(("ctx", i, j))
+            i, j, length = i + 1, j + 1, length - 1
+        elif (grows[i + 1] & ((1 << (m - j)) - 1)).bit_count() == length:  # as long without this one
+            out.append(("del", i, -1))
+            i += 1
+        else:
+            out.append(("add", -1, j))
+            j += 1
+    return out + [("del", k, -1) for k in range(i, n)] + [("add", -1, k) for k in range(j, m)]
+
+
 def _lcs(a: list, b: list, cells: int | None) -> list[tuple[str, int, int]]:
     """(op, i, j) of a longest common subsequence, deletions first where both ways are as long; beyond `cells`, head and tail only."""
     n, m = len(a), len(b)
@@ -64,6 +95,8 @@ def _lcs(a: list, b: list, cells: int | None) -> list[tuple[str, int, int]]:
     head, a, b, n, m = [("ctx", i, i) for i in range(h)], a[h:], b[h:], n - h, m - h
     if not n or not m:
         return head + [("del", h + i, -1) for i in range(n)] + [("add", -1, h + j) for j in range(m)]
+    if m <= BITS:
+        return head + [(op, h + i if i >= 0 else -1, h + j if j >= 0 else -1) for op, i, j in _lcs_bits(a, b)]
     number: dict = {}
     x = np.array([number.setdefault(v, len(number)) for v in a], np.int64)
     y = np.array([number.setdefault(v, len(number)) for v in b], np.int64)
