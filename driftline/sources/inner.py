@@ -1,7 +1,8 @@
 """What lies inside archives, addressed as a!/b!/c: listings as a tree of both versions, and contents read only along the way.
 
-Everything goes depth by depth. A step joins the archives that are open with the names wanted of each, opens every archive once, and
-carries on nothing but what was asked for: names for the tree, bytes for the archives that are opened next or the entries wanted.
+The tree goes depth by depth. A step joins the archives that are open with the names wanted of each, opens every archive once, and
+carries on nothing but what was asked for: names, and bytes of the archives that are opened next. Where whole addresses are given, an
+archive meets all of its own once, and is opened as deep as they lead.
 """
 
 from __future__ import annotations
@@ -57,6 +58,17 @@ def listings(containers: DataFrame) -> DataFrame:
     return row_by_row(containers.select("root", "key", "bytes"), read, "root string, key string, name string, size long, crc long, error string")
 
 
+def entry(z: zipfile.ZipFile, wanted: str) -> bytes | None:
+    """An entry of an open archive by its resolved name; none if it isn't there, is a folder, too large or can't be read."""
+    found = wanted if wanted in z.NameToInfo else resolved(z.namelist(), wanted)
+    if found is None or found.endswith("/") or z.getinfo(found).file_size > MOST_BYTES:
+        return None
+    try:
+        return z.read(found)
+    except BROKEN:
+        return None
+
+
 #: Names that are sent to where the archives are; more are joined to them by shuffling both.
 NAMES = 500_000
 
@@ -74,15 +86,10 @@ def read_entries(containers: DataFrame, wanted: DataFrame) -> DataFrame:
     def read(root: str, key: str, data: bytes, names: list[str]) -> Iterator[tuple]:
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
-                there = z.namelist()
                 for name in names:
-                    found = resolved(there, name)
-                    if found is None or found.endswith("/") or z.getinfo(found).file_size > MOST_BYTES:
-                        continue
-                    try:
-                        yield root, f"{key}!/{name}", z.read(found)
-                    except BROKEN:
-                        continue
+                    own = entry(z, name)
+                    if own is not None:
+                        yield root, f"{key}!/{name}", own
         except BROKEN:
             return
 
@@ -135,14 +142,40 @@ def tree(old: DataFrame, new: DataFrame, ignored: DataFrame | None = None, depth
     return known.join(failed, ["root", "key"], "left").select("at", *_NODE[:-1], expandable.alias("expandable"), "error")
 
 
-def inner_bytes(files: DataFrame, keys: DataFrame, missing: bool = True) -> DataFrame:
-    """(snapshot, key, bytes) of keys (snapshot, key as a!/b!/c) in archives (snapshot, name, bytes). A key that leads nowhere has no bytes, or, without `missing`, no row, and then no bytes are shuffled.
+def _opened(data: bytes | None) -> zipfile.ZipFile | None:
+    try:
+        return None if data is None else zipfile.ZipFile(io.BytesIO(data))
+    except BROKEN:
+        return None
+
+
+def reached(contents: list[bytes | None], asked: list[tuple[str, list[str]]]) -> Iterator[tuple]:
+    """(key, *contents) of what is asked (key, names on the way) of archives of several versions. An archive on the way is opened once, and one entry of each version is held at a time."""
+    if all(x is None for x in contents):
+        return
+    below: dict[str, list] = {}
+    for key, way in asked:
+        if way:
+            below.setdefault(way[0], []).append((key, way[1:]))
+        else:
+            yield key, *contents
+    if below:
+        boxes = [_opened(x) for x in contents]
+        for name, further in below.items():
+            yield from reached([z and entry(z, name) for z in boxes], further)
+
+
+def inner_bytes(files: DataFrame, keys: DataFrame, missing: bool = True, names: DataFrame | None = None) -> DataFrame:
+    """(snapshot, key, contents) of keys (snapshot, key as a!/b!/c) in archives (snapshot, name, contents). Contents are one column of bytes, or several for versions of an archive under one name, which are read side by side. A key that leads nowhere has none, or, without `missing`, no row, and then its bytes are not shuffled.
 
-    An archive or entry that isn't there under its name is the only one of the same package in another version, if there is one.
+    An archive or entry that isn't there under its name is the only one of the same package in another version, if there is one. What
+    is asked of an archive meets it once, at any number of keys, and it is opened there as deep as they lead: bytes of archives are
+    shuffled once. names: (snapshot, name) of the files where these are known without their bytes; files are read once then.
     """
+    sides = [c for c in files.columns if c not in ("snapshot", "name")]
     keys = cut(keys.select("snapshot", "key", paths.compound(F.col("key")).alias("parts")).distinct())
     tops = keys.select("snapshot", F.get("parts", 0).alias("key")).distinct()
-    names = cut(files.select("snapshot", "name"))
+    names = cut((files if names is None else names).select("snapshot", "name"))
     exact = tops.join(names, (tops["snapshot"] == names["snapshot"]) & (F.col("key") == F.col("name"))).select(tops["snapshot"], "key", "name")
     lost = tops.join(names, (tops["snapshot"] == names["snapshot"]) & (F.col("key") == F.col("name")), "left_anti")
 
@@ -153,19 +186,17 @@ def inner_bytes(files: DataFrame, keys: DataFrame, missing: bool = True) -> Data
     a, b = stemmed(lost, "key"), stemmed(names, "name").withColumnsRenamed({"snapshot": "s", "base": "b", "version": "v"})
     other = (a.join(b, (F.col("snapshot") == F.col("s")) & (F.col("base") == F.col("b"))).where("version <> v")
              .groupBy("snapshot", "key").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1").drop("n"))
-    chosen = cut(exact.unionByName(other))
-    found = met(files, chosen, ["snapshot", "name"], chosen.count()).select(F.col("snapshot").alias("root"), "key", "bytes")
-    depth = keys.agg(F.max(F.size("parts"))).first()[0] or 1
-    done = None
-    for at in range(1, depth + 1):
-        way = keys.select("snapshot", F.col("key").alias("whole"), "parts", F.array_join(F.slice("parts", 1, at), "!/").alias("on"))
-        ends = cut(way.where(F.size("parts") == at).select(F.col("snapshot").alias("root"), F.col("on").alias("key"), "whole"))
-        here = met(found, ends, ["root", "key"], ends.count()).select(F.col("root").alias("snapshot"), F.col("whole").alias("key"), "bytes")
-        done = here if done is None else done.unionByName(here)
-        if at < depth:
-            wanted = way.where(F.size("parts") > at).select(F.col("snapshot").alias("root"), F.col("on").alias("key"), F.get("parts", at).alias("name")).distinct()
-            found = read_entries(found, wanted)
-            found = cut(found) if at + 1 < depth else found  # what is opened again is kept
+    chosen = exact.unionByName(other).withColumnRenamed("key", "top").distinct()
+    ways = keys.select("snapshot", F.get("parts", 0).alias("top"), F.struct("key", F.slice("parts", F.lit(2), F.size("parts")).alias("way")).alias("asked"))
+    asked = ways.join(chosen, ["snapshot", "top"]).groupBy("snapshot", "name").agg(F.collect_list("asked").alias("asked"))  # an archive's own keys at most
+
+    def read(snapshot: str, asked: list[dict], *contents: bytes | None) -> Iterator[tuple]:
+        for row in reached(list(contents), [(x["key"], x["way"]) for x in asked]):
+            yield snapshot, *row
+
+    # Keys are hashed and archives only pass by: bytes that are not sorted don't spill.
+    found = files.join(asked.hint("shuffle_hash"), ["snapshot", "name"]).select("snapshot", "asked", *sides)
+    done = row_by_row(found, read, ", ".join(["snapshot string", "key string", *(f"{c} binary" for c in sides)]))
     return keys.select("snapshot", "key").join(done, ["snapshot", "key"], "left") if missing else done
 
 
@@ -174,28 +205,37 @@ def _listing_lines(data: bytes) -> list[str]:
     return [f"{size:>12} {'--------' if name.endswith('/') else format(crc, '08x')} {'d' if name.endswith('/') else '-'} {name[:512]}" for name, (size, crc) in rows[:50_000]]
 
 
+def _read(key: str, data: bytes, file_class: str, way: str) -> tuple[str | None, str | None, str]:
+    """(text, error, hash) of an entry by the way of its class."""
+    text = error = None
+    try:
+        if way == "listing":
+            text = "\n".join(_listing_lines(data))
+        elif way == "office":
+            text, error = office_text(key, data)
+        elif way == "text":
+            text = decode_text(data)
+        else:
+            error = f"{file_class} has no text"
+    except BROKEN as e:
+        error = f"{type(e).__name__}"
+    return text, error, hashlib.sha1(data).hexdigest()[:7] if data else NO_HASH
+
+
 def readable(rows: DataFrame) -> DataFrame:
     """(key, side, text, error, hash) of entries (key, side, bytes): listings of archives, texts of office documents, decoded texts; what has no text has an error."""
 
     def read(key: str, side: str, data: bytes, file_class: str, way: str) -> Iterator[tuple]:
-        text = error = None
-        try:
-            if way == "listing":
-                text = "\n".join(_listing_lines(data))
-            elif way == "office":
-                text, error = office_text(key, data)
-            elif way == "text":
-                text = decode_text(data)
-            else:
-                error = f"{file_class} has no text"
-        except BROKEN as e:
-            error = f"{type(e).__name__}"
-        yield key, side, text, error, hashlib.sha1(data).hexdigest()[:7] if data else NO_HASH
+        yield key, side, *_read(key, data, file_class, way)
 
-    cls = paths.file_class(F.element_at(paths.compound(F.col("key")), -1))
+    cls = _class()
     return row_by_row(rows.select("key", "side", "bytes", cls.alias("file_class"), route(cls).alias("route")), read, "key string, side string, text string, error string, hash string")
 
 
+def _class() -> Column:
+    return paths.file_class(F.element_at(paths.compound(F.col("key")), -1))
+
+
 def route(cls: Column) -> Column:
     """How an entry of a class is compared."""
     return F.when(cls.isin("ARCHIVE", "JAR"), "listing").when(cls == "OFFICE", "office").when(paths.is_text_diffable(cls), "text").otherwise("none")
@@ -205,15 +245,41 @@ def units(old: DataFrame, new: DataFrame) -> DataFrame:
     """(key, engine, error, old_lines, new_lines, old_hash, new_hash) of entries (key, bytes) of two versions: what is compared line by line, and why not. A side without the entry has no lines."""
     rows = old.select("key", F.lit("old").alias("side"), "bytes").unionByName(new.select("key", F.lit("new").alias("side"), "bytes"))
     none = rows.where(F.col("bytes").isNull()).select("key", "side", F.lit(None).cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("error"), F.lit(NO_HASH).alias("hash"))
-    cls = paths.file_class(F.element_at(paths.compound(F.col("key")), -1))
-    form = F.when(route(cls) == "text", beautify.beautified(F.col("text"), cls)).otherwise(F.col("text"))
-    read = readable(rows.where(F.col("bytes").isNotNull())).select("key", "side", F.split(form, "\n").alias("lines"), "error", "hash").unionByName(none)
+    read = readable(rows.where(F.col("bytes").isNotNull())).select("key", "side", _lines("text").alias("lines"), "error", "hash").unionByName(none)
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     met = read.groupBy("key").agg(side("old", "lines").alias("o"), side("new", "lines").alias("n"), F.min("error").alias("e"), *[F.coalesce(side(s, "hash"), F.lit(NO_HASH)).alias(f"{s}_hash") for s in ("old", "new")])
+    return _units(met.withColumn("error", F.when(F.col("o").isNull() & F.col("n").isNull() & F.col("e").isNull(), NEITHER).otherwise(F.col("e"))))
+
+
+# Fixed value: why an entry that no version has is not compared.
+NEITHER = "on neither side"
+
+
+def pair_units(pairs: DataFrame) -> DataFrame:
+    """units of entries whose versions are side by side (key, old, new), a row a key: they are read where they are, and nothing is shuffled."""
+
+    def read(key: str, old: bytes | None, new: bytes | None, file_class: str, way: str) -> Iterator[tuple]:
+        (o, e, o_hash), (n, f, n_hash) = (_read(key, x, file_class, way) if x is not None else (None, None, NO_HASH) for x in (old, new))
+        error = min((x for x in (e, f) if x is not None), default=NEITHER if o is None and n is None else None)
+        yield key, o, n, error, o_hash, n_hash
+
+    cls = _class()
+    texts = row_by_row(pairs.select("key", "old", "new", cls.alias("file_class"), route(cls).alias("route")), read, "key string, o string, n string, error string, old_hash string, new_hash string")
+    return _units(texts.withColumns({"o": _lines("o"), "n": _lines("n")}))
+
+
+def _lines(text: str) -> Column:
+    """The lines of a text in the form in which its class is compared."""
+    cls = _class()
+    own = route(cls) == "text"
+    return F.split(F.when(own, beautify.beautified(F.when(own, F.col(text)), cls)).otherwise(F.col(text)), "\n")
+
+
+def _units(met: DataFrame) -> DataFrame:
+    cls, error = _class(), F.col("error")
     engine = F.when(route(cls) == "listing", "archive-listing").when(route(cls) == "office", "office-text").when(route(cls) == "text", beautify.engine(cls))
-    error = F.when(F.col("o").isNull() & F.col("n").isNull() & F.col("e").isNull(), "on neither side").otherwise(F.col("e"))
     empty = F.array().cast("array<string>")
-    return met.select("key", F.when(error.isNull(), engine).alias("engine"), error.alias("error"), *[F.when(error.isNotNull(), empty).otherwise(F.coalesce(c, empty)).alias(f"{s}_lines") for s, c in (("old", "o"), ("new", "n"))], "old_hash", "new_hash")
+    return met.select("key", F.when(error.isNull(), engine).alias("engine"), "error", *[F.when(error.isNotNull(), empty).otherwise(F.coalesce(c, empty)).alias(f"{s}_lines") for s, c in (("old", "o"), ("new", "n"))], "old_hash", "new_hash")
 
 
 def unit_lines(units: DataFrame) -> DataFrame:

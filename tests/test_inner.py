@@ -122,3 +122,43 @@ def test_small_archives_are_made_many_at_a_time(spark, monkeypatch):
     ids = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.doc_id is not None}
     want = {f"p{k}.zip": f"{k}:{sorted(i for i in ids if i // 2 == k and i % 13 != 4)}".encode() for k in {i // 2 for i in ids}}
     assert {r.root: bytes(r.old) for r in packs.collect()} == want
+
+
+def test_versions_side_by_side(spark):
+    """What is read of two versions at once is what is read of each, as deep as the keys lead, and whether names are given or taken from the files."""
+    keys = spark.createDataFrame([("s", f"{top}!/{way}" if way else top) for top in ("a.zip", "app-2.0.zip", "old.zip", "new.zip", "none.zip")
+                                  for way in ("", "b.txt", "c.txt", "in.zip", "in.zip!/x.txt", "in.zip!/deep.zip!/y.txt", "in.zip!/deep.zip!/z.zip!/w", "lib/core-1.0.jar!/A.class", "lib/core-1.0.jar!/sub.zip!/u.txt", "b.txt!/c", "lib/", "none")], "snapshot string, key string")
+    boxes = [("s", "a.zip", zipped(OLD), zipped(NEW)), ("s", "app-1.0.zip", zipped(NEW), b"no archive"), ("s", "old.zip", zipped(OLD), None), ("s", "new.zip", None, zipped(OLD))]
+    files = spark.createDataFrame(boxes, "snapshot string, name string, old binary, new binary")
+    for names in (None, files.select("snapshot", "name")):
+        got = {r.key: (r.old and bytes(r.old), r.new and bytes(r.new)) for r in inner.inner_bytes(files, keys, missing=False, names=names).collect()}
+        want = [{r.key: r.bytes and bytes(r.bytes) for r in inner.inner_bytes(files.select("snapshot", "name", F.col(c).alias("bytes")), keys).collect()} for c in ("old", "new")]
+        assert got == {k: (want[0][k], want[1][k]) for k in want[0] if want[0][k] is not None or want[1][k] is not None} and len(got) > 20
+    assert got["a.zip!/lib/core-1.0.jar!/A.class"] == (b"a", b"b") and got["app-2.0.zip"][1] == b"no archive" and got["new.zip!/b.txt"] == (None, b"1")
+
+
+def test_units_of_pairs(spark):
+    """Versions side by side have the units that they have apart."""
+    rows = [("a!/x.txt", b"1\n2", b"1\n3"), ("a!/x.class", b"\xca\xfe", b"\xca\xff"), ("a!/in.zip", zipped({"p": b"1"}), zipped({"p": b"2", "q/r": b""})), ("a!/bad.zip", b"no", b"no"), ("a!/half.zip", zipped({}), b"no"), ("a!/gone.js", b"var a;", None),
+            ("a!/min.js", b"var a;" * 500, b"var a;" * 501), ("a!/x.html", b"<a></a>", b"<a></a><b>"), ("a!/x.doc", b"\xd0\xcf", None), ("a!/no.txt", None, None), ("a!/empty.txt", b"", None), ("a!/x.docx", None, zipped({"word/document.xml": b"<p><t>z</t></p>"}))]
+    pairs = spark.createDataFrame(rows, "key string, old binary, new binary")
+    apart = inner.units(*(pairs.select("key", F.col(c).alias("bytes")) for c in ("old", "new")))
+    assert sorted(map(repr, inner.pair_units(pairs).collect())) == sorted(map(repr, apart.collect())) and apart.columns == inner.pair_units(pairs).columns
+
+
+@pytest.mark.parametrize("name", ["office_diff", "inner_diff", "inner_read"])
+def test_archives_are_shuffled_once(spark, monkeypatch, name):
+    """However many names are asked, texts are shuffled to be packed and archives to meet their keys, and neither again; archives are not kept."""
+    import re
+
+    from driftline.plans import trees
+
+    monkeypatch.setattr(inner, "NAMES", 0)
+    kept, cut = [], inner.cut
+    for module in (inner, trees):
+        monkeypatch.setattr(module, "cut", lambda df: kept.append(df.dtypes) or cut(df))
+    df = trees.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    moved = [set(re.findall(r"(\w+)#", x)) for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert sorted(sorted(x & {"text", "bytes", "old", "new", "old_sha", "lines", "max"}) for x in moved if x & {"text", "bytes", "old", "new", "old_sha", "lines", "max"}) == [["new", "old"], ["text"]]
+    assert not [t for t in kept if "binary" in dict(t).values()]
