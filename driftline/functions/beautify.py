@@ -53,6 +53,25 @@ def engine(cls: Column) -> Column:
     return out.otherwise(OTHER_ENGINE)
 
 
+def minified(text: str) -> bool:
+    """What text.looks_minified says of a text, inside a task."""
+    lines = text.split("\n")
+    return max(map(len, lines)) > 400 and (len(lines) < 6 or len(text) / len(lines) > 200)
+
+
+def spread_form(text: str, kind: str) -> str | None:
+    """A minified script or style of a class spread, inside a task; none of what is compared in another form."""
+    if kind in ENGINES and kind != "CSS" or len(text) > LONGEST or not minified(text):
+        return None
+    return spread(text, "CSS" if kind == "CSS" else "JS")
+
+
+def form(text: Column, cls: Column, spread_text: Column) -> Column:
+    """The form in which a text of a class is compared, where a task that had the text in hand has made its spread_form."""
+    return (F.when(F.length(text) > LONGEST, text).when(cls == "HTML", t.html_split(text)).when(cls == "JSP", t.jsp_split(text))
+            .when(spread_text.isNotNull(), spread_text).otherwise(t.newlines(text)))
+
+
 def beautified(text: Column, cls: Column) -> Column:
     """The form in which a text of a class is compared. Only minified scripts and styles leave expressions; too long texts stay as they are."""
 
@@ -61,5 +80,4 @@ def beautified(text: Column, cls: Column) -> Column:
         return pd.Series([None if x is None else spread(x, "CSS" if k == "CSS" else "JS") for x, k in zip(texts, kinds)])
 
     packed = t.looks_minified(text) & ~cls.isin("HTML", "JSP", "CONFIG")
-    return (F.when(F.length(text) > LONGEST, text).when(cls == "HTML", t.html_split(text)).when(cls == "JSP", t.jsp_split(text))
-            .when(packed, spread_all(F.when(packed, text), cls)).otherwise(t.newlines(text)))
+    return form(text, cls, F.when(packed, spread_all(F.when(packed, text), cls)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,6 +160,24 @@ def lcs_diff(df: DataFrame, key: str, old: str, new: str, old_norm: str | None =
     return own.mapInArrow(diff, f"`{key}` {df.schema[key].dataType.simpleString()}, pos int, op string, old_no int, new_no int, text string")
 
 
+def lcs_counts(df: DataFrame, key: str, old: str, new: str, cells: int = CELLS) -> DataFrame:
+    """(key, same, deleted, added): how many lines of each kind lcs_diff has, counted where they are compared, so that no line leaves its task. Keys without lines have no row."""
+    own = df.select(F.col(key).alias("key"), F.col(old).alias("old"), F.col(new).alias("new"))
+    out = {"same": "ctx", "deleted": "del", "added": "add"}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, counts = [], []
+            for k in range(batch.num_rows):
+                found = Counter(op for op, _, _ in _lcs(batch.column("old")[k].as_py() or [], batch.column("new")[k].as_py() or [], cells))
+                if found:
+                    at.append(k)
+                    counts.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int32())), *(pa.array([x[op] for x in counts], pa.int64()) for op in out.values())], names=[key, *out])
+
+    return own.mapInArrow(count, f"`{key}` {df.schema[key].dataType.simpleString()}, same long, deleted long, added long")
+
+
 def number(lines: DataFrame, key: str) -> DataFrame:
     """Line numbers of both sides from ops in order."""
     upto = W.partitionBy(key).orderBy("pos")

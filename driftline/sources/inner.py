@@ -205,9 +205,9 @@ def _listing_lines(data: bytes) -> list[str]:
     return [f"{size:>12} {'--------' if name.endswith('/') else format(crc, '08x')} {'d' if name.endswith('/') else '-'} {name[:512]}" for name, (size, crc) in rows[:50_000]]
 
 
-def _read(key: str, data: bytes, file_class: str, way: str) -> tuple[str | None, str | None, str]:
-    """(text, error, hash) of an entry by the way of its class."""
-    text = error = None
+def _read(key: str, data: bytes, file_class: str, way: str) -> tuple[str | None, str | None, str | None, str]:
+    """(text, spread, error, hash) of an entry by the way of its class; spread is the form of minified scripts and styles, which is made here, so that no other process gets the text for it."""
+    text = spread = error = None
     try:
         if way == "listing":
             text = "\n".join(_listing_lines(data))
@@ -215,21 +215,22 @@ def _read(key: str, data: bytes, file_class: str, way: str) -> tuple[str | None,
             text, error = office_text(key, data)
         elif way == "text":
             text = decode_text(data)
+            spread = beautify.spread_form(text, file_class)
         else:
             error = f"{file_class} has no text"
     except BROKEN as e:
         error = f"{type(e).__name__}"
-    return text, error, hashlib.sha1(data).hexdigest()[:7] if data else NO_HASH
+    return text, spread, error, hashlib.sha1(data).hexdigest()[:7] if data else NO_HASH
 
 
 def readable(rows: DataFrame) -> DataFrame:
-    """(key, side, text, error, hash) of entries (key, side, bytes): listings of archives, texts of office documents, decoded texts; what has no text has an error."""
+    """(key, side, text, spread, error, hash) of entries (key, side, bytes): listings of archives, texts of office documents, decoded texts; what has no text has an error."""
 
     def read(key: str, side: str, data: bytes, file_class: str, way: str) -> Iterator[tuple]:
         yield key, side, *_read(key, data, file_class, way)
 
     cls = _class()
-    return row_by_row(rows.select("key", "side", "bytes", cls.alias("file_class"), route(cls).alias("route")), read, "key string, side string, text string, error string, hash string")
+    return row_by_row(rows.select("key", "side", "bytes", cls.alias("file_class"), route(cls).alias("route")), read, "key string, side string, text string, spread string, error string, hash string")
 
 
 def _class() -> Column:
@@ -245,7 +246,7 @@ def units(old: DataFrame, new: DataFrame) -> DataFrame:
     """(key, engine, error, old_lines, new_lines, old_hash, new_hash) of entries (key, bytes) of two versions: what is compared line by line, and why not. A side without the entry has no lines."""
     rows = old.select("key", F.lit("old").alias("side"), "bytes").unionByName(new.select("key", F.lit("new").alias("side"), "bytes"))
     none = rows.where(F.col("bytes").isNull()).select("key", "side", F.lit(None).cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("error"), F.lit(NO_HASH).alias("hash"))
-    read = readable(rows.where(F.col("bytes").isNotNull())).select("key", "side", _lines("text").alias("lines"), "error", "hash").unionByName(none)
+    read = readable(rows.where(F.col("bytes").isNotNull())).select("key", "side", _lines("text", "spread").alias("lines"), "error", "hash").unionByName(none)
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     met = read.groupBy("key").agg(side("old", "lines").alias("o"), side("new", "lines").alias("n"), F.min("error").alias("e"), *[F.coalesce(side(s, "hash"), F.lit(NO_HASH)).alias(f"{s}_hash") for s in ("old", "new")])
     return _units(met.withColumn("error", F.when(F.col("o").isNull() & F.col("n").isNull() & F.col("e").isNull(), NEITHER).otherwise(F.col("e"))))
@@ -259,20 +260,19 @@ def pair_units(pairs: DataFrame) -> DataFrame:
     """units of entries whose versions are side by side (key, old, new), a row a key: they are read where they are, and nothing is shuffled."""
 
     def read(key: str, old: bytes | None, new: bytes | None, file_class: str, way: str) -> Iterator[tuple]:
-        (o, e, o_hash), (n, f, n_hash) = (_read(key, x, file_class, way) if x is not None else (None, None, NO_HASH) for x in (old, new))
+        (o, o_spread, e, o_hash), (n, n_spread, f, n_hash) = (_read(key, x, file_class, way) if x is not None else (None, None, None, NO_HASH) for x in (old, new))
         error = min((x for x in (e, f) if x is not None), default=NEITHER if o is None and n is None else None)
-        yield key, o, n, error, o_hash, n_hash
+        yield key, o, n, o_spread, n_spread, error, o_hash, n_hash
 
     cls = _class()
-    texts = row_by_row(pairs.select("key", "old", "new", cls.alias("file_class"), route(cls).alias("route")), read, "key string, o string, n string, error string, old_hash string, new_hash string")
-    return _units(texts.withColumns({"o": _lines("o"), "n": _lines("n")}))
+    texts = row_by_row(pairs.select("key", "old", "new", cls.alias("file_class"), route(cls).alias("route")), read, "key string, o string, n string, o_spread string, n_spread string, error string, old_hash string, new_hash string")
+    return _units(texts.withColumns({c: _lines(c, f"{c}_spread") for c in ("o", "n")}))
 
 
-def _lines(text: str) -> Column:
+def _lines(text: str, spread: str) -> Column:
     """The lines of a text in the form in which its class is compared."""
     cls = _class()
-    own = route(cls) == "text"
-    return F.split(F.when(own, beautify.beautified(F.when(own, F.col(text)), cls)).otherwise(F.col(text)), "\n")
+    return F.split(F.when(route(cls) == "text", beautify.form(F.col(text), cls, F.col(spread))).otherwise(F.col(text)), "\n")
 
 
 def _units(met: DataFrame) -> DataFrame:
@@ -285,3 +285,8 @@ def _units(met: DataFrame) -> DataFrame:
 def unit_lines(units: DataFrame) -> DataFrame:
     """(key, pos, op, old_no, new_no, text): the units' differences by longest common subsequence."""
     return lines.lcs_diff(units.where("error IS NULL"), "key", "old_lines", "new_lines")
+
+
+def unit_counts(units: DataFrame) -> DataFrame:
+    """(key, same, deleted, added): lines of the units' differences, counted."""
+    return lines.lcs_counts(units.where("error IS NULL"), "key", "old_lines", "new_lines")

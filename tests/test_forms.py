@@ -54,3 +54,13 @@ def test_only_minified_texts_are_spread(spark):
     rows = [("JS", "a;b;"), ("JS", "a;b;" * 200), ("CSS", None), ("HTML", "<a><b>"), ("CONFIG", "a{" * 300)]
     got = [r.f for r in spark.createDataFrame(rows, "cls string, t string").coalesce(1).select(beautify.beautified(F.col("t"), F.col("cls")).alias("f")).collect()]
     assert got == ["a;b;", "a;\nb;\n" * 200, None, "<a>\n<b>", "a{" * 300]
+
+
+def test_forms_made_in_tasks(spark):
+    """A spread form made where a text is read is the one that an expression makes."""
+    texts = ["", "a", "x;" * 250, "x{y;}" * 100, "x;" * 250 + "\n" * 4, "x;" * 250 + "\n" * 5, "é;" * 201, "y" * 400, "y" * 401 + "\r\n" * 2, "\n".join(["z;" * 210] * 9), "\n".join(["z;" * 210] + ["q"] * 9), "<a></a>" * 90]
+    rows = [(c, t) for t in texts for c in ("JS", "CSS", "HTML", "JSP", "CONFIG", "OTHER")]
+    cls, text = F.col("cls"), F.col("t")
+    made = spark.createDataFrame([(c, t, beautify.spread_form(t, c)) for c, t in rows], "cls string, t string, s string")
+    got = made.coalesce(1).select(beautify.form(text, cls, F.col("s")).alias("f"), beautify.beautified(text, cls).alias("g")).collect()
+    assert [r.f for r in got] == [r.g for r in got] and any(r[2] for r in made.collect())

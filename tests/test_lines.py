@@ -5,6 +5,7 @@ import pytest
 
 from driftline import catalog
 from driftline.operators import lines
+from pyspark.sql import functions as F
 
 
 def longest(a, b):
@@ -171,3 +172,13 @@ def test_rows_of_bits_take_the_same_way(monkeypatch):
     assert first == second
     slow, fast = took.values()
     assert fast < slow / 2, took
+
+
+def test_counts_are_those_of_the_lines(spark):
+    """Lines counted in tasks are as many as lcs_diff has, by keys of any type, beyond the cells too; no lines, no row."""
+    sides = [([], []), (None, None), (["a"], None), ([], ["b", "c"]), (["a", "b", "c", "a"], ["b", "a", "c", "c"]), ([str(i % 3) for i in range(50)], [str(i % 4) for i in range(45)])]
+    df = spark.createDataFrame([((f"k{i}", i), o, n) for i, (o, n) in enumerate(sides)], "key struct<name:string,no:int>, o array<string>, n array<string>")
+    for cells in (lines.CELLS, 100):
+        ops = lines.lcs_diff(df, "key", "o", "n", cells=cells).groupBy("key").agg(*[F.count_if(F.col("op") == op).alias(c) for op, c in (("ctx", "same"), ("del", "deleted"), ("add", "added"))])
+        got = sorted(map(tuple, lines.lcs_counts(df, "key", "o", "n", cells=cells).collect()))
+        assert got == sorted(map(tuple, ops.collect())) and len(got) == 4
