@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,6 @@ from pyspark.sql import Window as W
 CELLS, ALIGN_CELLS = 5_000_000, 6_000_000
 #: Least similarity of paired lines, and the most lines of a run that is paired.
 SIMILAR, RUN = 0.5, 80
-INLINE_CELLS = {"char": 40_000, "word": 200_000}
 
 
 def common_ends(old: Column, new: Column) -> Column:
@@ -48,34 +47,50 @@ def linear_diff(df: DataFrame, key: str, old: str, new: str) -> DataFrame:
     return ends.select(key, F.posexplode(rows).alias("pos", "r")).select(key, "pos", "r.*")
 
 
-#: Elements of the new side up to which a row of the comparison is one integer.
-BITS = 4096
+#: Elements of the new side up to which a row of the comparison is one integer, and bits of rows that are held at a time.
+BITS, HELD = 4096, 1 << 26
 
 
 def _lcs_bits(a: list, b: list) -> list[tuple[str, int, int]]:
-    """What _lcs has without a common head, from rows of bits: row i has a bit for each place from b's end at which the longest common subsequence of a[i:] and that much of b grows."""
+    """What _lcs has without a common head, from rows of bits: row i has a bit for each place from b's end at which the longest common subsequence of a[i:] and that much of b grows. Where all rows are too many to hold, some are, and those between them are made again."""
     n, m = len(a), len(b)
     number: dict = {}
     x, y = ([number.setdefault(v, len(number)) for v in side] for side in (a, b))
     back = np.array(y[::-1], np.int64)
-    places = {v: int.from_bytes(np.packbits(back == v, bitorder="little").tobytes(), "little") for v in set(x)}
+    places = lambda v: int.from_bytes(np.packbits(back == v, bitorder="little").tobytes(), "little")
+    if len(seen := set(x)) * m <= HELD:
+        places = {v: places(v) for v in seen}.__getitem__
     every = (1 << m) - 1
-    grows, flat = [0] * (n + 1), every
-    for i in range(n - 1, -1, -1):
-        met = flat & places[x[i]]
-        flat = ((flat + met) | (flat - met)) & every
-        grows[i] = flat ^ every
-    out, i, j, length = [], 0, 0, grows[0].bit_count()
-    while i < n and j < m:
-        if x[i] == y[j]:
+    step = n if n * m <= HELD else math.isqrt(n)
+    marks, flat = {n: every}, every
+    if step < n:
+        for i in range(n - 1, 0, -1):
+            met = flat & places(x[i])
+            flat = ((flat + met) | (flat - met)) & every
+            if i % step == 0:
+                marks[i] = flat
+    out, i, j, length = [], 0, 0, None
+    for low in range(0, n, step):
+        high = min(low + step, n)
+        rows = [flat := marks.pop(high)]
+        for k in range(high - 1, low - 1, -1):
+            met = flat & places(x[k])
+            flat = ((flat + met) | (flat - met)) & every
+            rows.append(flat)
+        if length is None:
+            length = (flat ^ every).bit_count()
+        while i < high and j < m:
+            if x[i] != y[j]:
+                left = (1 << (m - j)) - 1
+                if (~rows[high - i - 1] & left).bit_count() == length:  # as long without this one
+                    out.append(("del", i, -1))
+                    i += 1
+                    continue
+                at = y.index(x[i], j)  # no later place in b makes it needless
+                out += [("add", -1, k) for k in range(j, at)]
+                j = at
             out.append(("ctx", i, j))
             i, j, length = i + 1, j + 1, length - 1
-        elif (grows[i + 1] & ((1 << (m - j)) - 1)).bit_count() == length:  # as long without this one
-            out.append(("del", i, -1))
-            i += 1
-        else:
-            out.append(("add", -1, j))
-            j += 1
     return out + [("del", k, -1) for k in range(i, n)] + [("add", -1, k) for k in range(j, m)]
 
 
@@ -96,7 +111,7 @@ def _lcs(a: list, b: list, cells: int | None) -> list[tuple[str, int, int]]:
     head, a, b, n, m = [("ctx", i, i) for i in range(h)], a[h:], b[h:], n - h, m - h
     if not n or not m:
         return head + [("del", h + i, -1) for i in range(n)] + [("add", -1, h + j) for j in range(m)]
-    if m <= BITS:
+    if m <= BITS or n * m > ALIGN_CELLS:
         return head + [(op, h + i if i >= 0 else -1, h + j if j >= 0 else -1) for op, i, j in _lcs_bits(a, b)]
     number: dict = {}
     x = np.array([number.setdefault(v, len(number)) for v in a], np.int64)
@@ -321,8 +336,65 @@ def aligned(df: DataFrame, key: str, old: str, new: str, cells: int = ALIGN_CELL
     return own.mapInArrow(align, f"`{key}` {df.schema[key].dataType.simpleString()}, pos int, change_no int, type string, left string, right string")
 
 
+class _Made(dict):
+    """A dictionary that makes what it doesn't have yet."""
+
+    def __init__(self, of: Callable):
+        self.of = of
+
+    def __missing__(self, key):
+        self[key] = made = self.of(key)
+        return made
+
+
+def _runs_by_count(a: Sequence, b: Sequence) -> list[tuple[str, int, int]] | None:
+    """(eq, del or add, start, end): the runs of what _lcs has, where the numbers of equal elements decide every step; None where they don't.
+
+    No way keeps more of an element than the side with fewer has, and a way that never deletes and adds the same element keeps as many of each, so it is a longest one. On it, an element of which there are no more left than on the other side can't be spared, and one that the other side has no longer can."""
+    n, m = len(a), len(b)
+    if isinstance(a, str):  # few characters are asked for
+        more, last = _Made(lambda v: a.count(v) - b.count(v)), _Made(b.rfind)
+    else:
+        more, last = Counter(a), _Made(lambda v: -1)
+        more.subtract(b)
+        last.update((v, j) for j, v in enumerate(b))
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        v, d, k = a[i], b[j], i
+        while v == d:
+            i += 1
+            j += 1
+            if i == n or j == m:
+                return out + [("eq", k, i)] + [("del", i, n)] * (i < n) + [("add", j, m)] * (j < m)
+            v, d = a[i], b[j]
+        if i > k:
+            out.append(("eq", k, i))
+            k = i
+        while v != d:
+            if last[v] >= j:
+                if more[v] <= 0:
+                    break
+                if more[d] < 0:  # either can be spared
+                    return None
+            more[v] -= 1
+            i += 1
+            if i == n:
+                break
+            v = a[i]
+        if i > k:
+            out.append(("del", k, i))
+        if i < n and v != d:
+            k, j = j, b.index(v, j)
+            for d in b[k:j]:
+                if more[d] >= 0:
+                    return None
+                more[d] += 1
+            out.append(("add", k, j))
+    return out + [("del", i, n)] * (i < n) + [("add", j, m)] * (j < m)
+
+
 def inline_segments(old: str, new: str, mode: str = "char") -> list[tuple[str, str]]:
-    """(eq, del or add, text) pieces that turn one line into another."""
+    """(eq, del or add, text) pieces that turn one line into another, by a longest common subsequence of what stands between their common ends, however long it is."""
     old, new = old or "", new or ""
     if old == new:
         return [("eq", old)]
@@ -333,26 +405,44 @@ def inline_segments(old: str, new: str, mode: str = "char") -> list[tuple[str, s
     while s < n - p and old[-1 - s] == new[-1 - s]:
         s += 1
     a, b = old[p : len(old) - s], new[p : len(new) - s]
-    xs, ys = (re.findall(r"\s+|\S+", t) if mode == "word" else list(t) for t in (a, b))
-    if len(xs) * len(ys) > INLINE_CELLS[mode]:
-        middle = [("del", a), ("add", b)]
-    else:
-        middle = [("eq", xs[i]) if op == "ctx" else ("del", xs[i]) if op == "del" else ("add", ys[j]) for op, i, j in _lcs(xs, ys, None)]
-    out: list[tuple[str, str]] = []
-    for t, x in [("eq", old[:p]), *middle, ("eq", old[len(old) - s :])]:
-        if x and out and out[-1][0] == t:
-            out[-1] = (t, out[-1][1] + x)
-        elif x:
-            out.append((t, x))
-    return out
+    xs, ys = (re.findall(r"\s+|\S+", t) for t in (a, b)) if mode == "word" else (a, b)
+    runs = _runs_by_count(xs, ys)
+    if runs is None:
+        runs = []
+        for op, i, j in _lcs(list(xs), list(ys), None):
+            t, k = ("eq", i) if op == "ctx" else ("del", i) if op == "del" else ("add", j)
+            if runs and runs[-1][0] == t:
+                runs[-1] = (t, runs[-1][1], k + 1)
+            else:
+                runs.append((t, k, k + 1))
+    out = [(t, (ys if t == "add" else xs)[lo:hi]) for t, lo, hi in runs]
+    if mode == "word":
+        out = [(t, "".join(x)) for t, x in out]
+    # The ends of what stands between are unlike, so no run there is equal.
+    return [("eq", old[:p])] * (p > 0) + out + [("eq", old[len(old) - s :])] * (s > 0)
 
 
 def inline(old: Column, new: Column, mode: str = "char") -> Column:
     """inline_segments of two columns."""
 
-    @F.pandas_udf("array<struct<t:string,s:string>>")
-    def segments(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"t": t, "s": s} for t, s in inline_segments(x, y, mode)] for x, y in zip(a, b)])
+    @F.arrow_udf("array<struct<t:string,s:string>>")
+    def segments(a: pa.Array, b: pa.Array) -> pa.Array:  # one pair at a time is a Python object
+        ends, kinds, texts, parts = [0], [], [], []
+
+        def part() -> pa.Array:
+            made = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (kinds, texts)], names=["t", "s"])
+            kinds.clear()
+            texts.clear()
+            return made
+
+        for x, y in zip(a, b):
+            own = inline_segments(x.as_py(), y.as_py(), mode)
+            ends.append(ends[-1] + len(own))
+            kinds += [t for t, _ in own]
+            texts += [s for _, s in own]
+            if len(kinds) >= ROWS:
+                parts.append(part())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([*parts, part()]))
 
     return segments(old, new)
 

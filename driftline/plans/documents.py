@@ -301,8 +301,8 @@ def rule_diff(spark, sf_dir):
 
 
 @query("inline_characters", f"""WITH l AS (SELECT doc_id, unnest(string_split({TEXT}, chr(10))) AS l, unnest(range(1, len(string_split({TEXT}, chr(10))) + 1)) AS line_no FROM documents WHERE doc_id IS NOT NULL),
- c AS (SELECT doc_id, line_no, length(l) AS n, length(l) - length(replace(l, 'a', '')) AS k, length(l) - (strpos(l, 'a') - 1) - (strpos(reverse(l), 'a') - 1) AS middle FROM l WHERE contains(l, 'a'))
- SELECT doc_id, line_no, CASE WHEN middle * middle > 40000 THEN n - middle ELSE n - k END AS same, CASE WHEN middle * middle > 40000 THEN middle ELSE k END AS deleted, CASE WHEN middle * middle > 40000 THEN middle ELSE k END AS added FROM c""")
+ c AS (SELECT doc_id, line_no, length(l) AS n, length(l) - length(replace(l, 'a', '')) AS k FROM l WHERE contains(l, 'a'))
+ SELECT doc_id, line_no, n - k AS same, k AS deleted, k AS added FROM c""")
 def inline_characters(spark, sf_dir):
     """Characters that are the same, deleted and added in lines of which one letter has become another."""
     own = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"posexplode(split({TEXT}, '\\n')) AS (at, l)").where("contains(l, 'a')")

@@ -182,3 +182,55 @@ def test_counts_are_those_of_the_lines(spark):
         ops = lines.lcs_diff(df, "key", "o", "n", cells=cells).groupBy("key").agg(*[F.count_if(F.col("op") == op).alias(c) for op, c in (("ctx", "same"), ("del", "deleted"), ("add", "added"))])
         got = sorted(map(tuple, lines.lcs_counts(df, "key", "o", "n", cells=cells).collect()))
         assert got == sorted(map(tuple, ops.collect())) and len(got) == 4
+
+
+def as_runs(ops):
+    out = []
+    for op, i, j in ops:
+        t, k = {"ctx": ("eq", i), "del": ("del", i), "add": ("add", j)}[op]
+        if out and out[-1][0] == t:
+            k, out = out[-1][1], out[:-1]
+        out.append((t, k, (j if t == "add" else i) + 1))
+    return out
+
+
+@pytest.mark.parametrize("mode", ["char", "word"])
+def test_long_lines_are_compared_as_short_ones(spark, mode):
+    """Pieces are those of the plain recurrence, however long the lines; one changed letter in many places stays that."""
+    rng = random.Random(11)
+    some = lambda n: rng.choices(["a", "b", "c", "d"] if mode == "char" else ["one", "two", "three", "f"], k=n)
+    join = ("" if mode == "char" else " ").join
+    kept = some(500)
+    pairs = [(some(260), some(330)), (some(480), some(470)), (kept, ["e" if x in ("a", "one") else x for x in kept]), (kept, [x for x in kept if x not in ("b", "two")])]
+    rows = [(k, *(join([mark, *side, mark]) for mark, side in zip("xy", pair))) for k, pair in enumerate(pairs)]
+    got = spark.createDataFrame(rows, "k long, a string, b string").select("k", lines.inline(F.col("a"), F.col("b"), mode).alias("s")).collect()
+    for r in got:
+        _, a, b = rows[r.k]
+        a, b = (list(t) if mode == "char" else [y for x in t.split(" ") for y in (x, " ")][:-1] for t in (a, b))
+        want = [(t, "".join((b if t == "add" else a)[lo:hi])) for t, lo, hi in as_runs(longest(a, b))]
+        assert [(x.t, x.s) for x in r.s] == want
+        assert len(want) > 50
+
+
+def test_runs_by_count_take_the_same_way():
+    """Where numbers of elements decide, they have the operations of the recurrence; replaced and left out letters are decided by them."""
+    rng, decided = random.Random(12), 0
+    for k in range(600):
+        a = "".join(rng.choices("abcdef"[: rng.randint(1, 6)], k=rng.randint(0, 40)))
+        b = [a.replace("a", "e"), a.replace("b", ""), "".join(rng.choices("abcdef"[: rng.randint(1, 6)], k=rng.randint(0, 40)))][k % 3]
+        for x, y in ((a, b), (list(a), list(b))):
+            runs = lines._runs_by_count(x, y)
+            assert runs is None and k % 3 == 2 or runs == as_runs(longest(x, y))
+        decided += k % 3 == 2 and runs is not None
+    assert 0 < decided < 200
+
+
+def test_rows_of_bits_made_again(monkeypatch):
+    """Rows that are not held are made again, with the same operations."""
+    rng = random.Random(13)
+    pairs = [tuple("".join(rng.choices("abcdefgh"[: rng.randint(1, 8)], k=rng.randint(1, 90))) for _ in range(2)) for _ in range(200)]
+    want = [lines._lcs_bits(list(a), list(b)) for a, b in pairs]
+    for held in (1, 500):
+        monkeypatch.setattr(lines, "HELD", held)
+        assert [lines._lcs_bits(list(a), list(b)) for a, b in pairs] == want
+    assert want == [[(op, i, -1 if j is None else j) if op == "del" else (op, -1 if i is None else i, j) for op, i, j in longest(a, b)] for a, b in pairs]
